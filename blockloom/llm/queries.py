@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, bpe, mixing, pii, quality, sharding, topk
+from . import ann, archives, bpe, mixing, ngram_join, pii, quality, sharding, topk
 from .common import table
 
 BPE_VOCABULARY = "word_bpe_49k.json"
@@ -45,6 +45,10 @@ def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.convert(table(spark, sf_dir, "pages"))
 
 
+def op8_fragment_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op9_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii_feistel, op2_entropy_mix, op3_bradley_terry, op5_bpe, op6_learned_partitions, op7_arc_to_warc, op9_hypergeometric, op10_kd_topk)
+    for f in (op1_pii_feistel, op2_entropy_mix, op3_bradley_terry, op5_bpe, op6_learned_partitions, op7_arc_to_warc, op8_fragment_jaccard, op9_hypergeometric, op10_kd_topk)
 }
 
 ORACLES = {
