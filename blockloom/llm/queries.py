@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, bpe, mixing, ngram_join, pii, quality, sharding, topk
+from . import ann, archives, bpe, mixing, ngram_join, pii, quality, sharding, substrings, topk
 from .common import table
 
 BPE_VOCABULARY = "word_bpe_49k.json"
@@ -33,6 +33,10 @@ def op3_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), keep=["doc_id"]))
 
@@ -59,7 +63,7 @@ def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii_feistel, op2_entropy_mix, op3_bradley_terry, op5_bpe, op6_learned_partitions, op7_arc_to_warc, op8_fragment_jaccard, op9_hypergeometric, op10_kd_topk)
+    for f in (op1_pii_feistel, op2_entropy_mix, op3_bradley_terry, op4_two_stage_suffixes, op5_bpe, op6_learned_partitions, op7_arc_to_warc, op8_fragment_jaccard, op9_hypergeometric, op10_kd_topk)
 }
 
 ORACLES = {
