@@ -150,11 +150,12 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", keep: list[str] |
     return common.map_batches(df, run, fields, keep, rows=256)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode()'s rows."""
+def digests(encoded: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode()'s rows; keep: further columns of theirs."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *(keep or []),
     )
