@@ -6,7 +6,8 @@ records by their declared lengths. For each it synthesises a WARC identifier, ti
 
 Files are written by Spark's text sink: a row is one record, and the line separator is the separator that the format
 asks for between records. Each file holds FILE_ROWS records and starts with the format's own first record, so files are
-bounded, and a lost task is simply run again. Readers take whole files, which FILE_ROWS keeps small.
+bounded, and a lost task is simply run again. Files are gzip streams, and readers take plain files too. Readers take
+whole files, which FILE_ROWS keeps small.
 
 Cases: a null html is an empty payload; a null url is written as '-'; a null page id is left out and read back as null;
 white space in a url is percent-encoded; rows that repeat the smallest page id of a payload are all responses; payloads
@@ -16,6 +17,7 @@ ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -144,7 +146,7 @@ def write_rows(df: DataFrame, first: str, line, separator: str, path: str) -> No
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     common.small_batches(df.sparkSession)
-    df.mapInArrow(run, "value string").write.option("lineSep", separator).option("maxRecordsPerFile", FILE_ROWS + 1).text(path)
+    df.mapInArrow(run, "value string").write.option("lineSep", separator).option("maxRecordsPerFile", FILE_ROWS + 1).option("compression", "gzip").text(path)
 
 
 def read_files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
@@ -159,8 +161,8 @@ def read_files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for row in parse(content.as_py()):
+                rows, data = [], content.as_py()
+                for row in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     rows.append(row)
                     if len(rows) == 256:
                         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names)
