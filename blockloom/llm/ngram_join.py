@@ -1,17 +1,20 @@
 """Similarity join on n-gram sets by vertical partitioning, and the components of its links.
 
-The global order of n-grams is: rarer first, by a census of n-grams that repeat within a task's chunk, then by hash.
-Two sets that reach the threshold share an n-gram in their prefixes, the first n - ceil(T * n) + 1 of each in that order
-(the prefix filter; any order gives the same links, a good one fewer candidates).
+The global order of n-grams is that of their hashes at first, and rarest first where counts are needed. Cut into
+fragments, it serves twice: to find candidates, and to count overlaps.
 
 1. Equal sets are one class, represented by its smallest id.
-2. Prefixes are sorted by n-gram over the cluster (a range sort, so a frequent n-gram is spread over tasks), and each
-   run of an n-gram is tied to its first set. Components of these ties are clusters: no link leaves a cluster.
-3. A cluster's sets meet in blocks of a bounded size. The n-gram order is cut into FRAGMENTS ranges; for a pivot set the
-   partial overlaps with all sets of the block are counted fragment by fragment and summed per pair, and sets that can
-   no longer reach the threshold are left out of the next fragment. Pivots are taken until all pairs are compared or
-   known to be connected, so a group of near copies costs one pivot, not all pairs.
-4. Clusters of several blocks share PIVOTS pivots in each block, which connects their blocks; what is then outside the
+2. Sets of a linked pair differ in D n-grams at most, so of more than D fragments one is equal in both. Each set gives
+   a key for each fragment of the order, cut into D + 1 and a few more (D for its size level, and for the next level
+   where a partner could be there). Keys are sorted over the cluster by range, so a frequent one is spread over tasks,
+   and each run of a key is tied to its first set. Components of these ties are clusters: no link leaves a cluster.
+3. The n-grams of clustered sets are counted, all of them, and ordered rarest first. Linked sets share an n-gram among
+   the first n - ceil(T * n) + 1 of each (the prefix filter). Ties by these give finer clusters.
+4. A cluster's sets meet in blocks of a bounded size. For a pivot set the partial overlaps with all sets of the block
+   are counted fragment by fragment and summed per pair, and sets that can no longer reach the threshold are left out
+   of the next fragment. Pivots are taken until all pairs are compared or known to be connected, so a group of near
+   copies costs one pivot, not all pairs.
+5. Clusters of several blocks share PIVOTS pivots in each block, which connects their blocks; what is then outside the
    cluster's largest component is compared with every block. So no pair is left out, and none is emitted but links that
    connect something.
 
@@ -22,6 +25,8 @@ are components of their own with a null id; an empty table gives an empty table;
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -33,8 +38,8 @@ from .components import components
 
 #: Words in an n-gram and the threshold in percent.
 WORDS, PERCENT = 4, 85
-#: N-grams counted together in a task; the most frequent ones that the order knows (bounds the broadcast).
-CENSUS_CHUNK, FREQUENT = 4_000_000, 200_000
+#: Ratio of the largest and the smallest size of a level.
+LEVEL = (1 / 0.85) ** 2.5
 FRAGMENTS, BLOCK_SETS, PIVOTS = 8, 2048, 4
 
 
@@ -42,74 +47,70 @@ def _texts(batch) -> list[bytes]:
     return [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(batch.schema.get_field_index("text"))]
 
 
-def census(docs: DataFrame, words: int) -> tuple:
-    """Hashes (sorted) and counts of frequent n-grams: all rows are counted, those of at least two in a chunk add up."""
+def names(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n (set size), s1 and s2 (a 128-bit name of the set)."""
     import numpy as np
     import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
+    def run(batch) -> list:
         from . import shingles
 
-        held, size = [], 0
+        sets = shingles.sets(_texts(batch), words)
+        one = np.array([np.add.reduce(shingles.mix(s, 1)) if len(s) else 0 for s in sets], np.uint64)
+        two = np.array([np.bitwise_xor.reduce(shingles.mix(s, 2)) if len(s) else 0 for s in sets], np.uint64)
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
 
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
+    return common.map_batches(docs.select("doc_id", "text"), run, [T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")], ["doc_id"])
 
-        for batch in batches:
-            for s in shingles.sets(_texts(batch), words):
-                held.append(s)
-                size += len(s)
-            if size >= CENSUS_CHUNK:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
 
-    common.small_batches(docs.sparkSession)
-    local = docs.select("text").mapInArrow(run, "h long, n long")
-    top = local.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    h, n = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def fragment_keys(tokens, percent: int):
+    """Keys of a sorted set: two sets that reach the threshold have one in common.
+
+    With larger size U of the two, at most D = 2 * U * (100 - percent) / (100 + percent) n-grams are in one set only, and
+    each spoils one fragment. Of D + 1 + spare fragments one is unspoilt; a set that leaves at most spare of them empty
+    has one that is not empty, too. Only sets with more empty fragments give keys of these as well.
+    """
+    import numpy as np
 
+    from .shingles import mix
 
-def profiles(docs: DataFrame, frequent: tuple, words: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (a 128-bit name of the set), tokens (the prefix)."""
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.uint64)
+    level = int(math.log(n) / math.log(LEVEL) + 1e-9)
+    mixed, top, keys = mix(tokens, 1), tokens >> np.uint64(32), []
+    for at in (level, level + 1):
+        if at > level and n * 100 < (LEVEL**at - 1) * percent:
+            continue
+        differ = int(2 * (int(LEVEL ** (at + 1)) + 1) * (100 - percent) / (100 + percent) + 1e-9)
+        spare = 1 + differ // 30
+        pieces = differ + 1 + spare
+        part = (top * np.uint64(pieces)) >> np.uint64(32)
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        filled, sums = part[starts], np.add.reduceat(mixed, starts)
+        if pieces - len(filled) > spare:
+            empty = np.setdiff1d(np.arange(pieces, dtype=np.uint64), filled)
+            filled, sums = np.concatenate([filled, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+        keys.append(mix(mix(sums + np.uint64(at * 1_000_003), 0) + filled * np.uint64(0x9E3779B97F4A7C15), 2))
+    return np.concatenate(keys)
+
+
+def key_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """token, id: the fragment keys of each text."""
     import numpy as np
     import pyarrow as pa
 
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batch) -> list:
+    def run(batches: Iterator) -> Iterator:
         from . import shingles
 
-        h, n = known.value
-        sizes, names, others, offsets, tokens = [], [], [], [0], []
-        for s in shingles.sets(_texts(batch), words):
-            length = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
-            rare = s
-            if len(h) and len(s):
-                at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-                common_ = h[at] == s
-                rare = s[~common_]
-                if len(rare) < length:
-                    often = np.flatnonzero(common_)
-                    often = often[np.lexsort((s[often], n[at[often]]))]
-                    rare = np.concatenate([rare, s[often]])
-            tokens.append(rare[:length])
-            offsets.append(offsets[-1] + length)
-            sizes.append(len(s))
-            names.append(int(np.add.reduce(shingles.mix(s, 1))) if len(s) else 0)
-            others.append(int(np.bitwise_xor.reduce(shingles.mix(s, 2))) if len(s) else 0)
-        flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        return [
-            pa.array(sizes, pa.int64()), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(np.array(others, np.uint64).view(np.int64)),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))),
-        ]
-
-    fields = [T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")] + [T.StructField("tokens", T.ArrayType(T.LongType()))]
-    return common.map_batches(docs.select("doc_id", "text"), run, fields, ["doc_id"])
+        for batch in batches:
+            keys = [fragment_keys(s, percent) for s in shingles.sets(_texts(batch), words)]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids.astype(np.int64))], ["token", "id"])
+
+    common.small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, id long")
 
 
 def ties(tokens: DataFrame) -> DataFrame:
@@ -243,23 +244,23 @@ def grouped(batches: Iterator, keys: int) -> Iterator:
 
 
 def block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges u, v that connect what is linked within each block of rows cluster, block, id, set."""
+    """Edges u, v that connect what is linked within each block of rows cluster, block, id, tokens."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         for _, rows in grouped(batches, 2):
             ids = rows.column("id").to_numpy()
-            label = resolve([np.frombuffer(x.as_py(), np.uint64) for x in rows.column("set")], percent)
+            label = resolve([x.values.to_numpy().view(np.uint64) for x in rows.column("tokens")], percent)
             root = ids[label]
             yield pa.RecordBatch.from_arrays([pa.array(root[root != ids]), pa.array(ids[root != ids])], ["u", "v"])
 
-    dealt = sets.select("cluster", "block", "id", "set").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "id")
+    dealt = sets.select("cluster", "block", "id", "tokens").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "id")
     return dealt.mapInArrow(run, "u long, v long")
 
 
 def stray_links(sets: DataFrame, strays: DataFrame, percent: int) -> DataFrame:
-    """Edges between strays (cluster, block, id, set: one row for each block) and the sets of the blocks."""
+    """Edges between strays (cluster, block, id, tokens: one row for each block) and the sets of the blocks."""
     import numpy as np
     import pyarrow as pa
 
@@ -270,7 +271,7 @@ def stray_links(sets: DataFrame, strays: DataFrame, percent: int) -> DataFrame:
             for cluster, part, stray, own, raw in zip(*(batch.column(i) for i in range(5)), strict=True):
                 if (key := (cluster.as_py(), part.as_py())) != now:
                     now, held, ids, block = key, [], [], None
-                one = np.frombuffer(raw.as_py(), np.uint64)
+                one = raw.values.to_numpy().view(np.uint64)
                 if not stray.as_py():
                     held.append(one)
                     ids.append(own.as_py())
@@ -281,66 +282,90 @@ def stray_links(sets: DataFrame, strays: DataFrame, percent: int) -> DataFrame:
                     out += [(own.as_py(), ids[i]) for i in np.flatnonzero(block.linked(one, percent)) if ids[i] != own.as_py()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    rows = sets.select("cluster", "block", F.lit(0).alias("stray"), "id", "set").unionByName(strays.select("cluster", "block", F.lit(1).alias("stray"), "id", "set"))
+    rows = sets.select("cluster", "block", F.lit(0).alias("stray"), "id", "tokens").unionByName(strays.select("cluster", "block", F.lit(1).alias("stray"), "id", "tokens"))
     return rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "stray", "id").mapInArrow(run, "u long, v long")
 
 
 def n_gram_sets(docs: DataFrame, words: int) -> DataFrame:
-    """set: the sorted hashes of column text, as bytes; other columns stay."""
+    """tokens: the sorted hashes of column text; other columns stay."""
+    import numpy as np
     import pyarrow as pa
 
     def run(batch) -> list:
         from . import shingles
 
-        return [pa.array([s.tobytes() for s in shingles.sets(_texts(batch), words)], pa.binary())]
+        sets = shingles.sets(_texts(batch), words)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat.view(np.int64)))]
+
+    fields = [T.StructField("tokens", T.ArrayType(T.LongType()))]
+    return common.map_batches(docs, run, fields, [x for x in docs.columns if x != "text"])
+
+
+def release(spark) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    return common.map_batches(docs, run, [T.StructField("set", T.BinaryType())], [x for x in docs.columns if x != "text"], rows=128)
+
+def clusters_of(tokens: DataFrame) -> DataFrame:
+    """id, cluster for the ids that share a token with others (directly or by others)."""
+    found = components(ties(tokens))
+    found = found.unionByName(found.select(F.col("root").alias("id"), "root").distinct())
+    out = common.saved(found.withColumnRenamed("root", "cluster"), "clusters")
+    release(tokens.sparkSession)
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """token, id: the rarest n-grams of each set, as many as the prefix filter asks for, but those of one set only."""
+    tokens = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = tokens.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("found"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return shared.select("id", F.explode(F.slice("found", F.lit(1), F.greatest(F.lit(0), length - F.col("n") + F.size("found")).cast("int"))).alias("x")).select("x.token", "id")
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (null ids: null)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    found = common.saved(profiles(docs, census(docs, words), words, percent), "profiles")
+    found = common.saved(names(docs, words), "names")
     named = found.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "tokens")).alias("c"))
-    classes = common.saved(classes.select("n", "s1", "s2", F.col("c.doc_id").alias("rep"), "c.tokens"), "classes")
+    classes = common.saved(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    copies = named.join(classes, ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id").distinct()
+    single = docs.filter("doc_id IS NOT NULL").join(common.saved(copies, "copies"), "doc_id", "left_anti")
 
-    clusters = components(ties(classes.select(F.explode("tokens").alias("token"), F.col("rep").alias("id"))))
-    clusters = clusters.unionByName(clusters.select(F.col("root").alias("id"), "root").distinct())
-    links = components(cluster_links(docs, common.saved(clusters.withColumnRenamed("root", "cluster"), "clusters"), words, percent))
+    rough = clusters_of(key_rows(single, words, percent))
+    texts = single.join(rough, F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("id", "text")
+    sets = common.saved(n_gram_sets(texts, words), "sets")
+    release(docs.sparkSession)
+    links = components(cluster_links(sets, clusters_of(prefixes(sets, percent)), percent))
 
-    roots = classes.select("n", "s1", "s2", "rep").join(links, classes["rep"] == links["id"], "left")
+    roots = classes.join(links, classes["rep"] == links["id"], "left")
     roots = common.saved(roots.select("n", "s1", "s2", F.coalesce("root", "rep").alias("component_id")), "roots")
-    whole = found.filter("n > 0").select("doc_id", "n", "s1", "s2").join(roots, ["n", "s1", "s2"], "left")
+    whole = found.filter("n > 0").join(roots, ["n", "s1", "s2"], "left")
     whole = whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return whole.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def cluster_links(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """Edges that connect what is linked, from the ids of each cluster."""
+def cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect what is linked, from rows id, tokens and the cluster of each id."""
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(PIVOTS)]).alias("pivots"))
     sizes = sizes.select("cluster", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks"), F.when(F.col("m") > BLOCK_SETS, F.col("pivots")).alias("pivots"))
-    members = clusters.join(sizes, "cluster")
     own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pivot = F.coalesce(F.array_contains("pivots", F.col("id")), F.lit(False))
-    members = common.saved(members.select("id", "cluster", "blocks", F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own).alias("at")), "members")
-
-    def with_sets(some: DataFrame) -> DataFrame:
-        texts = docs.filter("doc_id IS NOT NULL").join(some, F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"])
-        return n_gram_sets(texts.select("id", "cluster", "blocks", "at", "text"), words)
-
-    links = block_links(with_sets(members.filter("blocks = 1")).withColumn("block", F.lit(0)), percent)
+    members = clusters.join(sizes, "cluster").select("id", "cluster", "blocks", F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own).alias("at"))
+    members = common.saved(members, "members")
+    links = block_links(sets.join(members.filter("blocks = 1"), "id").withColumn("block", F.lit(0)), percent)
     large = members.filter("blocks > 1")
     if large.limit(1).count() == 0:
         return links
-    sets = common.saved(with_sets(large), "sets")
-    dealt = sets.withColumn("block", F.explode("at"))
+    dealt = sets.join(large, "id").withColumn("block", F.explode("at"))
     links = common.saved(links.unionByName(block_links(dealt, percent)), "links")
     # What lies outside the largest component of a cluster of several blocks meets every block.
-    roots = components(links)
-    rooted = large.join(roots, "id", "left").select("id", "cluster", "blocks", F.coalesce("root", "id").alias("root"))
+    rooted = large.join(components(links), "id", "left").select("id", "cluster", "blocks", F.coalesce("root", "id").alias("root"))
     counts = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("m"))
     largest = counts.groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-    outside = common.saved(rooted.join(largest, "cluster").filter("root <> main").select("id"), "strays")
-    strays = sets.join(outside, "id", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    outside = common.saved(rooted.join(largest, "cluster").filter("root <> main").select("id", "cluster", "blocks"), "strays")
+    strays = sets.join(outside, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return links.unionByName(stray_links(dealt, strays, percent))
