@@ -146,7 +146,7 @@ def write_rows(df: DataFrame, first: str, line, separator: str, path: str) -> No
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     common.small_batches(df.sparkSession)
-    df.mapInArrow(run, "value string").write.option("lineSep", separator).option("maxRecordsPerFile", FILE_ROWS + 1).option("compression", "gzip").text(path)
+    df.mapInArrow(run, "value string").write.option("lineSep", separator).option("maxRecordsPerFile", FILE_ROWS + 1).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def read_files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
