@@ -3,7 +3,8 @@
 A bounded sample of vectors (SAMPLE_ROWS, the smallest hashes of their ids) is joined into a neighbour graph. The graph
 is cut into balanced parts by recursive spectral bisection at the median, refined by swaps that lower the cut. A softmax
 classifier learns the parts, and every row of the table is indexed under its most probable part. A query visits as many
-of its most probable parts as the sample needs for the wanted recall, and all vectors there are reranked exactly.
+of its most probable parts as the sample needs for the wanted recall, and all vectors there are reranked exactly. The sample's
+own nearest count as found, and their k-th score is the bound below which no part reports a vector.
 
 Nearness is the inner product, computed in double precision, component by component, so equal vectors score equally.
 For the graph, vectors of unequal norms get one more component that makes all norms equal.
@@ -145,19 +146,20 @@ class Router:
         return np.argsort(-z, axis=1, kind="stable")
 
 
-def rerank(query_ids, queries, cand_ids, cands, k: int):
-    """(query id, candidate id, score) of each query's k best candidates, ties to the smaller id."""
+def rerank(query_ids, queries, cand_ids, cands, k: int, bounds=None):
+    """(query id, candidate id, score) of each query's k best candidates, ties to the smaller id; none below its bound."""
     import numpy as np
 
     out = []
+    bounds = np.full(len(queries), -np.inf) if bounds is None else bounds
     for at in range(0, len(queries), 256):
-        q, ids = queries[at : at + 256], query_ids[at : at + 256]
+        q, ids, least = queries[at : at + 256], query_ids[at : at + 256], bounds[at : at + 256]
         rough = q @ cands.T
         rough[ids[:, None] == cand_ids[None, :]] = -np.inf
         kk = min(k, len(cands))
         kth = np.partition(rough, len(cands) - kk, axis=1)[:, len(cands) - kk]
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0)))
-        qi, ci = np.nonzero((rough >= (kth - slack)[:, None]) & np.isfinite(rough))
+        qi, ci = np.nonzero((rough >= np.maximum(kth - slack, least - slack)[:, None]) & np.isfinite(rough))
         score = np.zeros(len(qi))
         for d in range(q.shape[1]):
             score += q[qi, d] * cands[ci, d]
@@ -165,7 +167,7 @@ def rerank(query_ids, queries, cand_ids, cands, k: int):
         order = np.lexsort((found, -score, qi))
         qi, found, score = qi[order], found[order], score[order]
         rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-        own = rank < k
+        own = (rank < k) & (score >= least[qi])
         out.append((ids[qi[own]], found[own], score[own]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
@@ -182,8 +184,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, rows = lengths
     base = base.filter(F.size("v") == dim)
-    sample = base.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE_ROWS).select("v").collect()
-    points = np.array([r[0] for r in sample], dtype=np.float64)
+    sample = base.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE_ROWS).select("id", "v").collect()
+    point_ids, points = np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample], dtype=np.float64)
     router = Router(points, rows, k, recall)
 
     def route(batch) -> list:
@@ -193,9 +195,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         asks = np.asarray(batch.column(2).to_pylist(), bool)
         order = router.order(v)
         probes = [row[: router.probes].tolist() if ask else [] for row, ask in zip(order, asks, strict=True)]
-        return [pa.array(order[:, 0], pa.int32()), pa.array(probes, pa.list_(pa.int32()))]
-
-    fields = [T.StructField("home", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType()))]
+        near: list = [[] for _ in probes]
+        bounds = np.full(len(probes), -np.inf)
+        if any(asks):
+            rows, own = np.flatnonzero(asks), np.asarray(batch.column(0))
+            for i in rows:
+                _, found, score = rerank(own[i : i + 1], v[i : i + 1], point_ids, points, k)
+                near[i] = [{"vec_id": int(x), "score": float(y)} for x, y in zip(found, score, strict=True)]
+                bounds[i] = score[-1] if len(score) == k else -np.inf
+        pairs = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+        return [pa.array(order[:, 0], pa.int32()), pa.array(probes, pa.list_(pa.int32())), pa.array(near, pairs), pa.array(bounds, pa.float64())]
+
+    pair = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    fields = [T.StructField("home", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("near", T.ArrayType(pair)), T.StructField("bound", T.DoubleType())]
     routed = common.saved(common.map_batches(base, route, fields), "routed")
     # One row per part: MOST_PARTS at most.
     sizes = {r[0]: (r[1], r[2]) for r in routed.groupBy("home").agg(F.count(F.lit(1)), F.count_if("asks")).collect()}
@@ -207,7 +219,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
 
     cands = routed.select("id", "v", F.col("home").alias("part"))
     cands = cands.withColumn("block", F.pmod(F.xxhash64("id"), block_count).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
-    asks = routed.filter("asks").groupBy("id").agg(F.min(F.struct("v", "probes")).alias("q")).select("id", "q.v", F.explode("q.probes").alias("part"))
+    asks = routed.filter("asks").groupBy("id").agg(F.min(F.struct("v", "probes", "bound", "near")).alias("q")).select("id", "q.*")
+    known = asks.select(F.col("id").alias("query_id"), F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score")
+    asks = asks.select("id", "v", "bound", F.explode("probes").alias("part"))
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1))).withColumn("qblock", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(qblocks)).cast("int"))
 
     def local(key, queries, found):
@@ -215,8 +229,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
 
         if not len(queries) or not len(found):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        out = rerank(queries["id"].to_numpy(), np.stack(queries["v"]), found["id"].to_numpy(), np.stack(found["v"]), k)
+        out = rerank(queries["id"].to_numpy(), np.stack(queries["v"]), found["id"].to_numpy(), np.stack(found["v"]), k, queries["bound"].to_numpy())
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), out, strict=True)))
 
     found = asks.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(local, LOCAL)
-    return ranked(found, k)
+    return ranked(found.unionByName(known).distinct(), k)
