@@ -7,7 +7,9 @@ fragments, it serves twice: to find candidates, and to count overlaps.
 2. Sets of a linked pair differ in D n-grams at most, so of more than D fragments one is equal in both. Each set gives
    a key for each fragment of the order, cut into D + 1 and a few more (D for its size level, and for the next level
    where a partner could be there). Keys are sorted over the cluster by range, so a frequent one is spread over tasks,
-   and each run of a key is tied to its first set. Components of these ties are clusters: no link leaves a cluster.
+   and by size within a key, where a gap too wide for any link ends a run. Each run is tied to its first set; in runs of
+   SHORT sets at most all pairs are tied, and dropped again where parities of hashed n-grams (an odd sketch, whose
+   differing bits never exceed the differing n-grams) rule a link out. Components are clusters: no link leaves one.
 3. The n-grams of clustered sets are counted, all of them, and ordered rarest first. Linked sets share an n-gram among
    the first n - ceil(T * n) + 1 of each (the prefix filter). Ties by these give finer clusters.
 4. A cluster's sets meet in blocks of a bounded size. For a pivot set the partial overlaps with all sets of the block
@@ -41,6 +43,8 @@ WORDS, PERCENT = 4, 85
 #: Ratio of the largest and the smallest size of a level.
 LEVEL = (1 / 0.85) ** 2.5
 FRAGMENTS, BLOCK_SETS, PIVOTS = 8, 2048, 4
+#: Longest run of which all pairs are tied; longs in an odd sketch.
+SHORT, SKETCH = 4, 8
 
 
 def _texts(batch) -> list[bytes]:
@@ -48,7 +52,7 @@ def _texts(batch) -> list[bytes]:
 
 
 def names(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (a 128-bit name of the set)."""
+    """doc_id, n (set size), s1 and s2 (a 128-bit name of the set), sketch (parities of hashed n-grams)."""
     import numpy as np
     import pyarrow as pa
 
@@ -58,9 +62,17 @@ def names(docs: DataFrame, words: int) -> DataFrame:
         sets = shingles.sets(_texts(batch), words)
         one = np.array([np.add.reduce(shingles.mix(s, 1)) if len(s) else 0 for s in sets], np.uint64)
         two = np.array([np.bitwise_xor.reduce(shingles.mix(s, 2)) if len(s) else 0 for s in sets], np.uint64)
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
+        bits = np.zeros((len(sets), SKETCH * 64), np.uint8)
+        for i, s in enumerate(sets):
+            bits[i] = np.bincount((shingles.mix(s, 3) >> np.uint64(64 - (SKETCH * 64).bit_length() + 1)).astype(np.int64), minlength=SKETCH * 64) & 1
+        sketch = np.packbits(bits, axis=1).view(np.int64)
+        return [
+            pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, SKETCH), pa.int32()), pa.array(sketch.ravel())),
+        ]
 
-    return common.map_batches(docs.select("doc_id", "text"), run, [T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")], ["doc_id"])
+    fields = [T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")] + [T.StructField("sketch", T.ArrayType(T.LongType()))]
+    return common.map_batches(docs.select("doc_id", "text"), run, fields, ["doc_id"])
 
 
 def fragment_keys(tokens, percent: int):
@@ -96,7 +108,7 @@ def fragment_keys(tokens, percent: int):
 
 
 def key_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """token, id: the fragment keys of each text."""
+    """token, n, id: the fragment keys of each text, and its set's size."""
     import numpy as np
     import pyarrow as pa
 
@@ -104,22 +116,30 @@ def key_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
         from . import shingles
 
         for batch in batches:
-            keys = [fragment_keys(s, percent) for s in shingles.sets(_texts(batch), words)]
-            ids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            sets = shingles.sets(_texts(batch), words)
+            keys = [fragment_keys(s, percent) for s in sets]
+            counts = [len(k) for k in keys]
+            ids, n = np.repeat(batch.column(0).to_numpy(), counts), np.repeat([len(s) for s in sets], counts)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids.astype(np.int64))], ["token", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(ids.astype(np.int64))], ["token", "n", "id"])
 
     common.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, n long, id long")
 
 
-def ties(tokens: DataFrame) -> DataFrame:
-    """Edges u, v that tie all ids of a token together, from rows token, id. Runs of a token may span tasks."""
+def ties(tokens: DataFrame, percent: int, sketches: DataFrame | None = None) -> DataFrame:
+    """Edges u, v such that every link between ids of a token lies within a component, from rows token, n, id.
+
+    Runs are rows of one token with no gap in size that rules out links. They may span batches and tasks. With sketches
+    (id, n, sketch), all pairs of short runs are tied, but those that their sketches rule out.
+    """
     import numpy as np
     import pyarrow as pa
 
+    longest = SHORT if sketches is not None else 2
+
     def run(batches: Iterator) -> Iterator:
-        last = None  # token and first id of the current run
+        last = None  # token, size and first id of the current run
 
         def rows(kind: int, a, b) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "u", "v"])
@@ -127,25 +147,39 @@ def ties(tokens: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, own = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            token, n, own = (batch.column(i).to_numpy() for i in range(3))
             begins = np.ones(len(token), bool)
-            begins[1:] = token[1:] != token[:-1]
-            first = own[np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))]
+            begins[1:] = (token[1:] != token[:-1]) | (n[:-1] * 100 < percent * n[1:])
+            start = np.flatnonzero(begins)
+            length = np.diff(np.append(start, len(token)))
+            group = np.cumsum(begins) - 1
+            first = own[start]
+            short = length <= longest
+            short[-1] = False
             if last is None:
                 yield rows(1, token[:1], own[:1])
-            elif last[0] == token[0]:
-                first = np.where(token == token[0], last[1], first)
-            differ = first != own
-            yield rows(0, first[differ], own[differ])
-            last = (token[-1], first[-1])
+            elif last[0] == token[0] and last[1] * 100 >= percent * n[0]:
+                first[0], short[0] = last[2], False
+            star = ~short[group] & (first[group] != own)
+            yield rows(0, first[group][star], own[star])
+            for d in range(1, longest):
+                pair = short[group[d:]] & (group[d:] == group[:-d])
+                yield rows(2, own[:-d][pair], own[d:][pair])
+            last = (token[-1], n[-1], first[-1])
         if last is not None:
-            yield rows(1, np.array([last[0]]), np.array([last[1]]))
+            yield rows(1, np.array([last[0]]), np.array([last[2]]))
 
-    found = common.saved(tokens.repartitionByRange("token", "id").sortWithinPartitions("token", "id").mapInArrow(run, "kind int, u long, v long"), "ties")
+    found = common.saved(tokens.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id").mapInArrow(run, "kind int, u long, v long"), "ties")
     # Two rows per task: where a run goes on in the next task, its parts are tied here.
     edge = found.filter("kind = 1").select(F.col("u").alias("token"), F.col("v").alias("id"))
     least = edge.groupBy("token").agg(F.min("id").alias("m"))
-    return found.filter("kind = 0").select("u", "v").unionByName(edge.join(least, "token").select(F.col("m").alias("u"), F.col("id").alias("v")))
+    fixed = found.filter("kind = 0").select("u", "v").unionByName(edge.join(least, "token").select(F.col("m").alias("u"), F.col("id").alias("v")))
+    pairs = found.filter("kind = 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    if sketches is not None:
+        a, b = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in ("u", "v"))
+        differ = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        pairs = pairs.join(a, "u").join(b, "v").filter(differ * (100 + percent) <= (100 - percent) * (F.col("n_u") + F.col("n_v"))).select("u", "v")
+    return fixed.unionByName(pairs)
 
 
 class Block:
@@ -308,9 +342,9 @@ def release(spark) -> None:
     spark._jvm.System.gc()
 
 
-def clusters_of(tokens: DataFrame) -> DataFrame:
-    """id, cluster for the ids that share a token with others (directly or by others)."""
-    found = components(ties(tokens))
+def clusters_of(tokens: DataFrame, percent: int, sketches: DataFrame) -> DataFrame:
+    """id, cluster for the ids that are tied to others (directly or by others)."""
+    found = components(ties(tokens, percent, sketches))
     found = found.unionByName(found.select(F.col("root").alias("id"), "root").distinct())
     out = common.saved(found.withColumnRenamed("root", "cluster"), "clusters")
     release(tokens.sparkSession)
@@ -318,12 +352,12 @@ def clusters_of(tokens: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """token, id: the rarest n-grams of each set, as many as the prefix filter asks for, but those of one set only."""
+    """token, n, id: the rarest n-grams of each set, as many as the prefix filter asks for, but those of one set only."""
     tokens = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     shared = tokens.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("found"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return shared.select("id", F.explode(F.slice("found", F.lit(1), F.greatest(F.lit(0), length - F.col("n") + F.size("found")).cast("int"))).alias("x")).select("x.token", "id")
+    return shared.select("id", F.explode(F.slice("found", F.lit(1), F.greatest(F.lit(0), length - F.col("n") + F.size("found")).cast("int"))).alias("x"), "n").select("x.token", F.col("n").cast("long").alias("n"), "id")
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -335,15 +369,16 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     copies = named.join(classes, ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id").distinct()
     single = docs.filter("doc_id IS NOT NULL").join(common.saved(copies, "copies"), "doc_id", "left_anti")
 
-    rough = clusters_of(key_rows(single, words, percent))
+    sketches = named.select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"])
+    rough = clusters_of(key_rows(single, words, percent), percent, sketches)
     texts = single.join(rough, F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("id", "text")
     sets = common.saved(n_gram_sets(texts, words), "sets")
     release(docs.sparkSession)
-    links = components(cluster_links(sets, clusters_of(prefixes(sets, percent)), percent))
+    links = components(cluster_links(sets, clusters_of(prefixes(sets, percent), percent, sketches), percent))
 
     roots = classes.join(links, classes["rep"] == links["id"], "left")
     roots = common.saved(roots.select("n", "s1", "s2", F.coalesce("root", "rep").alias("component_id")), "roots")
-    whole = found.filter("n > 0").join(roots, ["n", "s1", "s2"], "left")
+    whole = found.filter("n > 0").select("doc_id", "n", "s1", "s2").join(roots, ["n", "s1", "s2"], "left")
     whole = whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return whole.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
