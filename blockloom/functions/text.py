@@ -35,12 +35,12 @@ def collapsed(c: Column) -> Column:
 
 def whole_word(words: list[str]) -> str:
     """Pattern for any of the words as a whole, any case; matches what stands before, too."""
-    return rf"(?i)(?:^|{N})(?:{'|'.join(words)})(?:{N}|$)"
+    return rf"(?iu)(?:^|{N})(?:{'|'.join(words)})(?:{N}|$)"
 
 
 def cut_at_word(words: list[str]) -> str:
     """Pattern with groups: before the first of the words, the word, after it."""
-    return rf"(?is)^((?:.*?{N})??)({'|'.join(words)})((?:{N}.*)?)$"
+    return rf"(?ius)^((?:.*?{N})??)({'|'.join(words)})((?:{N}.*)?)$"
 
 
 def word_total(c: Column) -> Column:
