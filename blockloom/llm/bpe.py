@@ -14,6 +14,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable
 
 import regex
@@ -24,7 +25,9 @@ from pyspark.sql import types as T
 from . import common
 
 #: Words kept in a worker's cache, and the longest word that is kept.
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
+CACHE_WORDS, CACHE_CHARS = 400_000, 40
+#: Bits of a token id, and of a place in a word.
+ID, PLACE = 20, 40
 #: White space as the normalizer's pattern engine defines it.
 SPACE = "\\u0009-\\u000d\\u0020\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -38,6 +41,21 @@ def byte_symbols() -> list[str]:
     return [symbols[b] for b in range(256)]
 
 
+class Words(dict):
+    """Encoded words; a missing one is encoded, and kept if it is short."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.encode(word)
+        if len(word) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = out
+        return out
+
+
 class WordBpe:
     """Encoder for vocabularies that lower-case, drop white space and mark word ends."""
 
@@ -47,7 +65,8 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # A pair of ids as one number -> the rank of its merge and the new id as one number; larger means later.
+        self.merges = {self.vocab[a] << ID | self.vocab[b]: rank << ID | self.vocab[a + b] for rank, (a, b) in enumerate(pairs)}
         self.strings = {i: s for s, i in self.vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings.update({i: s for s, i in self.special.items()})
@@ -56,42 +75,39 @@ class WordBpe:
         contractions = "'s|'t|'re|'ve|'m|'ll|'d"
         self.words = regex.compile(rf"{contractions}|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.ascii_words = re.compile(rf"{contractions}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-
-    def merge(self, word: str) -> list[int]:
-        """Token ids of one word."""
-        chars = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-        chars[-1] += self.suffix
-        ids = [self.vocab[c] for c in chars if c in self.vocab]
+        self.inner = [self.vocab.get(c, -1) for c in self.symbols]
+        self.final = [self.vocab.get(c + self.suffix, -1) for c in self.symbols]
+        self.cache = Words(self.merge)
+
+    def merge(self, word: str) -> bytes:
+        """Token ids of one word, as the bytes of 32-bit integers. Bytes that the vocabulary lacks give no token."""
+        raw = word.encode("utf-8", "surrogatepass")
+        ids = [*map(self.inner.__getitem__, raw)]
+        ids[-1] = self.final[raw[-1]]
+        if -1 in ids:
+            ids = [i for i in ids if i >= 0]
         n = len(ids)
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        alive = [True] * n
-        merges = self.merges
-        queue = [(*found, i) for i in range(n - 1) if (found := merges.get((ids[i], ids[i + 1])))]
-        queue = [(rank, i, new) for rank, new, i in queue]
-        heapq.heapify(queue)
-        while queue:
-            _, i, new = heapq.heappop(queue)
-            j = right[i] if alive[i] else -1
-            if j < 0 or merges.get((ids[i], ids[j]), (0, -1))[1] != new:
-                continue  # stale: a neighbour has merged since
-            ids[i], alive[j], right[i] = new, False, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-                if found := merges.get((new, ids[right[j]])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
-            if left[i] >= 0 and (found := merges.get((ids[left[i]], new))):
-                heapq.heappush(queue, (found[0], left[i], found[1]))
-        return [ids[i] for i in range(n) if alive[i]]
-
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.merge(word))
-        out = ids, " ".join(map(self.strings.__getitem__, ids))
-        if len(word) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = out
-        return out
+        if n > 1:
+            ids.append(-1)  # the end: no pair has it
+            left, right = list(range(-1, n)), list(range(1, n + 1))
+            find = self.merges.get
+            queue = [found << PLACE | i for i in range(n - 1) if (found := find(ids[i] << ID | ids[i + 1])) is not None]
+            heapq.heapify(queue)
+            while queue:
+                entry = heapq.heappop(queue)
+                i, found = entry & ((1 << PLACE) - 1), entry >> PLACE
+                if ids[i] < 0 or find(ids[i] << ID | ids[right[i]]) != found:
+                    continue  # stale: a neighbour has merged since
+                j = right[i]
+                ids[i] = new = found & ((1 << ID) - 1)
+                ids[j], right[i] = -1, (k := right[j])
+                left[k] = i
+                if (later := find(new << ID | ids[k])) is not None:
+                    heapq.heappush(queue, later << PLACE | i)
+                if (h := left[i]) >= 0 and (later := find(ids[h] << ID | new)) is not None:
+                    heapq.heappush(queue, later << PLACE | h)
+            ids = [i for i in ids if i >= 0]
+        return array("i", ids).tobytes()
 
     def split(self, text: str) -> list[str]:
         if text.isascii():
@@ -101,25 +117,20 @@ class WordBpe:
         # Character by character: no rule for a sigma at a word's end.
         return self.words.findall(text.replace("Σ", "σ").lower())
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids of a text, and the decoded string."""
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Ids of a text as the bytes of 32-bit integers, and the decoded string."""
         parts = self.split_special.split(text) if self.split_special and "<|" in text else [text]
-        ids: list[int] = []
-        strings: list[str] = []
-        known = self.cache.get
+        ids: list[bytes] = []
         for part in parts:
             if part in self.special:
-                ids.append(self.special[part])
-                strings.append(part)
-                continue
-            for w in self.split(part):
-                got = known(w) or self.word(w)
-                ids += got[0]
-                strings.append(got[1])
-        return ids, " ".join(x for x in strings if x)
+                ids.append(array("i", [self.special[part]]).tobytes())
+            else:
+                ids += map(self.cache.__getitem__, self.split(part))
+        raw = b"".join(ids)
+        return raw, self.decode(memoryview(raw).cast("i"))
 
     def decode(self, ids: Iterable[int]) -> str:
-        return " ".join(self.strings[i] for i in ids if i in self.strings)
+        return " ".join(map(self.strings.__getitem__, ids))
 
 
 def encode(df: DataFrame, vocab_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -140,10 +151,10 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", keep: list[str] |
         offsets, flat, decoded = [0], [], []
         for t in common.text_of(batch, text):
             ids, string = state[0].encode(t)
-            flat.append(np.array(ids, dtype=np.int32))
-            offsets.append(offsets[-1] + len(ids))
+            flat.append(ids)
+            offsets.append(offsets[-1] + len(ids) // 4)
             decoded.append(string)
-        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+        values = pa.array(np.frombuffer(b"".join(flat), np.int32))
         return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(decoded, pa.string())]
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that are hashed together; a longer text is taken on its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _rng = np.random.default_rng(20240229)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
