@@ -116,7 +116,9 @@ def settle(rows: DataFrame) -> DataFrame:
             open_ = np.bincount(group[new_c], minlength=group[-1] + 1) > 1
             open_[[0, -1]] = True
             first = new_c & (open_[group] | (n < 0))
-            keep = first | ~new_c
+            # An id's repeated rows are one document: what stands where the first stands is no repeat.
+            head = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))
+            keep = first | (~new_c & ((doc != doc[head]) | (s != s[head])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.where(first, 1, 0)[keep].astype(np.int32)), *(pa.array(x[keep]) for x in (h, doc, s, np.abs(n)))], ["kind", "h", "doc", "s", "n"]
             )
@@ -273,6 +275,8 @@ def compare(rows: DataFrame) -> DataFrame:
                 if key != now and size >= BLOCK_BYTES:
                     yield block(held)
                     held, size = [], 0
+                if key == now and held and held[-1][:2] == (doc, s):
+                    continue  # a repeated row of this document
                 now, raw = key, raw.as_py()
                 held.append((doc, s, n, parts, raw))
                 size += len(raw)

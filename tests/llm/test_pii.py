@@ -50,7 +50,8 @@ def test_permutations_are_one_to_one(spark):
     pairs = spark.range(700).select(pii.permute_pair("k", "p", pii.F.col("id") % 7, pii.F.floor(pii.F.col("id") / 7), 7, 100).alias("p"))
     assert len({(r.p.u, r.p.v) for r in pairs.collect()}) == 700
     days = [(datetime.date(1900, 1, 1) + datetime.timedelta(i)).isoformat() for i in range(0, pii.DAYS, 37)]
-    got = [changed(spark, days)[i].text for i in range(len(days))]
+    rows = changed(spark, days)
+    got = [rows[i].text for i in range(len(days))]
     assert len(set(got)) == len(days) and all(datetime.date.fromisoformat(d) for d in got)
 
 
