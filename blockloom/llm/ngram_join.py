@@ -27,6 +27,7 @@ are components of their own with a null id; an empty table gives an empty table;
 
 from __future__ import annotations
 
+import functools
 import gc
 import math
 from collections.abc import Iterator
@@ -40,8 +41,8 @@ from .components import components
 
 #: Words in an n-gram and the threshold in percent.
 WORDS, PERCENT = 4, 85
-#: Ratio of the largest and the smallest size of a level.
-LEVEL = (1 / 0.85) ** 2.5
+#: Ratio of the largest and the smallest size of a level, if the threshold allows it.
+LEVEL = 1.3
 FRAGMENTS, BLOCK_SETS, PIVOTS = 8, 2048, 4
 #: Longest run of which all pairs are tied; longs in an odd sketch.
 SHORT, SKETCH = 4, 8
@@ -75,6 +76,32 @@ def names(docs: DataFrame, words: int) -> DataFrame:
     return common.map_batches(docs.select("doc_id", "text"), run, fields, ["doc_id"])
 
 
+def level_ratio(percent: int) -> float:
+    """LEVEL, but never less than the largest ratio of the sizes of a linked pair."""
+    return max(LEVEL, 100 / percent)
+
+
+@functools.lru_cache(4096)
+def cuts_of(at: int, percent: int) -> tuple[int, int]:
+    """Fragments at size level at, and how many of them may be empty without keys of their own.
+
+    That is a little more than the smallest sets of the level leave empty by chance (two standard deviations): keys of
+    empty fragments are equal in all sets that have them, and would tie most of the table where fragments are small.
+    """
+    ratio = level_ratio(percent)
+    least = ratio**at * percent / 100
+    differ = int(2 * (int(ratio ** (at + 1)) + 1) * (100 - percent) / (100 + percent) + 1e-9)
+    spare = 1 + differ // 30
+    for _ in range(20):
+        empty = math.exp(-least / (differ + 1 + spare))
+        mean = (differ + 1 + spare) * empty
+        want = int(1 + mean + 2 * math.sqrt(mean * (1 - empty)))
+        if want <= spare:
+            break
+        spare = want
+    return differ + 1 + spare, spare
+
+
 def fragment_keys(tokens, percent: int):
     """Keys of a sorted set: two sets that reach the threshold have one in common.
 
@@ -89,14 +116,13 @@ def fragment_keys(tokens, percent: int):
     n = len(tokens)
     if not n:
         return np.zeros(0, np.uint64)
-    level = int(math.log(n) / math.log(LEVEL) + 1e-9)
+    ratio = level_ratio(percent)
+    level = int(math.log(n) / math.log(ratio) + 1e-9)
     mixed, top, keys = mix(tokens, 1), tokens >> np.uint64(32), []
     for at in (level, level + 1):
-        if at > level and n * 100 < (LEVEL**at - 1) * percent:
+        if at > level and n * 100 < (ratio**at - 1) * percent:
             continue
-        differ = int(2 * (int(LEVEL ** (at + 1)) + 1) * (100 - percent) / (100 + percent) + 1e-9)
-        spare = 1 + differ // 30
-        pieces = differ + 1 + spare
+        pieces, spare = cuts_of(at, percent)
         part = (top * np.uint64(pieces)) >> np.uint64(32)
         starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         filled, sums = part[starts], np.add.reduceat(mixed, starts)

@@ -16,6 +16,8 @@ from blockloom.llm import bpe, common, mixing, ngram_join, pii, quality
 from blockloom.llm.queries import vocabulary
 
 ASIDE = "__aside_"
+#: Words in a shingle and the least similarity, in percent, of near copies; op8's defaults bind that query alone.
+COPY_WORDS, COPY_PERCENT = 5, 80
 
 
 def guarded(docs: DataFrame, own: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -33,7 +35,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked documents: the one with the smallest id. Null ids stay as they are."""
-    kept = ngram_join.link(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = ngram_join.link(docs, COPY_WORDS, COPY_PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     kept = common.saved(kept, "kept")
     named = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL"))

@@ -84,3 +84,26 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     assert got == {i: r for i, r in label.items() if i != r}
     assert Counter(got.values())[0] == 200
+
+
+def test_linked_sets_share_a_fragment_key():
+    rng = np.random.default_rng(5)
+    for percent in (70, 80, 85):
+        for _ in range(400):
+            n = int(np.exp(rng.uniform(0, 6.5)))
+            base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            n = len(base)
+            gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            most = (n - gone) * 100 // percent - n  # new ones that still leave the pair linked
+            other = np.union1d(rng.permutation(base)[gone:], rng.integers(0, 1 << 63, max(0, most), dtype=np.uint64) * np.uint64(2))
+            common = len(np.intersect1d(base, other))
+            if 100 * common >= percent * (n + len(other) - common):
+                assert len(np.intersect1d(ngram_join.fragment_keys(base, percent), ngram_join.fragment_keys(other, percent)))
+
+
+def test_keys_of_empty_fragments_are_rare():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(50, 900)), dtype=np.uint64) * np.uint64(2)) for _ in range(300)]
+    for percent in (80, 85):
+        keys, counts = np.unique(np.concatenate([ngram_join.fragment_keys(s, percent) for s in sets]), return_counts=True)
+        assert (counts > 1).sum() < 0.01 * len(keys)  # unlike sets

@@ -1,9 +1,12 @@
+import random
+
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 from blockloom.llm import mixing, quality  # noqa: E402
 
 from test_ngram_join import plain  # noqa: E402
+from test_ngram_join import grams  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +56,33 @@ def check_mix(spark, docs, out, folder):
     want = {r.doc_id: r.copies for r in mixing.mix(docs.drop("size")).collect()}
     got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert got == {i: n for i, n in want.items() if n}
+
+
+def near_pairs(prose_text):
+    """Texts and edits of them (a tail, scattered words) at five-word similarities around 0.8."""
+    rng, rows = random.Random(3), []
+    for i in range(60):
+        base = prose_text(40 + 4 * i, 7000 + i).split()
+        if i % 2:
+            other = base + prose_text(round(len(base) * (0.10 + 0.01 * (i % 20))), 8000 + i).split()
+        else:
+            other = list(base)
+            for k in rng.sample(range(len(base)), 1 + len(base) // (35 + i % 20)):
+                other[k] = f"edit{k}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    at = prose_text(100, 9000).split()  # 80 shingles of 100: exactly the threshold
+    return [*rows, (500, " ".join(at[:84])), (501, " ".join([*at, "a", "b", "c", "d"]))]
+
+
+def test_near_copies_take_five_words_and_80_percent(spark, prose_text):
+    rows = near_pairs(prose_text)
+    sets = {i: grams(t, 5) for i, t in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    links = [p for p, x in alike.items() if x >= 0.8]
+    assert alike[500, 501] == 0.8 and sum(x < 0.85 for x in map(alike.get, links)) > 5 and sum(0.7 < x < 0.8 for x in alike.values()) > 5
+    label = {i: i for i in sets}
+    for _ in rows:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    out = pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, c in label.items() if i == c)
