@@ -48,6 +48,8 @@ PATTERNS = {
     "card": r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w)",
 }
 ANY = "|".join(PATTERNS.values())
+#: What a match of any kind has: an e-mail's sign, a secret's mark or prefix, a digit in all others.
+NEEDED = "[0-9@=:]|AKIA"
 #: Day and month of dates that can only be read day first, without 29 February.
 DAY_FIRST = [f"{d:02d}/{m:02d}" for m in range(1, 13) for d in range(13, calendar.monthrange(2001, m)[1] + 1)]
 LEAP_YEARS = [y for y in range(1900, 2100) if calendar.isleap(y)]
@@ -230,8 +232,8 @@ def pseudonymize(docs: DataFrame, key: str = SAMPLE_KEY, text: str = "text") ->
         return let(new, lambda n: F.struct(F.coalesce(n, hit).alias("new"), F.when(n.isNotNull(), kind).alias("kind")))
 
     col = F.col(text)
-    # Most texts have no digit and no such sign; only the others are searched with the long pattern.
-    hits = F.when(col.rlike("[0-9@=]"), F.regexp_extract_all(col, F.lit(ANY), F.lit(0)))
+    # Each pattern needs one of these; only texts that have one are searched with the long pattern.
+    hits = F.when(col.rlike(NEEDED), F.regexp_extract_all(col, F.lit(ANY), F.lit(0)))
     found = docs.withColumn("__hits", F.when(F.size(hits) > 0, F.transform(hits, mapped)))
     cut = F.transform(F.split(col, ANY, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__hits"), i)["new"], F.lit(""))))
     kinds = F.array_compact(F.transform("__hits", lambda h: h["kind"]))
