@@ -37,15 +37,26 @@ SAMPLE_KEY = "blockloom sample key"
 
 #: The patterns by kind, in the order in which they are tried at a place.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+ACCOUNTS = "|".join(rf"(?:{c.replace(' ', '|')})\d\d(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + "(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items())
+#: What doesn't belong to the digits before it: dates, addresses, social security and phone numbers.
+OTHER = r"(?:19|20)\d\d-\d\d-\d\d(?![\w\-])|\d\d/\d\d/\d|\d{1,3}\.\d|\d{3}-\d\d-\d{4}(?![\w\-])|\d{3}-\d{3}-\d{4}(?![\w\-])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "secret": r"\bAKIA[A-Z0-9]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,256}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    # The length of the country; others as far as the groups go.
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d\d)(?:(?:{ACCOUNTS})|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)",
     "date": r"(?<![\w.\-/])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\w\-/]|\.\d)",
     "ssn": r"(?<![\w\-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w\-])",
     "phone": r"(?<![\w+])(?:\+1[ .\-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .\-])[2-9]\d\d[ .\-]\d{4}(?!\d)|(?<![\w+])\+1[2-9]\d\d[2-9]\d{6}(?!\d)|(?<![\w+])\+(?!1[ (.\-])[1-9]\d{0,2}[ .\-](?:\d{2,4}[ .\-]?){1,4}\d{2,4}(?!\d)",
-    "card": r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w)",
+    # Groups of digits up to a date or another number with a form of its own; cards are looked for among them.
+    "card": rf"(?<![\w.])\d(?:(?:[ \-](?!{OTHER}))?\d){{12,199}}(?!\w)",
 }
 ANY = "|".join(PATTERNS.values())
 #: What a match of any kind has: an e-mail's sign, a secret's mark or prefix, a digit in all others.
@@ -126,7 +137,38 @@ def card(key: str, hit: Column) -> Column:
     d = digits_of(hit)
     body = F.concat(F.substring(d, 1, 1), permute_text(key, "card", F.substring(d, F.lit(2), F.length(d) - 2)))
     new = let(body, lambda b: F.concat(b, ((10 - luhn(b, 0)) % 10).cast("string")))
-    return F.when(luhn(d, 1) == 0, let(new, lambda n: put_back(hit, n, "0-9")))
+    return F.when(F.length(d).between(13, 19) & (luhn(d, 1) == 0), let(new, lambda n: put_back(hit, n, "0-9")))
+
+
+def values_within(make, hit: Column, group: str, starts: int | None = None) -> Column:
+    """new: hit with the values of its groups replaced (null if none is valid), and n, their number.
+
+    From each group that isn't in a value yet (the first starts of them), the longest run of groups that make takes is a value.
+    """
+    most = 18  # groups of a value beside its first: one for each further digit at most
+
+    def walk(groups: Column) -> Column:
+        def turn(state: Column, i: Column) -> Column:
+            def tried(found: Column, j: Column) -> Column:
+                raw = F.array_join(F.slice(groups, i + 1, j - i + 1), "")
+                value = F.regexp_replace(raw, r"[ \-]$", "")
+                here = lambda v: F.struct(F.concat(make(v), F.substring(raw, F.length(v) + 1, F.length(raw))).alias("new"), (j + 1).alias("next"))
+                return F.when(found["new"].isNotNull(), found).otherwise(let(value, here))
+
+            none = F.struct(F.lit(None).cast("string").alias("new"), F.lit(0).alias("next"))
+            ends = F.sequence(F.least(F.size(groups) - 1, i + most), i, F.lit(-1))
+            put = lambda new, after, n: F.struct(F.concat(state["text"], new).alias("text"), after.alias("after"), n.alias("n"))
+            step = lambda b: F.when(b["new"].isNotNull(), put(b["new"], b["next"], state["n"] + 1)).otherwise(put(F.get(groups, i), i + 1, state["n"]))
+            found = F.aggregate(ends, none, tried)
+            if starts is not None:
+                found = F.when(i < starts, found).otherwise(none)
+            return F.when(i < state["after"], state).otherwise(let(found, step))
+
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("after"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), start, turn)
+
+    out = let(F.regexp_extract_all(hit, F.lit(group), F.lit(0)), walk)
+    return let(out, lambda x: F.struct(F.when(x["n"] > 0, x["text"]).alias("new"), x["n"].alias("n")))
 
 
 def mod97(text: Column) -> Column:
@@ -141,7 +183,7 @@ def iban(key: str, hit: Column) -> Column:
     country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
     check = lambda n: F.format_string("%02d", 98 - mod97(F.concat(n, country, F.lit("00"))))
     new = let(permute_text(key, "iban", body), lambda n: F.concat(country, check(n), n))
-    valid = mod97(F.concat(body, F.substring(plain, 1, 4))) == 1
+    valid = (F.length(plain) >= 12) & (mod97(F.concat(body, F.substring(plain, 1, 4))) == 1)
     return F.when(valid, let(new, lambda n: put_back(hit, n, "0-9A-Z")))
 
 
@@ -214,13 +256,23 @@ SHAPES = {
 }
 
 
+#: Kinds whose hits may have more than the value: the groups of a hit, and how many of them can begin a value.
+WITHIN = {"iban": (r"[A-Z0-9]+ ?", 1), "card": (r"\d+[ \-]?", None)}
+
+
 def pseudonym(key: str, hit: Column) -> tuple[Column, Column]:
-    """The kind of a hit, and its pseudonym, or null where it isn't valid."""
+    """The kind of a hit, and its pseudonym, or null where it isn't valid, with the number of values (new, n)."""
+
+    def made(name: str, make) -> Column:
+        if name in WITHIN:
+            return values_within(lambda v: make(key, v), hit, *WITHIN[name])
+        return F.struct(make(key, hit).alias("new"), F.lit(1).alias("n"))
+
     kind, new = None, None
     for name, make in MAKERS.items():
         here = hit.rlike(SHAPES[name]) if SHAPES[name] else F.lit(True)
         kind = F.when(here, name) if kind is None else kind.when(here, name)
-        new = F.when(here, make(key, hit)) if new is None else new.when(here, make(key, hit))
+        new = F.when(here, made(name, make)) if new is None else new.when(here, made(name, make))
     return kind, new
 
 
@@ -229,7 +281,7 @@ def pseudonymize(docs: DataFrame, key: str = SAMPLE_KEY, text: str = "text") ->
 
     def mapped(hit: Column) -> Column:
         kind, new = pseudonym(key, hit)
-        return let(new, lambda n: F.struct(F.coalesce(n, hit).alias("new"), F.when(n.isNotNull(), kind).alias("kind")))
+        return let(new, lambda x: F.struct(F.coalesce(x["new"], hit).alias("new"), F.when(x["new"].isNotNull(), kind).alias("kind"), x["n"].alias("n")))
 
     col = F.col(text)
     # Each pattern needs one of these; only texts that have one are searched with the long pattern.
@@ -237,8 +289,9 @@ def pseudonymize(docs: DataFrame, key: str = SAMPLE_KEY, text: str = "text") ->
     found = docs.withColumn("__hits", F.when(F.size(hits) > 0, F.transform(hits, mapped)))
     cut = F.transform(F.split(col, ANY, -1), lambda piece, i: F.concat(piece, F.coalesce(F.get(F.col("__hits"), i)["new"], F.lit(""))))
     kinds = F.array_compact(F.transform("__hits", lambda h: h["kind"]))
+    values = F.aggregate("__hits", F.lit(0), lambda n, h: n + F.when(h["kind"].isNotNull(), h["n"]).otherwise(0))
     return (
-        found.withColumn("n_values", F.coalesce(F.size(kinds), F.lit(0)).cast("long"))
+        found.withColumn("n_values", F.coalesce(values, F.lit(0)).cast("long"))
         .withColumn("kinds", F.coalesce(F.array_join(F.array_sort(F.array_distinct(kinds)), ","), F.lit("")))
         .withColumn(text, F.when(F.col("__hits").isNull(), col).otherwise(F.array_join(cut, "")))
         .drop("__hits")

@@ -80,3 +80,21 @@ def test_secrets_without_digits(spark):
     assert [rows[i].n_values for i in range(3)] == [1, 1, 0] and rows[2].text == texts[2]
     assert re.fullmatch("password: [a-z]{15}", rows[0].text) and "swordfish" not in rows[0].text
     assert re.fullmatch("key AKIA[A-Z]{16} here", rows[1].text) and "ABCDEFGH" not in rows[1].text
+
+
+def test_values_beside_other_groups(spark):
+    one, es, de = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "DE89370400440532013000"
+    texts = [
+        f"card {one} 12/26", "card 4111111111111111 123", f"no 1234 {one} end", f"{one} 378282246310005", "4111111111111111 123 4000000000000002",
+        f"iban {es} 2024", "iban ES9121000418450200051332 EUR", f"{es} {de}", f"{one} 2024-01-02", "4111111111111 123-45-6789", f"{es} {one}",
+    ]
+    rows = changed(spark, texts)
+    t = [rows[i].text for i in range(len(texts))]
+    assert [rows[i].n_values for i in range(len(texts))] == [1, 1, 1, 2, 2, 1, 1, 2, 2, 1, 2]
+    assert re.fullmatch(r"card 4\d{3} \d{4} \d{4} \d{4} 12/26", t[0]) and luhn(t[0][5:24]) and one not in t[0]
+    same = t[0][5:24]
+    assert t[1] == f"card {same.replace(' ', '')} 123" and t[2] == f"no 1234 {same} end" and t[3].startswith(f"{same} 3") and "378282246310005" not in t[3]
+    assert t[4].startswith(f"{same.replace(' ', '')} 123 4") and "4000000000000002" not in t[4]
+    assert re.fullmatch(r"iban ES\d\d( \d{4}){5} 2024", t[5]) and es not in t[5] and t[6] == f"iban {t[5][5:-5].replace(' ', '')} EUR"
+    assert t[7].startswith(t[5][5:-5]) and de not in t[7] and t[8].startswith(same) and "2024-01-02" not in t[8]
+    assert "123-45-6789" not in t[9] and t[10] == f"{t[5][5:-5]} {same}"
