@@ -380,7 +380,8 @@ def clusters_of(tokens: DataFrame, percent: int, sketches: DataFrame) -> DataFra
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """token, n, id: the rarest n-grams of each set, as many as the prefix filter asks for, but those of one set only."""
     tokens = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    counts = common.saved(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
+    release(sets.sparkSession)
     shared = tokens.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("found"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     return shared.select("id", F.explode(F.slice("found", F.lit(1), F.greatest(F.lit(0), length - F.col("n") + F.size("found")).cast("int"))).alias("x"), "n").select("x.token", F.col("n").cast("long").alias("n"), "id")
