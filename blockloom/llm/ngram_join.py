@@ -183,6 +183,7 @@ def ties(tokens: DataFrame, percent: int, sketches: DataFrame | None = None) ->
             short = length <= longest
             short[-1] = False
             if last is None:
+                short[0] = False  # it may go on from the task before, with which only its first row is tied
                 yield rows(1, token[:1], own[:1])
             elif last[0] == token[0] and last[1] * 100 >= percent * n[0]:
                 first[0], short[0] = last[2], False

@@ -107,3 +107,20 @@ def test_keys_of_empty_fragments_are_rare():
     for percent in (80, 85):
         keys, counts = np.unique(np.concatenate([ngram_join.fragment_keys(s, percent) for s in sets]), return_counts=True)
         assert (counts > 1).sum() < 0.01 * len(keys)  # unlike sets
+
+
+def test_ties_over_a_range_boundary(spark):
+    far = lambda i: [int(x) for x in np.random.default_rng(i).integers(-(1 << 62), 1 << 62, ngram_join.SKETCH)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("false", "2"), strict=True):
+            spark.conf.set(k, v)
+        for last in range(3, 8):  # ids 1 and last are alike, those between are not; another token comes after
+            rows = [(1, 10, i) for i in range(1, last + 1)] + [(2, 10, 50)]
+            sketches = [(i, 10, far(1 if i == last else i)) for _, _, i in rows]
+            edges = ngram_join.ties(spark.createDataFrame(rows, "token long, n long, id long"), 85, spark.createDataFrame(sketches, "id long, n long, sketch array<long>"))
+            found = {r.id: r.root for r in components(edges).collect()}
+            assert found.get(last) == 1, last
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
