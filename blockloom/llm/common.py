@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,8 +14,8 @@ from pyspark.sql import types as T
 
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in one Arrow batch: bounds a Python worker's memory where texts are long.
-ARROW_ROWS = 512
+#: Rows in one Arrow batch, and bytes of it that an operator works on at once: they bound a worker's memory.
+ARROW_ROWS, PIECE_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="blockloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver ends."""
+    """A new path in the shared folder; it is deleted when the driver ends, if nothing has deleted it before."""
     path = f"{shared_dir(spark)}/blockloom-{what}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
     return path
@@ -51,7 +54,21 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df.scratch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; otherwise it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -62,6 +79,16 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def pieces(batches: Iterator) -> Iterator:
+    """The rows of the batches, PIECE_BYTES at a time (a larger row on its own)."""
+    for batch in batches:
+        if batch.num_rows < 2 or batch.nbytes <= PIECE_BYTES:
+            yield batch
+            continue
+        half = batch.num_rows // 2
+        yield from pieces([batch.slice(0, half), batch.slice(half)])
+
+
 def map_batches(df: DataFrame, fn: Callable, fields: list[T.StructField], keep: list[str] | None = None, rows: int = ARROW_ROWS) -> DataFrame:
     """Add columns that fn(batch) -> list of Arrow arrays computes; input columns of the same names are replaced."""
     import pyarrow as pa
@@ -72,7 +99,7 @@ def map_batches(df: DataFrame, fn: Callable, fields: list[T.StructField], keep:
     small_batches(df.sparkSession, rows)
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
+        for batch in pieces(batches):
             added = fn(batch)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f)) for f in names[: len(kept)]] + added, names)
 

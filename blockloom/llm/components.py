@@ -7,30 +7,40 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Tasks that the neighbours of one node are dealt to where they meet the node's smallest neighbour.
+SALT = 8
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) joined with least (u, m); a node of very many edges is spread over SALT tasks."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)))
+    return salted.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>"))), ["u", "salt"]).drop("salt")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """id, root (the smallest id that it is connected with) for every id in edges (u, v) but the roots themselves.
 
     Each round sends every node's neighbours to the smallest one it knows: two aggregations with map-side minima and two
-    joins, whose skewed keys the optimizer splits. The number of rounds grows with the logarithm of the longest path.
+    joins, dealt by node and a salt. Rounds go on until nothing changes; their number grows with the logarithm of the
+    longest path.
     """
     edges = common.saved(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(edges)
-    for _ in range(rounds):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _with_least(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = common.saved(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        edges = common.saved(small.distinct(), "small")
-        after = _state(edges)
+        small = _with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        after_edges = common.saved(small.distinct(), "small")
+        after = _state(after_edges)
+        common.drop(large, edges)
+        edges = after_edges
         if after == before:
             break
         before = after

@@ -1,38 +1,40 @@
 """Similarity join on n-gram sets by vertical partitioning, and the components of its links.
 
-The global order of n-grams is that of their hashes at first, and rarest first where counts are needed. Cut into
-fragments, it serves twice: to find candidates, and to count overlaps.
+All n-grams have one global order: those that are rare first, by hash, then those that many texts have (HOT). Fragments
+of the order serve twice: to find candidates, and to count overlaps.
 
 1. Equal sets are one class, represented by its smallest id.
 2. Sets of a linked pair differ in D n-grams at most, so of more than D fragments one is equal in both. Each set gives
-   a key for each fragment of the order, cut into D + 1 and a few more (D for its size level, and for the next level
-   where a partner could be there). Keys are sorted over the cluster by range, so a frequent one is spread over tasks,
-   and by size within a key, where a gap too wide for any link ends a run. Each run is tied to its first set; in runs of
-   SHORT sets at most all pairs are tied, and dropped again where parities of hashed n-grams (an odd sketch, whose
-   differing bits never exceed the differing n-grams) rule a link out. Components are clusters: no link leaves one.
-3. The n-grams of clustered sets are counted, all of them, and ordered rarest first. Linked sets share an n-gram among
-   the first n - ceil(T * n) + 1 of each (the prefix filter). Ties by these give finer clusters.
-4. A cluster's sets meet in blocks of a bounded size. For a pivot set the partial overlaps with all sets of the block
-   are counted fragment by fragment and summed per pair, and sets that can no longer reach the threshold are left out
-   of the next fragment. Pivots are taken until all pairs are compared or known to be connected, so a group of near
-   copies costs one pivot, not all pairs.
-5. Clusters of several blocks share PIVOTS pivots in each block, which connects their blocks; what is then outside the
-   cluster's largest component is compared with every block. So no pair is left out, and none is emitted but links that
-   connect something.
+   a key for each fragment of the rare part of the order, cut into D + 1 and a few more (D for its size level, and for the
+   next level where a partner could be there). A set with too few rare n-grams for that gives a mark of its level, too.
+   Keys are dealt over the cluster by their hash. Within a key rows are sorted by size, and a gap too wide for any link
+   ends a run.
+3. Sets of a run are tied if a link between them is possible. Parities of hashed n-grams (an odd sketch, whose differing
+   bits never exceed the differing n-grams) rule most others out; pivots save comparing all pairs of long runs. Sets with
+   a mark of one level, and runs of more than RUN_ROWS sets, are tied without a sketch, by a star. Components of the
+   ties are clusters: no link leaves one.
+4. Overlaps are counted exactly. Each round takes some sets of every unfinished cluster as pivots. N-grams of sets and
+   pivots are dealt by (cluster, block, fragment of the order); each fragment counts its partial overlaps of pivots and
+   sets alone, and an aggregation sums them per pair. Pairs that reach the threshold join components. What is outside a
+   cluster's largest component gives the next round's pivots, more each time, until all pairs are compared or connected:
+   a group of near copies costs a few pivots, not all pairs.
+
+Blocks and chunks are bounded by the n-grams that they hold, not by sets, so memory doesn't depend on text lengths.
 
 Cases: null and empty texts, and texts of white space, have no n-grams and are linked with nothing; texts with fewer
-words are one n-gram; repeated rows and equal sets are one class; ties don't matter to components; rows with a null id
-are components of their own with a null id; an empty table gives an empty table; other columns are ignored.
+words are one n-gram; very long texts are read whole (a text's n-grams are the unit that must fit a worker); repeated rows
+and equal sets are one class; an id with different texts is one member, for which its smallest text is compared with
+unequal ones; ties don't matter to components; rows with a null id are components of their own with a null id; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,37 +45,81 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Ratio of the largest and the smallest size of a level, if the threshold allows it.
 LEVEL = 1.3
-FRAGMENTS, BLOCK_SETS, PIVOTS = 8, 2048, 4
-#: Longest run of which all pairs are tied; longs in an odd sketch.
-SHORT, SKETCH = 4, 8
+#: Fragments in which overlaps are counted; n-grams of a block, and of a chunk that is counted at once.
+FRAGMENTS, BLOCK_GRAMS, CHUNK_GRAMS = 8, 1 << 22, 1 << 18
+#: Places where an n-gram of a set meets one of a pivot that are counted at once.
+MEETINGS = 1 << 21
+#: Pivots of a cluster in the first round, growth, and most in a round (there are as many rounds as needed).
+PIVOTS, GROWTH, MOST_PIVOTS = 16, 16, 2048
+#: Longest run whose pairs are tied as they are found, and longest one that is compared in one piece.
+SHORT, RUN_ROWS = 4, 4096
+#: An n-gram is hot if HOT texts of a bucket (BUCKET n-grams in a row of one task) have it; the hottest MOST_HOT count.
+HOT, BUCKET, MOST_HOT = 8, 1 << 21, 200_000
+#: Bits of the smallest odd sketch; larger sets have larger ones.
+SKETCH_BITS = 512
 
 
 def _texts(batch) -> list[bytes]:
     return [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(batch.schema.get_field_index("text"))]
 
 
+def sketch(tokens):
+    """Parities of the set's hashes by their last bits, as bytes; about one bit for each n-gram."""
+    import numpy as np
+
+    from .shingles import mix
+
+    bits = max(SKETCH_BITS, 1 << max(0, len(tokens) - 1).bit_length())
+    counts = np.bincount((mix(tokens, 3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketch_bytes, size: int):
+    """A sketch as if it had been made with size bytes: the parts' parities."""
+    import numpy as np
+
+    return np.bitwise_xor.reduce(np.frombuffer(sketch_bytes, np.uint8).reshape(-1, size), axis=0)
+
+
 def names(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), s1 and s2 (a 128-bit name of the set), sketch (parities of hashed n-grams)."""
+    """kind 0: doc_id, n (set size), s1 and s2 (a 128-bit name of the set), sketch; kind 1: a hot n-gram s1, n times."""
     import numpy as np
     import pyarrow as pa
 
-    def run(batch) -> list:
+    columns = ["kind", "doc_id", "n", "s1", "s2", "sketch"]
+
+    def run(batches: Iterator) -> Iterator:
         from . import shingles
 
-        sets = shingles.sets(_texts(batch), words)
-        one = np.array([np.add.reduce(shingles.mix(s, 1)) if len(s) else 0 for s in sets], np.uint64)
-        two = np.array([np.bitwise_xor.reduce(shingles.mix(s, 2)) if len(s) else 0 for s in sets], np.uint64)
-        bits = np.zeros((len(sets), SKETCH * 64), np.uint8)
-        for i, s in enumerate(sets):
-            bits[i] = np.bincount((shingles.mix(s, 3) >> np.uint64(64 - (SKETCH * 64).bit_length() + 1)).astype(np.int64), minlength=SKETCH * 64) & 1
-        sketch = np.packbits(bits, axis=1).view(np.int64)
-        return [
-            pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-            pa.ListArray.from_arrays(pa.array(np.arange(0, sketch.size + 1, SKETCH), pa.int32()), pa.array(sketch.ravel())),
-        ]
+        bucket, held = [], 0
 
-    fields = [T.StructField(x, T.LongType()) for x in ("n", "s1", "s2")] + [T.StructField("sketch", T.ArrayType(T.LongType()))]
-    return common.map_batches(docs.select("doc_id", "text"), run, fields, ["doc_id"])
+        def hot() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(bucket), return_counts=True)
+            tokens, counts = tokens[counts >= HOT].view(np.int64), counts[counts >= HOT]
+            blank = pa.nulls(len(tokens))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.ones(len(tokens), np.int32)), blank.cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array(tokens), blank.cast(pa.int64()), blank.cast(pa.binary())], columns
+            )
+
+        for batch in common.pieces(batches):
+            sets = shingles.sets(_texts(batch), words)
+            one = np.array([np.add.reduce(shingles.mix(s, 1)) if len(s) else 0 for s in sets], np.uint64)
+            two = np.array([np.bitwise_xor.reduce(shingles.mix(s, 2)) if len(s) else 0 for s in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.zeros(len(sets), np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                pa.array([sketch(s) for s in sets], pa.binary()),
+            ], columns)
+            for s in sets:
+                bucket.append(s)
+                held += len(s)
+                if held >= BUCKET:
+                    yield hot()
+                    bucket, held = [], 0
+        if bucket:
+            yield hot()
+
+    common.small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, s1 long, s2 long, sketch binary")
 
 
 def level_ratio(percent: int) -> float:
@@ -102,154 +148,135 @@ def cuts_of(at: int, percent: int) -> tuple[int, int]:
     return differ + 1 + spare, spare
 
 
-def fragment_keys(tokens, percent: int):
-    """Keys of a sorted set: two sets that reach the threshold have one in common.
+def fragment_keys(tokens, percent: int, hot=None):
+    """Keys and level marks of a sorted set: two sets that reach the threshold have a key or a mark in common.
 
     With larger size U of the two, at most D = 2 * U * (100 - percent) / (100 + percent) n-grams are in one set only, and
-    each spoils one fragment. Of D + 1 + spare fragments one is unspoilt; a set that leaves at most spare of them empty
-    has one that is not empty, too. Only sets with more empty fragments give keys of these as well.
+    each spoils one fragment at most. Hot n-grams are in no fragment. Of D + 1 + spare fragments a set without a mark
+    leaves at most spare empty, so D + 1 are not, and one of these is equal in both; a set with more empty ones has a mark.
     """
     import numpy as np
 
     from .shingles import mix
 
-    n = len(tokens)
+    n, none = len(tokens), np.zeros(0, np.uint64)
     if not n:
-        return np.zeros(0, np.uint64)
+        return none, none
     ratio = level_ratio(percent)
     level = int(math.log(n) / math.log(ratio) + 1e-9)
-    mixed, top, keys = mix(tokens, 1), tokens >> np.uint64(32), []
+    if hot is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+        tokens = tokens[hot[at] != tokens]
+    mixed, top, keys, marks = mix(tokens, 1), tokens >> np.uint64(32), [none], []
     for at in (level, level + 1):
         if at > level and n * 100 < (ratio**at - 1) * percent:
             continue
         pieces, spare = cuts_of(at, percent)
-        part = (top * np.uint64(pieces)) >> np.uint64(32)
-        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        filled, sums = part[starts], np.add.reduceat(mixed, starts)
+        filled = none
+        if len(tokens):
+            part = (top * np.uint64(pieces)) >> np.uint64(32)
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            filled, sums = part[starts], np.add.reduceat(mixed, starts)
+            keys.append(mix(mix(sums + np.uint64(at * 1_000_003), 0) + filled * np.uint64(0x9E3779B97F4A7C15), 2))
         if pieces - len(filled) > spare:
-            empty = np.setdiff1d(np.arange(pieces, dtype=np.uint64), filled)
-            filled, sums = np.concatenate([filled, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        keys.append(mix(mix(sums + np.uint64(at * 1_000_003), 0) + filled * np.uint64(0x9E3779B97F4A7C15), 2))
-    return np.concatenate(keys)
+            marks.append(at)
+    return np.concatenate(keys), np.array(marks, np.uint64)
 
 
-def key_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """token, n, id: the fragment keys of each text, and its set's size."""
+def key_rows(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
+    """token, mark, n, id: the fragment keys (mark 0) and level marks (mark 1) of each text, and its set's size."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
         from . import shingles
 
-        for batch in batches:
+        for batch in common.pieces(batches):
             sets = shingles.sets(_texts(batch), words)
-            keys = [fragment_keys(s, percent) for s in sets]
-            counts = [len(k) for k in keys]
-            ids, n = np.repeat(batch.column(0).to_numpy(), counts), np.repeat([len(s) for s in sets], counts)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(ids.astype(np.int64))], ["token", "n", "id"])
+            found = [fragment_keys(s, percent, hot) for s in sets]
+            flat = [x for pair in found for x in pair]
+            counts = [len(k) + len(m) for k, m in found]
+            mark = np.repeat(np.tile([0, 1], len(sets)), [len(x) for x in flat])
+            columns = [
+                (np.concatenate(flat) if flat else np.zeros(0, np.uint64)).view(np.int64), mark.astype(np.int32),
+                np.repeat([len(s) for s in sets], counts).astype(np.int32), np.repeat(batch.column(0).to_numpy(), counts).astype(np.int64),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "mark", "n", "id"])
 
     common.small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, n long, id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, mark int, n int, id long")
 
 
-def ties(tokens: DataFrame, percent: int, sketches: DataFrame | None = None) -> DataFrame:
-    """Edges u, v such that every link between ids of a token lies within a component, from rows token, n, id.
+def runs(keys: DataFrame, percent: int) -> DataFrame:
+    """What rows of one token say about ids, by kind.
 
-    Runs are rows of one token with no gap in size that rules out links. They may span batches and tasks. With sketches
-    (id, n, sketch), all pairs of short runs are tied, but those that their sketches rule out.
+    1: a and b tied; 2: a and b to be compared; 3: member b of run (token, a), for runs longer than SHORT; 4: b has mark a.
+    A run ends where the next size is too large for a link with the one before. Keys of one id alone give nothing.
     """
     import numpy as np
     import pyarrow as pa
 
-    longest = SHORT if sketches is not None else 2
-
     def run(batches: Iterator) -> Iterator:
-        last = None  # token, size and first id of the current run
-
-        def rows(kind: int, a, b) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "u", "v"])
+        def rows(kind: int, token, a, b) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(token), pa.array(a), pa.array(b)], ["kind", "token", "a", "b"])
 
+        def closed(token, n, own) -> Iterator:
+            """Whole runs."""
+            begins = np.append(True, (token[1:] != token[:-1]) | (n[:-1] * 100 < percent * n[1:]))
+            start = np.flatnonzero(begins)
+            length, group = np.diff(np.append(start, len(token))), np.cumsum(begins) - 1
+            first, size = own[start][group], length[group]
+            short = size <= SHORT
+            for d in range(1, SHORT):
+                pair = short[d:] & (group[d:] == group[:-d])
+                yield rows(2, token[d:][pair], own[:-d][pair], own[d:][pair])
+            long = ~short & (size <= RUN_ROWS)
+            yield rows(3, token[long], first[long], own[long])
+            huge = size > RUN_ROWS
+            yield rows(1, token[huge], first[huge], own[huge])
+
+        held: list = []  # the rows of the run that may go on
+        head = None  # its first id, if it is longer than RUN_ROWS, and then only its last row is held
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, n, own = (batch.column(i).to_numpy() for i in range(3))
-            begins = np.ones(len(token), bool)
-            begins[1:] = (token[1:] != token[:-1]) | (n[:-1] * 100 < percent * n[1:])
-            start = np.flatnonzero(begins)
-            length = np.diff(np.append(start, len(token)))
-            group = np.cumsum(begins) - 1
-            first = own[start]
-            short = length <= longest
-            short[-1] = False
-            if last is None:
-                short[0] = False  # it may go on from the task before, with which only its first row is tied
-                yield rows(1, token[:1], own[:1])
-            elif last[0] == token[0] and last[1] * 100 >= percent * n[0]:
-                first[0], short[0] = last[2], False
-            star = ~short[group] & (first[group] != own)
-            yield rows(0, first[group][star], own[star])
-            for d in range(1, longest):
-                pair = short[group[d:]] & (group[d:] == group[:-d])
-                yield rows(2, own[:-d][pair], own[d:][pair])
-            last = (token[-1], n[-1], first[-1])
-        if last is not None:
-            yield rows(1, np.array([last[0]]), np.array([last[2]]))
-
-    found = common.saved(tokens.repartitionByRange("token", "n", "id").sortWithinPartitions("token", "n", "id").mapInArrow(run, "kind int, u long, v long"), "ties")
-    # Two rows per task: where a run goes on in the next task, its parts are tied here.
-    edge = found.filter("kind = 1").select(F.col("u").alias("token"), F.col("v").alias("id"))
-    least = edge.groupBy("token").agg(F.min("id").alias("m"))
-    fixed = found.filter("kind = 0").select("u", "v").unionByName(edge.join(least, "token").select(F.col("m").alias("u"), F.col("id").alias("v")))
-    pairs = found.filter("kind = 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    if sketches is not None:
-        a, b = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in ("u", "v"))
-        differ = F.aggregate(F.zip_with("sketch_u", "sketch_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-        pairs = pairs.join(a, "u").join(b, "v").filter(differ * (100 + percent) <= (100 - percent) * (F.col("n_u") + F.col("n_v"))).select("u", "v")
-    return fixed.unionByName(pairs)
-
-
-class Block:
-    """Sets that meet in one task, by fragment of the n-gram order."""
-
-    def __init__(self, members: list) -> None:
-        import numpy as np
-
-        self.sizes = np.array([len(s) for s in members], np.int64)
-        flat = np.concatenate(members)
-        self.known, number = np.unique(flat, return_inverse=True)
-        doc = np.repeat(np.arange(len(members)), self.sizes)
-        part = (self.known >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)[number]
-        order = np.lexsort((number, doc, part))
-        self.number, self.doc = number[order], doc[order]
-        cuts = np.searchsorted(part[order], np.arange(FRAGMENTS + 1))
-        self.parts = [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.mark = np.zeros(len(self.known), bool)
-
-    def linked(self, pivot, percent: int):
-        """Which sets reach the threshold with the sorted set pivot."""
-        import numpy as np
-
-        at = np.minimum(np.searchsorted(self.known, pivot), len(self.known) - 1)
-        own = at[self.known[at] == pivot]
-        need = -(-percent * (self.sizes + len(pivot)) // (100 + percent))  # the least overlap that suffices
-        self.mark[own] = True
-        total, left = np.zeros(len(self.sizes), np.int64), np.full(len(self.sizes), len(pivot), np.int64)
-        piece = np.bincount((pivot >> np.uint64(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64), minlength=FRAGMENTS)
-        alive = self.sizes * 100 >= percent * len(pivot)
-        alive &= percent * self.sizes <= 100 * len(pivot)
-        for (a, b), own_size in zip(self.parts, piece, strict=True):
-            doc = self.doc[a:b]
-            hit = self.mark[self.number[a:b]] & alive[doc]
-            total += np.bincount(doc[hit], minlength=len(total))
-            left -= own_size
-            alive &= total + left >= need
-        self.mark[own] = False
-        return alive & (total >= need)
+            token, mark, n, own = (batch.column(i).to_numpy() for i in range(4))
+            n = n.astype(np.int64)
+            if mark.any():
+                yield rows(4, token[mark > 0], token[mark > 0], own[mark > 0])
+                token, n, own = token[mark == 0], n[mark == 0], own[mark == 0]
+                if not len(token):
+                    continue
+            if head is not None:
+                stop = np.flatnonzero((token != held[0][-1]) | (np.append(held[1][-1], n[:-1]) * 100 < percent * n))
+                end = int(stop[0]) if len(stop) else len(token)
+                yield rows(1, token[:end], np.full(end, head), own[:end])
+                if end == len(token):
+                    held = [token[-1:], n[-1:], own[-1:]]
+                    continue
+                held, head, token, n, own = [], None, token[end:], n[end:], own[end:]
+            if held:
+                token, n, own = (np.concatenate(x) for x in zip(held, (token, n, own), strict=True))
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (n[:-1] * 100 < percent * n[1:]))
+            at = int(cut[-1]) + 1 if len(cut) else 0
+            if at:
+                yield from closed(token[:at], n[:at], own[:at])
+            held = [token[at:], n[at:], own[at:]]
+            if len(held[0]) > RUN_ROWS:
+                head = held[2][0]
+                yield rows(1, held[0], np.full(len(held[0]), head), held[2])
+                held = [x[-1:] for x in held]
+        if held and head is None:
+            yield from closed(*held)
+
+    # Marks are not compared here, so they are dealt by id.
+    deal = F.when(F.col("mark") == 1, F.xxhash64("id")).otherwise(F.col("token"))
+    dealt = keys.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("token", "n", "id")
+    return dealt.mapInArrow(run, "kind int, token long, a long, b long")
 
 
 class Forest:
-    """Union-find over positions of a block."""
+    """Union-find over positions."""
 
     def __init__(self, n: int) -> None:
         import numpy as np
@@ -263,15 +290,14 @@ class Forest:
         self.label[np.isin(self.label, labels)] = labels[0]
 
 
-def resolve(members: list, percent: int):
-    """Component label of each set of a block: every pair is compared, or connected already."""
+def resolve(n: int, linked) -> object:
+    """Component label of each of n members, with linked(pivot) -> which members: all pairs are compared, or connected."""
     import numpy as np
 
-    block, forest, done = Block(members), Forest(len(members)), np.zeros(len(members), bool)
+    forest, done = Forest(n), np.zeros(n, bool)
     pivot = 0
     while True:
-        hits = np.flatnonzero(block.linked(members[pivot], percent))
-        forest.join(np.append(hits, pivot))
+        forest.join(np.append(np.flatnonzero(linked(pivot)), pivot))
         done[pivot] = True
         labels, counts = np.unique(forest.label[~done], return_counts=True)
         if len(labels) < 2:
@@ -280,155 +306,265 @@ def resolve(members: list, percent: int):
         pivot = int(np.flatnonzero(~done & (forest.label == labels[counts.argmin()]))[0])
 
 
+def possible(sketches: list[bytes], sizes, percent: int):
+    """Component labels of sets, where those are connected that their sketches don't rule out as linked."""
+    import numpy as np
+
+    length = np.array([len(x) for x in sketches])
+    scale = np.unique(length)
+    at = {int(size): np.flatnonzero(length >= size) for size in scale}
+    table = {size: np.stack([folded(sketches[i], size) for i in rows]) for size, rows in at.items()}
+    spot = {size: {int(i): k for k, i in enumerate(rows)} for size, rows in at.items()}
+
+    def linked(pivot: int):
+        out = np.zeros(len(sizes), bool)
+        for size in scale[scale <= length[pivot]]:
+            rows = at[int(size)]
+            differ = np.bitwise_count(table[int(size)] ^ table[int(size)][spot[int(size)][pivot]]).sum(1, dtype=np.int64)
+            mine = (length[rows] == size) if size < length[pivot] else np.ones(len(rows), bool)
+            out[rows[mine]] = (differ * (100 + percent) <= (100 - percent) * (sizes[rows] + sizes[pivot]))[mine]
+        return out & (sizes * 100 >= percent * sizes[pivot]) & (percent * sizes <= 100 * sizes[pivot])
+
+    return resolve(len(sizes), linked)
+
+
 def grouped(batches: Iterator, keys: int) -> Iterator:
     """Rows of each run of equal values in the first columns, as (key, table); rows come sorted by them."""
+    import numpy as np
     import pyarrow as pa
 
     held, now = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_pylist() for i in range(keys)]
-        rows, at = list(zip(*columns, strict=True)), 0
-        while at < len(rows):
-            end = at
-            while end < len(rows) and rows[end] == rows[at]:
-                end += 1
-            if rows[at] != now and held:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))
+        starts = np.flatnonzero(new)
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            key = tuple(c[at] for c in columns)
+            if key != now and held:
                 yield now, pa.Table.from_batches(held)
                 held = []
-            now = rows[at]
+            now = key
             held.append(batch.slice(at, end - at))
-            at = end
     if held:
         yield now, pa.Table.from_batches(held)
 
 
-def block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges u, v that connect what is linked within each block of rows cluster, block, id, tokens."""
+def compared_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs u, v those that their sketches (id, n, sketch) don't rule out."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
-        for _, rows in grouped(batches, 2):
-            ids = rows.column("id").to_numpy()
-            label = resolve([x.values.to_numpy().view(np.uint64) for x in rows.column("tokens")], percent)
-            root = ids[label]
-            yield pa.RecordBatch.from_arrays([pa.array(root[root != ids]), pa.array(ids[root != ids])], ["u", "v"])
-
-    dealt = sets.select("cluster", "block", "id", "tokens").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "id")
-    return dealt.mapInArrow(run, "u long, v long")
-
-
-def stray_links(sets: DataFrame, strays: DataFrame, percent: int) -> DataFrame:
-    """Edges between strays (cluster, block, id, tokens: one row for each block) and the sets of the blocks."""
+        for batch in batches:
+            u, v, n, m = (batch.column(i).to_numpy() for i in range(4))
+            a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            differ = np.zeros(len(u), np.int64)
+            for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                size = min(len(x), len(y))
+                if len(x) != len(y):
+                    x, y = folded(x, size).tobytes(), folded(y, size).tobytes()
+                differ[i] = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+            keep = differ * (100 + percent) <= (100 - percent) * (n + m)
+            yield pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], ["u", "v"])
+
+    a, b = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in ("u", "v"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v").mapInArrow(run, "u long, v long")
+
+
+def compared_runs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Edges u, v between members (token, a, id) of each run that their sketches leave possible."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
-        now, held, ids, block = None, [], [], None
-        for batch in batches:
-            out = []
-            for cluster, part, stray, own, raw in zip(*(batch.column(i) for i in range(5)), strict=True):
-                if (key := (cluster.as_py(), part.as_py())) != now:
-                    now, held, ids, block = key, [], [], None
-                one = raw.values.to_numpy().view(np.uint64)
-                if not stray.as_py():
-                    held.append(one)
-                    ids.append(own.as_py())
-                    continue
-                if block is None and held:
-                    block, held = Block(held), []
-                if block is not None:
-                    out += [(own.as_py(), ids[i]) for i in np.flatnonzero(block.linked(one, percent)) if ids[i] != own.as_py()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+        out_u, out_v, held = [], [], 0
+        for _, rows in grouped(batches, 2):
+            ids = rows.column("id").to_numpy()
+            root = ids[possible(rows.column("sketch").to_pylist(), rows.column("n").to_numpy(), percent)]
+            out_u.append(root[root != ids])
+            out_v.append(ids[root != ids])
+            held += len(out_u[-1])
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_u, out_v)], ["u", "v"])
+                out_u, out_v, held = [], [], 0
+        if out_u:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_u, out_v)], ["u", "v"])
+
+    dealt = members.join(sketches, "id").select("token", "a", "id", "n", "sketch").repartition("token", "a").sortWithinPartitions("token", "a", "n", "id")
+    return dealt.mapInArrow(run, "u long, v long")
 
-    rows = sets.select("cluster", "block", F.lit(0).alias("stray"), "id", "tokens").unionByName(strays.select("cluster", "block", F.lit(1).alias("stray"), "id", "tokens"))
-    return rows.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "stray", "id").mapInArrow(run, "u long, v long")
+
+def clusters_of(keys: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """id, cluster of the ids that may be linked with others."""
+    spark = keys.sparkSession
+    found = common.saved(runs(keys, percent), "runs")
+    common.release(spark)
+    tied = found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = found.filter("kind = 2").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct()
+    members = found.filter("kind = 3").select("token", "a", F.col("b").alias("id"))
+    marked = found.filter("kind = 4").select(F.col("a").alias("mark"), F.col("b").alias("v"))
+    marked = marked.join(marked.groupBy("mark").agg(F.min("v").alias("u")), "mark").select("u", "v")  # one row per size level
+    edges = tied.unionByName(compared_pairs(pairs, sketches, percent)).unionByName(compared_runs(members, sketches, percent)).unionByName(marked)
+    rooted = components(edges)
+    common.drop(found)
+    both = rooted.unionByName(rooted.select(F.col("root").alias("id"), "root").distinct())
+    out = common.saved(both.withColumnRenamed("root", "cluster"), "clusters")
+    common.release(spark)
+    return out
 
 
-def n_gram_sets(docs: DataFrame, words: int) -> DataFrame:
-    """tokens: the sorted hashes of column text; other columns stay."""
+def fragments(docs: DataFrame, words: int) -> DataFrame:
+    """id, n, fragment, tokens: each set of rows id, text, cut into FRAGMENTS parts of the order."""
     import numpy as np
     import pyarrow as pa
 
-    def run(batch) -> list:
+    def run(batches: Iterator) -> Iterator:
         from . import shingles
 
-        sets = shingles.sets(_texts(batch), words)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat.view(np.int64)))]
+        cuts = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
+        for batch in common.pieces(batches):
+            sets = shingles.sets(_texts(batch), words)
+            ends = np.array([np.append(np.searchsorted(s, cuts), len(s)) for s in sets], np.int64).reshape(-1, FRAGMENTS)
+            sizes = np.diff(ends, axis=1, prepend=0).ravel()
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            own, n = np.repeat(batch.column(0).to_numpy(), FRAGMENTS), np.repeat([len(s) for s in sets], FRAGMENTS)
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat.view(np.int64)))
+            columns = [pa.array(own, pa.int64()), pa.array(n, pa.int64()), pa.array(np.tile(np.arange(FRAGMENTS), len(sets)), pa.int32()), tokens]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "fragment", "tokens"])
+
+    common.small_batches(docs.sparkSession)
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, fragment int, tokens array<long>")
 
-    fields = [T.StructField("tokens", T.ArrayType(T.LongType()))]
-    return common.map_batches(docs, run, fields, [x for x in docs.columns if x != "text"])
 
+def partial_overlaps(rows: DataFrame, percent: int) -> DataFrame:
+    """u, v, n_u, n_v, c: n-grams that pivot u and set v share in one fragment, of rows cluster, block, fragment, pivot (1 or
+    0), id, n, tokens."""
+    import numpy as np
+    import pyarrow as pa
 
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, not when the driver happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    names_ = ["u", "v", "n_u", "n_v", "c"]
+
+    def counted(held: list) -> pa.RecordBatch:
+        """The overlaps of whole groups."""
+        group, pivot, ids, n = (np.concatenate([h[i] for h in held]) for i in range(4))
+        sizes, tokens = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
+        row = np.repeat(np.arange(len(ids)), sizes)
+        # One number for each (group, n-gram): pivots' and sets' places with the same number meet.
+        order = np.lexsort((tokens, group[row]))
+        g, t = group[row][order], tokens[order]
+        same = np.empty(len(order), np.int64)
+        same[order] = np.cumsum(np.append(True, (g[1:] != g[:-1]) | (t[1:] != t[:-1]))) - 1 if len(order) else same
+        is_pivot = pivot[row] == 1
+        p_row, p_key = row[is_pivot], same[is_pivot]
+        by = np.argsort(p_key, kind="stable")
+        p_row, p_key = p_row[by], p_key[by]
+        s_row, s_key = row[~is_pivot], same[~is_pivot]
+        low = np.searchsorted(p_key, s_key)
+        times = np.searchsorted(p_key, s_key, "right") - low
+        low, s_row, times = low[times > 0], s_row[times > 0], times[times > 0]
+        found = []
+        for part in np.split(np.arange(len(times)), np.searchsorted(np.cumsum(times), np.arange(MEETINGS, times.sum(), MEETINGS))):
+            t = times[part]
+            at = np.repeat(low[part] - np.append(0, np.cumsum(t)[:-1]), t) + np.arange(t.sum())
+            found.append(np.unique(p_row[at] * len(ids) + np.repeat(s_row[part], t), return_counts=True))
+        pairs, number = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+        c = np.bincount(number, weights=np.concatenate([x for _, x in found]), minlength=len(pairs))
+        a, b = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+        fit = (ids[a] != ids[b]) & (n[a] * 100 >= percent * n[b]) & (percent * n[a] <= 100 * n[b])
+        return pa.RecordBatch.from_arrays([pa.array(x[fit]) for x in (ids[a], ids[b], n[a], n[b], c.astype(np.int64))], names_)
 
+    def run(batches: Iterator) -> Iterator:
+        held, size, number = [], 0, 0
+        for _, rows in grouped(batches, 3):
+            tokens = rows.column("tokens").combine_chunks()
+            flat = tokens.flatten().to_numpy()
+            sizes = np.diff(tokens.offsets.to_numpy())
+            if size and size + len(flat) > CHUNK_GRAMS:
+                yield counted(held)
+                held, size = [], 0
+            held.append((np.full(len(sizes), number), *(rows.column(x).to_numpy() for x in ("pivot", "id", "n")), sizes, flat))
+            size += len(flat)
+            number += 1
+        if held:
+            yield counted(held)
+
+    keys = ["cluster", "block", "fragment"]
+    dealt = rows.select(*keys, "pivot", "id", "n", "tokens").repartition(*keys).sortWithinPartitions(*keys, "pivot", "id")
+    return dealt.mapInArrow(run, "u long, v long, n_u long, n_v long, c long")
 
-def clusters_of(tokens: DataFrame, percent: int, sketches: DataFrame) -> DataFrame:
-    """id, cluster for the ids that are tied to others (directly or by others)."""
-    found = components(ties(tokens, percent, sketches))
-    found = found.unionByName(found.select(F.col("root").alias("id"), "root").distinct())
-    out = common.saved(found.withColumnRenamed("root", "cluster"), "clusters")
-    release(tokens.sparkSession)
-    return out
 
+def cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """id, root of the ids that are linked with others, from rows id, n, fragment, tokens and the cluster of each id."""
+    spark = sets.sparkSession
+    sizes = sets.filter("fragment = 0").select("id", "n")
+    # A cluster's blocks hold about BLOCK_GRAMS n-grams each.
+    held = clusters.join(sizes, "id").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    state = clusters.join(held, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    state = common.saved(state.select("id", "cluster", "block", "blocks", F.col("id").alias("comp"), F.lit(False).alias("done")), "state")
+    most = PIVOTS
+    while True:
+        counts = state.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m"))
+        largest = counts.groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+        asks = state.filter("NOT done").join(largest, "cluster").filter("comp <> main")
+        order = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
+        pivots = asks.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("id", "cluster", "blocks")
+        pivots = common.saved(pivots, "pivots")
+        if pivots.limit(1).count() == 0:
+            common.drop(pivots)
+            break
+        open_ = state.join(pivots.select("cluster").distinct(), "cluster", "left_semi").select("id", "cluster", "block")
+        own = sets.join(open_, "id").withColumn("pivot", F.lit(0))
+        asked = sets.join(pivots, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pivot", F.lit(1))
+        rows = own.select("cluster", "block", "fragment", "pivot", "id", "n", "tokens").unionByName(asked.select("cluster", "block", "fragment", "pivot", "id", "n", "tokens"))
+        sums = partial_overlaps(rows, percent).groupBy("u", "v", "n_u", "n_v").agg(F.sum("c").alias("c"))
+        links = common.saved(sums.filter(F.col("c") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("c")) * percent).select("u", "v"), "links")
+        common.release(spark)
+        named = state.select("id", "comp")
+        joined = links.join(named.withColumnsRenamed({"id": "u", "comp": "cu"}), "u").join(named.withColumnsRenamed({"id": "v", "comp": "cv"}), "v")
+        moved = components(joined.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnsRenamed({"id": "comp", "root": "to"})
+        after = state.join(moved, "comp", "left").join(pivots.select("id", F.lit(True).alias("now")), "id", "left")
+        after = after.select("id", "cluster", "block", "blocks", F.coalesce("to", "comp").alias("comp"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        after = common.saved(after, "state")
+        common.drop(state, pivots, links)
+        state, most = after, min(MOST_PIVOTS, most * GROWTH)
+    return state.filter("comp <> id").select("id", F.col("comp").alias("root"))
+
+
+def _sorted_tokens(tokens: list):
+    import numpy as np
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """token, n, id: the rarest n-grams of each set, as many as the prefix filter asks for, but those of one set only."""
-    tokens = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = common.saved(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
-    release(sets.sparkSession)
-    shared = tokens.join(counts, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("found"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return shared.select("id", F.explode(F.slice("found", F.lit(1), F.greatest(F.lit(0), length - F.col("n") + F.size("found")).cast("int"))).alias("x"), "n").select("x.token", F.col("n").cast("long").alias("n"), "id")
+    return np.sort(np.array(tokens, np.int64).view(np.uint64))
 
 
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (null ids: null)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     found = common.saved(names(docs, words), "names")
+    often = found.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(MOST_HOT)
+    hot = _sorted_tokens([r[0] for r in often.select("s1").collect()])  # MOST_HOT numbers at most
+    found = found.filter("kind = 0")
     named = found.filter("n > 0 AND doc_id IS NOT NULL")
     classes = common.saved(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    copies = named.join(classes, ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id").distinct()
-    single = docs.filter("doc_id IS NOT NULL").join(common.saved(copies, "copies"), "doc_id", "left_anti")
-
-    sketches = named.select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"])
-    rough = clusters_of(key_rows(single, words, percent), percent, sketches)
-    texts = single.join(rough, F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("id", "text")
-    sets = common.saved(n_gram_sets(texts, words), "sets")
-    release(docs.sparkSession)
-    links = components(cluster_links(sets, clusters_of(prefixes(sets, percent), percent, sketches), percent))
+    copies = named.join(classes, ["n", "s1", "s2"]).filter("doc_id <> rep").select("doc_id")
+    # Ids of several rows stand for their smallest text.
+    again = common.saved(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "again")
+    aside = common.saved(copies.unionByName(again).distinct(), "aside")
+    smallest = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    single = docs.filter("doc_id IS NOT NULL").join(aside, "doc_id", "left_anti").unionByName(smallest)
+
+    once = named.join(again, "doc_id", "left_anti").unionByName(names(smallest, words).filter("kind = 0 AND n > 0"))
+    sketches = once.select(F.col("doc_id").alias("id"), "n", "sketch")
+    clusters = clusters_of(key_rows(single, words, percent, hot), sketches, percent)
+    texts = single.join(clusters, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+    sets = common.saved(fragments(texts, words), "sets")
+    common.release(docs.sparkSession)
+    links = cluster_links(sets, clusters, percent)
 
     roots = classes.join(links, classes["rep"] == links["id"], "left")
     roots = common.saved(roots.select("n", "s1", "s2", F.coalesce("root", "rep").alias("component_id")), "roots")
+    common.drop(sets)
     whole = found.filter("n > 0").select("doc_id", "n", "s1", "s2").join(roots, ["n", "s1", "s2"], "left")
     whole = whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return whole.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-
-
-def cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect what is linked, from rows id, tokens and the cluster of each id."""
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(PIVOTS)]).alias("pivots"))
-    sizes = sizes.select("cluster", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks"), F.when(F.col("m") > BLOCK_SETS, F.col("pivots")).alias("pivots"))
-    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pivot = F.coalesce(F.array_contains("pivots", F.col("id")), F.lit(False))
-    members = clusters.join(sizes, "cluster").select("id", "cluster", "blocks", F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own).alias("at"))
-    members = common.saved(members, "members")
-    links = block_links(sets.join(members.filter("blocks = 1"), "id").withColumn("block", F.lit(0)), percent)
-    large = members.filter("blocks > 1")
-    if large.limit(1).count() == 0:
-        return links
-    dealt = sets.join(large, "id").withColumn("block", F.explode("at"))
-    links = common.saved(links.unionByName(block_links(dealt, percent)), "links")
-    # What lies outside the largest component of a cluster of several blocks meets every block.
-    rooted = large.join(components(links), "id", "left").select("id", "cluster", "blocks", F.coalesce("root", "id").alias("root"))
-    counts = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("m"))
-    largest = counts.groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-    outside = common.saved(rooted.join(largest, "cluster").filter("root <> main").select("id", "cluster", "blocks"), "strays")
-    strays = sets.join(outside, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return links.unionByName(stray_links(dealt, strays, percent))

@@ -44,9 +44,10 @@ def copies(prose_text, n=260):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_equals_plain(spark, prose_text, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+@pytest.mark.parametrize("settings", [{}, {"BLOCK_GRAMS": 900, "CHUNK_GRAMS": 300, "MEETINGS": 50, "RUN_ROWS": 6, "MOST_PIVOTS": 5, "HOT": 1000}, {"HOT": 3}])
+def test_equals_plain(spark, prose_text, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rows = copies(prose_text)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect()}
@@ -98,29 +99,49 @@ def test_linked_sets_share_a_fragment_key():
             other = np.union1d(rng.permutation(base)[gone:], rng.integers(0, 1 << 63, max(0, most), dtype=np.uint64) * np.uint64(2))
             common = len(np.intersect1d(base, other))
             if 100 * common >= percent * (n + len(other) - common):
-                assert len(np.intersect1d(ngram_join.fragment_keys(base, percent), ngram_join.fragment_keys(other, percent)))
+                hot = np.sort(rng.permutation(np.union1d(base, other))[: rng.integers(0, len(base) + 1)])
+                one, two = (ngram_join.fragment_keys(x, percent, hot) for x in (base, other))
+                assert len(np.intersect1d(one[0], two[0])) or len(np.intersect1d(one[1], two[1]))
 
 
 def test_keys_of_empty_fragments_are_rare():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(50, 900)), dtype=np.uint64) * np.uint64(2)) for _ in range(300)]
     for percent in (80, 85):
-        keys, counts = np.unique(np.concatenate([ngram_join.fragment_keys(s, percent) for s in sets]), return_counts=True)
+        keys, counts = np.unique(np.concatenate([ngram_join.fragment_keys(s, percent)[0] for s in sets]), return_counts=True)
         assert (counts > 1).sum() < 0.01 * len(keys)  # unlike sets
 
 
-def test_ties_over_a_range_boundary(spark):
-    far = lambda i: [int(x) for x in np.random.default_rng(i).integers(-(1 << 62), 1 << 62, ngram_join.SKETCH)]
-    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+def test_runs(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RUN_ROWS", 9)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
-        for k, v in zip(old, ("false", "2"), strict=True):
-            spark.conf.set(k, v)
-        for last in range(3, 8):  # ids 1 and last are alike, those between are not; another token comes after
-            rows = [(1, 10, i) for i in range(1, last + 1)] + [(2, 10, 50)]
-            sketches = [(i, 10, far(1 if i == last else i)) for _, _, i in rows]
-            edges = ngram_join.ties(spark.createDataFrame(rows, "token long, n long, id long"), 85, spark.createDataFrame(sketches, "id long, n long, sketch array<long>"))
-            found = {r.id: r.root for r in components(edges).collect()}
-            assert found.get(last) == 1, last
+        for batch in ("1", "4", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            # Token k is in k ids of sizes 10, and in one that is too large to be linked.
+            rows = [(k, 0, 10, 100 * k + i) for k in range(1, 25) for i in range(k)] + [(k, 0, 99, 100 * k + 99) for k in range(1, 25)] + [(7, 1, 10, 5), (7, 1, 12, 6)]
+            found = ngram_join.runs(spark.createDataFrame(rows, "token long, mark int, n int, id long"), 85).collect()
+            got = {k: {(r.a, r.b) for r in found if r.kind == k} for k in (1, 2, 3, 4)}
+            assert got[2] == {(100 * k + i, 100 * k + j) for k in range(2, 5) for i in range(k) for j in range(i + 1, k)}
+            assert got[3] == {(100 * k, 100 * k + i) for k in range(5, 10) for i in range(k)}
+            assert got[1] == {(100 * k, 100 * k + i) for k in range(10, 25) for i in range(k)}
+            assert got[4] == {(7, 5), (7, 6)}
     finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(np.exp(rng.uniform(1, 8)))
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        sets = [base, np.union1d(base[: len(base) - len(base) // 11], rng.integers(0, 1 << 63, len(base) // 11, dtype=np.uint64)), np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))]
+        label = ngram_join.possible([ngram_join.sketch(s) for s in sets], np.array([len(s) for s in sets]), 80)
+        assert label[0] == label[1] and (label[2] != label[0] or n < 20)
+
+
+def test_ids_of_several_rows(spark, prose_text):
+    a, b = prose_text(80, 1), prose_text(80, 2)
+    rows = [(1, a), (1, a), (2, a + " x"), (2, a + " x"), (3, b), (4, b + " y"), (4, b + " y")]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 3)}
