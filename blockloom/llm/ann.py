@@ -3,17 +3,20 @@
 A bounded sample of vectors (SAMPLE_ROWS, the smallest hashes of their ids) is joined into a neighbour graph. The graph
 is cut into balanced parts by recursive spectral bisection at the median, refined by swaps that lower the cut. A softmax
 classifier learns the parts, and every row of the table is indexed under its most probable part. A query visits as many
-of its most probable parts as the sample needs for the wanted recall, and all vectors there are reranked exactly. The sample's
-own nearest count as found, and their k-th score is the bound below which no part reports a vector.
+of its most probable parts as held-out rows of the sample need for the wanted recall, and all vectors there are reranked
+exactly. Its k-th score in the sample is a bound below which no part reports a vector; results come from the parts alone.
 
 Nearness is the inner product, computed in double precision, component by component, so equal vectors score equally.
 For the graph, vectors of unequal norms get one more component that makes all norms equal.
 
-Large parts are dealt into blocks by a hash of the id, so one very common vector doesn't meet in one task.
+Each vector length has an index of its own. Large parts are dealt into blocks by a hash of the id, so one very common
+vector doesn't meet in one task. Parts hold SAMPLE_ROWS / MOST_PARTS rows of the sample at least; larger tables have
+larger parts, with more blocks.
 
-Cases: vectors null, zero, or with null or non-finite components take no part, nor do rows with a null id; a query is
-compared with vectors of the commonest length only (others take no part); rows with the query's id count as its own;
-query rows of one id count once; ties go to the smaller id; other columns are ignored; empty input, empty result.
+Cases: vectors null, zero or empty, or with null or non-finite components take no part, nor do rows with a null id; a
+query is compared with vectors of its own length only; rows with the query's id count as its own; query rows of one id
+count once; repeated candidate rows are all candidates; ties go to the smaller id; very long vectors are vectors like
+others; other columns are ignored; empty input, empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from . import common
 from .topk import ranked, usable
 
 #: The sample that the index is fitted on; vectors per part and most parts; vectors in a block and queries in a block.
-SAMPLE_ROWS, PART_ROWS, MOST_PARTS, BLOCK_ROWS, QUERY_ROWS = 6144, 2048, 64, 4096, 2048
+SAMPLE_ROWS, PART_ROWS, MOST_PARTS, BLOCK_ROWS, QUERY_ROWS = 6144, 2048, 64, 1024, 2048
 LOCAL = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
@@ -124,12 +127,14 @@ class Router:
         self.weights = np.zeros((points.shape[1] + 1, self.parts))
         if self.parts == 1:
             return
-        a, b = neighbour_graph(level)
-        label = balanced_parts(len(points), a, b, self.parts)
-        self.weights = fit_softmax(unit, label, self.parts)
-        # Probes: the fewest that reach the wanted recall for the sample's own queries, with as many of the sample's
-        # neighbours as k of the whole table stand for, at least k of the nearest.
-        asks = np.arange(0, len(points), max(1, len(points) // 512))
+        # Every fifth row of the sample is held out: it has no place in the graph and asks for its neighbours afterwards.
+        asks = np.arange(0, len(points), 5)
+        learn = np.delete(np.arange(len(points)), asks)
+        a, b = neighbour_graph(level[learn])
+        label = balanced_parts(len(learn), a, b, self.parts)
+        self.weights = fit_softmax(unit[learn], label, self.parts)
+        # Probes: the fewest that reach the wanted recall for these, whose nearest in the sample stand for the table's.
+        asks = asks[:: max(1, len(asks) // 1024)]
         near = points[asks] @ points.T
         near[np.arange(len(asks)), asks] = -np.inf
         kk = min(k, len(points) - 1)
@@ -174,19 +179,29 @@ def rerank(query_ids, queries, cand_ids, cands, k: int, bounds=None):
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest that the index finds for each query row."""
-    import numpy as np
-
     spark = vectors.sparkSession
     base = vectors.filter(usable(F.col(vec_col)) & F.col(id_col).isNotNull() & F.exists(vec_col, lambda x: x != 0))
     base = base.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("asks"))
-    lengths = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, rows = lengths
-    base = base.filter(F.size("v") == dim)
-    sample = base.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE_ROWS).select("id", "v").collect()
-    point_ids, points = np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample], dtype=np.float64)
-    router = Router(points, rows, k, recall)
+    found = spark.createDataFrame([], LOCAL)
+    for dim, rows in sorted(tuple(r) for r in base.groupBy(F.size("v")).count().collect()):  # one row per vector length
+        found = found.unionByName(search_length(base.filter(F.size("v") == dim), dim, rows, k, recall))
+    return ranked(found, k)
+
+
+def fitted(base: DataFrame, rows: int, k: int, recall: float):
+    """A sample (ids, vectors) of rows id, v of one length, and the router that is fitted on it."""
+    import numpy as np
+
+    sample = base.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(SAMPLE_ROWS).select("id", "v").collect()
+    ids, points = np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample], dtype=np.float64)
+    return ids, points, Router(points, rows, k, recall)
+
+
+def search_length(base: DataFrame, dim: int, rows: int, k: int, recall: float) -> DataFrame:
+    """query_id, vec_id, score of what an index of rows id, v, asks finds; all v have length dim."""
+    import numpy as np
+
+    point_ids, points, router = fitted(base, rows, k, recall)
 
     def route(batch) -> list:
         import pyarrow as pa
@@ -195,19 +210,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         asks = np.asarray(batch.column(2).to_pylist(), bool)
         order = router.order(v)
         probes = [row[: router.probes].tolist() if ask else [] for row, ask in zip(order, asks, strict=True)]
-        near: list = [[] for _ in probes]
-        bounds = np.full(len(probes), -np.inf)
-        if any(asks):
-            rows, own = np.flatnonzero(asks), np.asarray(batch.column(0))
-            for i in rows:
-                _, found, score = rerank(own[i : i + 1], v[i : i + 1], point_ids, points, k)
-                near[i] = [{"vec_id": int(x), "score": float(y)} for x, y in zip(found, score, strict=True)]
-                bounds[i] = score[-1] if len(score) == k else -np.inf
-        pairs = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
-        return [pa.array(order[:, 0], pa.int32()), pa.array(probes, pa.list_(pa.int32())), pa.array(near, pairs), pa.array(bounds, pa.float64())]
-
-    pair = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    fields = [T.StructField("home", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("near", T.ArrayType(pair)), T.StructField("bound", T.DoubleType())]
+        bounds, own = np.full(len(probes), -np.inf), np.asarray(batch.column(0))
+        for i in np.flatnonzero(asks):
+            _, _, score = rerank(own[i : i + 1], v[i : i + 1], point_ids, points, k)
+            bounds[i] = score[-1] if len(score) == k else -np.inf
+        return [pa.array(order[:, 0], pa.int32()), pa.array(probes, pa.list_(pa.int32())), pa.array(bounds, pa.float64())]
+
+    fields = [T.StructField("home", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("bound", T.DoubleType())]
     routed = common.saved(common.map_batches(base, route, fields), "routed")
     # One row per part: MOST_PARTS at most.
     sizes = {r[0]: (r[1], r[2]) for r in routed.groupBy("home").agg(F.count(F.lit(1)), F.count_if("asks")).collect()}
@@ -219,8 +228,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
 
     cands = routed.select("id", "v", F.col("home").alias("part"))
     cands = cands.withColumn("block", F.pmod(F.xxhash64("id"), block_count).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
-    asks = routed.filter("asks").groupBy("id").agg(F.min(F.struct("v", "probes", "bound", "near")).alias("q")).select("id", "q.*")
-    known = asks.select(F.col("id").alias("query_id"), F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score")
+    asks = routed.filter("asks").groupBy("id").agg(F.min(F.struct("v", "probes", "bound")).alias("q")).select("id", "q.*")
     asks = asks.select("id", "v", "bound", F.explode("probes").alias("part"))
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1))).withColumn("qblock", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(qblocks)).cast("int"))
 
@@ -232,5 +240,4 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         out = rerank(queries["id"].to_numpy(), np.stack(queries["v"]), found["id"].to_numpy(), np.stack(found["v"]), k, queries["bound"].to_numpy())
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), out, strict=True)))
 
-    found = asks.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(local, LOCAL)
-    return ranked(found.unionByName(known).distinct(), k)
+    return asks.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(local, LOCAL)

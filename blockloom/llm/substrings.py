@@ -3,29 +3,27 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier (in a smaller doc_id, or before in the same
 document). Suffix arrays of a whole corpus don't fit a task, so equal strings are first brought together:
 
-1. Documents with equal texts are one; all but the smallest id lose everything (texts shorter than LENGTH nothing).
-2. The smallest hash among the GRAM-byte grams of a LENGTH-byte window depends on the window alone. Successive windows
+1. The smallest hash among the GRAM-byte grams of a LENGTH-byte window depends on the window alone. Successive windows
    with the same smallest hash are a segment, so equal windows lie in segments of equal hashes. Segments (one for each
-   35 bytes or so) are sorted by hash and content hash over the cluster, by range, so that a frequent one is spread out.
-   A segment equal to an earlier one goes as a whole. A hash that only one segment has is settled.
-3. What is left are different segments with equal hashes: the edges of repeated passages. Their bytes meet by hash, in
-   blocks, and each block gets a suffix array: suffixes smaller than their successors are sorted directly, the others
-   are induced by scanning the buckets, and common prefixes of neighbours tell which windows are equal. Only suffixes
-   that begin a window, and those that they are induced from, are sorted.
-4. A hash with more than GROUP segments is dealt over several blocks; what is first in its block is then compared with
-   the other blocks by a 128-bit hash of the window, by aggregation.
+   35 bytes or so, PIECE windows at most) are dealt over the cluster by hash; a hash that only one segment has is settled.
+   A task that sees a hash again and again deals it by the segment instead: that it is repeated is known then.
+2. The bytes of all other segments, those of exact copies too, meet by hash in groups of a bounded size. Segments of a
+   group with equal bytes are one piece. Each block of pieces gets a suffix array: suffixes smaller than their successors are sorted
+   directly, the others are induced by scanning the buckets, and the common prefixes of neighbours tell which windows are
+   equal. The windows that start first stay, the others are repeats.
+3. Where a hash has more than GROUP segments, its groups' first windows meet again in the same way, under finer names (the
+   hash and what lies around the gram), until each name has one group. Each turn leaves one of equal windows per group.
 
-Matches are judged on the input, so the order of removals does not matter.
+Hashes only say where bytes meet. Matches are judged on the input, so the order of removals does not matter.
 
 Cases: a null text has no bytes; an id's repeated rows are one document (ids are otherwise unique); rows with a null id
-are neither compared nor cut; texts of one repeated character are one segment and handled like others; an empty table
-gives an empty table; other columns are ignored.
+are neither compared nor cut; very long texts are cut into segments like others, and runs of one character or of a short
+period into pieces of PIECE windows, most of which have equal bytes; of equal strings the first in (doc_id, start) order
+stays; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
-import hashlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -35,28 +33,38 @@ from pyspark.sql import types as T
 from . import common
 
 LENGTH, GRAM = 100, 32
-#: Bytes of a block that is sorted at once; most segments of one hash in a block.
-BLOCK_BYTES, GROUP = 512 * 1024, 3000
-ROWS = 1024
+#: Bytes of a block that is sorted at once; most segments of one hash in a group; most windows of a segment.
+BLOCK_BYTES, GROUP, PIECE = 512 * 1024, 3000, 4096
+#: Times that a batch has a hash to deal it by segment from then on; most hashes that a task remembers.
+OFTEN, REMEMBERED = 4, 1 << 18
+#: Widths, in windows, of what shares a name in later turns.
+WIDTHS = (8, 1)
+ROWS = 512
 
 
-def segments(raw: bytes):
-    """(smallest hash, content hash, start, windows) of each segment; windows is negative where grams repeat inside."""
+def gram_hashes(data):
+    """A hash of the GRAM bytes from each position on."""
     import numpy as np
 
-    from .shingles import _TABLE, _power, mix
+    from .shingles import mix
 
-    if len(raw) < LENGTH:
-        return None
-    data = np.frombuffer(raw, np.uint8)
-    base = mix(np.arange(256, dtype=np.uint64) + np.uint64(99), 1)
-    h, step = base[data], 1
+    h, step = mix(np.arange(256, dtype=np.uint64) + np.uint64(99), 1)[data], 1
     for k in range(GRAM.bit_length() - 1):
         h = h[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[step:]
         h ^= h >> np.uint64(29)
         step *= 2
     h = h * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(32)
+    return h
+
+
+def segments(raw: bytes):
+    """(smallest hash, start, windows) of each segment; windows is negative where the hash occurs again inside."""
+    import numpy as np
+
+    if len(raw) < LENGTH:
+        return None
+    h = gram_hashes(np.frombuffer(raw, np.uint8))
     wide = LENGTH - GRAM + 1
 
     def sliding(x, pick):
@@ -69,62 +77,75 @@ def segments(raw: bytes):
     low = sliding(h, np.minimum)
     start = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
     windows = np.diff(np.append(start, len(low)))
-    value = low[start]
     # Grams that are the smallest of some window: the greatest minimum of the windows around them is their own hash.
     around = np.concatenate([np.zeros(wide - 1, np.uint64), low, np.zeros(wide - 1, np.uint64)])
     chosen = np.flatnonzero(sliding(around, np.maximum) == h)
     again = h[chosen[1:]][h[chosen[1:]] == h[chosen[:-1]]]
+    parts = -(-windows // PIECE)
+    if parts.max() > 1:
+        at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        windows = np.minimum(np.repeat(windows, parts) - at * PIECE, PIECE)
+        start = np.repeat(start, parts) + at * PIECE
+    value = low[start]
     flagged = np.isin(value, again) if len(again) else np.zeros(len(value), bool)
-    up, back = _power(len(data) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((_TABLE[data] ^ base[data]) * up[: len(data)], dtype=np.uint64)])
-    content = mix((sums[start + windows + LENGTH - 1] - sums[start]) * back[start] + windows.astype(np.uint64))
-    return value.view(np.int64), content.view(np.int64), start.astype(np.int32), np.where(flagged, -windows, windows).astype(np.int32)
+    return value.view(np.int64), start.astype(np.int32), np.where(flagged, -windows, windows).astype(np.int32)
 
 
 def segment_rows(docs: DataFrame) -> DataFrame:
-    """h, content, doc, s, n of every segment of rows doc, text."""
+    """h, s, n, doc, known, deal of every segment of rows doc, text. known: h is known to be repeated; deal: where to meet."""
     import numpy as np
     import pyarrow as pa
 
-    names = ["h", "content", "s", "n", "doc"]
+    from .shingles import mix
 
     def run(batches: Iterator) -> Iterator:
-        for batch in batches:
+        seen = np.zeros(0, np.int64)  # hashes that this task deals by segment
+        for batch in common.pieces(batches):
             parts = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if (found := segments((text.as_py() or "").encode("utf-8", "surrogatepass"))) is not None:
                     parts.append((*found, np.full(len(found[0]), doc, np.int64)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names)
-
-    return docs.select("doc", "text").mapInArrow(run, "h long, content long, s int, n int, doc long")
-
-
-def settle(rows: DataFrame) -> DataFrame:
-    """kind 0: segments equal to an earlier one; kind 1: those to be compared. Runs cut by a batch or task are kind 1."""
+            if not parts:
+                continue
+            h, s, n, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            value, head, number, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            first = np.zeros(len(h), bool)
+            first[head] = True
+            old = np.isin(value, seen)
+            # One row at least of each hash and task meets those of other tasks by the hash.
+            known = (n < 0) | (counts > 1)[number] | old[number]
+            spread = (~first | old[number]) & known
+            deal = np.where(spread, (mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64), 1)).view(np.int64), h)
+            if len(seen) < REMEMBERED:
+                seen = np.union1d(seen, value[counts >= OFTEN])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, s, n, doc, known, deal)], ["h", "s", "n", "doc", "known", "deal"])
+
+    return docs.select("doc", "text").mapInArrow(run, "h long, s int, n int, doc long, known boolean, deal long")
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """h, doc, s, n of the segments whose hash another one has, or that have it twice inside."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
+        held = None  # the last row; it is known to be repeated if it has a neighbour of its hash
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, content, s, n, doc = (batch.column(i).to_numpy() for i in range(5))
-            new_h = np.append(True, h[1:] != h[:-1])
-            new_c = new_h | np.append(True, content[1:] != content[:-1])
-            group = np.cumsum(new_h) - 1
-            open_ = np.bincount(group[new_c], minlength=group[-1] + 1) > 1
-            open_[[0, -1]] = True
-            first = new_c & (open_[group] | (n < 0))
-            # An id's repeated rows are one document: what stands where the first stands is no repeat.
-            head = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), 0))
-            keep = first | (~new_c & ((doc != doc[head]) | (s != s[head])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(first, 1, 0)[keep].astype(np.int32)), *(pa.array(x[keep]) for x in (h, doc, s, np.abs(n)))], ["kind", "h", "doc", "s", "n"]
-            )
-
-    dealt = rows.repartitionByRange("h", "content", "doc", "s").sortWithinPartitions("h", "content", "doc", "s")
-    return dealt.mapInArrow(run, "kind int, h long, doc long, s int, n int")
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            same = columns[0][1:] == columns[0][:-1]
+            columns[4] = columns[4] | np.append(False, same) | np.append(same, False)
+            held, rest = [x[-1:] for x in columns], [x[:-1][columns[4][:-1]] for x in columns[:4]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rest], names)
+        if held is not None and held[4][0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:4]], names)
+
+    names = ["h", "doc", "s", "n"]
+    dealt = rows.repartition("deal").select("h", "doc", "s", "n", "known").sortWithinPartitions("h", "doc", "s")
+    return dealt.mapInArrow(run, "h long, doc long, s int, n int")
 
 
 def suffix_order(data, wanted):
@@ -141,6 +162,8 @@ def suffix_order(data, wanted):
     at = np.where(rises | falls, np.arange(n), n)
     following = np.minimum.accumulate(at[::-1])[::-1]
     small = rises[following]
+    # The first position whose byte differs from the one here.
+    run_end = np.append(following + 1, n)
     place = np.flatnonzero(wanted[:n])
     # The next smaller-than-successor suffix after each wanted one, and all between, are what it is induced from.
     small_after = np.minimum.accumulate(np.where(small, np.arange(n), n)[::-1])[::-1]
@@ -176,14 +199,13 @@ def suffix_order(data, wanted):
     cut_induced = np.searchsorted(first_induced[by_bucket], np.arange(257))
     for c in range(256):
         todo = induced[by_bucket[cut_induced[c] : cut_induced[c + 1]]]
-        while len(todo):  # one turn, or more where a byte repeats
-            ready = (spot[todo + 1] >= 0) | (todo + 1 >= n)
-            now = todo[ready] if ready.any() else todo
-            now = now[np.argsort(spot[now + 1], kind="stable")]
+        if len(todo):
+            # c**k x with x below c: the fewer c the smaller, then by the place of x, which is known.
+            end = run_end[todo]
+            now = todo[np.lexsort((spot[end], end - todo))]
             spot[now] = filled + np.arange(len(now))
             filled += len(now)
             out.append(now)
-            todo = todo[~ready] if ready.any() else todo[:0]
         now = direct[cut_direct[c] : cut_direct[c + 1]]
         spot[now] = filled + np.arange(len(now))
         filled += len(now)
@@ -203,14 +225,25 @@ def packed_words(data):
     return packed
 
 
-def equal_neighbours(order, packed):
-    """Whether the common prefix of each position in the order and the one before reaches LENGTH."""
+def common_prefixes(order, packed):
+    """The length of the common prefix of each position in the order and the one before, LENGTH at most; 0 for the first."""
     import numpy as np
 
-    same = np.ones(max(0, len(order) - 1), bool)
-    for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
-        same &= packed[order[1:] + k] == packed[order[:-1] + k]
-    return np.append(False, same) if len(order) else same
+    found = np.zeros(len(order), np.int64)
+    open_ = np.arange(1, len(order))
+    for k in range(0, LENGTH, 8):
+        if not len(open_):
+            break
+        differ = packed[order[open_] + k] ^ packed[order[open_ - 1] + k]
+        same = differ == 0
+        high = differ[~same]
+        equal = np.zeros(len(high), np.int64)  # leading bytes that are equal
+        for byte in range(1, 8):
+            equal += high < (np.uint64(1) << np.uint64(64 - 8 * byte))
+        found[open_[~same]] = np.minimum(LENGTH, k + equal)
+        open_ = open_[same]
+    found[open_] = LENGTH
+    return found
 
 
 def window_classes(pieces: list[bytes], counts):
@@ -226,123 +259,180 @@ def window_classes(pieces: list[bytes], counts):
     wanted[starts[piece] + offset] = True
     order, packed = suffix_order(data, wanted)
     own = np.searchsorted(starts, order, "right") - 1
-    return own, order - starts[own], np.cumsum(~equal_neighbours(order, packed)) - 1, order, packed
+    return own, order - starts[own], np.cumsum(common_prefixes(order, packed) < LENGTH) - 1
+
+
+def successive(piece, offset, *same):
+    """Start and length of each run of successive offsets of a piece (with equal values of same)."""
+    import numpy as np
+
+    if not len(piece):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
+    for x in same:
+        new |= x[1:] != x[:-1]
+    begin = np.flatnonzero(np.append(True, new))
+    return begin, np.diff(np.append(begin, len(piece)))
 
 
-def compare(rows: DataFrame) -> DataFrame:
-    """Of rows h, part, parts, doc, s, n, bytes: kind 0, runs of windows (doc, s, n) that start earlier elsewhere, and
-    for hashes in several parts kind 2, the first of equal windows (doc, s) with its hash (a, b)."""
+def finer_names(raw: bytes, h: int, offsets, width: int):
+    """(gram position, name) of windows of a piece: windows share a name if the bytes that they have in common with all
+    windows as far from the gram (in steps of width) are equal."""
+    import numpy as np
+
+    from .shingles import mix
+
+    data = np.frombuffer(raw + b"\0" * 8, np.uint8)
+    grams = np.flatnonzero(gram_hashes(data[:-8]).view(np.int64) == h)
+    gram = grams[np.searchsorted(grams, offsets)]
+    step = (gram - offsets) // width
+    packed, at, length = packed_words(data), gram - step * width, LENGTH - width + 1
+    name = np.full(len(at), np.int64(h)).view(np.uint64) ^ mix(step.astype(np.uint64) + np.uint64(width << 32), 1)
+    for k in [*range(0, length - 7, 8), length - 8]:
+        name = mix(name, 0) ^ packed[at + k]
+    return gram, mix(name, 2).view(np.int64)
+
+
+def compare(rows: DataFrame, width: int) -> DataFrame:
+    """Of rows name, part, parts, h, doc, s, n, bytes: kind 0, runs of windows (doc, s, n) that start earlier elsewhere in
+    the part; and where a name has several parts kind 1, its first windows as rows for the next turn."""
     import numpy as np
     import pyarrow as pa
 
-    names = ["kind", "doc", "s", "n", "a", "b"]
-
-    def block(held: list) -> pa.RecordBatch:
-        doc = np.array([r[0] for r in held], np.int64)
-        s, counts = np.array([r[1] for r in held], np.int64), np.array([r[2] for r in held], np.int64)
-        split = np.array([r[3] > 1 for r in held], bool)
-        place = np.empty(len(held), np.int64)
-        place[np.lexsort((s, doc))] = np.arange(len(held))
-        own, offset, group, order, packed = window_classes([r[4] for r in held], counts)
-        key = (place[own] << 32) + offset
-        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-        first = np.repeat(np.minimum.reduceat(key, heads), np.diff(np.append(heads, len(key)))) if len(heads) else key
-        again = key != first
-        # Runs of windows to remove, in the order of piece and offset.
-        by = np.argsort(key[again], kind="stable")
-        piece, off = own[again][by], offset[again][by]
-        begins = np.append(True, (piece[1:] != piece[:-1]) | (off[1:] != off[:-1] + 1)) if len(piece) else np.zeros(0, bool)
-        begin = np.flatnonzero(begins)
-        runs = np.diff(np.append(begin, len(piece)))
-        left = np.flatnonzero(~again & split[own])
-        a, b = window_hash(packed, order[left])
-        columns = [
-            np.concatenate([np.zeros(len(begin), np.int32), np.full(len(left), 2, np.int32)]),
-            np.concatenate([doc[piece[begin]], doc[own[left]]]),
-            np.concatenate([s[piece[begin]] + off[begin], s[own[left]] + offset[left]]).astype(np.int32),
-            np.concatenate([runs, np.ones(len(left), np.int64)]).astype(np.int32),
-            np.concatenate([np.zeros(len(begin), np.int64), a]),
-            np.concatenate([np.zeros(len(begin), np.int64), b]),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+    names = ["kind", "name", "h", "doc", "s", "n", "bytes"]
+
+    def block(held: list) -> Iterator:
+        group, parts, h, doc, s, n = (np.concatenate([x[i] for x in held]) for i in range(6))
+        raw = [r for x in held for r in x[6]]
+        index: dict = {}
+        number = np.array([index.setdefault(r, len(index)) for r in raw])
+        order = np.lexsort((s, doc, number))
+        head = np.append(True, number[order][1:] != number[order][:-1])
+        first = order[head][np.cumsum(head) - 1]  # of each row in order, the first one with its bytes
+        again = (doc[order] != doc[first]) | (s[order] != s[first])
+        later, first = order[again], order[head]
+        yield removed(doc[later], s[later], np.abs(n[later]))
+        # Windows of one piece are all different, unless its gram is in it twice.
+        kinds = np.bincount(group[first], minlength=group.max() + 1)
+        sort = first[(kinds[group[first]] > 1) | (n[first] < 0) | (parts[first] > 1)]
+        if not len(sort):
+            return
+        sort = sort[np.lexsort((s[sort], doc[sort]))]
+        doc, s, h, parts, raw = doc[sort], s[sort], h[sort], parts[sort], [raw[i] for i in sort]
+        own, offset, same = window_classes(raw, np.abs(n[sort]))
+        key = (own << 32) + offset
+        heads = np.flatnonzero(np.append(True, same[1:] != same[:-1]))
+        # A window is a repeat if an equal one has a smaller (doc, start); pieces of one document may overlap.
+        spot = np.lexsort((s[own] + offset, doc[own]))
+        place = np.empty(len(key), np.int64)
+        place[spot] = np.cumsum(np.append(True, (np.diff(doc[own][spot]) != 0) | (np.diff((s[own] + offset)[spot]) != 0)))
+        repeat = place != np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(key))))
+        by = np.argsort(key[repeat], kind="stable")
+        piece, off = own[repeat][by], offset[repeat][by]
+        begin, length = successive(piece, off)
+        yield removed(doc[piece[begin]], s[piece[begin]] + off[begin], length)
+        left = np.flatnonzero(~repeat & (parts[own] > 1))
+        left = left[np.argsort(key[left], kind="stable")]
+        cuts = np.flatnonzero(np.diff(own[left])) + 1
+        for some in np.split(left, cuts):
+            if not len(some):
+                continue
+            i = own[some[0]]
+            gram, name = finer_names(raw[i], int(h[i]), offset[some], width)
+            begin, length = successive(own[some], offset[some], gram, name)
+            at = offset[some][begin]
+            columns = [
+                np.ones(len(at), np.int32), name[begin], np.full(len(at), h[i]), np.full(len(at), doc[i]), (s[i] + at).astype(np.int32), length.astype(np.int32),
+            ]
+            cut = [raw[i][a : a + m + LENGTH - 1] for a, m in zip(at.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(cut, pa.binary())], names)
+
+    def removed(doc, s, n) -> pa.RecordBatch:
+        none = pa.nulls(len(doc))
+        columns = [pa.array(np.zeros(len(doc), np.int32)), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(doc), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, none.cast(pa.binary())], names)
 
     def run(batches: Iterator) -> Iterator:
-        held, size, now = [], 0, None
+        held, size, number, now = [], 0, 0, None
         for batch in batches:
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            values = zip(*(batch.column(i).to_pylist() for i in (3, 4, 5, 2)), batch.column(6), strict=True)
-            for key, (doc, s, n, parts, raw) in zip(keys, values, strict=True):
-                if key != now and size >= BLOCK_BYTES:
-                    yield block(held)
-                    held, size = [], 0
-                if key == now and held and held[-1][:2] == (doc, s):
-                    continue  # a repeated row of this document
-                now, raw = key, raw.as_py()
-                held.append((doc, s, n, parts, raw))
-                size += len(raw)
+            if not batch.num_rows:
+                continue
+            name, part, parts, h, doc, s, n = (batch.column(i).to_numpy() for i in range(7))
+            raw = batch.column(7).to_pylist()
+            lengths = np.array([len(x) for x in raw])
+            starts = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (part[1:] != part[:-1])))
+            group = np.cumsum(np.bincount(starts, minlength=len(name)))
+            if now == (name[0], part[0]):
+                group -= 1  # it goes on from the batch before
+            group += number
+            done, total = 0, np.append(0, np.cumsum(lengths))
+            # A block ends with a group, once it has BLOCK_BYTES.
+            for a in starts.tolist():
+                if size + total[a] - total[done] >= BLOCK_BYTES and (a > 0 or now != (name[0], part[0])):
+                    if a > done:
+                        held.append(tuple(x[done:a] for x in (group, parts, h, doc, s, n, raw)))
+                    yield from relabelled(held)
+                    held, size, done = [], 0, a
+            held.append(tuple(x[done:] for x in (group, parts, h, doc, s, n, raw)))
+            size += int(total[-1] - total[done])
+            number, now = int(group[-1]), (name[-1], part[-1])
         if held:
-            yield block(held)
+            yield from relabelled(held)
 
-    dealt = rows.select("h", "part", "parts", "doc", "s", "n", "bytes").repartition("h", "part").sortWithinPartitions("h", "part", "doc", "s")
-    return dealt.mapInArrow(run, "kind int, doc long, s int, n int, a long, b long")
+    def relabelled(held: list) -> Iterator:
+        least = held[0][0][0]
+        yield from block([(x[0] - least, *x[1:]) for x in held])
 
+    dealt = rows.select("name", "part", "parts", "h", "doc", "s", "n", "bytes").repartition("name", "part").sortWithinPartitions("name", "part", "doc", "s")
+    return dealt.mapInArrow(run, "kind int, name long, h long, doc long, s int, n int, bytes binary")
 
-def window_hash(packed, at):
-    """A 128-bit hash of the LENGTH bytes at each position."""
-    import numpy as np
 
-    from .shingles import mix
-
-    a, b = np.full(len(at), 17, np.uint64), np.full(len(at), 31, np.uint64)
-    for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
-        a, b = mix(a, 0) ^ packed[at + k], mix(b, 2) + packed[at + k] * np.uint64(0x9E3779B97F4A7C15)
-    return mix(a, 1).view(np.int64), mix(b, 3).view(np.int64)
+def in_parts(rows: DataFrame, most: DataFrame) -> DataFrame:
+    """rows with part and parts: names of more than GROUP segments, or of too many bytes (most: name, parts), are split."""
+    rows = rows.join(most, "name", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc", "s"), F.col("parts")).cast("int"))
 
 
-def release(spark) -> None:
-    """Let Spark delete the shuffle files of finished jobs now, not when the driver happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def split_names(rows: DataFrame) -> DataFrame:
+    """name, parts of the names that need more than one part, of rows name, n."""
+    sums = rows.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.sum(F.abs("n") + LENGTH).alias("size"))
+    parts = F.ceil(F.greatest(F.col("m") / GROUP, F.col("size") / (2 * BLOCK_BYTES))).cast("int")
+    return common.saved(sums.select("name", parts.alias("parts")).filter("parts > 1"), "split")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc, s, e: byte ranges to remove, of rows doc, text with different texts."""
+    """doc, s, e: byte ranges to remove, of rows doc, text."""
     spark = docs.sparkSession
     common.small_batches(spark, ROWS)
-    found = common.saved(settle(segment_rows(docs)), "segments")
-    release(spark)
-    edges = found.filter("kind = 1").select("h", "doc", "s", "n")
-    often = edges.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > GROUP)
-    often = common.saved(often.select("h", F.ceil(F.col("m") / GROUP).cast("int").alias("parts")), "often")
-    edges = edges.join(often, "h", "left").select("h", "doc", "s", "n", F.coalesce("parts", F.lit(1)).alias("parts"))
-    edges = edges.withColumn("part", F.pmod(F.xxhash64("doc", "s"), F.col("parts")).cast("int"))
-    per_doc = edges.groupBy("doc").agg(F.collect_list(F.struct("h", "part", "parts", "s", "n")).alias("edges"))
+    found = common.saved(meeting(segment_rows(docs)).withColumnRenamed("h", "name"), "segments")
+    common.release(spark)
+    edges = in_parts(found, split_names(found))
+    per_doc = edges.groupBy("doc").agg(F.collect_list(F.struct("name", "part", "parts", "s", "n")).alias("edges"))
     located = per_doc.join(docs, "doc").select("doc", "edges", F.col("text").cast("binary").alias("raw"))
-    cut = located.select("doc", "raw", F.explode("edges").alias("x")).select("x.h", "x.part", "x.parts", "doc", "x.s", "x.n", F.expr("substring(raw, x.s + 1, x.n + 99)").alias("bytes"))
-    windows = common.saved(compare(cut), "windows")
-    release(spark)
-    first = windows.filter("kind = 2").groupBy("a", "b").agg(F.min(F.struct("doc", "s")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    later = windows.filter("kind = 2").join(first, ["a", "b"]).filter("doc <> first.doc OR s <> first.s")
-    parts = [found.filter("kind = 0"), windows.filter("kind = 0"), later]
-    ranges = [p.select("doc", "s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e")) for p in parts]
-    return ranges[0].unionByName(ranges[1]).unionByName(ranges[2])
+    cut = located.select("doc", "raw", F.explode("edges").alias("x"))
+    rows = cut.select("x.name", "x.part", "x.parts", F.col("x.name").alias("h"), "doc", "x.s", "x.n", F.expr("substring(raw, x.s + 1, abs(x.n) + 99)").alias("bytes"))
+    ranges, turn = None, 0
+    while True:
+        windows = common.saved(compare(rows, WIDTHS[min(turn, len(WIDTHS) - 1)]), "windows")
+        common.release(spark)
+        gone = windows.filter("kind = 0").select("doc", "s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e"))
+        ranges = gone if ranges is None else ranges.unionByName(gone)
+        first = windows.filter("kind = 1")
+        if first.limit(1).count() == 0:
+            return ranges
+        rows, turn = in_parts(first, split_names(first)), turn + 1
 
 
 def cut_rows(docs: DataFrame) -> DataFrame:
-    """n_removed, n_spans, kept of rows with text, ranges (array of s, e) and copy (all goes)."""
+    """n_removed, n_spans, kept of rows with text and ranges (array of s, e)."""
     import numpy as np
     import pyarrow as pa
 
     def run(batch) -> list:
         removed, spans, kept = [], [], []
-        columns = [batch.column(batch.schema.get_field_index(x)) for x in ("text", "ranges", "copy")]
-        for text, ranges, copy in zip(*columns, strict=True):
+        columns = [batch.column(batch.schema.get_field_index(x)) for x in ("text", "ranges")]
+        for text, ranges in zip(*columns, strict=True):
             raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            if copy.as_py():
-                removed.append(len(raw))
-                spans.append(int(len(raw) > 0))
-                kept.append(b"")
-                continue
             if not ranges.is_valid or not len(ranges.values):
                 removed.append(0)
                 spans.append(0)
@@ -370,18 +460,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     base = base.withColumn("n_bytes", F.octet_length("text").cast("long"))
     named = base.filter("doc_id IS NOT NULL")
     long = named.filter(F.col("n_bytes") >= LENGTH)
-    texts = long.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    firsts = texts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    firsts = common.saved(firsts.select("sha", "first"), "firsts")
-    copies = common.saved(texts.join(firsts, "sha").filter("doc_id <> first").select(F.col("doc_id").alias("doc")).distinct(), "copies")
-
-    unique = long.select(F.col("doc_id").alias("doc"), "text").join(copies, "doc", "left_anti")
-    ranges = repeated(unique).groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges"), F.lit(False).alias("copy"))
+    found = repeated(long.select(F.col("doc_id").alias("doc"), "text"))
+    ranges = common.saved(found.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
+    whole = named.join(ranges, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "n_bytes", "ranges")
     none = F.lit(None).cast("array<struct<s:int,e:int>>")
-    fate = ranges.unionByName(copies.select("doc", none.alias("ranges"), F.lit(True).alias("copy")))
-    whole = named.join(common.saved(fate, "ranges"), F.col("doc_id") == F.col("doc"), "left")
-    whole = whole.select("doc_id", "text", "n_bytes", "ranges", F.coalesce("copy", F.lit(False)).alias("copy"))
-    unnamed = base.filter("doc_id IS NULL").select("doc_id", "text", "n_bytes", none.alias("ranges"), F.lit(False).alias("copy"))
+    unnamed = base.filter("doc_id IS NULL").select("doc_id", "text", "n_bytes", none.alias("ranges"))
     return cut_rows(whole.unionByName(unnamed))
 
 

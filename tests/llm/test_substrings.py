@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -31,10 +33,10 @@ def passages(prose_text):
     return [*rows, (5, rows[3][1]), (6, rows[4][1]), (7, "a" * 900), (8, "ab" * 200), (9, "a" * 130), (10, "\0" * 300), (11, "z" * 99), (12, "z" * 99), (13, "xyz" * 40 + "Q" + "xyz" * 60), (14, "é" * 120)]
 
 
-@pytest.mark.parametrize(("group", "size"), [(3000, 512 * 1024), (3, 4000)])
-def test_equals_plain(spark, prose_text, monkeypatch, group, size):
-    monkeypatch.setattr(substrings, "GROUP", group)
-    monkeypatch.setattr(substrings, "BLOCK_BYTES", size)
+@pytest.mark.parametrize("settings", [{}, {"GROUP": 3, "BLOCK_BYTES": 4000, "PIECE": 50, "OFTEN": 2}])
+def test_equals_plain(spark, prose_text, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(substrings, name, value)
     rows = passages(prose_text)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r.doc_id: tuple(r)[1:] for r in substrings.digests(substrings.remove_repeats(docs)).collect()}
@@ -42,9 +44,9 @@ def test_equals_plain(spark, prose_text, monkeypatch, group, size):
 
 
 def test_awkward(awkward, nothing):
-    rows = [(r.doc_id, r.text) for r in awkward.filter("doc_id IS NULL OR doc_id <> 10").collect()]
+    rows = [(r.doc_id, r.text) for r in awkward.collect()]
     want = plain(rows)
-    got = substrings.digests(substrings.remove_repeats(awkward.filter("doc_id IS NULL OR doc_id <> 10"))).collect()
+    got = substrings.digests(substrings.remove_repeats(awkward)).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.n_removed == 0 if r.doc_id is None else tuple(r)[1:] == want[r.doc_id]
@@ -63,4 +65,14 @@ def test_suffix_order():
         order, packed = substrings.suffix_order(data, wanted)
         keys = [bytes(data[i : i + 100]) for i in order]
         assert keys == sorted(keys) and sorted(order.tolist()) == np.flatnonzero(wanted).tolist()
-        assert substrings.equal_neighbours(order, packed)[1:].tolist() == [a == b for a, b in zip(keys[:-1], keys[1:])]
+        shared = [len(os.path.commonprefix([a, b])) for a, b in zip(keys[:-1], keys[1:])]
+        assert substrings.common_prefixes(order, packed)[1:].tolist() == shared
+
+
+def test_long_runs(spark):
+    """Two megabytes of one character, and of a period of three, in linear time."""
+    rows = [(1, "a" * 2_000_000), (2, "abc" * 700_000), (3, "b" + "a" * 150)]
+    began = time.perf_counter()
+    got = {r.doc_id: tuple(r)[1:4] for r in substrings.digests(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert time.perf_counter() - began < 60
+    assert got == {1: (2_000_000, 1_999_999, 1), 2: (2_100_000, 2_099_997, 1), 3: (151, 150, 1)}

@@ -8,7 +8,7 @@ SCHEMA = "vec_id long, embedding array<float>, rank int, score string"
 
 
 def plain(rows, is_query, k, quantize):
-    usable = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(i, v) for i, v in rows if i is not None and v is not None and (quantize or v) and all(x is not None and np.isfinite(x) for x in v)]
     out = {}
     for q, a in usable:
         if not is_query(q):
@@ -28,7 +28,7 @@ def rows():
     data = [(i, rng.standard_normal(8).astype(np.float32).tolist()) for i in range(900)]
     common = rng.standard_normal(8).astype(np.float32).tolist()
     data += [(i, common) for i in range(900, 1100)]
-    return data + [(2000, None), (2001, []), (2002, [None] + [1.0] * 7), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (2005, [0.0] * 8), (None, common), (2006, [1.0, 2.0])]
+    return data + [(2000, None), (2001, []), (2002, [None] + [1.0] * 7), (2003, [float("nan")] * 8), (2004, [float("inf")] * 8), (2005, [0.0] * 8), (None, common), (2006, [1.0, 2.0]), (2020, [1.5, -2.0]), (2040, [0.5, 0.5]), (2050, [])]
 
 
 def table(spark, rows):
@@ -45,6 +45,22 @@ def test_exact_top_k(spark, rows, monkeypatch):
     assert got == {q: v for q, v in plain(rows, lambda i: i % 50 == 0, 10, True).items() if v}
 
 
+def test_large_components(spark):
+    rows = [(0, [3e6, 1.0]), (1, [2e6, -5.5]), (2, [-3e6, 0.25]), (3, [1.0, 2.0]), (4, [0.0, 2e12]), (100, [0.0, 1e-3]), (200, [1e290, 0.0, 0.0]), (201, [0.0, 1.0, 2.0])]
+    got = {}
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = lambda v: [int(np.floor(1024 * x)) if abs(x) < 1e15 else int(x) * 1024 for x in v]
+    want = {}
+    for q, a in rows:
+        if q % 100 == 0:
+            scored = [(-sum(x * y for x, y in zip(whole(a), whole(b))), i) for i, b in rows if i != q and len(a) == len(b)]
+            want[q] = [(i, -x) for x, i in sorted(scored)]
+    assert got == want
+    with pytest.raises(Exception, match="fit a long"):
+        topk.search(spark.createDataFrame([(0, [1e20]), (1, [1e20])], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect()
+
+
 def test_tree_boxes_cover_all_rows():
     points = np.random.default_rng(0).integers(-5, 5, (1000, 3))
     leaves = topk.build_tree(points, 16)
@@ -55,11 +71,13 @@ def test_ann_recall_and_ties(spark, rows, monkeypatch):
     monkeypatch.setattr(ann, "PART_ROWS", 100)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
     monkeypatch.setattr(ann, "QUERY_ROWS", 9)
-    own = [x for x in rows if x[0] != 2006]
+    own = rows
     want = plain([x for x in own if x[1] is None or any(x[1])], lambda i: i % 20 == 0, 20, False)
     got = {}
     for r in ann.search(table(spark, own), F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want = {q: v for q, v in want.items() if v}
+    assert got[2020] == want[2020] and got[2040] == want[2040]  # vectors of another length have their own index
     hits = [len({i for i, _ in got[q]} & {i for i, _ in v}) / len(v) for q, v in want.items()]
     assert np.mean(hits) >= 0.9 and set(got) == set(want)
     for found in got.values():
