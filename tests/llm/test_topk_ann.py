@@ -46,7 +46,7 @@ def test_exact_top_k(spark, rows, monkeypatch):
 
 
 def test_large_components(spark):
-    rows = [(0, [3e6, 1.0]), (1, [2e6, -5.5]), (2, [-3e6, 0.25]), (3, [1.0, 2.0]), (4, [0.0, 2e12]), (100, [0.0, 1e-3]), (200, [1e290, 0.0, 0.0]), (201, [0.0, 1.0, 2.0])]
+    rows = [(0, [3e6, 1.0]), (1, [2e6, -5.5]), (2, [-2.5e6, 0.25]), (3, [1.0, 2.0]), (4, [0.0, 2e12]), (100, [0.0, 1e-3]), (200, [1e290, 0.0, 0.0]), (201, [0.0, 1.0, 2.0])]
     got = {}
     for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=10).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
