@@ -11,15 +11,17 @@ different values different ones, and every pseudonym passes the validation that
     ip        dotted quads
     date      calendar dates of 1900 to 2099: yyyy-MM-dd, MM/dd/yyyy (else dd/MM/yyyy), dd.MM.yyyy
     email     the local part, letter by letter and digit by digit; the domain is kept
-    secret    access keys, and values after password=, token= and the like
+    secret    access keys with known prefixes, signed web tokens, and values after password=, token:, api-key= and the like,
+              up to white space, a quote, a comma or the like
 
 Numbers are one step of a walk over a product of two ranges, character strings over two halves; each of the ROUNDS adds
 a hash of one half to the other, which can be undone for any hash. Pseudonyms have the length of their originals, but
 for dotted quads. Texts are cut at the matches, the matches are mapped, and all is put together again in one row: no
 shuffle, no explode.
 
-Cases: a null text stays null and an empty one empty; texts of any length are read whole; values that fail validation
-stay as they are; repeated rows give repeated results; other columns, whatever their names, are kept as they are, but
+Cases: a null text stays null and an empty one empty; texts and values of any length are read whole, in a time that grows
+with their length; where two kinds could begin at one place, the first in the order of PATTERNS is taken; values that fail
+validation stay as they are; repeated rows give repeated results; an empty table gives an empty table; other columns, whatever their names, are kept as they are, but
 for those the operator writes (text, n_values, kinds).
 """
 
@@ -48,7 +50,8 @@ ACCOUNTS = "|".join(rf"(?:{c.replace(' ', '|')})\d\d(?: ?[A-Z0-9]{{4}}){{{n // 4
 OTHER = r"(?:19|20)\d\d-\d\d-\d\d(?![\w\-])|\d\d/\d\d/\d|\d{1,3}\.\d|\d{3}-\d\d-\d{4}(?![\w\-])|\d{3}-\d{3}-\d{4}(?![\w\-])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
-    "secret": r"\bAKIA[A-Z0-9]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,256}",
+    "secret": r"\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{16,}+|\bsk-[A-Za-z0-9_\-]{16,}+|\beyJ[A-Za-z0-9_\-]{5,}+\.[A-Za-z0-9_\-]{5,}+\.[A-Za-z0-9_\-]{5,}+"
+    r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>,;(){}\[\]]{7,}[^\s\"'<>,;(){}\[\].!?:]",
     # The length of the country; others as far as the groups go.
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d\d)(?:(?:{ACCOUNTS})|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)",
@@ -59,8 +62,10 @@ PATTERNS = {
     "card": rf"(?<![\w.])\d(?:(?:[ \-](?!{OTHER}))?\d){{12,199}}(?!\w)",
 }
 ANY = "|".join(PATTERNS.values())
+#: How the digits of cards are written.
+CARD_FORM = r"^(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ \-])\d{6}\2\d{4,5}|\d{4}(?:[ \-]\d{3}){3})$"
 #: What a match of any kind has: an e-mail's sign, a secret's mark or prefix, a digit in all others.
-NEEDED = "[0-9@=:]|AKIA"
+NEEDED = "[0-9@=:]|AKIA|gh[pousr]_|sk-|eyJ"
 #: Day and month of dates that can only be read day first, without 29 February.
 DAY_FIRST = [f"{d:02d}/{m:02d}" for m in range(1, 13) for d in range(13, calendar.monthrange(2001, m)[1] + 1)]
 LEAP_YEARS = [y for y in range(1900, 2100) if calendar.isleap(y)]
@@ -91,26 +96,46 @@ def permute_pair(key: str, kind: str, u: Column, v: Column, a: int, b: int) -> C
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn)
 
 
+#: Character classes that pseudonyms keep: first and last character, and two factors of the size.
+CLASSES = (("0", "9", 2, 5), ("a", "z", 2, 13), ("A", "Z", 2, 13))
+HEX_CLASSES = (("0", "9", 2, 5), ("a", "f", 2, 3))
+
+
+def permute_char(key: str, kind: str, char: Column, classes) -> Column:
+    """A keyed permutation of each character class."""
+    out = char
+    for first, last, a, b in classes:
+        index, start, width = F.ascii(char) - ord(first), F.lit(ord(first)), F.lit(b)
+        pair = permute_pair(key, f"{kind} {first}", F.floor(index / b), index % b, a, b)
+        place = let(pair, lambda p: p["u"] * width + p["v"] + start)
+        out = F.when(char.between(first, last), F.chr(place)).otherwise(out)
+    return out
+
+
 def permute_text(key: str, kind: str, text: Column, hexadecimal: bool = False) -> Column:
     """A keyed permutation of the strings with the same character classes at the same places."""
-    letters = 6 if hexadecimal else 26
+    classes = HEX_CLASSES if hexadecimal else CLASSES
 
     def shifted(part: Column, other: Column, i: Column) -> Column:
-        def one(c: Column, j: Column) -> Column:
-            by, code = digest(key, F.lit(kind), i, j, other, digits=8), F.ascii(c)
+        def one(c: Column, j: Column, seed: Column) -> Column:
+            by, code = digest(key, F.lit(kind), i, j, seed, digits=8), F.ascii(c)
             out = c
-            for first, last, size in (("0", "9", 10), ("a", "f" if hexadecimal else "z", letters), ("A", "Z", 26)):
-                out = F.when(c.between(first, last), F.chr(F.lit(ord(first)) + (code - ord(first) + by) % size)).otherwise(out)
+            for first, last, a, b in classes:
+                out = F.when(c.between(first, last), F.chr(F.lit(ord(first)) + (code - ord(first) + by) % (a * b))).otherwise(out)
             return out
 
-        return F.when(part == "", part).otherwise(F.array_join(F.transform(F.split(part, ""), one), ""))
+        # One digest of the other half serves all characters.
+        each = let(digest(key, F.lit(kind), i, other), lambda seed: F.transform(F.split(part, ""), lambda c, j: one(c, j, seed)))
+        return F.when(part == "", part).otherwise(F.array_join(each, ""))
 
     def turn(state: Column, i: Column) -> Column:
         half = F.floor(F.length(state) / 2).cast("int")
         left, right = F.substring(state, F.lit(1), half), F.substring(state, half + 1, F.length(state))
         return F.when(i % 2 == 0, F.concat(shifted(left, right, i), right)).otherwise(F.concat(left, shifted(right, left, i)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), text, turn)
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), text, turn)
+    # A single character has no halves.
+    return F.when(F.length(text) == 1, permute_char(key, kind, text, classes)).otherwise(whole)
 
 
 def digits_of(text: Column) -> Column:
@@ -137,7 +162,7 @@ def card(key: str, hit: Column) -> Column:
     d = digits_of(hit)
     body = F.concat(F.substring(d, 1, 1), permute_text(key, "card", F.substring(d, F.lit(2), F.length(d) - 2)))
     new = let(body, lambda b: F.concat(b, ((10 - luhn(b, 0)) % 10).cast("string")))
-    return F.when(F.length(d).between(13, 19) & (luhn(d, 1) == 0), let(new, lambda n: put_back(hit, n, "0-9")))
+    return F.when(F.length(d).between(13, 19) & hit.rlike(CARD_FORM) & (luhn(d, 1) == 0), let(new, lambda n: put_back(hit, n, "0-9")))
 
 
 def values_within(make, hit: Column, group: str, starts: int | None = None) -> Column:
@@ -243,7 +268,7 @@ def email(key: str, hit: Column) -> Column:
 
 
 def secret(key: str, hit: Column) -> Column:
-    fixed = F.regexp_extract(hit, r"^(?:AKIA(?=[A-Z0-9]{16}$)|[A-Za-z_]+\s*[=:]\s*[\"']?)", 0)
+    fixed = F.regexp_extract(hit, r"^(?:AKIA(?=[A-Z0-9]{16}$)|gh[pousr]_|sk-|eyJ(?=[A-Za-z0-9_\-]+\.)|[A-Za-z_\-]+\s*[=:]\s*[\"']?)", 0)
     rest = F.substring(hit, F.length(fixed) + 1, F.length(hit))
     return F.concat(fixed, F.when(rest.rlike("^[0-9a-f]+$"), permute_text(key, "hex", rest, hexadecimal=True)).otherwise(permute_text(key, "secret", rest)))
 
@@ -251,7 +276,7 @@ def secret(key: str, hit: Column) -> Column:
 MAKERS = {"email": email, "secret": secret, "iban": iban, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
 #: How to tell the kinds of hits apart, in the order of PATTERNS.
 SHAPES = {
-    "email": "@", "secret": r"[=:]|^AKIA[A-Z0-9]{16}$", "iban": "^[A-Z]", "ip": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
+    "email": r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+$", "secret": r"[=:]|^AKIA[A-Z0-9]{16}$|^gh[pousr]_|^sk-|^eyJ", "iban": "^[A-Z]", "ip": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
     "date": r"^(\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4}|\d\d\.\d\d\.\d{4})$", "ssn": r"^\d{3}-\d\d-\d{4}$", "phone": r"^[+(]|^\d{3}[ .\-]\d{3}[ .\-]\d{4}$", "card": "",
 }
 

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import re
 
 from blockloom.llm import pii
@@ -98,3 +99,88 @@ def test_values_beside_other_groups(spark):
     assert re.fullmatch(r"iban ES\d\d( \d{4}){5} 2024", t[5]) and es not in t[5] and t[6] == f"iban {t[5][5:-5].replace(' ', '')} EUR"
     assert t[7].startswith(t[5][5:-5]) and de not in t[7] and t[8].startswith(same) and "2024-01-02" not in t[8]
     assert "123-45-6789" not in t[9] and t[10] == f"{t[5][5:-5]} {same}"
+
+
+def digest(key, *parts, digits=12):
+    return int(hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()[:digits], 16)
+
+
+def plain_pair(key, kind, u, v, a, b, back=False):
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        sign = -1 if back else 1
+        if i % 2 == 0:
+            u = (u + sign * digest(key, kind, i, v) % a) % a
+        else:
+            v = (v + sign * digest(key, kind, i, u) % b) % b
+    return u, v
+
+
+CLASSES = (("0", "9", 2, 5), ("a", "z", 2, 13), ("A", "Z", 2, 13))
+
+
+def plain_text(key, kind, text, back=False):
+    if len(text) == 1:
+        for first, last, a, b in CLASSES:
+            if first <= text <= last:
+                u, v = plain_pair(key, f"{kind} {first}", *divmod(ord(text) - ord(first), b), a, b, back)
+                return chr(ord(first) + u * b + v)
+        return text
+    half, sign = len(text) // 2, -1 if back else 1
+
+    def shifted(part, other, i):
+        seed, out = digest(key, kind, i, other), ""
+        for j, c in enumerate(part):
+            for first, last, a, b in CLASSES:
+                if first <= c <= last:
+                    c = chr(ord(first) + (ord(c) - ord(first) + sign * digest(key, kind, i, j, seed, digits=8)) % (a * b))
+                    break
+            out += c
+        return out
+
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        left, right = text[:half], text[half:]
+        text = shifted(left, right, i) + right if i % 2 == 0 else left + shifted(right, left, i)
+    return text
+
+
+def test_equals_plain_feistel_and_its_inverse(spark):
+    texts = ["a", "Z", "7", ".", "ab", "x1", "Jo.Smith+7", "swordfish", "A" * 41, "0" * 20, "é9-Z", "token" * 300]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", pii.permute_text("k", "email", pii.F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [plain_text("k", "email", t) for t in texts] and [plain_text("k", "email", t, back=True) for t in got] == texts
+    rows = spark.range(300).selectExpr("id", "id % 30 AS u", "id * 7 % 91 AS v").select("u", "v", pii.permute_pair("k", "ssn", pii.F.col("u"), pii.F.col("v"), 30, 91).alias("p")).collect()
+    assert all(plain_pair("k", "ssn", r.u, r.v, 30, 91) == tuple(r.p) and plain_pair("k", "ssn", *r.p, 30, 91, back=True) == (r.u, r.v) for r in rows)
+    mails = changed(spark, ["to a@x.org", "to b@x.org and jo@x.org", "ip 10.1.2.3", "ssn 123-45-6789"])
+    assert mails[0].text == f"to {plain_text('k', 'email', 'a')}@x.org" and mails[1].text == f"to {plain_text('k', 'email', 'b')}@x.org and {plain_text('k', 'email', 'jo')}@x.org"
+    u, v = plain_pair("k", "ip", 10 * 256 + 1, 2 * 256 + 3, 1 << 16, 1 << 16)
+    assert mails[2].text == f"ip {u >> 8}.{u & 255}.{v >> 8}.{v & 255}"
+    u, v = plain_pair("k", "ssn", 122, 44 * 9999 + 6788, 898, 99 * 9999)
+    assert mails[3].text == f"ssn {u + 2 if u >= 665 else u + 1:03d}-{v // 9999 + 1:02d}-{v % 9999 + 1:04d}"
+
+
+def test_single_characters_are_permuted(spark):
+    rows = changed(spark, [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"])
+    out = [rows[i].text[0] for i in range(26)]
+    assert sorted(out) == list("abcdefghijklmnopqrstuvwxyz") and len({(ord(c) - 97 - i) % 26 for i, c in enumerate(out)}) > 5
+
+
+def test_whole_secrets(spark):
+    long, jwt = "aB3" * 334, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    texts = [f"token={long} end", f"token={jwt}, x", f"Bearer {jwt}.", "api-key: abcdefgh12.", "ghp_abcdefghijklmnopqrst0123456789", "sk-abcdefghijklmnop0123", "password=Pa$$w0rd!x\ttoken='quo.ted!val ue'", "123456789 123 45 6789"]
+    rows = changed(spark, texts)
+    t = [rows[i].text for i in range(len(texts))]
+    assert [len(x) for x in t] == [len(x) for x in texts] and t[7] == texts[7]
+    for x, bits in zip(t, ([long[-40:], long[:40]], jwt.split("."), jwt.split("."), ["abcdefgh"], ["mnopqrst"], ["ijklmnop"], ["Pa$$w0rd", "quo.ted!"])):
+        assert not any(b in x for b in bits), x
+    assert t[0].startswith("token=") and t[0].endswith(" end") and t[1].endswith(", x") and t[3].endswith(".") and t[6].endswith(" ue'")
+
+
+def test_awkward_rows_with_personal_data(spark):
+    rows = [(1, "me@x.org 10.1.2.3", "a", "t", None), (1, "me@x.org 10.1.2.3", "a", "t", None), (2, None, None, None, 3), (None, "10.1.2.3", "b", None, 4), (3, "", "c", "k", 5)]
+    rows.append((4, "x " * 50_000 + "10.1.2.3 " + "me@x.org " * 3, None, None, None))
+    out = pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string, kinds string, hits string, n_chars long"), "k").collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append((r.text, r.n_values, r.kinds, r.hits))
+    mail, ip = by[1][0][0].split()
+    assert by[1][0] == by[1][1] == (f"{mail} {ip}", 2, "email,ip", "t") and by[2] == [(None, 0, "", None)] and by[3] == [("", 0, "", "k")]
+    assert by[None] == [(ip, 1, "ip", None)] and by[4][0][0] == "x " * 50_000 + f"{ip} " + f"{mail} " * 3 and by[4][0][1] == 4
