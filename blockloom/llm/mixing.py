@@ -9,10 +9,12 @@ solve it over a table of (source, size, documents), which is all that the dual n
 Rates are then rounded to copies: floor(r + u), u from a hash of doc_id and text. The rounding's error in a source is
 undone by shifting u for the documents that are nearest to flipping, found from a histogram of those distances.
 
-What is held on the driver is one row per source, as the weights that a user states are. Documents are never collected.
+Sources, their targets and multipliers are tables, too, so there may be any number of sources (hosts, say); the driver sees
+sums and counts alone. Newton steps go on until every source is solved, or its bracket has no number left inside.
 
 Cases: a null source is a source of its own, the last one; null or empty texts have size 0 and are taken once where
-their source is not stopped at 0; sources without words get target 0; repeated rows round alike; an empty table gives an
+their source is not stopped at 0; very long texts have large sizes, and are otherwise like others; sources without words get
+target 0; sources of equal size are told apart by their order alone; repeated rows round alike; an empty table gives an
 empty table; only doc_id, source and text are read, so other columns don't matter.
 """
 
@@ -54,34 +56,69 @@ def rate(lam, x):
     return F.lit(float(CAP)) / (1 + (CAP - 1) * F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), lam * x))))
 
 
-def solve(histogram: DataFrame, sources: dict, steps: int = 40) -> dict[str, float]:
-    """The multiplier of each source: bracketed Newton steps on all sources at once."""
-    spark = histogram.sparkSession
-    lam = {s: 0.0 for s in sources}
-    low, high = dict.fromkeys(sources, -math.inf), dict.fromkeys(sources, math.inf)
-    open_ = {s for s, v in sources.items() if v["size"] > 0 and 0 < v["target"] < CAP * v["size"] * (1 - 1e-9)}
-    for s, v in sources.items():
-        if s not in open_:
-            lam[s] = 1e300 if v["size"] > 0 and v["target"] > 0 else 0.0
-    for _ in range(steps):
-        if not open_:
-            break
-        state = spark.createDataFrame([(s, lam[s], sources[s]["mean"]) for s in sorted(open_)], "key string, lam double, mean double")
-        joined = histogram.join(F.broadcast(state), "key").withColumn("x", F.col("size") / F.col("mean"))
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with rank, from 0, by key in code point order, without bringing them to one task."""
+    task = F.spark_partition_id()
+    place = F.monotonically_increasing_id() - F.shiftleft(task.cast("long"), 33)
+    dealt = common.saved(sources.repartitionByRange("key").sortWithinPartitions("key").withColumn("task", task).withColumn("place", place), "ranked")
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    offsets = dealt.groupBy("task").agg(F.count(F.lit(1)).alias("rows")).select("task", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    return dealt.join(offsets, "task").withColumn("rank", F.col("offset") + F.col("place")).drop("task", "place", "offset")
+
+
+def with_targets(sources: DataFrame, weights: tuple[float, ...], cap: float = CAP) -> DataFrame:
+    """Rows key, size, n with their target: as targets(), over a table of sources."""
+    order = F.array(*[F.lit(float(w)) for w in weights])
+    state = common.saved(ranked(sources).withColumn("weight", F.get(order, (F.col("rank") % len(weights)).cast("int"))).withColumn("target", F.lit(None).cast("double")), "targets")
+    while True:
+        free = F.col("target").isNull()
+        left, weight = state.agg(F.sum(F.col("size").cast("double")) - F.coalesce(F.sum("target"), F.lit(0.0)), F.sum(F.when(free, F.col("weight")))).first()
+        if weight is None:
+            return state
+        share = F.lit(left) * F.col("weight") / F.lit(weight)
+        full = state.withColumn("target", F.when(free & (share > cap * F.col("size")), cap * F.col("size").cast("double")).otherwise(F.col("target")))
+        full = common.saved(full, "targets")
+        if full.filter(free).count() == state.filter(free).count():
+            out = common.saved(full.withColumn("target", F.coalesce("target", share)), "targets")
+            common.drop(state, full)
+            return out
+        common.drop(state)
+        state = full
+
+
+def solve(histogram: DataFrame, sources: DataFrame) -> DataFrame:
+    """sources (key, size, n, target) with mean and lam, the multiplier: bracketed Newton steps on all sources at once."""
+    target, size = F.col("target"), F.col("size")
+    open_ = (size > 0) & (target > 0) & (target < CAP * size * (1 - 1e-9))
+    start = F.when(~open_ & (size > 0) & (target > 0), 1e300).otherwise(0.0)
+    state = sources.select(
+        "key", "size", "target", F.greatest(F.lit(1e-9), size / F.col("n")).alias("mean"), start.alias("lam"),
+        F.lit(-math.inf).alias("low"), F.lit(math.inf).alias("high"), open_.alias("open"),
+    )
+    state = common.saved(state, "state")
+    while state.filter("open").limit(1).count():
+        joined = histogram.withColumnRenamed("size", "words").join(state.filter("open").select("key", "lam", "mean"), "key").withColumn("x", F.col("words") / F.col("mean"))
         r = rate(F.col("lam"), F.col("x"))
-        words = F.col("n") * F.col("size")
-        sums = joined.groupBy("key").agg(F.sum(words * r).alias("g"), F.sum(words * F.col("x") * r * (1 - r / CAP)).alias("h")).collect()
-        for s, g, h in sums:
-            off = g - sources[s]["target"]
-            if abs(off) <= 1e-9 * sources[s]["target"] + 1e-6:
-                open_.discard(s)
-                continue
-            low[s], high[s] = (lam[s], high[s]) if off < 0 else (low[s], lam[s])
-            to = lam[s] - off / h if h > 0 else math.nan
-            if not low[s] < to < high[s]:  # outside the bracket: halve it, or widen an open one
-                to = (low[s] + high[s]) / 2 if math.isfinite(low[s] + high[s]) else lam[s] * 2 + (1 if off < 0 else -1)
-            lam[s] = to
-    return lam
+        words = F.col("n") * F.col("words")
+        sums = joined.groupBy("key").agg(F.sum(words * r).alias("g"), F.sum(words * F.col("x") * r * (1 - r / CAP)).alias("h"))
+        lam, off = F.col("lam"), F.col("g") - F.col("target")
+        now = state.join(sums, "key", "left").withColumn("off", off)
+        now = now.withColumn("low", F.when(F.col("off") < 0, lam).otherwise(F.col("low"))).withColumn("high", F.when(F.col("off") > 0, lam).otherwise(F.col("high")))
+        low, high = F.col("low"), F.col("high")
+        newton = F.when(F.col("h") > 0, lam - F.col("off") / F.col("h"))
+        inside = newton.isNotNull() & (newton > low) & (newton < high)
+        closed = (low > -math.inf) & (high < math.inf)
+        # Outside the bracket: halve it, or widen an open one.
+        to = F.when(inside, newton).when(closed, (low + high) / 2).otherwise(lam * 2 + F.when(F.col("off") < 0, 1.0).otherwise(-1.0))
+        done = (F.abs(F.col("off")) <= 1e-9 * F.col("target") + 1e-6) | (closed & ((to <= low) | (to >= high))) | (F.abs(to) > 1e6)
+        now = now.withColumn("done", F.coalesce(done, F.lit(True))).withColumn("to", to)
+        after = now.select(
+            "key", "size", "target", "mean", F.when(F.col("open") & ~F.col("done"), F.col("to")).otherwise(lam).alias("lam"), "low", "high", (F.col("open") & ~F.col("done")).alias("open"),
+        )
+        after = common.saved(after, "state")
+        common.drop(state)
+        state = after
+    return state
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -89,7 +126,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, id_col: str = "do
 
     keep: input columns to return besides.
     """
-    spark = docs.sparkSession
     # Duplicate names with other meanings: the operator's own columns replace the input's.
     extra = [c for c in keep or [] if c not in (id_col, "size", "source_size", "target", "copies", "taken")]
     sized = docs.select(
@@ -98,35 +134,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, id_col: str = "do
     )
     sized = common.saved(sized, "sized")
     histogram = common.saved(sized.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    found = sorted(histogram.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("size"), F.sum("n").alias("n")).collect(), key=lambda r: r["key"].encode())
-    goals = targets([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))])
-    sources = {r["key"]: {"size": r["size"], "target": t, "mean": max(1e-9, r["size"] / r["n"])} for r, t in zip(found, goals, strict=True)}
-    lam = solve(histogram, sources)
-
-    # One row per source, as many as weights were stated for.
-    schema = "key string, source_size long, target double, lam double, mean double"
-    state = spark.createDataFrame([(s, v["size"], v["target"], lam[s], v["mean"]) for s, v in sources.items()], schema)
-    rated = sized.join(F.broadcast(state), "key")
+    found = histogram.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("size"), F.sum("n").alias("n"))
+    state = solve(histogram, with_targets(found, weights))
+    rated = sized.join(state.select("key", F.col("size").alias("source_size"), "target", "lam", "mean"), "key")
     full = F.col("lam") > 1e200
     r = F.when(full, F.lit(float(CAP))).when(F.col("size") == 0, F.lit(1.0)).otherwise(rate(F.col("lam"), F.col("size") / F.col("mean")))
     rated = rated.withColumn("r", r).withColumn("copies", F.least(F.lit(CAP), F.floor(F.col("r") + F.col("u"))).cast("int"))
     part = F.col("r") + F.col("u") - F.floor(F.col("r") + F.col("u"))
     rated = rated.withColumn("up", F.when((F.col("copies") < CAP) & (F.col("size") > 0) & ~full, F.floor((1 - part) * BINS).cast("int")))
     rated = rated.withColumn("down", F.when((F.col("copies") > 0) & (F.col("size") > 0) & ~full, F.floor(part * BINS).cast("int")))
-    shift = common.saved(shifts(rated, sources, spark), "shifts")
-    rated = rated.join(F.broadcast(shift), "key", "left")
+    shift = common.saved(shifts(rated), "shifts")
+    rated = rated.join(shift, "key", "left")
     step = F.when(F.col("up") < F.col("up_to"), 1).when(F.col("down") < F.col("down_to"), -1).otherwise(0)
     copies = (F.col("copies") + step).cast("int")
     return rated.select(id_col, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *extra)
 
 
-def shifts(rated: DataFrame, sources: dict, spark) -> DataFrame:
+def shifts(rated: DataFrame) -> DataFrame:
     """Per source, how many bins of documents to flip up or down so that its words come nearest to the target."""
-    taken = {r[0]: r[1] for r in rated.groupBy("key").agg(F.sum(F.col("copies") * F.col("size"))).collect()}
-    off = spark.createDataFrame([(s, float(v["target"]) - float(taken.get(s) or 0)) for s, v in sources.items()], "key string, off double")
+    off = rated.groupBy("key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("off"))
     side = F.when(F.col("off") > 0, F.col("up")).otherwise(F.col("down"))
     # At most BINS rows for each source.
-    bins = rated.select("key", "up", "down", "size").join(F.broadcast(off), "key").groupBy("key", "off", side.alias("bin")).agg(F.sum("size").alias("words")).filter("bin IS NOT NULL")
+    bins = rated.select("key", "up", "down", "size").join(off, "key").groupBy("key", "off", side.alias("bin")).agg(F.sum("size").alias("words")).filter("bin IS NOT NULL")
     run = Window.partitionBy("key").orderBy("bin")
     bins = bins.withColumn("left", F.abs(F.abs(F.col("off")) - F.sum("words").over(run)))
     best = bins.groupBy("key", "off").agg(F.min(F.struct("left", "bin")).alias("b")).filter(F.col("b.left") < F.abs(F.col("off")))

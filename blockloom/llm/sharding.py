@@ -5,11 +5,12 @@ multivariate hypergeometric law that a uniform permutation of all rows implies:
 Then each block permutes its rows and deals them out by the drawn counts, rows are exchanged, and each shard permutes
 what it got. All of it is DataFrame operations: sorts by keyed hashes permute, running sums turn counts into positions.
 
-Blocks grow with the table, so no window holds more than about BLOCK_ROWS rows; MOST_BLOCKS bounds the matrix that is
-broadcast. A shard is permuted in buckets drawn by a keyed hash, whose sizes are added up, so no task sorts a shard.
+Blocks grow in number with the table, so a window holds about BLOCK_ROWS rows; MOST_BLOCKS bounds the matrix that is
+broadcast, so above MOST_BLOCKS * BLOCK_ROWS rows the blocks grow in size (Spark sorts a window's rows on disk then). A
+shard is permuted in buckets drawn by a keyed hash, whose sizes are added up, so no task sorts a shard.
 
-Cases: a null text has size 1 and the checksum of no bytes; rows that repeat an id in full are told apart by the texts'
-checksums and otherwise interchangeable; a null id is an id like any other; with fewer rows than shards some shards are
+Cases: a null text has size 1 and the checksum of no bytes; very long texts are read whole and carried as their size and
+checksum; rows that repeat an id and text in full are interchangeable, and spread by their place in the table; a null id is an id like any other; with fewer rows than shards some shards are
 empty; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -80,10 +81,13 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 17, id_col: str =
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    keyed = F.xxhash64("doc_id", "text_crc32", "size")
-    rows = common.saved(rows, "sizes")
+    rows = common.saved(rows.withColumn("name", F.xxhash64("doc_id", "text_crc32", "size")).withColumn("own", F.monotonically_increasing_id()), "sizes")
+    # Rows that repeat get a number of their own, so that many of them don't lie in one block.
+    often = common.saved(rows.groupBy("name").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("name", F.lit(True).alias("again")), "often")
+    rows = rows.join(often, "name", "left").withColumn("name", F.when(F.col("again"), F.xxhash64("name", "own")).otherwise(F.col("name"))).drop("own", "again")
+    keyed = F.col("name")
     blocks = max(shards, min(MOST_BLOCKS, -(-rows.count() // BLOCK_ROWS)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed)), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(keyed, F.lit(seed)), F.lit(blocks)).cast("int"))
 
     counts = dict(rows.groupBy("block").count().collect())  # one number per block: MOST_BLOCKS at most
     sizes = [counts.get(b, 0) for b in range(blocks)]
@@ -95,7 +99,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 17, id_col: str =
     permuted = Window.partitionBy("block").orderBy(F.xxhash64(keyed, F.lit(seed + 1)), "doc_id", "text_crc32")
     dealt = rows.withColumn("place", F.row_number().over(permuted)).join(F.broadcast(plan), "block")
     shard = F.size(F.filter("ends", lambda e: e < F.col("place")))
-    dealt = dealt.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64(keyed, F.lit(seed + 2)), F.lit(blocks)).cast("int").alias("bucket"))
+    dealt = dealt.select("doc_id", "size", "text_crc32", "name", shard.alias("shard"), F.pmod(F.xxhash64(keyed, F.lit(seed + 2)), F.lit(blocks)).cast("int").alias("bucket"))
     dealt = common.saved(dealt, "dealt")
 
     inside = Window.partitionBy("shard", "bucket").orderBy(F.xxhash64(keyed, F.lit(seed + 3)), "doc_id", "text_crc32")

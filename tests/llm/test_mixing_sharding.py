@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -81,3 +82,60 @@ def test_matrix_is_exact_and_hypergeometric():
 
 def test_shuffle_empty(nothing):
     assert sharding.shuffle(nothing).count() == 0
+
+
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 100)
+    docs = spark.range(2000).selectExpr("CASE WHEN id < 900 THEN 7 ELSE id END AS doc_id", "CASE WHEN id < 900 THEN 'same' ELSE 'other' END AS text").repartition(6)
+    rows = sharding.shuffle(docs).collect()
+    check_slots(rows, 16)
+    shards = Counter(r["shard"] for r in rows if r.doc_id == 7)
+    assert len(rows) == 2000 and len(shards) == 16 and max(shards.values()) < 100
+
+
+def test_mix_equals_a_plain_solver(spark):
+    rng = random.Random(8)
+    docs = [(i, "w " * int(rng.paretovariate(1.2) * 3), rng.choice(["b", "a", "é", None, "Z"])) for i in range(400)] + [(1000, "", "a"), (1001, None, "b"), (1002, "w " * 300, "Z")]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    keys = sorted({s for _, _, s in docs}, key=lambda s: (s is None, (s or "").encode()))
+    sizes = {k: [len((t or "").split()) for _, t, s in docs if s == k] for k in keys}
+    goals = dict(zip(keys, mixing.targets([sum(sizes[k]) for k in keys], [mixing.WEIGHTS[i % 3] for i in range(len(keys))])))
+    of = {i: s for i, _, s in docs}
+    for r in rows:
+        assert r.source_size == sum(sizes[of[r.doc_id]]) and abs(r.target - goals[of[r.doc_id]]) <= 1e-6 * r.target
+    for k in keys:
+        if goals[k] >= 3 * sum(sizes[k]):
+            assert all(r.copies == 3 for r in rows if of[r.doc_id] == k and r["size"])
+            continue
+        mean = sum(sizes[k]) / len(sizes[k])
+        rate = lambda lam, n: 3 / (1 + 2 * math.exp(-max(-700.0, min(700.0, lam * n / mean))))  # noqa: E731, B023
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (lam, high) if sum(n * rate(lam, n) for n in sizes[k]) < goals[k] else (low, lam)
+        off = [abs(r.copies - rate(lam, r["size"])) for r in rows if of[r.doc_id] == k and r["size"]]
+        assert sum(x < 1 + 1e-6 for x in off) >= 0.9 * len(off) and max(off) < 2  # rounded, and a few shifted by one
+
+
+def test_mix_has_any_number_of_sources(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 9 AS INT)) AS text", "concat('host', id % 700) AS source")
+    rows = mixing.mix(docs).collect()
+    keys = sorted({f"host{i % 700}" for i in range(3000)})
+    sizes = Counter()
+    for i in range(3000):
+        sizes[f"host{i % 700}"] += 1 + i % 9
+    goals = dict(zip(keys, mixing.targets([sizes[k] for k in keys], [mixing.WEIGHTS[i % 3] for i in range(700)])))
+    assert len(rows) == 3000 and all(abs(r.target - goals[f"host{r.doc_id % 700}"]) < 1e-6 * r.target for r in rows)
+
+
+def test_plain_matrix_and_slots(spark):
+    """The shards of a run follow from the drawn matrix: block by block, counts are those of the matrix."""
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    rows = sharding.shuffle(docs, seed=4).collect()
+    check_slots(rows, 16)
+    name = spark.createDataFrame([(r.doc_id, r["size"], r.text_crc32) for r in rows], "doc_id long, size long, text_crc32 long")
+    blocks = {r.doc_id: r.block for r in name.selectExpr("doc_id", "pmod(xxhash64(xxhash64(doc_id, text_crc32, size), 4), 16) AS block").collect()}
+    sizes = Counter(blocks.values())
+    matrix = sharding.communication_matrix([sizes[b] for b in range(16)], [(500 + 15 - s) // 16 for s in range(16)], 4)
+    got = Counter((blocks[r.doc_id], r["shard"]) for r in rows)
+    assert all(got[b, s] == matrix[b][s] for b in range(16) for s in range(16))
