@@ -92,9 +92,10 @@ def warc_date(arc_date: str) -> str:
     return f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}T{digits[8:10]}:{digits[10:12]}:{digits[12:]}Z"
 
 
-def warc_info() -> str:
+def warc_info(part: str = "") -> str:
+    """The record that starts a file; part names the file."""
     body = "software: blockloom\r\nformat: WARC File Format 1.0\r\n"
-    return "WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: " + record_id("warcinfo") + f"\r\nWARC-Date: {WARC_DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n{body}"
+    return "WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: " + record_id("warcinfo", part) + f"\r\nWARC-Date: {WARC_DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n{body}"
 
 
 def warc_record(r: dict) -> str:
@@ -108,7 +109,10 @@ def warc_record(r: dict) -> str:
         f"WARC-Payload-Digest: sha256:{r['digest']}", f"WARC-Block-Digest: sha256:{hashlib.sha256(raw).hexdigest()}", f"X-Payload-Length: {r['payload_bytes']}",
     ]
     if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Date: {WARC_DATE}", f"X-Refers-To-Page: {r['first']}"]
+        lines += [
+            f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id('record', r['first'], r['first_url'], r['digest'])}",
+            f"WARC-Refers-To-Target-URI: {r['first_url']}", f"WARC-Refers-To-Date: {warc_date(r['first_date'])}", f"X-Refers-To-Page: {r['first']}",
+        ]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(raw)}"]
     return "\r\n".join(lines) + "\r\n\r\n" + block
 
@@ -130,17 +134,18 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         at += 4
 
 
-def write_rows(df: DataFrame, first: str, line, separator: str, path: str) -> None:
-    """Write line(row) for each row of df; first starts each file."""
+def write_rows(df: DataFrame, first, line, separator: str, path: str) -> None:
+    """Write line(row) for each row of df; first(name) starts each file."""
     import pyarrow as pa
+    from pyspark import TaskContext
 
     def run(batches: Iterator) -> Iterator:
-        n = 0
-        for batch in batches:
+        n, task = 0, TaskContext.get().partitionId()
+        for batch in common.pieces(batches):
             out = []
             for row in batch.to_pylist():
                 if n % FILE_ROWS == 0:
-                    out.append(first)
+                    out.append(first(f"{task}-{n // FILE_ROWS}"))
                 n += 1
                 out.append(line(row))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
@@ -175,7 +180,7 @@ def read_files(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
 def write_arc(pages: DataFrame, path: str, version: str = "1") -> None:
     """Write pages (page_id, url, html) as ARC files."""
     df = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    write_rows(df, arc_block(version), lambda r: arc_record(version, r["url"], r["page_id"], r["html"]), "\n", path)
+    write_rows(df, lambda _: arc_block(version), lambda r: arc_record(version, r["url"], r["page_id"], r["html"]), "\n", path)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -185,9 +190,9 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 def write_warc(records: DataFrame, path: str) -> None:
     """Write read_arc()'s records as WARC files; equal payloads of LEAST_REVISIT bytes or more become revisits."""
     # Only payloads that repeat are joined: a digest and an id each. The optimizer broadcasts them if their size allows.
-    firsts = records.filter(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = common.saved(firsts.filter("n > 1").select("digest", "first"), "firsts")
-    write_rows(records.join(firsts, "digest", "left"), warc_info(), warc_record, "\r\n\r\n", path)
+    firsts = records.filter((F.col("payload_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url", "date")).alias("x"), F.count(F.lit(1)).alias("n"))
+    named = firsts.filter("n > 1").select("digest", F.col("x.page_id").alias("first"), F.col("x.url").alias("first_url"), F.col("x.date").alias("first_date"))
+    write_rows(records.join(common.saved(named, "firsts"), "digest", "left"), warc_info, warc_record, "\r\n\r\n", path)
 
 
 def warc_summary(data: bytes) -> Iterator[dict]:
