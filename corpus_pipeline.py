@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm import bpe, common, mixing, ngram_join, pii, quality
@@ -28,27 +28,47 @@ def guarded(docs: DataFrame, own: tuple[str, ...], step: Callable[[DataFrame], D
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold."""
+    """Documents whose score reaches the threshold.
+
+    Null, empty and very long texts are scored like others, from the whole text; repeated rows score alike, and so stay or
+    go together; a score at the threshold stays; an empty table stays empty.
+    """
     model = quality.train(docs, common.table(spark, sf_dir, "labels"))
     return guarded(docs, ("score", "predicted"), lambda d: quality.score(d, model).filter("predicted = 1"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents: the one with the smallest id. Null ids stay as they are."""
-    kept = ngram_join.link(docs, COPY_WORDS, COPY_PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = common.saved(kept, "kept")
-    named = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each component of linked documents: the one with the smallest id.
+
+    Rows with a null id stay as they are. Of an id's repeated rows one stays, that with the smallest text. Null and empty
+    texts are linked with nothing and stay; very long ones are compared whole; an empty table stays empty.
+    """
+    kept = ngram_join.link(docs, COPY_WORDS, COPY_PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
+    counts = kept.groupBy("__kept").agg(F.count(F.lit(1)).alias("__rows"))
+    counts = common.saved(counts, "kept")
+    named = docs.join(counts, docs["doc_id"] == counts["__kept"])
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(*docs.columns))
+    again = named.filter("__rows > 1").withColumn("__place", F.row_number().over(order)).filter("__place = 1")
+    once = named.filter("__rows = 1").select(docs.columns)
+    return once.unionByName(again.select(docs.columns)).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms; n_chars follows the text."""
+    """Personal data replaced by pseudonyms; n_chars follows the text.
+
+    Null texts stay null and empty ones empty; texts and values of any length are read whole; repeated rows stay equal; an
+    empty table stays empty.
+    """
     out = guarded(docs, ("n_values", "kinds"), pii.pseudonymize)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; its copies are rows of the same id."""
+    """Each document as often as the mix takes it; its copies are rows of the same id.
+
+    A null source is a source of its own, the last; null and empty texts have no words and stay once, unless their source's
+    target is 0; very long texts count all their words; repeated rows round alike; an empty table stays empty.
+    """
 
     def step(d: DataFrame) -> DataFrame:
         mixed = mixing.mix(d, keep=[c for c in d.columns if c != "doc_id"])
@@ -58,7 +78,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of the ids and of the text decoded from them."""
+    """Token ids of each document, and digests of the ids and of the text decoded from them.
+
+    Null and empty texts have no tokens; very long texts are encoded whole; repeated rows encode alike; an empty table
+    gives an empty table.
+    """
     encoded = bpe.encode(docs, vocabulary(), keep=["doc_id"])
     return bpe.digests(encoded, keep=["ids"])
 
