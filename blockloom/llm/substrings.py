@@ -34,7 +34,7 @@ from . import common
 
 LENGTH, GRAM = 100, 32
 #: Bytes of a block that is sorted at once; most segments of one hash in a group; most windows of a segment.
-BLOCK_BYTES, GROUP, PIECE = 512 * 1024, 3000, 4096
+BLOCK_BYTES, GROUP, PIECE = 512 * 1024, 1000, 4096
 #: Times that a batch has a hash to deal it by segment from then on; most hashes that a task remembers.
 OFTEN, REMEMBERED = 4, 1 << 18
 #: Widths, in windows, of what shares a name in later turns.
@@ -409,6 +409,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     edges = in_parts(found, split_names(found))
     per_doc = edges.groupBy("doc").agg(F.collect_list(F.struct("name", "part", "parts", "s", "n")).alias("edges"))
     located = per_doc.join(docs, "doc").select("doc", "edges", F.col("text").cast("binary").alias("raw"))
+    # Written, so that the shuffle files of the join are gone before the bytes are dealt.
+    located = common.saved(located, "located")
+    common.drop(found)
+    common.release(spark)
     cut = located.select("doc", "raw", F.explode("edges").alias("x"))
     rows = cut.select("x.name", "x.part", "x.parts", F.col("x.name").alias("h"), "doc", "x.s", "x.n", F.expr("substring(raw, x.s + 1, abs(x.n) + 99)").alias("bytes"))
     ranges, turn = None, 0
@@ -417,6 +421,8 @@ def repeated(docs: DataFrame) -> DataFrame:
         common.release(spark)
         gone = windows.filter("kind = 0").select("doc", "s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e"))
         ranges = gone if ranges is None else ranges.unionByName(gone)
+        if turn == 0:
+            common.drop(located)
         first = windows.filter("kind = 1")
         if first.limit(1).count() == 0:
             return ranges
