@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .operators import blocks, validate
+from .operators import blocks, render, tables, validate
 from .operators import requirements as R
 from .sources import docx, rules, sinks
 
@@ -13,7 +14,23 @@ def parse_documents(spark: SparkSession, path: str, registry: str | None = None,
     """Analysed blocks of every word file under path; registry is a YAML style registry."""
     table = rules.style_rules(spark, rules.read_style_registry(registry) if registry else rules.LINE_STYLES)
     files = docx.read_docx(spark, path)
-    return blocks.analysed(docx.block_rows(files).select("document_id", "block_order", "kind", "style", "text"), table, lex)
+    return blocks.analysed(with_tables(docx.block_rows(files), docx.cell_rows(files)), table, lex)
+
+
+def with_tables(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Block rows with table_id, table_rows, table_cols and cells (rows of texts) of their tables."""
+    grids = tables.grid(cells).select(F.col("document_id").alias("key"), "rows_count", "cols_count", "cells")
+    name = F.format_string("tbl_%04d", F.col("table_index"))
+    is_table = F.col("table_index").isNotNull()
+    joined = rows.withColumn("table_id", F.when(is_table, name)).join(grids, F.concat_ws("#", rows["document_id"], name) == grids["key"], "left").drop("key")
+    size = {f"table_{x}": F.when(is_table, F.coalesce(f"{x}_count", F.lit(0))).cast("long") for x in ("rows", "cols")}
+    return joined.withColumns(size).drop("rows_count", "cols_count")
+
+
+def parse_table(spark: SparkSession, path: str, table_index: int) -> DataFrame:
+    """One row per grid position of a table of each word file under path, with the spans of the cells that start there."""
+    cells = docx.cell_rows(docx.read_docx(spark, path)).filter(F.col("table_index") == table_index)
+    return tables.grid_cells(cells)
 
 
 def requirement_records(base: DataFrame, lex: rules.Lexicon = rules.RUSSIAN) -> DataFrame:
@@ -30,10 +47,22 @@ def audit_questions(applied: DataFrame, lex: rules.Lexicon = rules.RUSSIAN) -> D
     return R.questions(R.question_rows(applied, lex))
 
 
-def validate_documents(base: DataFrame) -> DataFrame:
-    return validate.report(validate.run_checks(base))
+def validate_documents(base: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """A report per document; documents (document_id) names those that may have no blocks."""
+    return validate.report(validate.run_checks(base, documents))
+
+
+def validate_folder(spark: SparkSession, path: str, registry: str | None = None, lex: rules.Lexicon = rules.RUSSIAN) -> DataFrame:
+    """Reports of all word files under path; a file without blocks, or that can't be read, fails."""
+    files = docx.read_docx(spark, path).select(F.col("path").alias("document_id"))
+    return validate_documents(parse_documents(spark, path, registry, lex), files)
 
 
 def export_review(base: DataFrame, path: str) -> None:
     """Review documents as rows of document_id and word-file bytes."""
     sinks.review_files(base).write.parquet(path)
+
+
+def export_review_json(spark: SparkSession, source: str, path: str, id_type: str = "string") -> None:
+    """Review documents from stored JSON documents (sinks.write_documents)."""
+    export_review(render.read_document_json(spark.read.text(source).withColumnRenamed("value", "json"), id_type), path)

@@ -46,6 +46,13 @@ class Shapes:
             out = out | low.contains(part)
         return out
 
+    def has_all(self, style: Column, parts: list[str]) -> Column:
+        low = F.lower(style)
+        out = F.lit(bool(parts))
+        for part in parts:
+            out = out & low.contains(part)
+        return out
+
     def heading_style(self, style: Column) -> Column:
         return self.has(style, self.lex.heading_styles) & ~self.has(style, self.lex.not_heading_styles)
 
@@ -87,7 +94,7 @@ def classified(blocks: DataFrame, rules: DataFrame, lex: Lexicon) -> DataFrame:
     base = base.withColumns({"in_type": kind_of(inside), "out_type": kind_of(outside), "by_style": by_style, "known": known})
     out_type, low = F.col("out_type"), F.lower(norm)
     anchor = (
-        F.when(low == lex.control, "control_sheet")
+        F.when((low == lex.control) | (low.contains(lex.control) & shapes.has_all(style, lex.control_styles)), "control_sheet")
         .when((low == lex.contents) | shapes.has(style, lex.contents_styles) | (out_type == "toc_item"), "toc")
         .when((low == lex.sources) | shapes.has(style, lex.source_styles) | (out_type == "bibliography_item"), "bibliography")
         .when(out_type == "heading", "main_body")
@@ -101,7 +108,9 @@ def classified(blocks: DataFrame, rules: DataFrame, lex: Lexicon) -> DataFrame:
         .when(default == "unknown_zone", 4).when(~F.col("known") & (style == ""), 3).otherwise(2)
     )
     base = base.withColumn("power", power).withColumn("to_zone", F.when(always, F.lit("appendix")).otherwise(F.coalesce(anchor, default)))
-    base = zones(base)
+    # A title page's style keeps a block on the title page, but has no say elsewhere.
+    titled = shapes.has(style, lex.title_styles) & ~is_table & ~is_empty & ~always & F.coalesce(anchor == "main_body", F.lit(True))
+    base = zones(base.withColumn("titled", titled))
 
     before = F.col("zone_before")
     kind = F.when(is_table, "table").when(is_empty, "empty").when(before == "appendix", F.col("in_type")).otherwise(F.col("out_type"))
@@ -139,6 +148,19 @@ def list_type(rule: Column) -> Column:
 
 
 def zones(base: DataFrame) -> DataFrame:
+    """zone_before and zone_after of each block, from power, to_zone and titled.
+
+    Titled blocks leave the zone on the title page. Where that is is seen with all of them leaving the zone; those outside
+    then act by their power. Both walks are windows over the same order.
+    """
+    base = base.withColumn("own_power", F.col("power")).withColumn("power", F.when(F.col("titled"), 4).otherwise(F.col("power")))
+    base = walked(base)
+    stays = F.col("titled") & (F.col("zone_before") == "title_page")
+    base = base.withColumn("power", F.when(stays, 4).otherwise(F.col("own_power"))).drop("zone_before", "zone_after", "own_power", "titled")
+    return walked(base)
+
+
+def walked(base: DataFrame) -> DataFrame:
     """zone_before and zone_after of each block, from power and to_zone."""
     base = base.withColumns({f"z{p}": F.last(F.when(F.col("power") == p, F.struct(F.col("block_order").alias("at"), F.col("to_zone").alias("zone"))), ignorenulls=True).over(so_far()) for p in range(4)})
     state = F.coalesce(F.col("z0"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("title_page").alias("zone")))

@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def body_text(base: DataFrame) -> Column:
+    """A block's text with its list prefix, a diagnostic label, or a table's size and cells."""
+    kind, text = F.col("block_type"), F.col("norm")
+    labelled = lambda label: F.concat(F.lit(label), F.when(text == "", "").otherwise(F.concat(F.lit(" "), text)))
+    size = [F.coalesce(F.col(x), F.lit(0)) if x in base.columns else F.lit(0) for x in ("table_rows", "table_cols")]
+    known = F.col("table_rows").isNotNull() | F.col("table_cols").isNotNull() if "table_rows" in base.columns else F.lit(False)
+    name = F.col("table_id") if "table_id" in base.columns else F.lit("-")
+    style = F.when(F.col("style") == "", "-").otherwise(F.col("style"))
+    meta = F.format_string("table_id=%s | rows=%d | cols=%d | style=%s | header_row=%s", F.coalesce(name, F.lit("-")), *size, style, F.when(size[0] > 0, "True").otherwise("False"))
+    cells = F.lit("")
+    if "cells" in base.columns:  # rows of texts
+        cells = F.coalesce(F.concat(F.lit("\n"), F.array_join(F.transform("cells", lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), "\t")), "\n")), F.lit(""))
+    table = F.when(~known, "[TABLE BLOCK WITHOUT TABLE_INFO]").when((size[0] == 0) | (size[1] == 0), F.concat(meta, F.lit("\n[EMPTY TABLE]"))).otherwise(F.concat(meta, cells))
+    marker = F.col("list_mark") if "list_mark" in base.columns else F.lit(None).cast("string")
+    depth = F.coalesce(*[F.col(x) for x in ("list_level", "rule_list_level") if x in base.columns], F.lit(0))
+    prefix = F.when(kind == "list_item", F.concat(F.repeat(F.lit("  "), depth.cast("int")), F.coalesce(marker, F.lit("-")), F.lit(" "))).otherwise("")
+    return (
+        F.when(kind == "table", table).when(kind == "empty", labelled("[EMPTY BLOCK]")).when(kind == "unknown", labelled("[UNKNOWN BLOCK]"))
+        .otherwise(F.concat(prefix, F.when(text == "", "[NO TEXT]").otherwise(text)))
+    )
+
+
 def render_rows(base: DataFrame) -> DataFrame:
     """A header line for each block, its review hints, and its text or a placeholder."""
     path = F.coalesce(F.array_join("section_path", " > "), F.lit(""))
@@ -14,28 +36,45 @@ def render_rows(base: DataFrame) -> DataFrame:
         F.when(path == "", "-").otherwise(path), F.when(F.col("style") == "", "-").otherwise(F.col("style")),
     )
     orphan, review = F.coalesce("is_orphan", F.lit(False)), F.array_contains("flags", "needs_review")
-    hints = F.array_compact(F.array(F.when(review, F.lit("needs_review")), F.when(F.array_contains("flags", "is_suspicious"), F.lit("suspicious")), F.when(orphan, F.lit("orphan_note"))))
+    marks = [
+        (review, "needs_review"), (F.array_contains("flags", "is_suspicious"), "suspicious"), (orphan | review, "unresolved"),
+        (F.array_contains("flags", "is_empty") & (F.col("block_type") != "empty"), "flag:is_empty"),
+    ]
+    hints = F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in marks]))
     hint = F.when(F.size(hints) > 0, F.concat(F.lit("[REVIEW] "), F.array_join(hints, " | ")))
-    body = F.when(F.col("block_type") == "table", "[TABLE]").when(F.col("norm") == "", "[NO TEXT]").otherwise(F.col("norm"))
+    body = body_text(base)
     show = F.col("block_type") != "empty"
     return base.select("document_id", "block_order", header.alias("header"), hint.alias("hint"), body.alias("body"), show.alias("show"), (orphan | review).alias("unresolved"))
 
 
 FIELDS = ["block_id", "block_order", "zone", "block_type", "block_subtype", "norm", "section_path", "flags", "prev_id", "next_id", "note_group", "reasons"]
+#: Fields that are written and read where the blocks have them.
+MORE = {
+    "style": "string", "is_orphan": "boolean", "section_id": "string", "section_title": "string", "heading_number": "string", "heading_level": "int", "list_type": "string", "list_mark": "string",
+    "rule_list_level": "int", "note_role": "string", "list_follows": "boolean", "table_id": "string", "table_rows": "long", "table_cols": "long", "cells": "array<array<string>>",
+}
 
 
 def document_json(base: DataFrame, nulls: bool = False) -> DataFrame:
     """One JSON text per document; nulls are left out unless asked for."""
-    blocks = F.array_sort(F.collect_list(F.struct("block_order", F.struct(*FIELDS).alias("b"))))
+    blocks = F.array_sort(F.collect_list(F.struct("block_order", F.struct(*FIELDS, *[c for c in MORE if c in base.columns]).alias("b"))))
     out = base.groupBy("document_id").agg(F.transform(blocks, lambda x: x["b"]).alias("blocks"))
     return out.select("document_id", F.to_json(F.struct("document_id", "blocks"), {"ignoreNullFields": str(not nulls).lower()}).alias("json"))
 
 
-def read_document_json(frame: DataFrame) -> DataFrame:
-    """Block rows back from document_json()'s texts; missing fields are null."""
-    schema = "document_id long, blocks array<struct<block_id:string,block_order:long,zone:string,block_type:string,block_subtype:string,norm:string,section_path:array<string>,flags:array<string>,prev_id:string,next_id:string,note_group:string,reasons:array<string>>>"
+def read_document_json(frame: DataFrame, id_type: str = "long") -> DataFrame:
+    """Block rows back from document_json()'s texts.
+
+    Missing texts, lists and types get their defaults, other missing fields are null; a text that isn't JSON is an error.
+    """
+    lists = ("section_path", "flags", "reasons")
+    kinds = {**{f: "array<string>" if f in lists else "long" if f == "block_order" else "string" for f in FIELDS}, **MORE}
+    schema = f"document_id {id_type}, blocks array<struct<{','.join(f'{f}:{k}' for f, k in kinds.items())}>>"
     parsed = frame.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("d"))
-    return parsed.select("d.document_id", F.explode("d.blocks").alias("b")).select("document_id", "b.*")
+    rows = parsed.select("d.document_id", F.explode("d.blocks").alias("b")).select("document_id", "b.*")
+    plain = {"zone": "unknown_zone", "block_type": "unknown", "norm": "", "style": ""}
+    none = F.array().cast("array<string>")
+    return rows.withColumns({**{f: F.coalesce(f, F.lit(x)) for f, x in plain.items()}, **{f: F.coalesce(f, none) for f in lists}})
 
 
 def text_lines(base: DataFrame) -> DataFrame:

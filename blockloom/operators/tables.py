@@ -35,7 +35,10 @@ def grid(cells: DataFrame) -> DataFrame:
     return out.select("document_id", F.size("r").alias("rows_count"), F.col("cols").alias("cols_count"), F.when(F.size("r") > 0, 1).otherwise(0).alias("header_rows"), padded.alias("cells"))
 
 
-def grid_cells(cells: DataFrame, physical: DataFrame) -> DataFrame:
-    """Every grid position with the physical cell that starts there, if any."""
-    starts = physical.select("document_id", "row", "col", "row_span", "col_span")
-    return cells.select("document_id", "row", "col", cell_text(F.col("text")).alias("text")).join(starts, ["document_id", "row", "col"], "left")
+def grid_cells(cells: DataFrame) -> DataFrame:
+    """Every grid position with the spans of the physical cell that starts there, if any."""
+    own = Window.partitionBy("document_id", "cell_key")
+    low, high = (lambda c: F.min(c).over(own)), (lambda c: F.max(c).over(own))
+    starts = (F.col("row") == low("row")) & (F.col("col") == low("col"))
+    spans_ = [F.when(starts, high(c) - low(c) + 1).alias(f"{c}_span") for c in ("row", "col")]
+    return cells.select("document_id", "row", "col", cell_text(F.col("text")).alias("text"), *spans_)

@@ -2,85 +2,94 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.rules import BLOCK_TYPES, ZONES
-from .blocks import COUNTED, in_order, structure_summary
+from .blocks import COUNTED, in_order, logical_notes
 
 NOTES = ["note_label", "note_text", "note_like"]
-
-
-def _issues(base: DataFrame, name: str, bad: Column) -> DataFrame:
-    """A check that lists offending blocks."""
-    found = base.groupBy("document_id").agg(F.count_if(bad).alias("issues"))
-    return found.select("document_id", F.lit(name).alias("name"), F.when(F.col("issues") == 0, "passed").otherwise("failed").alias("status"), "issues")
-
-
-def non_empty(base: DataFrame) -> DataFrame:
-    return _issues(base, "non_empty_document", F.lit(False))
-
-
-def summary_consistency(base: DataFrame, summary: DataFrame | None = None) -> DataFrame:
-    """The summary's counters against a recount; notes are recounted row by row, so a pair counts twice here."""
-    summary = structure_summary(base) if summary is None else summary
-    counts = [F.count_if(F.col("block_type") == kind).alias(f"again_{name}") for name, kind in COUNTED.items()]
-    again = base.groupBy("document_id").agg(F.count(F.lit(1)).alias("again_total_blocks"), *counts, F.count_if(F.col("block_type").isin(*NOTES)).alias("again_total_notes"))
-    names = ["total_blocks", *COUNTED, "total_notes"]
-    wrong = sum((F.when(F.col(n) != F.col(f"again_{n}"), 1).otherwise(0) for n in names), F.lit(0)).cast("long")
-    out = summary.join(again, "document_id").withColumn("issues", wrong)
-    return out.select("document_id", F.lit("structure_summary_consistency").alias("name"), F.when(F.col("issues") == 0, "passed").otherwise("failed").alias("status"), "issues")
-
-
-def domains(base: DataFrame) -> DataFrame:
-    return _issues(base, "enum_domain_validity", ~F.col("block_type").isin(*BLOCK_TYPES) | ~F.col("zone").isin(*ZONES))
-
-
-def links(base: DataFrame) -> DataFrame:
-    good = F.col("prev_id").eqNullSafe(F.lag("block_id").over(in_order())) & F.col("next_id").eqNullSafe(F.lead("block_id").over(in_order()))
-    return _issues(base.withColumn("good", good), "adjacent_block_links", ~F.col("good"))
-
-
-def tables(base: DataFrame) -> DataFrame:
-    return _issues(base, "table_block_payloads", (F.col("block_type") == "table") & (F.col("kind") != "table"))
-
-
-def notes(base: DataFrame) -> DataFrame:
-    return _issues(base, "note_block_review_readiness", F.col("block_type").isin(*NOTES) & F.col("list_follows").isNull())
-
-
-def section_context(base: DataFrame) -> DataFrame:
-    scope = F.col("block_type").isin("heading", "appendix_heading", "paragraph", "list_item", "table") & F.col("zone").isin("main_body", "appendix")
-    no_id = F.col("block_type").isin("heading", "appendix_heading") & F.col("section_id").isNull()
-    tail = (F.size("section_path") > 0) & F.col("section_id").isNotNull() & (F.try_element_at("section_path", F.lit(-1)) != F.col("section_id"))
-    return _issues(base, "section_context_validity", scope & (no_id | F.coalesce(tail, F.lit(False))))
-
-
-def candidates_build(base: DataFrame) -> DataFrame:
-    return _issues(base, "review_candidates_build", F.lit(False))
-
-
-def candidate_links(base: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """Candidates whose block the document doesn't have."""
-    documents = base.select("document_id").distinct()
+#: What a check says where it passes and where it fails.
+MESSAGES = {
+    "non_empty_document": ("The document has blocks.", "The document has no blocks."),
+    "structure_summary_consistency": ("The counters of the summary equal a recount.", "Counters of the summary differ from a recount."),
+    "enum_domain_validity": ("Block types and zones are known.", "Some block types or zones are unknown."),
+    "adjacent_block_links": ("Links to neighbours are right.", "Some links to neighbours are wrong."),
+    "table_block_payloads": ("Tables have their payload.", "Some tables lack a payload or a part of it."),
+    "note_block_review_readiness": ("Notes have review features.", "Some notes have no review features."),
+    "section_context_validity": ("Section ids and paths agree.", "Some blocks have no section id, or a path that ends elsewhere."),
+    "review_candidates_build": ("Review candidates can be built.", "Review candidates cannot be built."),
+    "review_candidates_links": ("Review candidates name blocks of the document.", "Some review candidates name blocks that the document does not have."),
+}
+
+
+def _column(base: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in base.columns else F.lit(None).cast(kind)
+
+
+def block_faults(base: DataFrame) -> dict[str, Column]:
+    """Per check, whether a block offends; wants the stored links beside those of its neighbours (real_prev, real_next)."""
+    kind, zone = F.col("block_type"), F.col("zone")
+    scope = kind.isin("heading", "appendix_heading", "paragraph", "list_item", "table") & zone.isin("main_body", "appendix")
+    no_id = kind.isin("heading", "appendix_heading") & t_empty(F.col("section_id"))
+    tail = (F.size("section_path") > 0) & ~t_empty(F.col("section_id")) & (F.try_element_at("section_path", F.lit(-1)) != F.col("section_id"))
+    rows, cols = (_column(base, x, "long") for x in ("table_rows", "table_cols"))
+    return {
+        "enum_domain_validity": ~F.coalesce(kind.isin(*BLOCK_TYPES) & zone.isin(*ZONES), F.lit(False)),
+        "adjacent_block_links": ~(F.col("prev_id").eqNullSafe(F.col("real_prev")) & F.col("next_id").eqNullSafe(F.col("real_next"))),
+        "table_block_payloads": (kind == "table") & (rows.isNull() | cols.isNull()),
+        "note_block_review_readiness": kind.isin(*NOTES) & F.col("list_follows").isNull(),
+        "section_context_validity": scope & (no_id | F.coalesce(tail, F.lit(False))),
+    }
+
+
+def t_empty(c: Column) -> Column:
+    return F.coalesce(c == "", F.lit(True))
+
+
+def run_checks(base: DataFrame, documents: DataFrame | None = None, candidates: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
+    """document_id, name, status, issues, message, offending (block or candidate ids, counters' names) of every check.
+
+    All checks are counts of one aggregation. documents (document_id) names documents that may have no blocks; candidates
+    (document_id, candidate_id, block_id) and summary are stored ones to be checked, else those that base gives. That
+    candidates can be built is seen when they are: an error there ends the query.
+    """
+    neighbours = base.withColumns({"real_prev": F.lag("block_id").over(in_order()), "real_next": F.lead("block_id").over(in_order())})
+    faults = block_faults(base)
     if candidates is None:
-        return _issues(base, "review_candidates_links", F.lit(False))
-    lost = candidates.join(base.select("document_id", "block_id"), ["document_id", "block_id"], "left_anti").groupBy("document_id").agg(F.count(F.lit(1)).alias("issues"))
-    out = documents.join(lost, "document_id", "left").withColumn("issues", F.coalesce("issues", F.lit(0)).cast("long"))
-    return out.select("document_id", F.lit("review_candidates_links").alias("name"), F.when(F.col("issues") == 0, "passed").otherwise("failed").alias("status"), "issues")
-
-
-CHECKS: list[Callable[[DataFrame], DataFrame]] = [non_empty, summary_consistency, domains, links, tables, notes, section_context, candidates_build, candidate_links]
-
-
-def run_checks(base: DataFrame, checks: list[Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    out = None
-    for check in checks or CHECKS:
-        rows = check(base)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        faults["review_candidates_links"] = (F.size("reasons") > 0) & F.col("block_id").isNull()
+    block = F.struct("block_order", "block_id")
+    listed = [F.transform(F.array_sort(F.collect_list(F.when(bad, block))), lambda b: b["block_id"]).alias(name) for name, bad in faults.items()]
+    counts = [F.count_if(bad).alias(f"n_{name}") for name, bad in faults.items()]
+    actual = {"total_blocks": F.count(F.lit(1)), **{n: F.count_if(F.col("block_type") == kind) for n, kind in COUNTED.items()}, "total_notes": F.count_if(F.col("block_type").isin(*NOTES))}
+    # The summary's notes: a pair counts once there, and twice in the recount.
+    own = {**actual, "total_notes": logical_notes()}
+    stated = [c.alias(f"stated_{n}") for n, c in own.items()] if summary is None else []
+    found = neighbours.groupBy("document_id").agg(*[c.alias(n) for n, c in actual.items()], *stated, *counts, *listed)
+    if documents is not None:
+        found = documents.select("document_id").distinct().join(found, "document_id", "left")
+    if summary is not None:
+        found = found.join(summary.select("document_id", *[F.col(n).alias(f"stated_{n}") for n in actual]), "document_id", "left")
+    if candidates is not None:
+        lost = candidates.join(base.select("document_id", "block_id"), ["document_id", "block_id"], "left_anti").groupBy("document_id")
+        found = found.join(lost.agg(F.array_sort(F.collect_list("candidate_id")).alias("review_candidates_links"), F.count(F.lit(1)).alias("n_review_candidates_links")), "document_id", "left")
+    differs = F.array_compact(F.array(*[F.when(F.coalesce(F.col(n), F.lit(0)) != F.coalesce(F.col(f"stated_{n}"), F.lit(0)), F.lit(n)) for n in actual]))
+    none = F.array().cast("array<string>")
+
+    def result(name: str) -> Column:
+        if name == "non_empty_document":
+            issues, ids = F.when(F.coalesce(F.col("total_blocks"), F.lit(0)) == 0, 1).otherwise(0), none
+        elif name == "structure_summary_consistency":
+            issues, ids = F.size(differs), differs
+        elif name == "review_candidates_build":
+            issues, ids = F.lit(0), none
+        else:
+            issues, ids = F.coalesce(F.col(f"n_{name}"), F.lit(0)), F.coalesce(F.col(name), none)
+        passed, failed = MESSAGES[name]
+        fine = issues == 0
+        return F.struct(F.lit(name).alias("name"), F.when(fine, "passed").otherwise("failed").alias("status"), issues.cast("long").alias("issues"), F.when(fine, passed).otherwise(failed).alias("message"), ids.alias("offending"))
+
+    return found.select("document_id", F.explode(F.array(*[result(name) for name in MESSAGES])).alias("x")).select("document_id", "x.*")
 
 
 def report(checks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.adapters import PAGE_PATTERN
+from ..sources.adapters import INLINE_PATTERN, PAGE_PATTERN
 from ..sources.rules import LINE_STYLES, TAG_STYLES
 
 NON = r"[^\p{L}\p{N}_]"
@@ -24,14 +24,15 @@ def lines_sql() -> dict[str, str]:
     return {
         "cut": "SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents",
         "numbered": "SELECT *, (document_id * 7 + pos) % 16 AS k, CAST(pos // 16 + 1 AS VARCHAR) AS num, substr(line, 1, 24) AS head FROM cut",
-        "blocks": f"SELECT document_id, CAST(pos + 1 AS BIGINT) AS block_order, CASE WHEN k = 10 THEN 'table' ELSE 'paragraph' END AS kind, {pick(styles)} AS style, {pick(texts)} AS text FROM numbered",
+        "blocks": f"""SELECT document_id, CAST(pos + 1 AS BIGINT) AS block_order, CASE WHEN k = 10 THEN 'table' ELSE 'paragraph' END AS kind, {pick(styles)} AS style, {pick(texts)} AS text,
+            CAST(CASE WHEN k = 10 AND document_id % 3 <> 0 THEN 1 END AS BIGINT) AS table_rows, CAST(CASE WHEN k = 10 AND document_id % 3 = 1 THEN 2 END AS BIGINT) AS table_cols FROM numbered""",
     }
 
 
 def pages_sql() -> dict[str, str]:
     p = PAGE_PATTERN.replace("'", "''")
-    found = [f"regexp_extract_all(html, '{p}', {i})" for i in (1, 2)]
-    return {"blocks": f"SELECT page_id AS document_id, CAST(generate_subscripts({found[0]}, 1) AS BIGINT) AS block_order, 'paragraph' AS kind, unnest({found[0]}) AS style, unnest({found[1]}) AS text FROM pages"}
+    found = [f"regexp_extract_all(regexp_replace(html, '{INLINE_PATTERN}', '', 'g'), '{p}', {i})" for i in (1, 2)]
+    return {"blocks": f"SELECT page_id AS document_id, CAST(generate_subscripts({found[0]}, 1) AS BIGINT) AS block_order, 'paragraph' AS kind, unnest({found[0]}) AS style, unnest({found[1]}) AS text, CAST(NULL AS BIGINT) AS table_rows, CAST(NULL AS BIGINT) AS table_cols FROM pages"}
 
 
 def quoted(x: object) -> str:
@@ -50,6 +51,21 @@ def block_text(x: str) -> str:
     return strip(rf"regexp_replace(regexp_replace(coalesce({x}, ''), '[ \t]', ' ', 'g'), ' {{2,}}', ' ', 'g')")
 
 
+def walk_sql(name: str, start: str) -> dict[str, str]:
+    """Zones before and after each block (b11 and name), from power and tz."""
+    last = ", ".join(f"last_value(CASE WHEN power = {p} THEN {{'pos': block_order, 'zone': tz}} END IGNORE NULLS) OVER f AS z{p}" for p in range(4))
+    kept = "'appendix', 'control_sheet', 'bibliography'"
+    return {
+        f"w{name}": start,
+        f"b6{name}": f"SELECT *, {last} FROM w{name} {W}",
+        f"b7{name}": f"SELECT *, coalesce(z0, {{'pos': CAST(0 AS BIGINT), 'zone': 'title_page'}}) AS s0 FROM b6{name}",
+        f"b8{name}": f"SELECT *, CASE WHEN z1.pos > s0.pos AND s0.zone <> 'appendix' THEN z1 ELSE s0 END AS s1 FROM b7{name}",
+        f"b9{name}": f"SELECT *, CASE WHEN z2.pos > s1.pos AND s1.zone NOT IN ({kept}) THEN z2 ELSE s1 END AS s2 FROM b8{name}",
+        f"b10{name}": f"SELECT *, (CASE WHEN z3.pos > s2.pos AND s2.zone NOT IN ({kept}, 'title_page') THEN z3 ELSE s2 END).zone AS za FROM b9{name}",
+        f"b11{name}": f"SELECT *, coalesce(lag(za) OVER w, 'title_page') AS zb FROM b10{name} {W}",
+    }
+
+
 def analysis_sql(source: dict[str, str], rules: list[tuple]) -> dict[str, str]:
     words = r"len(regexp_extract_all(norm, '[\p{L}\p{N}_-]+'))"
     tops = lambda name, opens, ident: ", ".join(f"last_value(CASE WHEN {opens} AND lvl <= {k} THEN {{'lvl': lvl, 'id': {ident}, 'title': ttl}} END IGNORE NULLS) OVER f AS {name}{k}" for k in range(1, 10))
@@ -62,8 +78,8 @@ def analysis_sql(source: dict[str, str], rules: list[tuple]) -> dict[str, str]:
     return {
         **source,
         "rules": rules_sql(rules),
-        "b0": f"SELECT document_id, block_order, kind, {strip("coalesce(style, '')")} AS style, text, {block_text('text')} AS norm FROM blocks",
-        "b1": rf"""SELECT b0.*, rt, rs, rz, rl, rlist, rflags, kind = 'table' AS tab, kind <> 'table' AND norm = '' AS emp, lower(b0.style) AS ls,
+        "b0": f"SELECT document_id, block_order, kind, table_rows, table_cols, {strip("coalesce(style, '')")} AS style, text, {block_text('text')} AS norm FROM blocks",
+        "b1": rf"""SELECT b0.*, rt, rs, rz, rl, rlist, rlevel, rflags, kind = 'table' AS tab, kind <> 'table' AND norm = '' AS emp, lower(b0.style) AS ls,
             contains(lower(b0.style), 'heading') AND NOT (contains(lower(b0.style), 'table') OR contains(lower(b0.style), 'figure') OR contains(lower(b0.style), 'contents')) AS hs,
             regexp_matches(norm, '{ROOT}') AS isroot, regexp_matches(norm, '{SUB}') AS issub, regexp_matches(norm, '^\s*{NUMBER}\s+.+$') AS numb,
             regexp_matches(norm, '[.!?;:]$') AS term, {words} AS nw
@@ -72,16 +88,13 @@ def analysis_sql(source: dict[str, str], rules: list[tuple]) -> dict[str, str]:
         "b3": f"""SELECT *, {kind_of("CASE WHEN sure OR issub OR (hs AND (shape OR (starts_with(norm, '(') AND nw <= 8 AND NOT term))) THEN 'appendix_heading' WHEN hs AND shape THEN 'heading' END")} AS it,
             {kind_of("CASE WHEN sure THEN 'appendix_heading' WHEN hs AND shape THEN 'heading' END")} AS ot FROM b2""",
         "b4": """SELECT *, ot = 'appendix_heading' OR isroot OR issub AS always, coalesce(rz, 'main_body') AS dz,
-            CASE WHEN lower(norm) = 'control sheet' THEN 'control_sheet' WHEN lower(norm) = 'contents' OR contains(ls, 'contents') OR ot = 'toc_item' THEN 'toc'
+            CASE WHEN lower(norm) = 'control sheet' OR (contains(lower(norm), 'control sheet') AND contains(ls, 'structural') AND contains(ls, 'not in contents')) THEN 'control_sheet' WHEN lower(norm) = 'contents' OR contains(ls, 'contents') OR ot = 'toc_item' THEN 'toc'
                  WHEN lower(norm) = 'bibliography' OR contains(ls, 'bibliography') OR ot = 'bibliography_item' THEN 'bibliography' WHEN ot = 'heading' THEN 'main_body' END AS anchor FROM b3""",
         "b5": """SELECT *, CASE WHEN tab OR emp THEN 4 WHEN always THEN 0 WHEN anchor IS NOT NULL AND it = 'appendix_heading' THEN 1 WHEN anchor IS NOT NULL THEN 0
                 WHEN dz = 'unknown_zone' THEN 4 WHEN rt IS NULL AND style = '' THEN 3 ELSE 2 END AS power, CASE WHEN always THEN 'appendix' ELSE coalesce(anchor, dz) END AS tz FROM b4""",
-        "b6": "SELECT *, " + ", ".join(f"last_value(CASE WHEN power = {p} THEN {{'pos': block_order, 'zone': tz}} END IGNORE NULLS) OVER f AS z{p}" for p in range(4)) + f" FROM b5 {W}",
-        "b7": "SELECT *, coalesce(z0, {'pos': CAST(0 AS BIGINT), 'zone': 'title_page'}) AS s0 FROM b6",
-        "b8": "SELECT *, CASE WHEN z1.pos > s0.pos AND s0.zone <> 'appendix' THEN z1 ELSE s0 END AS s1 FROM b7",
-        "b9": "SELECT *, CASE WHEN z2.pos > s1.pos AND s1.zone NOT IN ('appendix', 'control_sheet', 'bibliography') THEN z2 ELSE s1 END AS s2 FROM b8",
-        "b10": "SELECT *, (CASE WHEN z3.pos > s2.pos AND s2.zone NOT IN ('appendix', 'control_sheet', 'bibliography', 'title_page') THEN z3 ELSE s2 END).zone AS za FROM b9",
-        "b11": f"SELECT *, coalesce(lag(za) OVER w, 'title_page') AS zb FROM b10 {W}",
+        "b5t": "SELECT *, (contains(ls, 'title')) AND NOT tab AND NOT emp AND NOT always AND coalesce(anchor = 'main_body', true) AS titled FROM b5",
+        **walk_sql("p", "SELECT * EXCLUDE (power), power AS own, CASE WHEN titled THEN 4 ELSE power END AS power FROM b5t"),
+        **walk_sql("", "SELECT * EXCLUDE (power, own, zb, za, z0, z1, z2, z3, s0, s1, s2), CASE WHEN titled AND zb = 'title_page' THEN 4 ELSE own END AS power FROM b11p"),
         "b12": """SELECT *, CASE WHEN tab THEN 'table' WHEN emp THEN 'empty' WHEN zb = 'appendix' THEN it ELSE ot END AS bt,
             CASE WHEN tab THEN zb WHEN emp THEN CASE WHEN zb IN ('title_page', 'control_sheet', 'toc') THEN zb ELSE 'unknown_zone' END ELSE za END AS zone FROM b11""",
         "b13": rf"""SELECT *, bt IN ('heading', 'appendix_heading') AS hd, NOT tab AND NOT emp AND rt IS NULL AS guessed,

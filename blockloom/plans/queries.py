@@ -11,6 +11,7 @@ from ..operators import render, tables, validate
 from ..operators import requirements as R
 from ..sources import adapters as A
 from ..sources import rules as S
+from . import fixtures
 from . import oracles as O
 from .catalog import register
 
@@ -51,7 +52,7 @@ def _csv(name: str, alias: str | None = None) -> Column:
 
 PATH = "array_to_string(path, '/') AS path"
 
-register("q_blocks_pages", _pages, O.composed(O.pages_sql(), "SELECT * FROM blocks"))
+register("q_blocks_pages", _pages, O.composed(O.pages_sql(), "SELECT document_id, block_order, kind, style, text FROM blocks"))
 register("q_blocks_docs", _lines, O.composed(O.lines_sql(), "SELECT * FROM blocks"))
 register(
     "q_blocks_chat", lambda s, d: A.chat_blocks(A.read_table(s, d, "conversations")),
@@ -174,8 +175,9 @@ register(
         FROM (SELECT document_id, "row", string_agg(text, ',' ORDER BY col) AS r FROM cells GROUP BY ALL) GROUP BY 1"""),
 )
 register(
-    "q_grid_cells", lambda s, d: tables.grid_cells(_cells(s, d), tables.spans(_cells(s, d))),
-    O.composed(CELLS, 'SELECT c.document_id, c."row", CAST(c.col AS BIGINT) AS col, c.text, s.row_span, s.col_span FROM cells c LEFT JOIN spans s ON s.document_id = c.document_id AND s."row" = c."row" AND s.col = c.col'),
+    "q_grid_cells", lambda s, d: tables.grid_cells(_cells(s, d)),
+    O.composed(CELLS, """SELECT document_id, "row", CAST(col AS BIGINT) AS col, text, CASE WHEN "row" = min("row") OVER k THEN max("row") OVER k - min("row") OVER k + 1 END AS row_span,
+        CAST(CASE WHEN "row" = min("row") OVER k THEN 1 END AS BIGINT) AS col_span FROM keyed WINDOW k AS (PARTITION BY document_id, cell_key)"""),
 )
 register(
     "q_requirement_candidates", lambda s, d: R.candidates(_line_base(s, d), S.ENGLISH).select("document_id", "candidate_id", "block_id", _path(), "zone", "candidate_text", "reason", "confidence", "kind"),
@@ -249,17 +251,40 @@ register(
         FROM qu JOIN r2 ON r2.document_id = qu.document_id AND r2.bid = qu.bid"""),
 )
 NAMES = ["non_empty_document", "structure_summary_consistency", "enum_domain_validity", "adjacent_block_links", "table_block_payloads", "note_block_review_readiness", "section_context_validity", "review_candidates_build", "review_candidates_links"]
-CHECKS = f"""SELECT document_id, name, CASE WHEN issues = 0 THEN 'passed' ELSE 'failed' END AS status, issues FROM (
-    SELECT document_id, name, CAST(CASE WHEN name = 'structure_summary_consistency' AND pairs > 0 THEN 1 WHEN name = 'section_context_validity' THEN noid ELSE 0 END AS BIGINT) AS issues FROM (
-        SELECT document_id, count(*) FILTER (st1) AS pairs, count(*) FILTER (bt IN ('heading', 'appendix_heading') AND zone IN ('main_body', 'appendix') AND sid IS NULL) AS noid FROM r2 GROUP BY 1)
-    CROSS JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in NAMES)}]) AS name))"""
-register("q_validation_checks", lambda s, d: validate.run_checks(_line_base(s, d)), O.lines(CHECKS))
-register(
-    "q_validation_report", lambda s, d: validate.report(validate.run_checks(_line_base(s, d))),
+BAD = {  # what each check counts, over the blocks of a document
+    "enum_domain_validity": f"bt NOT IN ({', '.join(map(repr, S.BLOCK_TYPES))}) OR zone NOT IN ({', '.join(map(repr, S.ZONES))})",
+    "adjacent_block_links": "pid IS DISTINCT FROM pb OR nid IS DISTINCT FROM nb",
+    "table_block_payloads": "bt = 'table' AND (table_rows IS NULL OR table_cols IS NULL)",
+    "note_block_review_readiness": "bt IN ('note_label', 'note_text', 'note_like') AND lf IS NULL",
+    "section_context_validity": """bt IN ('heading', 'appendix_heading', 'paragraph', 'list_item', 'table') AND zone IN ('main_body', 'appendix')
+        AND ((bt IN ('heading', 'appendix_heading') AND sid IS NULL) OR coalesce(len(path) > 0 AND path[-1] <> sid, false))""",
+    "review_candidates_links": "len(reasons) > 0 AND bid IS NULL",
+}
+COUNTS = {"total_tables": "table", "total_list_items": "list_item", "total_template_instructions": "template_instruction", "total_sections": "heading", "total_appendix_sections": "appendix_heading", "total_figures": "figure", "total_formulas": "formula"}
+NOTE_COUNT = "count(DISTINCT CASE WHEN bt IN ('note_label', 'note_text') THEN nullif(grp, '') END) + count(*) FILTER (bt IN ('note_label', 'note_text') AND nullif(grp, '') IS NULL) + count(*) FILTER (bt = 'note_like')"
+WRONG = "CASE WHEN notes <> note_rows THEN 1 ELSE 0 END"  # the other counters are counted the same way
+ISSUES = {"non_empty_document": "CASE WHEN total = 0 THEN 1 ELSE 0 END", "structure_summary_consistency": WRONG, "review_candidates_build": "0", **{n: f"coalesce(n_{n}, 0)" for n in BAD}}
+FOUND = {"structure_summary_consistency": "CASE WHEN notes <> note_rows THEN 'total_notes' END", **{n: f"f_{n}" for n in BAD}}
+CHECKS = f"""SELECT document_id, u.name AS name, CASE WHEN u.issues = 0 THEN 'passed' ELSE 'failed' END AS status, CAST(u.issues AS BIGINT) AS issues, coalesce(u.found, '') AS offending FROM (
+    SELECT document_id, unnest([{", ".join(f"{{'name': '{n}', 'issues': {ISSUES[n]}, 'found': {FOUND.get(n, 'NULL')}}}" for n in NAMES)}]) AS u FROM (
+        SELECT d.document_id, coalesce(total, 0) AS total, coalesce(notes, 0) AS notes, coalesce(note_rows, 0) AS note_rows, {", ".join(f"n_{n}, f_{n}" for n in BAD)}
+        FROM (SELECT DISTINCT doc_id AS document_id FROM documents) d LEFT JOIN (
+            SELECT document_id, count(*) AS total, {NOTE_COUNT} AS notes, count(*) FILTER (bt IN ('note_label', 'note_text', 'note_like')) AS note_rows,
+                {", ".join(f"count(*) FILTER ({bad}) AS n_{n}, string_agg(bid, ',' ORDER BY block_order) FILTER ({bad}) AS f_{n}" for n, bad in BAD.items())}
+            FROM (SELECT *, lag(bid) OVER w AS pb, lead(bid) OVER w AS nb FROM r2 WINDOW w AS (PARTITION BY document_id ORDER BY block_order)) GROUP BY document_id) USING (document_id)))"""
+
+
+def _checks(s: SparkSession, d: str) -> DataFrame:
+    return validate.run_checks(_line_base(s, d), A.read_table(s, d, "documents").select(F.col("doc_id").alias("document_id")))
+
+
+register("q_validation_checks", lambda s, d: _checks(s, d).drop("message").withColumn("offending", F.array_join("offending", ",")), O.lines(CHECKS))
+register(
+    "q_validation_report", lambda s, d: validate.report(_checks(s, d)),
     O.lines(f"SELECT document_id, count(*) AS total_checks, count(*) FILTER (status = 'passed') AS passed_checks, CAST(0 AS BIGINT) AS warning_checks, count(*) FILTER (status = 'failed') AS failed_checks, bool_and(status <> 'failed') AS downstream_ready FROM ({CHECKS}) GROUP BY 1"),
 )
 register(
-    "q_validation_failures", lambda s, d: validate.failures_by_check(validate.run_checks(_line_base(s, d))),
+    "q_validation_failures", lambda s, d: validate.failures_by_check(_checks(s, d)),
     O.lines(f"SELECT name, count(*) AS failures FROM ({CHECKS}) WHERE status = 'failed' GROUP BY 1"),
 )
 
@@ -271,6 +296,18 @@ def _inputs(s: SparkSession, d: str) -> DataFrame:
     return pages.select(path.alias("path"), (F.col("page_id") % 3 != 0).alias("exists"))
 
 
+register(
+    "q_validation_messages", lambda s, d: _checks(s, d).groupBy("name", "status", "message").agg(F.count(F.lit(1)).alias("documents")),
+    O.lines(f"""SELECT name, status, CASE {" ".join(f"WHEN name = '{n}' AND status = '{st}' THEN '{m[k]}'" for n, m in validate.MESSAGES.items() for k, st in enumerate(("passed", "failed")))} END AS message, count(*) AS documents
+        FROM ({CHECKS}) GROUP BY ALL"""),
+)
+register("q_validation_damaged", lambda s, d: fixtures.damaged_checks(s), fixtures.DAMAGED)
+register("q_zone_rules", lambda s, d: fixtures.russian_zones(s), fixtures.ZONES)
+register("q_russian_blocks", lambda s, d: fixtures.russian_blocks(s), fixtures.BLOCKS)
+register("q_review_default", lambda s, d: fixtures.default_decision(s), fixtures.DEFAULT)
+register("q_review_lines", lambda s, d: fixtures.review_lines(s), fixtures.LINES)
+
+
 INPUTS = """SELECT regexp_extract(url, '^https?://([^/?]+)', 1) || '/' || page_id % 40 || CASE page_id % 5 WHEN 0 THEN '.DOCX' WHEN 1 THEN '.txt' ELSE '.docx' END AS path, page_id % 3 <> 0 AS found FROM pages"""
 register("q_discover_inputs", lambda s, d: validate.discover(_inputs(s, d))[0], f"SELECT DISTINCT path FROM ({INPUTS}) WHERE found AND ends_with(lower(path), '.docx')")
 register(
@@ -279,14 +316,22 @@ register(
         FROM ({INPUTS}) WHERE NOT found OR NOT ends_with(lower(path), '.docx')""",
 )
 register(
-    "q_validation_batch", lambda s, d: validate.batch(validate.run_checks(_line_base(s, d)), validate.discover(_inputs(s, d))[1]),
+    "q_validation_batch", lambda s, d: validate.batch(_checks(s, d), validate.discover(_inputs(s, d))[1]),
     O.lines(f"""SELECT count(*) AS total_documents, count(*) FILTER (state = 'passed') AS passed_documents, count(*) FILTER (state = 'failed') AS failed_documents, count(*) FILTER (state = 'warning') AS warnings FROM (
         SELECT CASE WHEN bool_and(status <> 'failed') THEN 'passed' ELSE 'failed' END AS state FROM ({CHECKS}) GROUP BY document_id
         UNION ALL SELECT CASE WHEN NOT found THEN 'failed' ELSE 'warning' END FROM ({INPUTS}) WHERE NOT found OR NOT ends_with(lower(path), '.docx'))"""),
 )
-RENDER = """SELECT document_id, block_order, printf('[BLOCK %04d] id=%s | type=%s | zone=%s | section=%s | style=%s', block_order, bid, bt, zone, coalesce(nullif(array_to_string(path, ' > '), ''), '-'), coalesce(nullif(style, ''), '-')) AS header,
-    CASE WHEN guessed OR coalesce(orphan, false) THEN '[REVIEW] ' || concat_ws(' | ', CASE WHEN guessed THEN 'needs_review' END, CASE WHEN guessed THEN 'suspicious' END, CASE WHEN orphan THEN 'orphan_note' END) END AS hint,
-    CASE WHEN bt = 'table' THEN '[TABLE]' WHEN norm = '' THEN '[NO TEXT]' ELSE norm END AS body, bt <> 'empty' AS show, coalesce(orphan, false) OR guessed AS unresolved FROM r2"""
+MARK = "coalesce(" + ", ".join(rf"nullif(regexp_extract(norm, '^\s*({x})\s+', 1), '')" for x in (r"[A-Za-zА-Яа-я]\)", "[0-9]+[.)]", "[-•–]")) + ")"
+PREFIX = "CASE WHEN bt = 'list_item' THEN repeat('  ', coalesce(rlevel, 0)) || coalesce(mark, '-') || ' ' ELSE '' END"
+RENDER = f"""SELECT document_id, block_order, printf('[BLOCK %04d] id=%s | type=%s | zone=%s | section=%s | style=%s', block_order, bid, bt, zone, coalesce(nullif(array_to_string(path, ' > '), ''), '-'), coalesce(nullif(style, ''), '-')) AS header,
+    CASE WHEN guessed OR coalesce(orphan, false) OR (emp AND bt <> 'empty') THEN '[REVIEW] ' || concat_ws(' | ', CASE WHEN guessed THEN 'needs_review' END, CASE WHEN guessed THEN 'suspicious' END,
+        CASE WHEN guessed OR coalesce(orphan, false) THEN 'unresolved' END, CASE WHEN emp AND bt <> 'empty' THEN 'flag:is_empty' END) END AS hint,
+    CASE WHEN bt = 'table' AND table_rows IS NULL AND table_cols IS NULL THEN '[TABLE BLOCK WITHOUT TABLE_INFO]'
+        WHEN bt = 'table' THEN printf('table_id=- | rows=%d | cols=%d | style=%s | header_row=%s', coalesce(table_rows, 0), coalesce(table_cols, 0), coalesce(nullif(style, ''), '-'), CASE WHEN table_rows > 0 THEN 'True' ELSE 'False' END)
+            || CASE WHEN coalesce(table_rows, 0) = 0 OR coalesce(table_cols, 0) = 0 THEN chr(10) || '[EMPTY TABLE]' ELSE '' END
+        WHEN bt = 'empty' THEN '[EMPTY BLOCK]' || CASE WHEN norm = '' THEN '' ELSE ' ' || norm END WHEN bt = 'unknown' THEN '[UNKNOWN BLOCK]' || CASE WHEN norm = '' THEN '' ELSE ' ' || norm END
+        ELSE {PREFIX} || CASE WHEN norm = '' THEN '[NO TEXT]' ELSE norm END END AS body,
+    bt <> 'empty' AS show, coalesce(orphan, false) OR guessed AS unresolved FROM (SELECT *, {MARK} AS mark FROM r2)"""
 register("q_render_rows", lambda s, d: render.render_rows(_page_base(s, d)), O.pages(RENDER))
 register("q_render_rows_docs", lambda s, d: render.render_rows(_line_base(s, d)), O.lines(RENDER))
 register(

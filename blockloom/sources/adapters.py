@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Tag and text of the elements of a page that carry blocks.
-PAGE_PATTERN = r"<(title|h1|li|p|footer|div)(?: [^>]*)?>(?:<a[^>]*>|<b>)?([^<]*)"
+#: Marks within a text, which are left out; then tag and text of the elements of a page that carry blocks.
+INLINE_PATTERN = r"</?(?:a|abbr|b|cite|code|em|i|mark|q|s|small|span|strong|sub|sup|u)(?:\s[^>]*)?/?>"
+PAGE_PATTERN = r"<(title|h1|li|p|footer|div)(?: [^>]*)?>([^<]*)"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +18,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    found = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(PAGE_PATTERN), F.lit(1)).alias("style"), F.regexp_extract_all("html", F.lit(PAGE_PATTERN), F.lit(2)).alias("text")
-    )
+    html = F.regexp_replace("html", INLINE_PATTERN, "")
+    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(PAGE_PATTERN), F.lit(1)).alias("style"), F.regexp_extract_all(html, F.lit(PAGE_PATTERN), F.lit(2)).alias("text"))
     out = pages.select(F.col("page_id").alias("document_id"), F.posexplode(found).alias("at", "b"))
     return out.select("document_id", (F.col("at") + 1).cast("long").alias("block_order"), F.lit("paragraph").alias("kind"), "b.style", "b.text")
 
@@ -43,7 +43,12 @@ def line_blocks(documents: DataFrame) -> DataFrame:
         s = F.lit(s).cast("string") if s is None or isinstance(s, str) else s
         style, text = (F.when(k == i, s), F.when(k == i, t)) if style is None else (style.when(k == i, s), text.when(k == i, t))
     kind = F.when(k == 10, F.lit("table")).otherwise(F.lit("paragraph"))
-    return lines.select("document_id", (F.col("at") + 1).cast("long").alias("block_order"), kind.alias("kind"), style.alias("style"), text.alias("text"))
+    # Tables of a third of the documents have no payload, those of another third no number of columns.
+    third, is_table = F.col("document_id") % 3, k == 10
+    return lines.select(
+        "document_id", (F.col("at") + 1).cast("long").alias("block_order"), kind.alias("kind"), style.alias("style"), text.alias("text"),
+        F.when(is_table & (third != 0), F.lit(1)).cast("long").alias("table_rows"), F.when(is_table & (third == 1), F.lit(2)).cast("long").alias("table_cols"),
+    )
 
 
 def chat_blocks(conversations: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ class Lexicon:
     figure: str
     note: list[str]
     control: str
+    control_styles: list[str]
     contents: str
     sources: str
     heading_styles: list[str]
@@ -48,7 +49,7 @@ class Lexicon:
 
 # Fixed values of the Russian quality-document template.
 RUSSIAN = Lexicon(
-    appendix="Приложение", table="таблица", figure="рисунок", note=["примечание", "note"], control="контрольный лист", contents="содержание", sources="библиография",
+    appendix="Приложение", table="таблица", figure="рисунок", note=["примечание", "note"], control="контрольный лист", control_styles=["структурный", "вне содержания"], contents="содержание", sources="библиография",
     heading_styles=["heading", "заголовок"], not_heading_styles=["таблиц", "рисунок", "оглавление"], appendix_style="прил", title_styles=["титуль", "title"],
     contents_styles=["оглавление", "содержание"], source_styles=["список источников", "библиограф"],
     note_label_style="05_ИЦЖТ_Примечание_слово", note_text_style="05_ИЦЖТ_Примечание_текст после",
@@ -62,7 +63,7 @@ RUSSIAN = Lexicon(
 )
 
 ENGLISH = Lexicon(
-    appendix="Appendix", table="table", figure="figure", note=["note"], control="control sheet", contents="contents", sources="bibliography",
+    appendix="Appendix", table="table", figure="figure", note=["note"], control="control sheet", control_styles=["structural", "not in contents"], contents="contents", sources="bibliography",
     heading_styles=["heading"], not_heading_styles=["table", "figure", "contents"], appendix_style="appendix", title_styles=["title"],
     contents_styles=["contents"], source_styles=["bibliography"], note_label_style="Note label", note_text_style="Note text",
     markers=[("with", "obligation"), ("that", "obligation"), ("from", "necessity"), ("by", "recommendation")],

@@ -7,7 +7,7 @@ from blockloom import api
 from blockloom.operators import blocks as B
 from blockloom.operators import render, tables, validate
 from blockloom.operators import requirements as R
-from blockloom.sources import docx, sinks
+from blockloom.sources import adapters, docx, sinks
 from blockloom.sources import rules as S
 from blockloom.streaming import folder
 
@@ -172,8 +172,9 @@ def test_checks(spark, rules):
     broken = base.withColumn("next_id", F.lit("x")).withColumn("block_type", F.when(F.col("block_order") == 2, "odd").otherwise(F.col("block_type"))).withColumn("section_id", F.lit(None).cast("string"))
     failed = {r.name for r in validate.run_checks(broken).filter("status = 'failed'").collect()}
     assert failed == {"enum_domain_validity", "adjacent_block_links", "section_context_validity"}
-    lost = spark.createDataFrame([(1, "nowhere"), (1, "b000001")], "document_id long, block_id string")
-    assert validate.candidate_links(base, lost).first().issues == 1
+    lost = spark.createDataFrame([(1, "rc_1", "nowhere"), (1, "rc_2", "b000001")], "document_id long, candidate_id string, block_id string")
+    found = {r.name: (r.issues, r.offending) for r in validate.run_checks(base, candidates=lost).collect()}
+    assert found["review_candidates_links"] == (1, ["rc_1"])
     summary = validate.batch(validate.run_checks(base), spark.createDataFrame([("a", "failed", ""), ("b", "warning", "")], "input_path string, status string, message string"))
     assert summary.first().asDict() == {"total_documents": 3, "passed_documents": 1, "failed_documents": 1, "warnings": 1} and sinks.exit_code(summary) == 1
 
@@ -251,3 +252,33 @@ def test_discover(spark):
     paths = spark.createDataFrame([("a.docx", True), ("a.docx", True), ("b.txt", True), ("c.docx", False), ("D.DOCX", True)], "path string, exists boolean")
     good, issues = validate.discover(paths)
     assert {r.path for r in good.collect()} == {"a.docx", "D.DOCX"} and {(r.input_path, r.status) for r in issues.collect()} == {("b.txt", "warning"), ("c.docx", "failed")}
+
+
+def test_documents_keep_tables_and_runs(spark, files, tmp_path):
+    base = api.parse_documents(spark, files).orderBy("block_order").cache()
+    heading, text, table = base.collect()
+    assert heading.runs[0].font == "Arial" and heading.paragraph.alignment == "center" and text.table_id is None
+    assert (table.table_id, table.table_rows, table.table_cols, table.cells) == ("tbl_0001", 3, 2, [["A", "A"], ["B", None], ["B", "C"]])
+    body = "table_id=tbl_0001 | rows=3 | cols=2 | style=- | header_row=True\nA\tA\nB\t\nB\tC"
+    assert render.render_rows(base).filter("block_order = 3").first().body == body
+    assert {(r.row, r.col, r.row_span, r.col_span) for r in api.parse_table(spark, files, 1).filter("row_span IS NOT NULL").collect()} == {(0, 0, 1, 2), (1, 0, 2, 1), (1, 1, 1, 1), (2, 1, 1, 1)}
+    # Review documents from stored JSON are those of the blocks themselves.
+    sinks.write_documents(base, str(tmp_path / "json"))
+    api.export_review_json(spark, str(tmp_path / "json"), str(tmp_path / "again"))
+    api.export_review(base, str(tmp_path / "own"))
+    texts = [[b["text"] for b in docx.decode(bytes(spark.read.parquet(str(tmp_path / x)).first().content))["blocks"]] for x in ("again", "own")]
+    assert texts[0] == texts[1] and body.split("\n")[0] in texts[0][-1]
+    reports = {r.document_id.rsplit("/")[-1]: r.downstream_ready for r in api.validate_folder(spark, files).collect()}
+    assert reports == {"one.docx": True, "bad.DOCX": False}
+
+
+def test_minimal_json_gets_defaults(spark):
+    frame = spark.createDataFrame([('{"document_id": 1, "blocks": [{"block_id": "b1", "block_order": 1}]}',)], "json string")
+    row = render.read_document_json(frame).first()
+    assert (row.zone, row.block_type, row.norm, row.flags, row.cells) == ("unknown_zone", "unknown", "", [], None)
+    assert render.render_rows(render.read_document_json(frame)).first().body == "[UNKNOWN BLOCK]"
+
+
+def test_inline_marks_stay_in_a_block(spark):
+    pages = spark.createDataFrame([(1, "<p>a <i>b</i> <a href='x'>c</a> d</p><li><b>e</b> f</li><blockquote>g</blockquote>")], "page_id long, html string")
+    assert [(r.style, r.text) for r in adapters.page_blocks(pages).orderBy("block_order").collect()] == [("p", "a b c d"), ("li", "e f")]
