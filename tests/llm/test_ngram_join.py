@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from blockloom.llm import ngram_join, shingles
+from blockloom.llm import components as components_module
 from blockloom.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -75,16 +76,18 @@ def test_hashes_stand_for_grams(prose_text):
     assert len({x for x in names.values()}) == len(names)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
     rng = random.Random(2)
-    edges = [(i, i + 1) for i in range(200)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)] + [(5, 5)]
+    edges = [(i, i + 1) for i in range(2**9)] + [(5000 + rng.randrange(300), 5000 + rng.randrange(300)) for _ in range(200)] + [(5, 5)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     label = {x: x for e in edges for x in e}
-    for _ in range(400):
+    for _ in range(600):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {i: r for i, r in label.items() if i != r}
-    assert Counter(got.values())[0] == 200
+    assert Counter(got.values())[0] == 2**9
 
 
 def test_linked_sets_share_a_fragment_key():
