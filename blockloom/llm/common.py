@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,6 +69,7 @@ def drop(*tables: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now; otherwise it does so when the driver collects garbage."""
     gc.collect()
+    time.sleep(0.3)  # the driver's JVM hears of what Python has dropped with a delay
     spark._jvm.System.gc()
 
 
