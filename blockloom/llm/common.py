@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,6 +15,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch, and bytes of it that an operator works on at once: they bound a worker's memory.
 ARROW_ROWS, PIECE_BYTES = 256, 8 << 20
+#: Spark's setting that shuffle files are deleted when the SQL execution that made them ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,13 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     and gives the optimizer real sizes, so it broadcasts a side only below its threshold."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    df.write.parquet(path)
+    # The files of the write's own shuffles go as it ends: nothing reads them once the table is there.
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -66,13 +72,6 @@ def drop(*tables: DataFrame) -> None:
         remove(df.sparkSession, df.scratch_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now; otherwise it does so when the driver collects garbage."""
-    gc.collect()
-    time.sleep(0.3)  # the driver's JVM hears of what Python has dropped with a delay
-    spark._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Lower the session's Arrow batch size to rows, if it is larger."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -398,9 +398,7 @@ def compared_runs(members: DataFrame, sketches: DataFrame, percent: int) -> Data
 
 def clusters_of(keys: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """id, cluster of the ids that may be linked with others."""
-    spark = keys.sparkSession
     found = common.saved(runs(keys, percent), "runs")
-    common.release(spark)
     tied = found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v"))
     pairs = found.filter("kind = 2").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct()
     members = found.filter("kind = 3").select("token", "a", F.col("b").alias("id"))
@@ -411,7 +409,6 @@ def clusters_of(keys: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     common.drop(found)
     both = rooted.unionByName(rooted.select(F.col("root").alias("id"), "root").distinct())
     out = common.saved(both.withColumnRenamed("root", "cluster"), "clusters")
-    common.release(spark)
     return out
 
 
@@ -497,7 +494,6 @@ def partial_overlaps(rows: DataFrame, percent: int) -> DataFrame:
 
 def cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """id, root of the ids that are linked with others, from rows id, n, fragment, tokens and the cluster of each id."""
-    spark = sets.sparkSession
     sizes = sets.filter("fragment = 0").select("id", "n")
     # A cluster's blocks hold about BLOCK_GRAMS n-grams each.
     held = clusters.join(sizes, "id").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
@@ -520,7 +516,6 @@ def cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFra
         rows = own.select("cluster", "block", "fragment", "pivot", "id", "n", "tokens").unionByName(asked.select("cluster", "block", "fragment", "pivot", "id", "n", "tokens"))
         sums = partial_overlaps(rows, percent).groupBy("u", "v", "n_u", "n_v").agg(F.sum("c").alias("c"))
         links = common.saved(sums.filter(F.col("c") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("c")) * percent).select("u", "v"), "links")
-        common.release(spark)
         named = state.select("id", "comp")
         joined = links.join(named.withColumnsRenamed({"id": "u", "comp": "cu"}), "u").join(named.withColumnsRenamed({"id": "v", "comp": "cv"}), "v")
         moved = components(joined.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnsRenamed({"id": "comp", "root": "to"})
@@ -559,7 +554,6 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     clusters = clusters_of(key_rows(single, words, percent, hot), sketches, percent)
     texts = single.join(clusters, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
     sets = common.saved(fragments(texts, words), "sets")
-    common.release(docs.sparkSession)
     links = cluster_links(sets, clusters, percent)
 
     roots = classes.join(links, classes["rep"] == links["id"], "left")

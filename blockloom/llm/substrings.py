@@ -405,20 +405,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark, ROWS)
     found = common.saved(meeting(segment_rows(docs)).withColumnRenamed("h", "name"), "segments")
-    common.release(spark)
     edges = in_parts(found, split_names(found))
     per_doc = edges.groupBy("doc").agg(F.collect_list(F.struct("name", "part", "parts", "s", "n")).alias("edges"))
     located = per_doc.join(docs, "doc").select("doc", "edges", F.col("text").cast("binary").alias("raw"))
     # Written, so that the shuffle files of the join are gone before the bytes are dealt.
     located = common.saved(located, "located")
     common.drop(found)
-    common.release(spark)
     cut = located.select("doc", "raw", F.explode("edges").alias("x"))
     rows = cut.select("x.name", "x.part", "x.parts", F.col("x.name").alias("h"), "doc", "x.s", "x.n", F.expr("substring(raw, x.s + 1, abs(x.n) + 99)").alias("bytes"))
     ranges, turn = None, 0
     while True:
         windows = common.saved(compare(rows, WIDTHS[min(turn, len(WIDTHS) - 1)]), "windows")
-        common.release(spark)
         gone = windows.filter("kind = 0").select("doc", "s", (F.col("s") + F.col("n") + LENGTH - 1).alias("e"))
         ranges = gone if ranges is None else ranges.unionByName(gone)
         if turn == 0:
