@@ -15,7 +15,7 @@ of the order serve twice: to find candidates, and to count overlaps.
    ties are clusters: no link leaves one.
 4. Overlaps are counted exactly. Each round takes some sets of every unfinished cluster as pivots. N-grams of sets and
    pivots are dealt by (cluster, block, fragment of the order); each fragment counts its partial overlaps of pivots and
-   sets alone, and an aggregation sums them per pair. Pairs that reach the threshold join components. What is outside a
+   sets alone, but of pairs in one component or ruled out, and an aggregation sums them per pair. Pairs that reach the threshold join components. What is outside a
    cluster's largest component gives the next round's pivots, more each time, until all pairs are compared or connected:
    a group of near copies costs a few pivots, not all pairs.
 
@@ -47,8 +47,8 @@ WORDS, PERCENT = 4, 85
 LEVEL = 1.3
 #: Fragments in which overlaps are counted; n-grams of a block, and of a chunk that is counted at once.
 FRAGMENTS, BLOCK_GRAMS, CHUNK_GRAMS = 8, 1 << 22, 1 << 18
-#: Places where an n-gram of a set meets one of a pivot that are counted at once.
-MEETINGS = 1 << 21
+#: Places where an n-gram of a set meets one of a pivot that are counted at once, and pairs whose counts are held.
+MEETINGS, PAIRS = 1 << 21, 1 << 19
 #: Pivots of a cluster in the first round, growth, and most in a round (there are as many rounds as needed).
 PIVOTS, GROWTH, MOST_PIVOTS = 16, 16, 2048
 #: Longest run whose pairs are tied as they are found, and longest one that is compared in one piece.
@@ -413,7 +413,7 @@ def clusters_of(keys: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
 
 def fragments(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, fragment, tokens: each set of rows id, text, cut into FRAGMENTS parts of the order."""
+    """id, n, sketch, fragment, tokens: each set of rows id, text, cut into FRAGMENTS parts of the order."""
     import numpy as np
     import pyarrow as pa
 
@@ -428,49 +428,82 @@ def fragments(docs: DataFrame, words: int) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             own, n = np.repeat(batch.column(0).to_numpy(), FRAGMENTS), np.repeat([len(s) for s in sets], FRAGMENTS)
             tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat.view(np.int64)))
-            columns = [pa.array(own, pa.int64()), pa.array(n, pa.int64()), pa.array(np.tile(np.arange(FRAGMENTS), len(sets)), pa.int32()), tokens]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "fragment", "tokens"])
+            sketches = pa.array([x for s in sets for x in [sketch(s)] * FRAGMENTS], pa.binary())
+            columns = [pa.array(own, pa.int64()), pa.array(n, pa.int64()), sketches, pa.array(np.tile(np.arange(FRAGMENTS), len(sets)), pa.int32()), tokens]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sketch", "fragment", "tokens"])
 
     common.small_batches(docs.sparkSession)
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, fragment int, tokens array<long>")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, sketch binary, fragment int, tokens array<long>")
+
+
+def alike(sketches: list[bytes], n, a, b, percent: int):
+    """Which of the pairs (a, b) of places the sketches leave possible."""
+    import numpy as np
+
+    length = np.array([len(x) for x in sketches])
+    least, keep = np.minimum(length[a], length[b]), np.zeros(len(a), bool)
+    for size in np.unique(least).tolist():
+        rows = np.flatnonzero(least == size)
+        used, spot = np.unique(np.concatenate([a[rows], b[rows]]), return_inverse=True)
+        table = np.stack([folded(sketches[i], size) for i in used]).view(np.uint64)
+        for some in np.array_split(np.arange(len(rows)), 1 + len(rows) * size // common.PIECE_BYTES):
+            x, y = rows[some], table[spot[some]] ^ table[spot[len(rows) + some]]
+            keep[x] = np.bitwise_count(y).sum(1, dtype=np.int64) * (100 + percent) <= (100 - percent) * (n[a[x]] + n[b[x]])
+    return keep
 
 
 def partial_overlaps(rows: DataFrame, percent: int) -> DataFrame:
     """u, v, n_u, n_v, c: n-grams that pivot u and set v share in one fragment, of rows cluster, block, fragment, pivot (1 or
-    0), id, n, tokens."""
+    0), id, comp, n, sketch, tokens.
+
+    Left out are pairs of one component (comp), one direction of two pivots, and pairs that cannot be linked as their sketches,
+    or this fragment alone, differ in more n-grams than linked sets do in all.
+    """
     import numpy as np
     import pyarrow as pa
 
     names_ = ["u", "v", "n_u", "n_v", "c"]
 
-    def counted(held: list) -> pa.RecordBatch:
-        """The overlaps of whole groups."""
-        group, pivot, ids, n = (np.concatenate([h[i] for h in held]) for i in range(4))
-        sizes, tokens = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
+    def counted(held: list) -> Iterator:
+        """The overlaps of whole groups, for pivots that meet PAIRS sets or so at once."""
+        group, pivot, ids, comp, n = (np.concatenate([h[i] for h in held]) for i in range(5))
+        sketches = [x for h in held for x in h[5]]
+        sizes, tokens = np.concatenate([h[6] for h in held]), np.concatenate([h[7] for h in held])
         row = np.repeat(np.arange(len(ids)), sizes)
         # One number for each (group, n-gram): pivots' and sets' places with the same number meet.
         order = np.lexsort((tokens, group[row]))
         g, t = group[row][order], tokens[order]
         same = np.empty(len(order), np.int64)
         same[order] = np.cumsum(np.append(True, (g[1:] != g[:-1]) | (t[1:] != t[:-1]))) - 1 if len(order) else same
-        is_pivot = pivot[row] == 1
-        p_row, p_key = row[is_pivot], same[is_pivot]
-        by = np.argsort(p_key, kind="stable")
-        p_row, p_key = p_row[by], p_key[by]
-        s_row, s_key = row[~is_pivot], same[~is_pivot]
-        low = np.searchsorted(p_key, s_key)
-        times = np.searchsorted(p_key, s_key, "right") - low
-        low, s_row, times = low[times > 0], s_row[times > 0], times[times > 0]
-        found = []
-        for part in np.split(np.arange(len(times)), np.searchsorted(np.cumsum(times), np.arange(MEETINGS, times.sum(), MEETINGS))):
-            t = times[part]
-            at = np.repeat(low[part] - np.append(0, np.cumsum(t)[:-1]), t) + np.arange(t.sum())
-            found.append(np.unique(p_row[at] * len(ids) + np.repeat(s_row[part], t), return_counts=True))
-        pairs, number = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-        c = np.bincount(number, weights=np.concatenate([x for _, x in found]), minlength=len(pairs))
-        a, b = pairs // max(1, len(ids)), pairs % max(1, len(ids))
-        fit = (ids[a] != ids[b]) & (n[a] * 100 >= percent * n[b]) & (percent * n[a] <= 100 * n[b])
-        return pa.RecordBatch.from_arrays([pa.array(x[fit]) for x in (ids[a], ids[b], n[a], n[b], c.astype(np.int64))], names_)
+        asks = pivot == 1
+        asked, of_pivot = np.isin(ids, ids[asks]), asks[row]
+        all_s_row, all_s_key = row[~of_pivot], same[~of_pivot]
+        meets = np.cumsum(np.bincount(group[~asks], minlength=group.max() + 1)[group[asks]])
+        total = int(meets[-1]) if len(meets) else 0
+        for some in np.split(np.flatnonzero(asks), np.searchsorted(meets, np.arange(PAIRS, total, PAIRS))):
+            now = np.zeros(len(ids), bool)
+            now[some] = True
+            now = now[row]
+            p_row, p_key = row[now], same[now]
+            by = np.argsort(p_key, kind="stable")
+            p_row, p_key = p_row[by], p_key[by]
+            low = np.searchsorted(p_key, all_s_key)
+            times = np.searchsorted(p_key, all_s_key, "right") - low
+            low, s_row, times = low[times > 0], all_s_row[times > 0], times[times > 0]
+            found = []
+            for part in np.split(np.arange(len(times)), np.searchsorted(np.cumsum(times), np.arange(MEETINGS, times.sum(), MEETINGS))):
+                t = times[part]
+                at = np.repeat(low[part] - np.append(0, np.cumsum(t)[:-1]), t) + np.arange(t.sum())
+                found.append(np.unique(p_row[at] * len(ids) + np.repeat(s_row[part], t), return_counts=True))
+            pairs, number = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+            c = np.bincount(number, weights=np.concatenate([x for _, x in found]), minlength=len(pairs)).astype(np.int64)
+            a, b = pairs // max(1, len(ids)), pairs % max(1, len(ids))
+            fit = (ids[a] != ids[b]) & (comp[a] != comp[b]) & ~(asked[b] & (ids[b] < ids[a]))
+            fit &= (n[a] * 100 >= percent * n[b]) & (percent * n[a] <= 100 * n[b])
+            fit &= (sizes[a] + sizes[b] - 2 * c) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+            a, b, c = a[fit], b[fit], c[fit]
+            fit = alike(sketches, n, a, b, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(x[fit]) for x in (ids[a], ids[b], n[a], n[b], c)], names_)
 
     def run(batches: Iterator) -> Iterator:
         held, size, number = [], 0, 0
@@ -479,16 +512,16 @@ def partial_overlaps(rows: DataFrame, percent: int) -> DataFrame:
             flat = tokens.flatten().to_numpy()
             sizes = np.diff(tokens.offsets.to_numpy())
             if size and size + len(flat) > CHUNK_GRAMS:
-                yield counted(held)
+                yield from counted(held)
                 held, size = [], 0
-            held.append((np.full(len(sizes), number), *(rows.column(x).to_numpy() for x in ("pivot", "id", "n")), sizes, flat))
+            held.append((np.full(len(sizes), number), *(rows.column(x).to_numpy() for x in ("pivot", "id", "comp", "n")), rows.column("sketch").to_pylist(), sizes, flat))
             size += len(flat)
             number += 1
         if held:
-            yield counted(held)
+            yield from counted(held)
 
     keys = ["cluster", "block", "fragment"]
-    dealt = rows.select(*keys, "pivot", "id", "n", "tokens").repartition(*keys).sortWithinPartitions(*keys, "pivot", "id")
+    dealt = rows.select(*keys, "pivot", "id", "comp", "n", "sketch", "tokens").repartition(*keys).sortWithinPartitions(*keys, "pivot", "id")
     return dealt.mapInArrow(run, "u long, v long, n_u long, n_v long, c long")
 
 
@@ -505,16 +538,16 @@ def cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFra
         largest = counts.groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
         asks = state.filter("NOT done").join(largest, "cluster").filter("comp <> main")
         order = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
-        pivots = asks.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("id", "cluster", "blocks")
+        pivots = asks.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("id", "cluster", "blocks", "comp")
         pivots = common.saved(pivots, "pivots")
         if pivots.limit(1).count() == 0:
             common.drop(pivots)
             break
-        open_ = state.join(pivots.select("cluster").distinct(), "cluster", "left_semi").select("id", "cluster", "block")
+        open_ = state.join(pivots.select("cluster").distinct(), "cluster", "left_semi").select("id", "cluster", "block", "comp")
         own = sets.join(open_, "id").withColumn("pivot", F.lit(0))
         asked = sets.join(pivots, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pivot", F.lit(1))
-        rows = own.select("cluster", "block", "fragment", "pivot", "id", "n", "tokens").unionByName(asked.select("cluster", "block", "fragment", "pivot", "id", "n", "tokens"))
-        sums = partial_overlaps(rows, percent).groupBy("u", "v", "n_u", "n_v").agg(F.sum("c").alias("c"))
+        needed = ["cluster", "block", "fragment", "pivot", "id", "comp", "n", "sketch", "tokens"]
+        sums = partial_overlaps(own.select(needed).unionByName(asked.select(needed)), percent).groupBy("u", "v", "n_u", "n_v").agg(F.sum("c").alias("c"))
         links = common.saved(sums.filter(F.col("c") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("c")) * percent).select("u", "v"), "links")
         named = state.select("id", "comp")
         joined = links.join(named.withColumnsRenamed({"id": "u", "comp": "cu"}), "u").join(named.withColumnsRenamed({"id": "v", "comp": "cv"}), "v")
