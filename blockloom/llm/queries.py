@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, bpe, mixing, ngram_join, pii, quality, sharding, substrings, topk
+from . import ann, archives, bpe, mixing, ngram_join, pii, quality, secret_scan, sharding, substrings, topk
 from .common import table
 
 BPE_VOCABULARY = "word_bpe_49k.json"
@@ -61,9 +61,13 @@ def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op13_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii_feistel, op2_entropy_mix, op3_bradley_terry, op4_two_stage_suffixes, op5_bpe, op6_learned_partitions, op7_arc_to_warc, op8_fragment_jaccard, op9_hypergeometric, op10_kd_topk)
+    for f in (op1_pii_feistel, op2_entropy_mix, op3_bradley_terry, op4_two_stage_suffixes, op5_bpe, op6_learned_partitions, op7_arc_to_warc, op8_fragment_jaccard, op9_hypergeometric, op10_kd_topk, op13_secret_ownership)
 }
 
 ORACLES = {
@@ -110,4 +114,30 @@ ORACLES = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op13_secret_ownership": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS owner, coalesce(text, '') AS t FROM documents),
+        m AS (
+            SELECT rid, doc_id, owner, 0 AS place, unnest(regexp_extract_all(t, '(?s).*?(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')) AS upto,
+                   unnest(regexp_extract_all(t, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')) AS match,
+                   unnest(regexp_extract_all(t, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) AS val,
+                   unnest(range(1, length(t) + 1)) AS nr FROM d
+            UNION ALL SELECT rid, doc_id, owner, 1, unnest(regexp_extract_all(t, '(?s).*?AKIA[A-Z0-9]+')), unnest(regexp_extract_all(t, 'AKIA[A-Z0-9]+')), unnest(regexp_extract_all(t, 'AKIA[A-Z0-9]+')), unnest(range(1, length(t) + 1)) FROM d
+            UNION ALL SELECT rid, doc_id, owner, 2, unnest(regexp_extract_all(t, '(?s).*?[0-9a-f]{16,}')), unnest(regexp_extract_all(t, '[0-9a-f]{16,}')), unnest(regexp_extract_all(t, '[0-9a-f]{16,}')), unnest(range(1, length(t) + 1)) FROM d
+            UNION ALL SELECT rid, doc_id, owner, 3, unnest(regexp_extract_all(t, '(?s).*?[A-Za-z0-9+/_=-]{20,}')), unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{20,}')), unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]{20,}')), unnest(range(1, length(t) + 1)) FROM d),
+        p AS (SELECT rid, doc_id, owner, place, val, CAST(sum(length(upto)) OVER (PARTITION BY rid, place ORDER BY nr) AS BIGINT) AS e, length(match) AS n,
+                     regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(string_split(val, ''))) >= 10 AS live FROM m WHERE match IS NOT NULL),
+        base AS (SELECT *, e - n AS s FROM p WHERE place < 3 AND length(val) >= CASE place WHEN 0 THEN 12 WHEN 1 THEN 18 ELSE 16 END),
+        words AS (SELECT *, e - n AS s FROM p WHERE place = 3 AND live),
+        spans AS (SELECT * FROM base UNION ALL SELECT w.* FROM words w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.s < w.e AND w.s < b.e)),
+        freq AS (SELECT val, count(DISTINCT owner) AS owners FROM spans GROUP BY val),
+        judged AS (SELECT rid, place, s, e, CASE WHEN owners >= 3 THEN 'example' WHEN live THEN 'live' ELSE 'weak' END AS verdict,
+                          (['assign', 'access', 'hex', 'live'])[place + 1] || ':' || s || ':' || e AS said FROM spans JOIN freq USING (val)),
+        kept AS (SELECT rid, count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS k, count(*) FILTER (place = 2) AS h, count(*) FILTER (place = 3) AS l,
+                        string_agg(said, ',' ORDER BY s, place) FILTER (place < 3) AS base, string_agg(said, ',' ORDER BY s, place) AS spans,
+                        count(*) FILTER (verdict = 'example') AS ex, count(*) FILTER (verdict = 'live') AS own
+                 FROM judged WHERE place < 3 OR verdict = 'live' GROUP BY rid)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, coalesce(l, 0) AS n_live, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans, coalesce(ex, 0) AS n_examples, coalesce(own, 0) AS n_owner_specific
+        FROM d LEFT JOIN kept USING (rid)
+    """,
 }
