@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, archives, bpe, mixing, ngram_join, pii, quality, secret_scan, sharding, substrings, topk
+from . import ann, archives, bpe, filter_audit, mixing, ngram_join, pii, quality, secret_scan, sharding, substrings, topk, valid_time
 from .common import table
 
 BPE_VOCABULARY = "word_bpe_49k.json"
@@ -61,13 +61,21 @@ def op10_kd_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valid_time.enrich(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
+
+
 def op13_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii_feistel, op2_entropy_mix, op3_bradley_terry, op4_two_stage_suffixes, op5_bpe, op6_learned_partitions, op7_arc_to_warc, op8_fragment_jaccard, op9_hypergeometric, op10_kd_topk, op13_secret_ownership)
+    for f in (op1_pii_feistel, op2_entropy_mix, op3_bradley_terry, op4_two_stage_suffixes, op5_bpe, op6_learned_partitions, op7_arc_to_warc, op8_fragment_jaccard, op9_hypergeometric, op10_kd_topk, op11_filter_audit, op12_valid_time, op13_secret_ownership)
 }
 
 ORACLES = {
@@ -114,6 +122,42 @@ ORACLES = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        f AS (SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+                     regexp_matches(t, '[#$%&*|]') AS d, coalesce(first < doc_id, false) AS e FROM w),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, [a, b, c, d, e] AS fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT p.x || q.x || r.x || s.x || t.x AS o FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+        steps AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+        r AS (SELECT m.*, o, step, fails[ascii(substr(o, step, 1)) - 64] AS own,
+                     len(list_filter(range(1, step), lambda i: fails[ascii(substr(o, i, 1)) - 64])) > 0 AS gone, len(list_filter(fails, lambda y: y)) = 1 AS alone FROM m, steps),
+        s AS (SELECT part, o, step, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (own AND gone), 0) AS redundant,
+                     coalesce(sum(n) FILTER (own AND alone), 0) AS alone, coalesce(sum(good) FILTER (own AND NOT gone), 0) AS good, coalesce(sum(toxic) FILTER (own AND NOT gone), 0) AS toxic FROM r GROUP BY ALL)
+        SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(alone AS BIGINT) AS unique_fails,
+               CAST(good AS BIGINT) AS good_lost, CAST(toxic AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, substr(o, step, 1)) AS BIGINT) AS shapley FROM s
+    """,
+    "op12_valid_time": """
+        WITH c AS (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL),
+        k AS (SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(change_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                     lambda a, x: list_reduce(list_prepend(xor(a, x), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))) AS x FROM c),
+        v AS (SELECT *, CAST(coalesce(greatest(0, least(7, floor((date_diff('day', DATE '1970-01-01', CAST(valid_at AS DATE)) + xor(x, 4294967295) % 4 - 19723) * 8 / 152))), 7) AS BIGINT) AS b FROM k),
+        s AS (SELECT row_number() OVER () AS r, *, CAST(coalesce(greatest(0, least(7, floor((date_diff('day', DATE '1970-01-01', CAST(arrived_at AS DATE)) - 19723) * 8 / 152))), 7) AS BIGINT) AS b FROM sales),
+        w AS (SELECT n, (SELECT max(sold_at) FROM s WHERE s.b < n) - INTERVAL 12 HOUR AS ws, (SELECT max(valid_at) FROM v WHERE v.b < n) - INTERVAL 12 HOUR AS wc FROM (SELECT unnest(range(0, 8)) AS n)),
+        h AS (SELECT n, wc, CASE WHEN ws IS NOT NULL AND wc IS NOT NULL THEN least(ws, wc) END AS h FROM w),
+        vs AS (SELECT v.*, coalesce(valid_at < wc, false) AS late FROM v JOIN h ON n = b),
+        e AS (SELECT r, any_value(sale_id) AS sale_id, any_value(client_id) AS client_id, any_value(sold_at) AS sold_at, coalesce(min(n) FILTER (sold_at IS NULL OR sold_at < h), 8) AS e FROM s JOIN h ON n >= b GROUP BY r),
+        eh AS (SELECT e.*, h.h AS before FROM e LEFT JOIN h ON h.n = e - 1),
+        j AS (SELECT r, e, sold_at, u.*, u.b < e AND coalesce(u.valid_at <= before, false) AS passed FROM eh JOIN vs u ON u.client_id = eh.client_id AND u.b <= e AND NOT late),
+        k2 AS (SELECT *, row_number() OVER (PARTITION BY r, passed ORDER BY valid_at DESC, seq DESC NULLS LAST, change_id DESC NULLS LAST, op DESC NULLS LAST, balance DESC NULLS LAST) AS nth FROM j),
+        held AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY coalesce(valid_at <= sold_at, false) DESC, valid_at DESC, seq DESC NULLS LAST, change_id DESC NULLS LAST, op DESC NULLS LAST, balance DESC NULLS LAST) AS best FROM k2 WHERE NOT passed OR nth = 1),
+        n AS (SELECT r, count(*) AS n FROM held GROUP BY r)
+        SELECT 'sale' AS rec, eh.sale_id AS id, eh.e AS batch, coalesce(n.n, 0) AS n_held, held.change_id, CAST(floor(100 * balance + 0.5) AS BIGINT) AS balance_cents, op
+        FROM eh LEFT JOIN n USING (r) LEFT JOIN held ON held.r = eh.r AND best = 1 AND valid_at <= eh.sold_at
+        UNION ALL SELECT 'late', change_id, b, NULL, NULL, NULL, NULL FROM vs WHERE late
+    """,
     "op13_secret_ownership": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS owner, coalesce(text, '') AS t FROM documents),
         m AS (
