@@ -39,10 +39,16 @@ LAG = 12 * 3600 * 1_000_000
 #: Stands for null in columns of longs, and is smaller than every time; NO_TIME is a watermark that nothing has set.
 NULL, NO_TIME, END_OF_TIME = -(1 << 63), 1 - (1 << 63), (1 << 63) - 1
 #: Clients with more than one in CELLS of all rows are split; rows of a batch for each key of a stage; least number of keys.
-CELLS, KEY_ROWS, LEAST_KEYS = 192, 4096, 64
+CELLS, KEY_ROWS, LEAST_KEYS = 192, 4096, 16
 #: Rows in one Arrow table of a key's state.
 CHUNK = 8192
-PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Settings while the query runs: the state store that these stages need, without files of reserved size, and closed after
+#: each batch, as the next start opens its own.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 SALE = ["row_id", "sale_id", "client_id", "at", "ways"]
 VERSION = ["client_id", "at", "seq", "change_id", "op", "cents"]
@@ -246,15 +252,17 @@ def enrich(sales: DataFrame, changes: DataFrame) -> DataFrame:
     staged = lambda name, schema: spark.read.schema(f"{schema}, batch int").parquet(f"{root}/staged/{name}")
     sold, changed = watermarks(staged("sales", SALES)), watermarks(staged("changes", CHANGES))
     h = [min(pair) for pair in zip(sold, changed, strict=True)]
-    before = spark.conf.get(PROVIDER[0], None)
-    spark.conf.set(*PROVIDER)
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         for batch in range(BATCHES + 1):
             hand_over(spark, root, batch)
             last = batch == BATCHES
             feed(spark, root, batch, END_OF_TIME if last else h[batch], NO_TIME if last else changed[batch], h[batch - 1] if batch else NO_TIME, gates, keys)
     finally:
-        spark.conf.unset(PROVIDER[0]) if before is None else spark.conf.set(PROVIDER[0], before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return result(spark.read.schema(ANSWER).parquet(f"{root}/out"))
 
 
