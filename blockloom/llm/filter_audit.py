@@ -72,7 +72,8 @@ def first_ids(docs: DataFrame, measured: DataFrame, steps: int) -> DataFrame:
     """class, the smallest doc_id of its texts, and how many different texts it has."""
     last = f"class{steps - 1}"
     texts = docs.select("doc_id", "text", classes(F.col("text"))[-1].alias(last)).join(refined(measured, steps), last, "left_semi")
-    equal = texts.groupBy(last, "text").agg(F.min("doc_id").alias("first"))
+    # By text alone: copies collapse where the join has left them, however many share a class.
+    equal = texts.groupBy("text").agg(F.min(last).alias(last), F.min("doc_id").alias("first"))
     return common.saved(equal.groupBy(last).agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("texts")), "first-ids")
 
 
