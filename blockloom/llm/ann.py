@@ -3,15 +3,15 @@
 A bounded sample of vectors (SAMPLE_ROWS, the smallest hashes of their ids) is joined into a neighbour graph. The graph
 is cut into balanced parts by recursive spectral bisection at the median, refined by swaps that lower the cut. A softmax
 classifier learns the parts, and every row of the table is indexed under its most probable part. A query visits as many
-of its most probable parts as held-out rows of the sample need for the wanted recall, and all vectors there are reranked
-exactly. Its k-th score in the sample is a bound below which no part reports a vector; results come from the parts alone.
+of its most probable parts as held-out rows of the sample need for the wanted recall, but so many at least that they hold
+k vectors besides its own, and all vectors there are reranked exactly.
 
 Nearness is the inner product, computed in double precision, component by component, so equal vectors score equally.
 For the graph, vectors of unequal norms get one more component that makes all norms equal.
 
 Each vector length has an index of its own. Large parts are dealt into blocks by a hash of the id, so one very common
-vector doesn't meet in one task. Parts hold SAMPLE_ROWS / MOST_PARTS rows of the sample at least; larger tables have
-larger parts, with more blocks.
+vector doesn't meet in one task. The sample gives the number of parts, PART_ROWS of its rows each at least, for tables of
+any size; larger tables have larger parts, with more blocks.
 
 Cases: vectors null, zero or empty, or with null or non-finite components take no part, nor do rows with a null id; a
 query is compared with vectors of its own length only; rows with the query's id count as its own; query rows of one id
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from . import common
 from .topk import ranked, usable
 
-#: The sample that the index is fitted on; vectors per part and most parts; vectors in a block and queries in a block.
-SAMPLE_ROWS, PART_ROWS, MOST_PARTS, BLOCK_ROWS, QUERY_ROWS = 6144, 2048, 64, 1024, 2048
+#: The sample that the index is fitted on; its rows per part at least and most parts; vectors in a block and queries in a block.
+SAMPLE_ROWS, PART_ROWS, MOST_PARTS, BLOCK_ROWS, QUERY_ROWS = 6144, 64, 64, 4096, 2048
 LOCAL = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
@@ -112,7 +112,7 @@ def fit_softmax(points, label, parts: int, steps: int = 300):
 class Router:
     """Ranks the parts of vectors by the classifier's probability."""
 
-    def __init__(self, points, rows: int, k: int, recall: float) -> None:
+    def __init__(self, points, k: int, recall: float) -> None:
         import numpy as np
 
         norms = np.linalg.norm(points, axis=1)
@@ -121,7 +121,7 @@ class Router:
         rest = np.sqrt(np.maximum(0, 1 - (unit**2).sum(1)))
         level = np.concatenate([unit, rest[:, None]], 1) if rest.max() > 1e-3 else unit
         self.parts = 1
-        while self.parts < MOST_PARTS and rows / self.parts > PART_ROWS and len(points) / self.parts > 64:
+        while self.parts < MOST_PARTS and len(points) >= 2 * PART_ROWS * self.parts:
             self.parts *= 2
         self.probes = 1
         self.weights = np.zeros((points.shape[1] + 1, self.parts))
@@ -151,20 +151,19 @@ class Router:
         return np.argsort(-z, axis=1, kind="stable")
 
 
-def rerank(query_ids, queries, cand_ids, cands, k: int, bounds=None):
-    """(query id, candidate id, score) of each query's k best candidates, ties to the smaller id; none below its bound."""
+def rerank(query_ids, queries, cand_ids, cands, k: int):
+    """(query id, candidate id, score) of each query's k best candidates, ties to the smaller id."""
     import numpy as np
 
     out = []
-    bounds = np.full(len(queries), -np.inf) if bounds is None else bounds
     for at in range(0, len(queries), 256):
-        q, ids, least = queries[at : at + 256], query_ids[at : at + 256], bounds[at : at + 256]
+        q, ids = queries[at : at + 256], query_ids[at : at + 256]
         rough = q @ cands.T
         rough[ids[:, None] == cand_ids[None, :]] = -np.inf
         kk = min(k, len(cands))
         kth = np.partition(rough, len(cands) - kk, axis=1)[:, len(cands) - kk]
         slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0)))
-        qi, ci = np.nonzero((rough >= np.maximum(kth - slack, least - slack)[:, None]) & np.isfinite(rough))
+        qi, ci = np.nonzero((rough >= (kth - slack)[:, None]) & np.isfinite(rough))
         score = np.zeros(len(qi))
         for d in range(q.shape[1]):
             score += q[qi, d] * cands[ci, d]
@@ -172,7 +171,7 @@ def rerank(query_ids, queries, cand_ids, cands, k: int, bounds=None):
         order = np.lexsort((found, -score, qi))
         qi, found, score = qi[order], found[order], score[order]
         rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
-        own = (rank < k) & (score >= least[qi])
+        own = rank < k
         out.append((ids[qi[own]], found[own], score[own]))
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
@@ -183,40 +182,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     base = vectors.filter(usable(F.col(vec_col)) & F.col(id_col).isNotNull() & F.exists(vec_col, lambda x: x != 0))
     base = base.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("asks"))
     found = spark.createDataFrame([], LOCAL)
-    for dim, rows in sorted(tuple(r) for r in base.groupBy(F.size("v")).count().collect()):  # one row per vector length
-        found = found.unionByName(search_length(base.filter(F.size("v") == dim), dim, rows, k, recall))
+    for (dim,) in sorted(tuple(r) for r in base.select(F.size("v")).distinct().collect()):  # one row per vector length
+        found = found.unionByName(search_length(base.filter(F.size("v") == dim), dim, k, recall))
     return ranked(found, k)
 
 
-def fitted(base: DataFrame, rows: int, k: int, recall: float):
-    """A sample (ids, vectors) of rows id, v of one length, and the router that is fitted on it."""
+def fitted(base: DataFrame, k: int, recall: float) -> Router:
+    """The router that is fitted on a sample of rows id, v of one length."""
     import numpy as np
 
     sample = base.orderBy(F.xxhash64("id", F.lit(3)), "id", "v").limit(SAMPLE_ROWS).select("id", "v").collect()
-    ids, points = np.array([r[0] for r in sample], np.int64), np.array([r[1] for r in sample], dtype=np.float64)
-    return ids, points, Router(points, rows, k, recall)
+    return Router(np.array([r[1] for r in sample], dtype=np.float64), k, recall)
 
 
-def search_length(base: DataFrame, dim: int, rows: int, k: int, recall: float) -> DataFrame:
+def search_length(base: DataFrame, dim: int, k: int, recall: float) -> DataFrame:
     """query_id, vec_id, score of what an index of rows id, v, asks finds; all v have length dim."""
     import numpy as np
 
-    point_ids, points, router = fitted(base, rows, k, recall)
+    router = fitted(base, k, recall)
 
     def route(batch) -> list:
         import pyarrow as pa
 
         v = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
-        asks = np.asarray(batch.column(2).to_pylist(), bool)
         order = router.order(v)
-        probes = [row[: router.probes].tolist() if ask else [] for row, ask in zip(order, asks, strict=True)]
-        bounds, own = np.full(len(probes), -np.inf), np.asarray(batch.column(0))
-        for i in np.flatnonzero(asks):
-            _, _, score = rerank(own[i : i + 1], v[i : i + 1], point_ids, points, k)
-            bounds[i] = score[-1] if len(score) == k else -np.inf
-        return [pa.array(order[:, 0], pa.int32()), pa.array(probes, pa.list_(pa.int32())), pa.array(bounds, pa.float64())]
-
-    fields = [T.StructField("home", T.IntegerType()), T.StructField("probes", T.ArrayType(T.IntegerType())), T.StructField("bound", T.DoubleType())]
+        ranked_parts = [row.tolist() if ask else [] for row, ask in zip(order, batch.column(2).to_pylist(), strict=True)]
+        return [pa.array(order[:, 0], pa.int32()), pa.array(ranked_parts, pa.list_(pa.int32()))]
+
+    fields = [T.StructField("home", T.IntegerType()), T.StructField("parts", T.ArrayType(T.IntegerType()))]
     routed = common.saved(common.map_batches(base, route, fields), "routed")
     # One row per part: MOST_PARTS at most.
     sizes = {r[0]: (r[1], r[2]) for r in routed.groupBy("home").agg(F.count(F.lit(1)), F.count_if("asks")).collect()}
@@ -228,8 +221,13 @@ def search_length(base: DataFrame, dim: int, rows: int, k: int, recall: float) -
 
     cands = routed.select("id", "v", F.col("home").alias("part"))
     cands = cands.withColumn("block", F.pmod(F.xxhash64("id"), block_count).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
-    asks = routed.filter("asks").groupBy("id").agg(F.min(F.struct("v", "probes", "bound")).alias("q")).select("id", "q.*")
-    asks = asks.select("id", "v", "bound", F.explode("probes").alias("part"))
+    # A query goes through its parts until they hold k vectors besides the rows of its own id.
+    own = routed.groupBy("id").agg(F.min(F.when(F.col("asks"), F.struct("v", "parts"))).alias("q"), F.count(F.lit(1)).alias("own")).filter("q IS NOT NULL")
+    held = F.array(*[F.lit(sizes.get(p, (0, 0))[0]).cast("long") for p in range(router.parts)])
+    upto = lambda j: F.aggregate(F.slice("parts", 1, j), F.lit(0).cast("long"), lambda n, p: n + F.element_at(held, p + 1))
+    enough = F.filter(F.sequence(F.lit(router.probes), F.lit(router.parts)), lambda j: upto(j) >= k + F.col("own"))
+    asks = own.select("id", "q.*", "own").withColumn("visits", F.coalesce(F.get(enough, 0), F.lit(router.parts)))
+    asks = asks.select("id", "v", F.explode(F.slice("parts", F.lit(1), F.col("visits"))).alias("part"))
     asks = asks.withColumn("block", F.explode(F.sequence(F.lit(0), block_count - 1))).withColumn("qblock", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(qblocks)).cast("int"))
 
     def local(key, queries, found):
@@ -237,7 +235,7 @@ def search_length(base: DataFrame, dim: int, rows: int, k: int, recall: float) -
 
         if not len(queries) or not len(found):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        out = rerank(queries["id"].to_numpy(), np.stack(queries["v"]), found["id"].to_numpy(), np.stack(found["v"]), k, queries["bound"].to_numpy())
+        out = rerank(queries["id"].to_numpy(), np.stack(queries["v"]), found["id"].to_numpy(), np.stack(found["v"]), k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), out, strict=True)))
 
     return asks.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(local, LOCAL)

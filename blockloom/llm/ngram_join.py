@@ -14,12 +14,13 @@ of the order serve twice: to find candidates, and to count overlaps.
    a mark of one level, and runs of more than RUN_ROWS sets, are tied without a sketch, by a star. Components of the
    ties are clusters: no link leaves one.
 4. Overlaps are counted exactly. Each round takes some sets of every unfinished cluster as pivots. N-grams of sets and
-   pivots are dealt by (cluster, block, fragment of the order); each fragment counts its partial overlaps of pivots and
+   pivots are dealt by (cluster, block of sets, block of pivots, fragment of the order); each fragment counts its partial overlaps of pivots and
    sets alone, but of pairs in one component or ruled out, and an aggregation sums them per pair. Pairs that reach the threshold join components. What is outside a
    cluster's largest component gives the next round's pivots, more each time, until all pairs are compared or connected:
    a group of near copies costs a few pivots, not all pairs.
 
-Blocks and chunks are bounded by the n-grams that they hold, not by sets, so memory doesn't depend on text lengths.
+Blocks of sets, blocks of pivots and chunks are bounded by the n-grams that they hold, not by sets, so memory doesn't
+depend on text lengths, but for the one text that is the last of its block.
 
 Cases: null and empty texts, and texts of white space, have no n-grams and are linked with nothing; texts with fewer
 words are one n-gram; very long texts are read whole (a text's n-grams are the unit that must fit a worker); repeated rows
@@ -45,12 +46,15 @@ from .components import components
 WORDS, PERCENT = 4, 85
 #: Ratio of the largest and the smallest size of a level, if the threshold allows it.
 LEVEL = 1.3
-#: Fragments in which overlaps are counted; n-grams of a block, and of a chunk that is counted at once.
-FRAGMENTS, BLOCK_GRAMS, CHUNK_GRAMS = 8, 1 << 22, 1 << 18
+#: Fragments in which overlaps are counted; n-grams of a block of sets and of one of pivots, and of a chunk that is counted
+#: at once.
+FRAGMENTS, BLOCK_GRAMS, PIVOT_GRAMS, CHUNK_GRAMS = 8, 1 << 20, 1 << 18, 1 << 18
 #: Places where an n-gram of a set meets one of a pivot that are counted at once, and pairs whose counts are held.
 MEETINGS, PAIRS = 1 << 18, 1 << 17
 #: Pivots of a cluster in the first round, growth, and most in a round (there are as many rounds as needed).
 PIVOTS, GROWTH, MOST_PIVOTS = 16, 16, 2048
+#: Parts of a cluster that name their first pivots on their own, before the cluster's are taken from these.
+SALTS = 64
 #: Longest run whose pairs are tied as they are found, and longest one that is compared in one piece.
 SHORT, RUN_ROWS = 4, 4096
 #: An n-gram is hot if HOT texts of a bucket (BUCKET n-grams in a row of one task) have it; the hottest MOST_HOT count.
@@ -453,8 +457,8 @@ def alike(sketches: list[bytes], n, a, b, percent: int):
 
 
 def partial_overlaps(rows: DataFrame, percent: int) -> DataFrame:
-    """u, v, n_u, n_v, c: n-grams that pivot u and set v share in one fragment, of rows cluster, block, fragment, pivot (1 or
-    0), id, comp, n, sketch, tokens.
+    """u, v, n_u, n_v, c: n-grams that pivot u and set v share in one fragment, of rows cluster, block, pivots, fragment,
+    pivot (1 or 0), id, comp, n, sketch, tokens; sets meet the pivots of each block of these in groups of their own.
 
     Left out are pairs of one component (comp), one direction of two pivots, and pairs that cannot be linked as their sketches,
     or this fragment alone, differ in more n-grams than linked sets do in all.
@@ -507,7 +511,7 @@ def partial_overlaps(rows: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         held, size, number = [], 0, 0
-        for _, rows in grouped(batches, 3):
+        for _, rows in grouped(batches, 4):
             tokens = rows.column("tokens").combine_chunks()
             flat = tokens.flatten().to_numpy()
             sizes = np.diff(tokens.offsets.to_numpy())
@@ -520,40 +524,54 @@ def partial_overlaps(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from counted(held)
 
-    keys = ["cluster", "block", "fragment"]
+    keys = ["cluster", "block", "pivots", "fragment"]
     dealt = rows.select(*keys, "pivot", "id", "comp", "n", "sketch", "tokens").repartition(*keys).sortWithinPartitions(*keys, "pivot", "id")
     return dealt.mapInArrow(run, "u long, v long, n_u long, n_v long, c long")
 
 
+def chosen(asks: DataFrame, most: int) -> DataFrame:
+    """id, cluster, blocks, comp and pivots (a block of PIVOT_GRAMS n-grams) of the `most` first sets of each cluster.
+
+    The first of each of SALTS parts come first, so no task ranks a whole cluster.
+    """
+    by_hash = (F.xxhash64("id"), F.col("id"))
+    parts = asks.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
+    firsts = parts.withColumn("place", F.row_number().over(Window.partitionBy("cluster", "salt").orderBy(*by_hash))).filter(F.col("place") <= most)
+    order = Window.partitionBy("cluster").orderBy(*by_hash)
+    ranked = firsts.withColumns({"place": F.row_number().over(order), "grams": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    block = F.floor(F.coalesce("grams", F.lit(0)) / PIVOT_GRAMS).cast("int")
+    return ranked.filter(F.col("place") <= most).select("id", "cluster", "blocks", "comp", block.alias("pivots"))
+
+
 def cluster_links(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """id, root of the ids that are linked with others, from rows id, n, fragment, tokens and the cluster of each id."""
-    sizes = sets.filter("fragment = 0").select("id", "n")
+    sized = clusters.join(sets.filter("fragment = 0").select("id", "n"), "id")
     # A cluster's blocks hold about BLOCK_GRAMS n-grams each.
-    held = clusters.join(sizes, "id").groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    state = clusters.join(held, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    state = common.saved(state.select("id", "cluster", "block", "blocks", F.col("id").alias("comp"), F.lit(False).alias("done")), "state")
+    held = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    state = sized.join(held, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    state = common.saved(state.select("id", "n", "cluster", "block", "blocks", F.col("id").alias("comp"), F.lit(False).alias("done")), "state")
     most = PIVOTS
     while True:
         counts = state.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m"))
         largest = counts.groupBy("cluster").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
         asks = state.filter("NOT done").join(largest, "cluster").filter("comp <> main")
-        order = Window.partitionBy("cluster").orderBy(F.xxhash64("id"), "id")
-        pivots = asks.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("id", "cluster", "blocks", "comp")
-        pivots = common.saved(pivots, "pivots")
+        pivots = common.saved(chosen(asks, most), "pivots")
         if pivots.limit(1).count() == 0:
             common.drop(pivots)
             break
-        open_ = state.join(pivots.select("cluster").distinct(), "cluster", "left_semi").select("id", "cluster", "block", "comp")
+        groups = pivots.groupBy("cluster").agg(F.max("pivots").alias("last"))
+        every = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("pivots")
+        open_ = state.join(groups, "cluster").select("id", "cluster", "block", "comp", every)
         own = sets.join(open_, "id").withColumn("pivot", F.lit(0))
         asked = sets.join(pivots, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pivot", F.lit(1))
-        needed = ["cluster", "block", "fragment", "pivot", "id", "comp", "n", "sketch", "tokens"]
+        needed = ["cluster", "block", "pivots", "fragment", "pivot", "id", "comp", "n", "sketch", "tokens"]
         sums = partial_overlaps(own.select(needed).unionByName(asked.select(needed)), percent).groupBy("u", "v", "n_u", "n_v").agg(F.sum("c").alias("c"))
         links = common.saved(sums.filter(F.col("c") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("c")) * percent).select("u", "v"), "links")
         named = state.select("id", "comp")
         joined = links.join(named.withColumnsRenamed({"id": "u", "comp": "cu"}), "u").join(named.withColumnsRenamed({"id": "v", "comp": "cv"}), "v")
         moved = components(joined.select(F.col("cu").alias("u"), F.col("cv").alias("v"))).withColumnsRenamed({"id": "comp", "root": "to"})
         after = state.join(moved, "comp", "left").join(pivots.select("id", F.lit(True).alias("now")), "id", "left")
-        after = after.select("id", "cluster", "block", "blocks", F.coalesce("to", "comp").alias("comp"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        after = after.select("id", "n", "cluster", "block", "blocks", F.coalesce("to", "comp").alias("comp"), (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         after = common.saved(after, "state")
         common.drop(state, pivots, links)
         state, most = after, min(MOST_PIVOTS, most * GROWTH)

@@ -12,7 +12,7 @@ different values different ones, and every pseudonym passes the validation that
     date      calendar dates of 1900 to 2099: yyyy-MM-dd, MM/dd/yyyy (else dd/MM/yyyy), dd.MM.yyyy
     email     the local part, letter by letter and digit by digit; the domain is kept
     secret    access keys with known prefixes, signed web tokens, and values after password=, token:, api-key= and the like,
-              up to white space, a quote, a comma or the like
+              also with a prefix (DB_PASSWORD=) or in quotes ("token": "..."), up to white space, a quote, a comma or the like
 
 Numbers are one step of a walk over a product of two ranges, character strings over two halves; each of the ROUNDS adds
 a hash of one half to the other, which can be undone for any hash. Pseudonyms have the length of their originals, but
@@ -49,9 +49,9 @@ ACCOUNTS = "|".join(rf"(?:{c.replace(' ', '|')})\d\d(?: ?[A-Z0-9]{{4}}){{{n // 4
 #: What doesn't belong to the digits before it: dates, addresses, social security and phone numbers.
 OTHER = r"(?:19|20)\d\d-\d\d-\d\d(?![\w\-])|\d\d/\d\d/\d|\d{1,3}\.\d|\d{3}-\d\d-\d{4}(?![\w\-])|\d{3}-\d{3}-\d{4}(?![\w\-])"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "secret": r"\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{16,}+|\bsk-[A-Za-z0-9_\-]{16,}+|\beyJ[A-Za-z0-9_\-]{5,}+\.[A-Za-z0-9_\-]{5,}+\.[A-Za-z0-9_\-]{5,}+"
-    r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>,;(){}\[\]]{7,}[^\s\"'<>,;(){}\[\].!?:]",
+    r"|(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_\-]?key)(?!\w)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"'<>,;(){}\[\]]{7,}[^\s\"'<>,;(){}\[\].!?:]",
     # The length of the country; others as far as the groups go.
     "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d\d)(?:(?:{ACCOUNTS})|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)",
@@ -59,7 +59,7 @@ PATTERNS = {
     "ssn": r"(?<![\w\-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w\-])",
     "phone": r"(?<![\w+])(?:\+1[ .\-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .\-])[2-9]\d\d[ .\-]\d{4}(?!\d)|(?<![\w+])\+1[2-9]\d\d[2-9]\d{6}(?!\d)|(?<![\w+])\+(?!1[ (.\-])[1-9]\d{0,2}[ .\-](?:\d{2,4}[ .\-]?){1,4}\d{2,4}(?!\d)",
     # Groups of digits up to a date or another number with a form of its own; cards are looked for among them.
-    "card": rf"(?<![\w.])\d(?:(?:[ \-](?!{OTHER}))?\d){{12,199}}(?!\w)",
+    "card": rf"(?<![\w.])(?=\d(?:[ \-]?\d){{12}})\d++(?!\w)(?:[ \-](?!{OTHER})\d++(?!\w))*+",
 }
 ANY = "|".join(PATTERNS.values())
 #: How the digits of cards are written.
@@ -268,7 +268,7 @@ def email(key: str, hit: Column) -> Column:
 
 
 def secret(key: str, hit: Column) -> Column:
-    fixed = F.regexp_extract(hit, r"^(?:AKIA(?=[A-Z0-9]{16}$)|gh[pousr]_|sk-|eyJ(?=[A-Za-z0-9_\-]+\.)|[A-Za-z_\-]+\s*[=:]\s*[\"']?)", 0)
+    fixed = F.regexp_extract(hit, r"^(?:AKIA(?=[A-Z0-9]{16}$)|gh[pousr]_|sk-|eyJ(?=[A-Za-z0-9_\-]+\.)|[A-Za-z_\-]+[\"']?\s*[=:]\s*[\"']?)", 0)
     rest = F.substring(hit, F.length(fixed) + 1, F.length(hit))
     return F.concat(fixed, F.when(rest.rlike("^[0-9a-f]+$"), permute_text(key, "hex", rest, hexadecimal=True)).otherwise(permute_text(key, "secret", rest)))
 

@@ -16,8 +16,8 @@ document). Suffix arrays of a whole corpus don't fit a task, so equal strings ar
 
 Hashes only say where bytes meet. Matches are judged on the input, so the order of removals does not matter.
 
-Cases: a null text has no bytes; an id's repeated rows are one document (ids are otherwise unique); rows with a null id
-are neither compared nor cut; very long texts are cut into segments like others, and runs of one character or of a short
+Cases: a null text has no bytes; an id's repeated rows are one document; of an id's different texts only the smallest is
+compared and cut, the others stay whole, as do rows with a null id; very long texts are cut into segments like others, and runs of one character or of a short
 period into pieces of PIECE windows, most of which have equal bytes; of equal strings the first in (doc_id, start) order
 stays; an empty table gives an empty table; other columns are ignored.
 """
@@ -457,18 +457,30 @@ def cut_rows(docs: DataFrame) -> DataFrame:
     return common.map_batches(docs, run, fields, ["doc_id", "n_bytes"], rows=ROWS)
 
 
+def smallest_texts(named: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows whose text is the smallest of their id, and the others, if there are any ids of several rows."""
+    again = common.saved(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return named, []
+    several = named.join(again, "doc_id", "left_semi")
+    several = several.join(several.groupBy("doc_id").agg(F.min("text").alias("least")), "doc_id")
+    once = named.join(again, "doc_id", "left_anti")
+    return once.unionByName(several.filter("text = least").drop("least")), [several.filter("text <> least").drop("least")]
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     base = base.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    named = base.filter("doc_id IS NOT NULL")
+    named, aside = smallest_texts(base.filter("doc_id IS NOT NULL"))
     long = named.filter(F.col("n_bytes") >= LENGTH)
     found = repeated(long.select(F.col("doc_id").alias("doc"), "text"))
     ranges = common.saved(found.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("ranges")), "ranges")
     whole = named.join(ranges, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "n_bytes", "ranges")
     none = F.lit(None).cast("array<struct<s:int,e:int>>")
-    unnamed = base.filter("doc_id IS NULL").select("doc_id", "text", "n_bytes", none.alias("ranges"))
-    return cut_rows(whole.unionByName(unnamed))
+    for left in [base.filter("doc_id IS NULL"), *aside]:
+        whole = whole.unionByName(left.select("doc_id", "text", "n_bytes", none.alias("ranges")))
+    return cut_rows(whole)
 
 
 def digests(cut: DataFrame) -> DataFrame:

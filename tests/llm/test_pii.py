@@ -184,3 +184,26 @@ def test_awkward_rows_with_personal_data(spark):
     mail, ip = by[1][0][0].split()
     assert by[1][0] == by[1][1] == (f"{mail} {ip}", 2, "email,ip", "t") and by[2] == [(None, 0, "", None)] and by[3] == [("", 0, "", "k")]
     assert by[None] == [(ip, 1, "ip", None)] and by[4][0][0] == "x " * 50_000 + f"{ip} " + f"{mail} " * 3 and by[4][0][1] == 4
+
+
+def test_many_cards_in_one_run(spark):
+    def full(body):
+        return next(body + str(c) for c in range(10) if luhn(body + str(c)))
+
+    cards = [full(f"4{i:03d}56781234{i:03d}") for i in range(40)]
+    text = "cards " + " ".join(" ".join(c[k : k + 4] for k in range(0, 16, 4)) for c in cards) + " end"
+    row = changed(spark, [text, "x " + "7" * 3000 + " y", "4111 1111 1111 1111 2222x"])
+    got = re.sub(r"\D", "", row[0].text)
+    assert row[0].n_values == 40 and all(luhn(got[k : k + 16]) for k in range(0, 640, 16)) and len(row[0].text) == len(text)
+    assert not any(c == got[k : k + 16] for k, c in zip(range(0, 640, 16), cards))
+    assert row[1].n_values == 0 and row[2].n_values == 1 and row[2].text.endswith(" 2222x")
+
+
+def test_named_secrets_and_long_local_parts(spark):
+    texts = ["access_token=abcdef0123456789", "DB_PASSWORD=hunter2hunter2", "client_secret: s3cr3tvalue99", '{"password": "qwerty12345"}', "tokens=notasecretvalue", "x" * 70 + "@mail.example.org"]
+    rows = changed(spark, texts)
+    values = ["abcdef0123456789", "hunter2hunter2", "s3cr3tvalue99", "qwerty12345"]
+    assert [rows[i].n_values for i in range(6)] == [1, 1, 1, 1, 0, 1]
+    assert not any(v in rows[i].text for i, v in enumerate(values))
+    assert rows[0].text.startswith("access_token=") and rows[3].text.startswith('{"password": "') and rows[3].text.endswith('"}')
+    assert rows[5].text.endswith("@mail.example.org") and not rows[5].text.startswith("xxxxx")

@@ -76,3 +76,13 @@ def test_long_runs(spark):
     got = {r.doc_id: tuple(r)[1:4] for r in substrings.digests(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert time.perf_counter() - began < 60
     assert got == {1: (2_000_000, 1_999_999, 1), 2: (2_100_000, 2_099_997, 1), 3: (151, 150, 1)}
+
+
+def test_ids_of_several_texts(spark, prose_text):
+    """Of an id's texts the smallest is compared and cut; the others stay whole."""
+    a, b = "A" + prose_text(60, 71), "B" + prose_text(60, 72)
+    rows = [(1, a), (1, b), (1, a), (2, a + " tail"), (3, b + " tail2"), (4, a), (4, a)]
+    got = sorted(tuple(r) for r in substrings.digests(substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect())
+    want = plain([(1, a), (2, a + " tail"), (3, b + " tail2"), (4, a)])
+    whole = (1, len(b), 0, 0, hashlib.sha256(b.encode()).hexdigest())
+    assert got == sorted([(1, *want[1]), (1, *want[1]), whole, (2, *want[2]), (3, *want[3]), (4, *want[4]), (4, *want[4])])

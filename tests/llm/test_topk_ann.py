@@ -68,7 +68,7 @@ def test_tree_boxes_cover_all_rows():
 
 
 def test_ann_recall_and_ties(spark, rows, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 100)
+    monkeypatch.setattr(ann, "PART_ROWS", 50)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
     monkeypatch.setattr(ann, "QUERY_ROWS", 9)
     own = rows
@@ -84,6 +84,33 @@ def test_ann_recall_and_ties(spark, rows, monkeypatch):
         assert found == sorted(found, key=lambda x: (-x[1], x[0])) and len({i for i, _ in found}) == len(found)
 
 
+@pytest.mark.parametrize("noise", [0.05, 0.12])
+def test_every_query_of_a_clustered_table_has_k_rows(spark, noise):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((60, 16))
+    points = centres[rng.integers(0, 60, 6000)] + noise * rng.standard_normal((6000, 16))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    router = ann.Router(points, 20, 0.95)
+    assert router.parts == 64 and router.probes < router.parts / 2
+    table_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>").repartition(4)
+    got = {}
+    for r in ann.search(table_, F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got) == list(range(0, 6000, 20)) and {len(v) for v in got.values()} == {20}
+    near = points[::20] @ points.T
+    near[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argsort(-near, axis=1, kind="stable")[:, :20]
+    assert np.mean([len(set(got[20 * i]) & set(b.tolist())) / 20 for i, b in enumerate(best)]) >= 0.9
+
+
+def test_few_vectors_besides_repeated_queries(spark):
+    rows = [(20, [1.0, float(i % 3)]) for i in range(150)] + [(i, [float(i % 7) + 1, 1.0]) for i in range(101, 119)]
+    got = {}
+    for r in ann.search(table(spark, rows), F.col("vec_id") % 20 == 0, k=20).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got[20]) == list(range(101, 119))  # all candidates, if they are fewer than k
+
+
 def test_parts_are_balanced():
     points = np.random.default_rng(2).standard_normal((512, 16))
     points /= np.linalg.norm(points, axis=1, keepdims=True)
