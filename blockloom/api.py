@@ -33,6 +33,11 @@ def parse_table(spark: SparkSession, path: str, table_index: int) -> DataFrame:
     return tables.grid_cells(cells)
 
 
+def table_cells(spark: SparkSession, path: str) -> DataFrame:
+    """One row per cell of all tables under path: position, spans, text, style, alignment and table style."""
+    return tables.spans(docx.cell_rows(docx.read_docx(spark, path)), ["document", "table_index", "style", "alignment", "vertical", "table_style"])
+
+
 def requirement_records(base: DataFrame, lex: rules.Lexicon = rules.RUSSIAN) -> DataFrame:
     return R.records(R.candidates(base, lex), lex)
 

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions import text as t
-from ..sources.rules import FLAGS, LIST_TYPES, Lexicon
+from ..sources.rules import FLAGS, LIST_TYPES, ZONES, Lexicon
 
-LEVELS = 9
 NUMBER = r"[0-9]+(?:\.[0-9]+){0,5}"
 LETTER = "[А-ЯA-Z]"
+#: A letter for each zone, in maps of zones; the zones that a title page's style cannot leave.
+LETTERS = [chr(ord("a") + i) for i in range(len(ZONES))]
+BODY = ("control_sheet", "toc", "main_body", "appendix", "bibliography")
 
 
 def in_order() -> WindowSpec:
@@ -100,15 +102,15 @@ def classified(blocks: DataFrame, rules: DataFrame, lex: Lexicon) -> DataFrame:
         .when(out_type == "heading", "main_body")
     )
     # How a block changes the zone: 0 sets it, 1 unless in the appendix, 2 unless in the appendix, control sheet or
-    # bibliography, 3 unless on the title page, too; 4 leaves it.
+    # bibliography, 3 unless on the title page, too (what belongs there, or has no style); 4 leaves it.
     always = (out_type == "appendix_heading") | shapes.appendix_text(norm)
     default = F.when(F.col("known"), F.col("rule_zone")).otherwise(F.lit("main_body"))
     power = (
         F.when(is_table | is_empty, 4).when(always, 0).when(anchor.isNotNull() & (F.col("in_type") == "appendix_heading"), 1).when(anchor.isNotNull(), 0)
-        .when(default == "unknown_zone", 4).when(~F.col("known") & (style == ""), 3).otherwise(2)
+        .when(default == "unknown_zone", 4).when((out_type == "title_meta") | ((default == "main_body") & (style == "")), 3).otherwise(2)
     )
     base = base.withColumn("power", power).withColumn("to_zone", F.when(always, F.lit("appendix")).otherwise(F.coalesce(anchor, default)))
-    # A title page's style keeps a block on the title page, but has no say elsewhere.
+    # A title page's style leads to the title page from wherever the body has not begun, but has no say elsewhere.
     titled = shapes.has(style, lex.title_styles) & ~is_table & ~is_empty & ~always & F.coalesce(anchor == "main_body", F.lit(True))
     base = zones(base.withColumn("titled", titled))
 
@@ -147,31 +149,44 @@ def list_type(rule: Column) -> Column:
     return out.otherwise("unknown")
 
 
+def zone_map(titled: Column) -> Column:
+    """What a block makes of each zone, as a string: the letter of the zone that follows on the zone of that place.
+
+    A block keeps the zones that its power names and turns the others into to_zone; titled blocks turn what is not yet
+    the document's body into the title page.
+    """
+    target = F.element_at(F.create_map(*[F.lit(x) for z in ZONES for x in (z, LETTERS[ZONES.index(z)])]), F.col("to_zone"))
+    keeps = {"appendix": 1, "control_sheet": 2, "bibliography": 2, "title_page": 3}
+    out = []
+    for letter, zone in zip(LETTERS, ZONES, strict=True):
+        after = F.when(F.col("power") >= keeps.get(zone, 4), letter).otherwise(target)
+        out.append(after if zone in BODY else F.when(titled, LETTERS[ZONES.index("title_page")]).otherwise(after))
+    return F.concat(*out)
+
+
 def zones(base: DataFrame) -> DataFrame:
     """zone_before and zone_after of each block, from power, to_zone and titled.
 
-    Titled blocks leave the zone on the title page. Where that is is seen with all of them leaving the zone; those outside
-    then act by their power. Both walks are windows over the same order.
+    Each block is a map of zones to zones, and maps compose. A block whose map has one value sets the zone whatever it was
+    before, and so begins a run; in a run, maps are applied in turn to the zone that it begins with. Only blocks whose map
+    differs from the map before them count: a map that leads to what it keeps does nothing more when it is repeated.
     """
-    base = base.withColumn("own_power", F.col("power")).withColumn("power", F.when(F.col("titled"), 4).otherwise(F.col("power")))
-    base = walked(base)
-    stays = F.col("titled") & (F.col("zone_before") == "title_page")
-    base = base.withColumn("power", F.when(stays, 4).otherwise(F.col("own_power"))).drop("zone_before", "zone_after", "own_power", "titled")
-    return walked(base)
-
-
-def walked(base: DataFrame) -> DataFrame:
-    """zone_before and zone_after of each block, from power and to_zone."""
-    base = base.withColumns({f"z{p}": F.last(F.when(F.col("power") == p, F.struct(F.col("block_order").alias("at"), F.col("to_zone").alias("zone"))), ignorenulls=True).over(so_far()) for p in range(4)})
-    state = F.coalesce(F.col("z0"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("title_page").alias("zone")))
-    keeps: list[str] = []
-    for power, kept in ((1, ["appendix"]), (2, ["control_sheet", "bibliography"]), (3, ["title_page"])):
-        keeps += kept
-        base = base.withColumn("state", state)
-        later = F.col(f"z{power}").isNotNull() & (F.col(f"z{power}.at") > F.col("state.at")) & ~F.col("state.zone").isin(*keeps)
-        state = F.when(later, F.col(f"z{power}")).otherwise(F.col("state"))
-    base = base.withColumn("zone_after", state["zone"])
-    return base.withColumn("zone_before", F.coalesce(F.lag("zone_after").over(in_order()), F.lit("title_page"))).drop("state", *[f"z{p}" for p in range(4)])
+    first, whole = LETTERS[ZONES.index("title_page")], "".join(LETTERS)
+    base = base.withColumn("map", zone_map(F.col("titled"))).drop("titled")
+    sets = F.col("map") == F.repeat(F.substring("map", 1, 1), F.lit(len(ZONES)))
+    acts = F.when(F.col("map") != whole, F.col("map"))
+    base = base.withColumns({
+        "run": F.sum(sets.cast("int")).over(so_far()), "begin": F.coalesce(F.last(F.when(sets, F.substring("map", 1, 1)), ignorenulls=True).over(so_far()), F.lit(first)),
+        "acted": F.last(acts, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    lasting = F.col("map") == F.expr(f"translate(map, '{whole}', map)")
+    event = F.when(~sets & ~(lasting & F.coalesce(F.col("map") == F.col("acted"), F.lit(False))), acts)
+    in_run = Window.partitionBy("document_id", "run").orderBy("block_order").rowsBetween(Window.unboundedPreceding, 0)
+    base = base.withColumn("events", F.collect_list(event).over(in_run))
+    after = F.aggregate("events", F.col("begin"), lambda zone, m: F.substr(m, F.instr(F.lit(whole), zone), F.lit(1)))
+    named = F.create_map(*[F.lit(x) for pair in zip(LETTERS, ZONES, strict=True) for x in pair])
+    base = base.withColumn("zone_after", F.element_at(named, after)).drop("map", "run", "begin", "acted", "events")
+    return base.withColumn("zone_before", F.coalesce(F.lag("zone_after").over(in_order()), F.lit("title_page")))
 
 
 def heading_number(shapes: Shapes) -> Column:
@@ -202,29 +217,37 @@ def heading_level(shapes: Shapes) -> Column:
 
 
 def sections(base: DataFrame, shapes: Shapes) -> DataFrame:
-    """section_path: ids of the open sections, from headings that no later heading of their level or above has closed."""
+    """section_path: ids of the open sections, from headings that no later heading of their level or above has closed.
+
+    Main body and appendix have stacks of their own, of any depth. A heading whose level no earlier one is below closes all
+    sections, and so begins a run; the stack of a heading is folded from the headings of its run, and holds until the next.
+    """
     norm, order = F.col("norm"), F.col("block_order").cast("string")
     main = (F.col("block_type") == "heading") & (F.col("zone") == "main_body")
     other = (F.col("block_type") == "appendix_heading") & (F.col("zone") == "appendix")
     case = rf"^\s*{re.escape(shapes.lex.appendix)}\s+({LETTER})(?:{t.N}|$)"
     own = rf"^\s*({LETTER}(?:\.[0-9]+){{0,5}})(?:{t.N}|$)"
-    ids = {
-        "main": (main, F.coalesce(F.col("heading_number"), F.concat(F.lit("UNNUMBERED_"), order))),
-        "appendix": (other, F.coalesce(t.group(norm, case), t.group(norm, own), F.col("heading_number"), F.concat(F.lit("APP_UNNUMBERED_"), order))),
-    }
-    level = F.when(F.coalesce(F.col("heading_level"), F.lit(0)) == 0, 1).otherwise(F.least(F.col("heading_level"), F.lit(LEVELS)))
-    for name, (opens, section) in ids.items():
-        node = F.struct(F.col("block_order").alias("at"), level.alias("level"), section.alias("id"), F.coalesce("heading_title", "norm").alias("title"))
-        tops = [F.max(F.when(opens & (level <= k), node)).over(so_far()) for k in range(1, LEVELS + 1)]
-        base = base.withColumn(f"{name}_tops", F.array(*tops))
-        base = base.withColumn(f"{name}_stack", F.filter(f"{name}_tops", lambda m, k: m["level"] == k + 1))
-    stack = F.when(F.col("zone") == "main_body", F.col("main_stack")).when(F.col("zone") == "appendix", F.col("appendix_stack"))
-    base = base.withColumn("stack", stack)
+    section = F.when(main, F.coalesce(F.col("heading_number"), F.concat(F.lit("UNNUMBERED_"), order))).when(
+        other, F.coalesce(t.group(norm, case), t.group(norm, own), F.col("heading_number"), F.concat(F.lit("APP_UNNUMBERED_"), order))
+    )
+    level = F.when(F.coalesce(F.col("heading_level"), F.lit(0)) == 0, 1).otherwise(F.col("heading_level"))
+    node = F.when(main | other, F.struct(level.alias("level"), section.alias("id"), F.coalesce("heading_title", "norm").alias("title")))
+    in_zone = Window.partitionBy("document_id", "zone").orderBy("block_order")
+    upto = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    base = base.withColumn("node", node).withColumn("lowest", F.min("node.level").over(upto(in_zone, -1)))
+    begins = F.col("node").isNotNull() & (F.col("lowest").isNull() | (F.col("node.level") <= F.col("lowest")))
+    base = base.withColumn("run", F.sum(begins.cast("int")).over(upto(in_zone, 0)))
+    in_run = upto(Window.partitionBy("document_id", "zone", "run").orderBy("block_order"), 0)
+    base = base.withColumn("opened", F.collect_list("node").over(in_run))
+    none = F.array().cast("array<struct<level:int,id:string,title:string>>")
+    folded = F.aggregate("opened", none, lambda stack, h: F.concat(F.filter(stack, lambda x: x["level"] < h["level"]), F.array(h)))
+    base = base.withColumn("folded", F.when(F.col("node").isNotNull(), folded))
+    base = base.withColumn("stack", F.last("folded", ignorenulls=True).over(in_run))
     path = F.coalesce(F.transform("stack", lambda m: m["id"]), F.array().cast("array<string>"))
     base = base.withColumn("section_path", path)
     top = F.try_element_at("stack", F.lit(-1))
     return base.withColumns({"section_id": top["id"], "section_title": top["title"], "section_level": top["level"], "parent_section": F.get("section_path", F.size("section_path") - 2)}).drop(
-        "stack", *[f"{n}_{x}" for n in ids for x in ("tops", "stack")]
+        "node", "lowest", "run", "opened", "folded", "stack"
     )
 
 

@@ -1,4 +1,8 @@
-"""Tables with merged cells, from one row per grid position (document_id, row, col, cell_key, text)."""
+"""Tables with merged cells, from one row per grid position (document_id, row, col, cell_key, text).
+
+layout() makes these from the cells as they are written: how many columns each spans, and whether it goes on with the
+cell above.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,29 @@ def cell_text(c: Column) -> Column:
     return t.null_if_empty(t.collapsed(c))
 
 
+def layout(cells: DataFrame, look: list[str] | None = None) -> DataFrame:
+    """Grid positions of cells written as document_id, row, place (in the row), span, merge and text.
+
+    A cell starts where the spans before it in its row end. At each of its columns a cell whose merge is `continue` is the
+    one that lies above there, through as many rows as go on; without a position above, it is a cell of its own. Rows may be
+    of different lengths. text and the columns of look are those of the cell that the position belongs to; where merged
+    cells don't cover the same columns, positions follow their own column.
+    """
+    look = look or []
+    along = Window.partitionBy("document_id", "row").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("document_id", "col").orderBy("row")
+    span = F.greatest(F.coalesce(F.col("span"), F.lit(1)), F.lit(1)).cast("long")
+    start = F.coalesce(F.sum("width").over(along), F.lit(0))
+    placed = cells.withColumn("width", span).withColumn("start", start)
+    grid_ = placed.withColumn("col", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1)))
+    above = F.coalesce(F.lag("row").over(down) == F.col("row") - 1, F.lit(False))
+    begins = ~((F.col("merge") == "continue") & above) | F.col("merge").isNull()
+    own = F.struct(F.concat_ws(":", "row", "start").alias("cell_key"), "text", *look)
+    grid_ = grid_.withColumn("own", F.when(begins, own))
+    held = F.last("own", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    return grid_.withColumn("held", held).select("document_id", "row", "col", "held.*")
+
+
 def with_keys(cells: DataFrame) -> DataFrame:
     """cell_key: one for each run of equal texts that adjoin in a column."""
     down = Window.partitionBy("document_id", "col").orderBy("row")
@@ -19,11 +46,12 @@ def with_keys(cells: DataFrame) -> DataFrame:
     return cells.withColumn("breaks", breaks).withColumn("cell_key", F.concat_ws(":", F.col("col").cast("string"), F.sum("breaks").over(down).cast("string"))).drop("breaks")
 
 
-def spans(cells: DataFrame) -> DataFrame:
-    """Physical cells: first position, spans and text."""
+def spans(cells: DataFrame, look: list[str] | None = None) -> DataFrame:
+    """Physical cells: first position, spans, text, and the columns of look."""
+    first = F.struct("row", "col")
     return cells.groupBy("document_id", "cell_key").agg(
         F.min("row").alias("row"), F.min("col").alias("col"), (F.max("row") - F.min("row") + 1).alias("row_span"), (F.max("col") - F.min("col") + 1).alias("col_span"),
-        F.min_by(cell_text(F.col("text")), F.struct("row", "col")).alias("text"),
+        F.min_by(cell_text(F.col("text")), first).alias("text"), *[F.min_by(c, first).alias(c) for c in look or []],
     )
 
 

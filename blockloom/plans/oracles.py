@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.adapters import INLINE_PATTERN, PAGE_PATTERN
-from ..sources.rules import LINE_STYLES, TAG_STYLES
+from ..sources.rules import DEEP_STYLES, LINE_STYLES, TAG_STYLES, ZONES
 
 NON = r"[^\p{L}\p{N}_]"
 NUMBER = r"[0-9]+(?:\.[0-9]+){0,5}"
@@ -35,6 +35,17 @@ def pages_sql() -> dict[str, str]:
     return {"blocks": f"SELECT page_id AS document_id, CAST(generate_subscripts({found[0]}, 1) AS BIGINT) AS block_order, 'paragraph' AS kind, unnest({found[0]}) AS style, unnest({found[1]}) AS text, CAST(NULL AS BIGINT) AS table_rows, CAST(NULL AS BIGINT) AS table_cols FROM pages"}
 
 
+def deep_sql() -> dict[str, str]:
+    styles = [*["'Heading ' || CAST(1 + (pos * 7 + document_id) % 15 AS VARCHAR)"] * 5, "'Title line'", "'Title line'", "'Cover'", "'Structural, not in contents'", "'Heading Title'", "'Normal'", "'Appendix head'", "'Normal'", "NULL", "'Meta'", "'Normal'"]
+    texts = [*["'Part ' || CAST(pos AS VARCHAR)"] * 5, "line", "'Bibliography'", "line", "'The control sheet'", "'Part ' || CAST(pos AS VARCHAR)", "'Contents'", "'Appendix B'", "'Bibliography'", "line", "line", "line"]
+    pick = lambda xs: "CASE k " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+    return {
+        "cut": lines_sql()["cut"],
+        "numbered": "SELECT *, CASE WHEN pos % 40 = 39 AND document_id % 2 = 0 THEN 11 WHEN pos % 9 < 2 THEN (document_id * 7 + pos * pos + pos * (document_id % 5)) % 16 ELSE (document_id + pos) % 5 END AS k FROM cut",
+        "blocks": f"SELECT document_id, CAST(pos + 1 AS BIGINT) AS block_order, 'paragraph' AS kind, {pick(styles)} AS style, {pick(texts)} AS text, CAST(NULL AS BIGINT) AS table_rows, CAST(NULL AS BIGINT) AS table_cols FROM numbered",
+    }
+
+
 def quoted(x: object) -> str:
     if x is None:
         return "NULL"
@@ -51,18 +62,17 @@ def block_text(x: str) -> str:
     return strip(rf"regexp_replace(regexp_replace(coalesce({x}, ''), '[ \t]', ' ', 'g'), ' {{2,}}', ' ', 'g')")
 
 
-def walk_sql(name: str, start: str) -> dict[str, str]:
-    """Zones before and after each block (b11 and name), from power and tz."""
-    last = ", ".join(f"last_value(CASE WHEN power = {p} THEN {{'pos': block_order, 'zone': tz}} END IGNORE NULLS) OVER f AS z{p}" for p in range(4))
-    kept = "'appendix', 'control_sheet', 'bibliography'"
+def zones_sql() -> dict[str, str]:
+    """Zones before (zb) and after (za) each block: the maps of b5t applied one after the other."""
+    letters = [chr(97 + i) for i in range(len(ZONES))]
+    target = "CASE tz " + " ".join(f"WHEN '{z}' THEN '{x}'" for z, x in zip(ZONES, letters, strict=True)) + " END"
+    body = {"control_sheet": "power >= 2", "toc": "power = 4", "main_body": "power = 4", "appendix": "power >= 1", "bibliography": "power >= 2"}
+    after = [f"CASE WHEN {body[z]} THEN '{x}' ELSE {target} END" if z in body else f"CASE WHEN titled THEN 'a' WHEN power >= {3 if z == 'title_page' else 4} THEN '{x}' ELSE {target} END" for z, x in zip(ZONES, letters, strict=True)]
+    name = lambda x: f"CASE {x} " + " ".join(f"WHEN '{c}' THEN '{z}'" for z, c in zip(ZONES, letters, strict=True)) + " END"
     return {
-        f"w{name}": start,
-        f"b6{name}": f"SELECT *, {last} FROM w{name} {W}",
-        f"b7{name}": f"SELECT *, coalesce(z0, {{'pos': CAST(0 AS BIGINT), 'zone': 'title_page'}}) AS s0 FROM b6{name}",
-        f"b8{name}": f"SELECT *, CASE WHEN z1.pos > s0.pos AND s0.zone <> 'appendix' THEN z1 ELSE s0 END AS s1 FROM b7{name}",
-        f"b9{name}": f"SELECT *, CASE WHEN z2.pos > s1.pos AND s1.zone NOT IN ({kept}) THEN z2 ELSE s1 END AS s2 FROM b8{name}",
-        f"b10{name}": f"SELECT *, (CASE WHEN z3.pos > s2.pos AND s2.zone NOT IN ({kept}, 'title_page') THEN z3 ELSE s2 END).zone AS za FROM b9{name}",
-        f"b11{name}": f"SELECT *, coalesce(lag(za) OVER w, 'title_page') AS zb FROM b10{name} {W}",
+        "zm": f"SELECT *, {' || '.join(after)} AS zmap, row_number() OVER w AS rn FROM b5t {W}",
+        "zs": "SELECT document_id, list_reduce(list_prepend('a', list(zmap ORDER BY block_order)), lambda s, x: s || substr(x, ascii(right(s, 1)) - 96, 1)) AS states FROM zm GROUP BY document_id",
+        "b11": f"SELECT zm.* EXCLUDE (zmap, rn), {name('substr(states, rn, 1)')} AS zb, {name('substr(states, rn + 1, 1)')} AS za FROM zm JOIN zs USING (document_id)",
     }
 
 
@@ -91,10 +101,9 @@ def analysis_sql(source: dict[str, str], rules: list[tuple]) -> dict[str, str]:
             CASE WHEN lower(norm) = 'control sheet' OR (contains(lower(norm), 'control sheet') AND contains(ls, 'structural') AND contains(ls, 'not in contents')) THEN 'control_sheet' WHEN lower(norm) = 'contents' OR contains(ls, 'contents') OR ot = 'toc_item' THEN 'toc'
                  WHEN lower(norm) = 'bibliography' OR contains(ls, 'bibliography') OR ot = 'bibliography_item' THEN 'bibliography' WHEN ot = 'heading' THEN 'main_body' END AS anchor FROM b3""",
         "b5": """SELECT *, CASE WHEN tab OR emp THEN 4 WHEN always THEN 0 WHEN anchor IS NOT NULL AND it = 'appendix_heading' THEN 1 WHEN anchor IS NOT NULL THEN 0
-                WHEN dz = 'unknown_zone' THEN 4 WHEN rt IS NULL AND style = '' THEN 3 ELSE 2 END AS power, CASE WHEN always THEN 'appendix' ELSE coalesce(anchor, dz) END AS tz FROM b4""",
+                WHEN dz = 'unknown_zone' THEN 4 WHEN ot = 'title_meta' OR (dz = 'main_body' AND style = '') THEN 3 ELSE 2 END AS power, CASE WHEN always THEN 'appendix' ELSE coalesce(anchor, dz) END AS tz FROM b4""",
         "b5t": "SELECT *, (contains(ls, 'title')) AND NOT tab AND NOT emp AND NOT always AND coalesce(anchor = 'main_body', true) AS titled FROM b5",
-        **walk_sql("p", "SELECT * EXCLUDE (power), power AS own, CASE WHEN titled THEN 4 ELSE power END AS power FROM b5t"),
-        **walk_sql("", "SELECT * EXCLUDE (power, own, zb, za, z0, z1, z2, z3, s0, s1, s2), CASE WHEN titled AND zb = 'title_page' THEN 4 ELSE own END AS power FROM b11p"),
+        **zones_sql(),
         "b12": """SELECT *, CASE WHEN tab THEN 'table' WHEN emp THEN 'empty' WHEN zb = 'appendix' THEN it ELSE ot END AS bt,
             CASE WHEN tab THEN zb WHEN emp THEN CASE WHEN zb IN ('title_page', 'control_sheet', 'toc') THEN zb ELSE 'unknown_zone' END ELSE za END AS zone FROM b11""",
         "b13": rf"""SELECT *, bt IN ('heading', 'appendix_heading') AS hd, NOT tab AND NOT emp AND rt IS NULL AS guessed,
@@ -109,7 +118,7 @@ def analysis_sql(source: dict[str, str], rules: list[tuple]) -> dict[str, str]:
             CASE WHEN bt = 'appendix_heading' THEN coalesce(len(string_split(number, '.')), CASE WHEN rl IS NOT NULL THEN greatest(rl, 2) END, CASE WHEN stylelevel IS NOT NULL THEN greatest(stylelevel, 2) END, 2)
                  WHEN bt = 'heading' THEN coalesce(rl, stylelevel, len(string_split(number, '.')), 1) END AS hl,
             CASE WHEN emp THEN 'is_empty' WHEN guessed THEN 'needs_review,is_suspicious' ELSE coalesce(rflags, '') END AS flags FROM b13""",
-        "b15": rf"""SELECT *, CASE WHEN coalesce(hl, 0) = 0 THEN 1 ELSE least(hl, 9) END AS lvl, coalesce(title, norm) AS ttl, bt = 'heading' AND zone = 'main_body' AS om, bt = 'appendix_heading' AND zone = 'appendix' AS oa,
+        "b15": rf"""SELECT *, CASE WHEN coalesce(hl, 0) = 0 THEN 1 ELSE hl END AS lvl, coalesce(title, norm) AS ttl, bt = 'heading' AND zone = 'main_body' AS om, bt = 'appendix_heading' AND zone = 'appendix' AS oa,
             coalesce(number, 'UNNUMBERED_' || block_order) AS idm,
             coalesce(nullif(regexp_extract(norm, '^\s*Appendix\s+({LETTER})(?:{NON}|$)', 1), ''), {letter}, number, 'APP_UNNUMBERED_' || block_order) AS ida FROM b14""",
         "b16": f"SELECT *, {tops('m', 'om', 'idm')}, {tops('a', 'oa', 'ida')} FROM b15 {W}",
@@ -228,6 +237,10 @@ def lines(final: str) -> str:
     return composed(analysis_sql(lines_sql(), LINE_STYLES), final)
 
 
+def deep(final: str) -> str:
+    return composed(analysis_sql(deep_sql(), DEEP_STYLES), final)
+
+
 def pages(final: str) -> str:
     return composed(analysis_sql(pages_sql(), TAG_STYLES), final)
 

@@ -32,6 +32,10 @@ def _page_base(spark: SparkSession, d: str) -> DataFrame:
     return B.analysed(_pages(spark, d), S.style_rules(spark, S.TAG_STYLES), S.ENGLISH)
 
 
+def _deep_base(spark: SparkSession, d: str) -> DataFrame:
+    return B.classified(A.deep_blocks(A.read_table(spark, d, "documents")), S.style_rules(spark, S.DEEP_STYLES), S.ENGLISH)
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return R.records(R.candidates(_line_base(spark, d), S.ENGLISH), S.ENGLISH)
 
@@ -97,6 +101,23 @@ register(
     "q_section_path", lambda s, d: _line_base(s, d).select("document_id", "block_order", _path(), "compact_path", "section_id", "section_title", F.col("section_level").cast("long").alias("section_level"), "parent_section"),
     O.lines(f"SELECT document_id, block_order, {PATH}, nullif(array_to_string(path, ' > '), '') AS compact_path, sid AS section_id, stitle AS section_title, CAST(slevel AS BIGINT) AS section_level, parent AS parent_section FROM r2"),
 )
+register(
+    "q_zone_scan", lambda s, d: _deep_base(s, d).select("document_id", "block_order", "block_type", "zone", "zone_before", "zone_after"),
+    O.deep("SELECT document_id, block_order, bt AS block_type, zone, zb AS zone_before, za AS zone_after FROM b14"),
+)
+register(
+    "q_deep_sections", lambda s, d: _deep_base(s, d).select("document_id", "block_order", "zone", _path(), "section_title", F.col("section_level").cast("long").alias("section_level"), "parent_section"),
+    # A heading is open at a block that follows in its zone until a heading of its level or above comes there.
+    O.composed(
+        {
+            **O.analysis_sql(O.deep_sql(), S.DEEP_STYLES),
+            "heads": "SELECT document_id, block_order AS at, zone, lvl, ttl, CASE WHEN om THEN idm ELSE ida END AS id FROM b15 WHERE om OR oa",
+            "closed": """SELECT h.*, coalesce((SELECT min(n.at) FROM heads n WHERE n.document_id = h.document_id AND n.zone = h.zone AND n.at > h.at AND n.lvl <= h.lvl), 1000000000) AS till FROM heads h""",
+        },
+        """SELECT b.document_id, b.block_order, b.zone, coalesce(string_agg(h.id, '/' ORDER BY h.at), '') AS path, arg_max(h.ttl, h.at) AS section_title, CAST(arg_max(h.lvl, h.at) AS BIGINT) AS section_level,
+            list(h.id ORDER BY h.at)[-2] AS parent_section FROM b15 b LEFT JOIN closed h ON h.document_id = b.document_id AND h.zone = b.zone AND h.at <= b.block_order AND b.block_order < h.till GROUP BY ALL""",
+    ),
+)
 register(
     "q_links",
     lambda s, d: A.chat_blocks(A.read_table(s, d, "conversations")).withColumn("block_id", F.format_string("b%06d", F.col("block_order"))).select("document_id", "block_id", F.lag("block_id").over(B.in_order()).alias("prev_id"), F.lead("block_id").over(B.in_order()).alias("next_id")),
@@ -179,6 +200,37 @@ register(
     O.composed(CELLS, """SELECT document_id, "row", CAST(col AS BIGINT) AS col, text, CASE WHEN "row" = min("row") OVER k THEN max("row") OVER k - min("row") OVER k + 1 END AS row_span,
         CAST(CASE WHEN "row" = min("row") OVER k THEN 1 END AS BIGINT) AS col_span FROM keyed WINDOW k AS (PARTITION BY document_id, cell_key)"""),
 )
+WRITTEN = {
+    "numbered": """SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS "row" FROM lineitem""",
+    "written": """SELECT document_id, "row", generate_subscripts(cs, 1) - 1 AS place, unnest(cs).t AS text, unnest(cs).w AS span FROM (SELECT l_orderkey AS document_id, "row", list_filter([
+        {'t': l_returnflag, 'w': 1 + l_orderkey % 2}, {'t': l_linestatus, 'w': 1 + ("row" // 4) % 2}, {'t': CASE WHEN "row" % 3 <> 0 THEN CAST(CAST(round(l_discount * 100) AS INTEGER) AS VARCHAR) END, 'w': 1}, {'t': CAST(CAST(round(l_tax * 100) AS INTEGER) AS VARCHAR), 'w': 1 + l_linenumber % 2}], lambda c: c.t IS NOT NULL) AS cs FROM numbered)""",
+    "placed": """SELECT *, coalesce(lag(text) OVER (PARTITION BY document_id, place ORDER BY "row") = text, false) AS goes_on,
+        CAST(coalesce(sum(span) OVER (PARTITION BY document_id, "row" ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM written""",
+    "positions": """SELECT *, unnest(range(start, start + span)) AS col FROM placed""",
+    # A position's own cell lies in the last row up to it that does not go on, or that has nothing above.
+    "tops": """SELECT p.document_id, p."row", p.col, max(q."row") AS top FROM positions p JOIN (
+        SELECT a.* FROM positions a LEFT JOIN positions b ON b.document_id = a.document_id AND b.col = a.col AND b."row" = a."row" - 1 WHERE NOT a.goes_on OR b."row" IS NULL
+        ) q ON q.document_id = p.document_id AND q.col = p.col AND q."row" <= p."row" GROUP BY ALL""",
+    "marked_cells": """SELECT t.document_id, t."row", t.col, o."row" || ':' || o.start AS cell_key, o.text FROM tops t JOIN positions o ON o.document_id = t.document_id AND o."row" = t.top AND o.col = t.col""",
+    "boxes": """SELECT document_id, cell_key, min("row") AS "row", min(col) AS col, max("row") - min("row") + 1 AS row_span, max(col) - min(col) + 1 AS col_span, arg_min(text, "row" * 1000 + col) AS text FROM marked_cells GROUP BY ALL""",
+}
+
+
+def _written(s: SparkSession, d: str) -> DataFrame:
+    return tables.layout(A.order_written_cells(A.read_table(s, d, "lineitem")))
+
+
+register("q_merged_cells", lambda s, d: tables.spans(_written(s, d)), O.composed(WRITTEN, "SELECT * FROM boxes"))
+register(
+    "q_merged_grid",
+    lambda s, d: tables.grid(_written(s, d)).select("document_id", F.col("rows_count").cast("long").alias("rows_count"), F.col("cols_count").cast("long").alias("cols_count"), F.array_join(F.transform("cells", lambda r: F.array_join(r, ",", "-")), ";").alias("cells")),
+    O.composed(WRITTEN, """SELECT document_id, count(*) AS rows_count, any_value(n) AS cols_count, string_agg(r || repeat(',-', CAST(n - m AS INTEGER)), ';' ORDER BY "row") AS cells FROM (
+        SELECT document_id, "row", string_agg(text, ',' ORDER BY col) AS r, count(*) AS m, max(count(*)) OVER (PARTITION BY document_id) AS n FROM marked_cells GROUP BY document_id, "row") GROUP BY 1"""),
+)
+register(
+    "q_merged_positions", lambda s, d: tables.grid_cells(_written(s, d)),
+    O.composed(WRITTEN, """SELECT m.document_id, m."row", m.col, m.text, b.row_span, b.col_span FROM marked_cells m LEFT JOIN boxes b ON b.document_id = m.document_id AND b.cell_key = m.cell_key AND b."row" = m."row" AND b.col = m.col"""),
+)
 register(
     "q_requirement_candidates", lambda s, d: R.candidates(_line_base(s, d), S.ENGLISH).select("document_id", "candidate_id", "block_id", _path(), "zone", "candidate_text", "reason", "confidence", "kind"),
     O.requirements(f"SELECT document_id, printf('reqc_%04d', n) AS candidate_id, bid AS block_id, {PATH}, zone, candidate_text, reason, CAST(confidence AS DOUBLE) AS confidence, rkind AS kind FROM cand"),

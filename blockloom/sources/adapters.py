@@ -51,6 +51,23 @@ def line_blocks(documents: DataFrame) -> DataFrame:
     )
 
 
+def deep_blocks(documents: DataFrame) -> DataFrame:
+    """Lines of texts under headings of fifteen levels, with title pages, control sheets and appendices between them."""
+    lines = documents.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    at, doc, line = F.col("at").cast("long"), F.col("document_id"), F.col("line")
+    odd = F.when((at % 40 == 39) & (doc % 2 == 0), 11).when(at % 9 < 2, (doc * 7 + at * at + at * (doc % 5)) % 16)
+    k = F.coalesce(odd, (doc + at) % 5).cast("int")
+    part = F.concat(F.lit("Part "), at.cast("string"))
+    others = [
+        ("Title line", line), ("Title line", F.lit("Bibliography")), ("Cover", line), ("Structural, not in contents", F.lit("The control sheet")), ("Heading Title", part), ("Normal", F.lit("Contents")),
+        ("Appendix head", F.lit("Appendix B")), ("Normal", F.lit("Bibliography")), (None, line), ("Meta", line), ("Normal", line),
+    ]
+    style, text = F.when(k < 5, F.concat(F.lit("Heading "), (1 + (at * 7 + doc) % 15).cast("string"))), F.when(k < 5, part)
+    for i, (s, t) in enumerate(others, 5):
+        style, text = style.when(k == i, F.lit(s).cast("string")), text.when(k == i, t)
+    return lines.select("document_id", (at + 1).alias("block_order"), F.lit("paragraph").alias("kind"), style.alias("style"), text.alias("text"))
+
+
 def chat_blocks(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         F.col("conv_id").alias("document_id"), (F.col("turn") + 1).cast("long").alias("block_order"), F.lit("paragraph").alias("kind"), F.col("role").alias("style"), "text"
@@ -64,3 +81,19 @@ def order_cells(lineitem: DataFrame) -> DataFrame:
     rows = lineitem.select(F.col("l_orderkey").alias("document_id"), F.row_number().over(order).cast("long").alias("row"), cells.alias("cells"))
     grid = rows.select("document_id", "row", F.posexplode("cells").alias("col", "text"))
     return grid.withColumn("col", F.col("col").cast("long"))
+
+
+def order_written_cells(lineitem: DataFrame) -> DataFrame:
+    """Order lines as the rows of a written table: cells of one or two columns, each going on with the one above where
+    texts agree; every third row has a cell less."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    rows = lineitem.withColumn("row", F.row_number().over(order).cast("long"))
+    number, even = F.col("row"), lambda c: (F.lit(1) + c % 2).cast("long")
+    percent = lambda c: F.round(F.col(c) * 100).cast("int").cast("string")
+    texts = [F.col("l_returnflag"), F.col("l_linestatus"), F.when(number % 3 != 0, percent("l_discount")), percent("l_tax")]
+    widths = [even(F.col("l_orderkey")), even(F.floor(number / 4)), F.lit(1).cast("long"), even(F.col("l_linenumber"))]
+    cells = F.array(*[F.struct(x.alias("text"), w.alias("span")) for x, w in zip(texts, widths, strict=True)])
+    cells = F.filter(cells, lambda c: c["text"].isNotNull())
+    out = rows.select(F.col("l_orderkey").alias("document_id"), "row", F.posexplode(cells).alias("place", "c")).select("document_id", "row", F.col("place").cast("long").alias("place"), "c.*")
+    above = F.lag("text").over(Window.partitionBy("document_id", "place").orderBy("row"))
+    return out.withColumn("merge", F.when(above == F.col("text"), "continue").when(F.col("place") < 2, "restart"))

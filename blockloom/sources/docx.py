@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import tables
 
 # Fixed values of the file format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -25,7 +26,7 @@ UNDERLINE_OFF = {"none"}
 PARAGRAPH = "struct<alignment:string,left_pt:double,right_pt:double,first_line_pt:double,before_pt:double,after_pt:double,line_spacing:double,keep_next:boolean,keep_lines:boolean,page_break:boolean>"
 RUN = "struct<text:string,char_style:string,bold:boolean,italic:boolean,underline:boolean,font:string,size_pt:double,color:string,highlight:string>"
 BLOCK = f"struct<block_order:long,kind:string,style:string,text:string,paragraph_index:long,table_index:long,bold:boolean,italic:boolean,underline:boolean,left_indent:int,first_line_indent:int,paragraph:{PARAGRAPH},runs:array<{RUN}>>"
-CELL = "struct<table_index:long,row:long,col:long,cell_key:string,text:string,style:string,alignment:string,vertical:string,table_style:string>"
+CELL = "struct<table_index:long,row:long,place:long,span:long,merge:string,text:string,style:string,alignment:string,vertical:string,table_style:string>"
 STYLE = f"struct<style_name:string,style_type:string,base_style:string,paragraph:{PARAGRAPH},run:{RUN}>"
 SCHEMA = f"path string, error string, blocks array<{BLOCK}>, cells array<{CELL}>, styles array<{STYLE}>"
 
@@ -140,27 +141,18 @@ def decode(data: bytes) -> dict:
 
 
 def table_cells(table, index: int, styles: Styles) -> Iterator[dict]:
-    """A row per grid position; positions of a merged cell share its key."""
-    above: dict[int, dict] = {}
+    """A row per cell as it is written: its place in the row, its span and whether it goes on with the one above."""
     look = styles.name(value(child(table, "tblPr", "tblStyle")), "table")
     for r, row in enumerate(table.findall(W + "tr")):
-        at, now = 0, {}
-        for cell in row.findall(W + "tc"):
+        for place, cell in enumerate(row.findall(W + "tc")):
             props = child(cell, "tcPr")
-            span, merge = int(value(child(props, "gridSpan")) or 1), child(props, "vMerge")
-            paragraphs = cell.findall(W + "p")
+            merge, paragraphs = child(props, "vMerge"), cell.findall(W + "p")
             first = child(paragraphs[0], "pPr") if paragraphs else None
-            own = {
-                "cell_key": f"{index}:{r}:{at}", "text": "\n".join(map(paragraph_text, paragraphs)), "style": styles.name(value(child(first, "pStyle")), "paragraph") if paragraphs else None,
-                "alignment": ALIGNMENTS.get(value(child(first, "jc")) or "", None), "vertical": value(child(props, "vAlign")),
+            yield {
+                "table_index": index, "row": r, "place": place, "span": int(value(child(props, "gridSpan")) or 1), "merge": None if merge is None else value(merge) or "continue",
+                "text": "\n".join(map(paragraph_text, paragraphs)), "style": styles.name(value(child(first, "pStyle")), "paragraph") if paragraphs else None,
+                "alignment": ALIGNMENTS.get(value(child(first, "jc")) or "", None), "vertical": value(child(props, "vAlign")), "table_style": look,
             }
-            if merge is not None and value(merge) in (None, "continue") and at in above:
-                own = above[at]
-            for k in range(span):
-                now[at + k] = own
-                yield {"table_index": index, "row": r, "col": at + k, **own, "table_style": look}
-            at += span
-        above = now
 
 
 def read_docx(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -190,8 +182,10 @@ def block_rows(files: DataFrame) -> DataFrame:
 
 
 def cell_rows(files: DataFrame) -> DataFrame:
+    """Grid positions of all tables, with the look of the cells that they belong to."""
     rows = files.select(F.col("path").alias("document"), F.explode("cells").alias("c")).select("document", "c.*")
-    return rows.withColumn("document_id", F.concat_ws("#", "document", F.format_string("tbl_%04d", F.col("table_index"))))
+    rows = rows.withColumn("document_id", F.concat_ws("#", "document", F.format_string("tbl_%04d", F.col("table_index"))))
+    return tables.layout(rows, ["document", "table_index", "style", "alignment", "vertical", "table_style"])
 
 
 def style_catalog(files: DataFrame) -> DataFrame:

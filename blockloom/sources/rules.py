@@ -83,6 +83,12 @@ LINE_STYLES = [
     ("Figure", "figure", "graphic_object", "main_body", None, None, None, []),
     ("For deletion", "template_instruction", "deletable", "template_instruction", None, None, None, ["is_template_instruction", "is_deletable_template_content"]),
 ]
+#: Styles of the adapter of deep headings and front matter; its other styles have no rule.
+DEEP_STYLES = [
+    ("Normal", "paragraph", "main_text", "main_body", None, None, None, []),
+    ("Cover", "paragraph", "cover_text", "title_page", None, None, None, ["is_front_matter"]),
+    ("Meta", "title_meta", "title_page_meta", "main_body", None, None, None, ["is_front_matter"]),
+]
 #: Styles of the page adapter: the tag names of a page.
 TAG_STYLES = [
     ("title", "title_meta", "title_page_meta", "title_page", None, None, None, ["is_front_matter"]),

@@ -34,6 +34,33 @@ def analysed(spark, rules, texts):
     return B.analysed(rows_of(spark, texts), rules, S.RUSSIAN).orderBy("block_order").collect()
 
 
+def test_layout_equals_a_plain_grid(spark):
+    """Random tables with merged cells and rows of different lengths, against a grid that is filled row by row."""
+    import random
+
+    rng, rows, want = random.Random(3), [], {}
+    for doc in range(60):
+        grid = {}
+        for r in range(rng.randint(1, 7)):
+            at = 0
+            for place in range(rng.randint(1, 5)):
+                span, merge = rng.choice([1, 1, 2, 3]), rng.choice([None, "restart", "continue", "continue"])
+                rows.append((doc, r, place, span, merge, f"{r}-{place}", f"style {place}"))
+                for c in range(at, at + span):
+                    above = grid.get((r - 1, c))
+                    grid[r, c] = above if merge == "continue" and above else (f"{r}:{at}", f"{r}-{place}", f"style {place}")
+                at += span
+        want |= {(doc, *k): v for k, v in grid.items()}
+    cells = spark.createDataFrame(rows, "document_id long, row long, place long, span long, merge string, text string, style string")
+    laid = tables.layout(cells.repartition(3), ["style"])
+    got = {(x.document_id, x.row, x.col): (x.cell_key, x.text, x.style) for x in laid.collect()}
+    assert got == want
+    for box in tables.spans(laid, ["style"]).collect():
+        own = [k[1:] for k, v in want.items() if k[0] == box.document_id and v[0] == box.cell_key]
+        tall, wide = [r for r, _ in own], [c for _, c in own]
+        assert (box.row, box.col, box.row_span, box.col_span) == (min(tall), min(wide), max(tall) - min(tall) + 1, max(wide) - min(wide) + 1)
+
+
 def test_types_zones_and_sections(spark, rules):
     got = analysed(spark, rules, [
         ("Титул", "Документ"), ("Normal", ""), ("Оглавление 1", "Введение 3"), ("Heading 1", "1 Назначение"), ("Normal", "Текст."), ("Heading 2", "1.1 Область"), ("TABLE", None),
@@ -54,23 +81,61 @@ def test_numbered_text_without_rule(spark, rules):
     assert got[1].zone == "main_body"
 
 
-def test_zone_windows_equal_fold(spark, rules):
-    """The windows against a plain walk from block to block."""
+def next_zone(now, r, lex=S.RUSSIAN):
+    """The zone after block r of a walk that is in zone now, decided case by case."""
+    style, low = r.style.lower(), r.norm.lower()
+    if r.kind == "table" or not r.norm:
+        return now
+    kind = r.in_type if now == "appendix" else r.out_type
+    default = r.rule_zone if r.rule_type else "main_body"
+    if kind == "appendix_heading" or r.root:
+        return "appendix"
+    if low == lex.control or lex.control in low and all(x in style for x in lex.control_styles):
+        return "control_sheet"
+    if low == lex.contents or any(x in style for x in lex.contents_styles) or kind == "toc_item":
+        return "toc"
+    if low == lex.sources or any(x in style for x in lex.source_styles) or kind == "bibliography_item":
+        return "bibliography"
+    if any(x in style for x in lex.title_styles) and now not in ("control_sheet", "toc", "main_body", "appendix", "bibliography"):
+        return "title_page"
+    if kind == "heading":
+        return "main_body"
+    if now in ("appendix", "bibliography", "control_sheet"):
+        return now
+    if now == "title_page" and (kind == "title_meta" or default == "main_body" and not style):
+        return now
+    return now if default == "unknown_zone" else default
+
+
+def test_zone_scan_equals_walk_on_random_rules(spark):
+    """The scan against a walk from block to block, for random rule tables with title styles."""
     import random
 
-    rng, shapes = random.Random(5), []
-    pool = [("Титул", "т"), ("Normal", ""), ("Оглавление 1", "с 1"), ("Heading 1", "Глава"), ("Heading 1", "Приложение А"), ("Normal", "А.1 текст"), ("TABLE", None), (None, "строка"), ("Normal", "библиография"), ("Normal", "контрольный лист"), ("Heading X", "длинный, заголовок."), ("Normal", "абзац")]
-    for doc in range(60):
-        shapes += [(doc, i, "table" if s == "TABLE" else "paragraph", None if s == "TABLE" else s, x) for i, (s, x) in enumerate((rng.choice(pool) for _ in range(25)), 1)]
-    base = B.analysed(spark.createDataFrame(shapes, "document_id long, block_order long, kind string, style string, text string"), rules, S.RUSSIAN).orderBy("document_id", "block_order").collect()
-    keeps = {1: {"appendix"}, 2: {"appendix", "control_sheet", "bibliography"}, 3: {"appendix", "control_sheet", "bibliography", "title_page"}}
-    now, doc = "title_page", None
-    for r in base:
-        if r.document_id != doc:
-            now, doc = "title_page", r.document_id
-        assert r.zone_before == now
-        now = r.to_zone if r.power == 0 else now if r.power == 4 or now in keeps[r.power] else r.to_zone
-        assert r.zone_after == now
+    rng = random.Random(5)
+    styles = ["Титульный", "Title heading", "Heading 1", "Normal", "Структурный вне содержания", "Оглавление 1", "Odd", "Библиография", "Приложение heading", ""]
+    texts = ["т", "", "с 1", "Глава", "Приложение А", "А.1 текст", "Библиография", "Контрольный лист", "новый контрольный лист", "Содержание", "длинный, заголовок.", "3.1 Раздел"]
+    for _ in range(4):
+        made = [(s, rng.choice(["paragraph", "heading", "title_meta", "list_item", "toc_item", "bibliography_item", "appendix_heading"]), None, rng.choice([*S.ZONES, "title_page", "template_instruction"]), rng.choice([None, 1, 2]), None, None, []) for s in styles if rng.random() < 0.6]
+        rows = []
+        for doc in range(80):
+            pool = [(rng.choice(styles), rng.choice(texts)) for _ in range(6)]  # few kinds in a document, so that runs are long
+            rows += [(doc, i, rng.choice(["paragraph"] * 9 + ["table"]), *rng.choice(pool)) for i in range(1, 30)]
+        blocks = spark.createDataFrame(rows, "document_id long, block_order long, kind string, style string, text string")
+        base = B.classified(blocks, S.style_rules(spark, made), S.RUSSIAN).withColumn("root", B.Shapes(S.RUSSIAN).appendix_text(F.col("norm")))
+        now, doc = "title_page", None
+        for r in base.orderBy("document_id", "block_order").collect():
+            if r.document_id != doc:
+                now, doc = "title_page", r.document_id
+            assert r.zone_before == now
+            now = next_zone(now, r)
+            assert r.zone_after == now
+
+
+def test_title_page_behind_a_titled_heading(spark):
+    """A titled heading after the bibliography begins the body, from where a rule can lead back to the title page."""
+    rules = S.style_rules(spark, [("Cover", "paragraph", None, "title_page", None, None, None, [])])
+    got = analysed(spark, rules, [("Normal", "Библиография"), ("Title heading", "Глава"), ("Cover", "текст обложки."), ("Title", "ещё текст.")])
+    assert [r.zone for r in got] == ["bibliography", "main_body", "title_page", "title_page"]
 
 
 def test_sections_equal_stack(spark, rules):
@@ -79,7 +144,10 @@ def test_sections_equal_stack(spark, rules):
     rng, rows = random.Random(1), []
     for doc in range(40):
         rows += [(doc, i, "paragraph", f"Heading {rng.randint(1, 2)}" if rng.random() < 0.7 else "Normal", f"Глава {i}") for i in range(1, 15)]
+    for doc in range(40, 60):  # fifteen levels and more
+        rows += [(doc, i, "paragraph", f"Heading {rng.choice([1, 2, 5, 9, 10, 11, 14, 15, 40])}", f"Глава {i}") for i in range(1, 40)]
     got = B.analysed(spark.createDataFrame(rows, "document_id long, block_order long, kind string, style string, text string"), rules, S.RUSSIAN).orderBy("document_id", "block_order").collect()
+    assert max(r.heading_level or 0 for r in got) == 40 and max(len(r.section_path) for r in got) >= 6
     stack, doc = [], None
     for r in got:
         if r.document_id != doc:
