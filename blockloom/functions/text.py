@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of list markers and prefixes, of space and of closing marks below decide results.
 #: One character of a word, one of anything else, white space.
 W, N, S = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]", r"[\s ]"
 

@@ -1,7 +1,14 @@
-"""Integrity checks of analysed documents, one row per document and check, and their batch aggregate."""
+"""Integrity checks of analysed documents, one row per document and check, and their batch aggregate.
+
+A check is data: what it says, and how a block, or a document, offends. All checks of a run are folded into one
+aggregation, so a caller's own check costs no further pass.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,58 +16,94 @@ from ..sources.rules import BLOCK_TYPES, ZONES
 from .blocks import COUNTED, in_order, logical_notes
 
 NOTES = ["note_label", "note_text", "note_like"]
-#: What a check says where it passes and where it fails.
-MESSAGES = {
-    "non_empty_document": ("The document has blocks.", "The document has no blocks."),
-    "structure_summary_consistency": ("The counters of the summary equal a recount.", "Counters of the summary differ from a recount."),
-    "enum_domain_validity": ("Block types and zones are known.", "Some block types or zones are unknown."),
-    "adjacent_block_links": ("Links to neighbours are right.", "Some links to neighbours are wrong."),
-    "table_block_payloads": ("Tables have their payload.", "Some tables lack a payload or a part of it."),
-    "note_block_review_readiness": ("Notes have review features.", "Some notes have no review features."),
-    "section_context_validity": ("Section ids and paths agree.", "Some blocks have no section id, or a path that ends elsewhere."),
-    "review_candidates_build": ("Review candidates can be built.", "Review candidates cannot be built."),
-    "review_candidates_links": ("Review candidates name blocks of the document.", "Some review candidates name blocks that the document does not have."),
-}
+
+
+@dataclass(frozen=True)
+class Check:
+    """blocks(base) tells of each block whether it offends; else document() gives the issues and offending names of a
+    document, from the columns of the aggregation: total_blocks, differing (counters) and lost (candidates)."""
+
+    name: str
+    passed: str
+    failed: str
+    blocks: Callable[[DataFrame], Column] | None = None
+    document: Callable[[], tuple[Column, Column]] | None = None
 
 
 def _column(base: DataFrame, name: str, kind: str) -> Column:
     return F.col(name) if name in base.columns else F.lit(None).cast(kind)
 
 
-def block_faults(base: DataFrame) -> dict[str, Column]:
-    """Per check, whether a block offends; wants the stored links beside those of its neighbours (real_prev, real_next)."""
-    kind, zone = F.col("block_type"), F.col("zone")
-    scope = kind.isin("heading", "appendix_heading", "paragraph", "list_item", "table") & zone.isin("main_body", "appendix")
+def t_empty(c: Column) -> Column:
+    return F.coalesce(c == "", F.lit(True))
+
+
+def _strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def unknown_values(base: DataFrame) -> Column:
+    return ~F.coalesce(F.col("block_type").isin(*BLOCK_TYPES) & F.col("zone").isin(*ZONES), F.lit(False))
+
+
+def wrong_links(base: DataFrame) -> Column:
+    """Stored links against the neighbours as they are (real_prev, real_next)."""
+    return ~(F.col("prev_id").eqNullSafe(F.col("real_prev")) & F.col("next_id").eqNullSafe(F.col("real_next")))
+
+
+def no_payload(base: DataFrame) -> Column:
+    rows, cols = (_column(base, x, "long") for x in ("table_rows", "table_cols"))
+    return (F.col("block_type") == "table") & (rows.isNull() | cols.isNull())
+
+
+def unready_note(base: DataFrame) -> Column:
+    return F.col("block_type").isin(*NOTES) & F.col("list_follows").isNull()
+
+
+def wrong_section(base: DataFrame) -> Column:
+    kind = F.col("block_type")
+    scope = kind.isin("heading", "appendix_heading", "paragraph", "list_item", "table") & F.col("zone").isin("main_body", "appendix")
     no_id = kind.isin("heading", "appendix_heading") & t_empty(F.col("section_id"))
     tail = (F.size("section_path") > 0) & ~t_empty(F.col("section_id")) & (F.try_element_at("section_path", F.lit(-1)) != F.col("section_id"))
-    rows, cols = (_column(base, x, "long") for x in ("table_rows", "table_cols"))
-    return {
-        "enum_domain_validity": ~F.coalesce(kind.isin(*BLOCK_TYPES) & zone.isin(*ZONES), F.lit(False)),
-        "adjacent_block_links": ~(F.col("prev_id").eqNullSafe(F.col("real_prev")) & F.col("next_id").eqNullSafe(F.col("real_next"))),
-        "table_block_payloads": (kind == "table") & (rows.isNull() | cols.isNull()),
-        "note_block_review_readiness": kind.isin(*NOTES) & F.col("list_follows").isNull(),
-        "section_context_validity": scope & (no_id | F.coalesce(tail, F.lit(False))),
-    }
+    return scope & (no_id | F.coalesce(tail, F.lit(False)))
 
 
-def t_empty(c: Column) -> Column:
-    return F.coalesce(c == "", F.lit(True))
+def no_candidate(base: DataFrame) -> Column:
+    """A block with reasons that lacks what a candidate is made of."""
+    return (F.size("reasons") > 0) & (F.col("block_id").isNull() | F.col("block_type").isNull() | F.col("zone").isNull())
+
+
+def no_blocks() -> tuple[Column, Column]:
+    return F.when(F.coalesce(F.col("total_blocks"), F.lit(0)) == 0, 1).otherwise(0), _strings()
+
+
+CHECKS = [
+    Check("non_empty_document", "The document has blocks.", "The document has no blocks.", document=no_blocks),
+    Check("structure_summary_consistency", "The counters of the summary equal a recount.", "Counters of the summary differ from a recount.", document=lambda: (F.size("differing"), F.col("differing"))),
+    Check("enum_domain_validity", "Block types and zones are known.", "Some block types or zones are unknown.", unknown_values),
+    Check("adjacent_block_links", "Links to neighbours are right.", "Some links to neighbours are wrong.", wrong_links),
+    Check("table_block_payloads", "Tables have their payload.", "Some tables lack a payload or a part of it.", no_payload),
+    Check("note_block_review_readiness", "Notes have review features.", "Some notes have no review features.", unready_note),
+    Check("section_context_validity", "Section ids and paths agree.", "Some blocks have no section id, or a path that ends elsewhere.", wrong_section),
+    Check("review_candidates_build", "Review candidates can be built.", "Review candidates cannot be built.", no_candidate),
+    Check("review_candidates_links", "Review candidates name blocks of the document.", "Some review candidates name blocks that the document does not have.", document=lambda: (F.size("lost"), F.col("lost"))),
+]
+#: What a check says where it passes and where it fails.
+MESSAGES = {c.name: (c.passed, c.failed) for c in CHECKS}
 
 
-def run_checks(base: DataFrame, documents: DataFrame | None = None, candidates: DataFrame | None = None, summary: DataFrame | None = None) -> DataFrame:
+def run_checks(base: DataFrame, documents: DataFrame | None = None, candidates: DataFrame | None = None, summary: DataFrame | None = None, checks: list[Check] = CHECKS) -> DataFrame:
     """document_id, name, status, issues, message, offending (block or candidate ids, counters' names) of every check.
 
     All checks are counts of one aggregation. documents (document_id) names documents that may have no blocks; candidates
-    (document_id, candidate_id, block_id) and summary are stored ones to be checked, else those that base gives. That
-    candidates can be built is seen when they are: an error there ends the query.
+    (document_id, candidate_id, block_id) and summary are stored ones to be checked. Without candidates those that base
+    gives are meant, which name its own blocks; without a summary, the counters of base.
     """
     neighbours = base.withColumns({"real_prev": F.lag("block_id").over(in_order()), "real_next": F.lead("block_id").over(in_order())})
-    faults = block_faults(base)
-    if candidates is None:
-        faults["review_candidates_links"] = (F.size("reasons") > 0) & F.col("block_id").isNull()
+    by_block = {c.name: c.blocks(base) for c in checks if c.blocks is not None}
     block = F.struct("block_order", "block_id")
-    listed = [F.transform(F.array_sort(F.collect_list(F.when(bad, block))), lambda b: b["block_id"]).alias(name) for name, bad in faults.items()]
-    counts = [F.count_if(bad).alias(f"n_{name}") for name, bad in faults.items()]
+    listed = [F.transform(F.array_sort(F.collect_list(F.when(bad, block))), lambda b: b["block_id"]).alias(f"ids_{name}") for name, bad in by_block.items()]
+    counts = [F.count_if(bad).alias(f"n_{name}") for name, bad in by_block.items()]
     actual = {"total_blocks": F.count(F.lit(1)), **{n: F.count_if(F.col("block_type") == kind) for n, kind in COUNTED.items()}, "total_notes": F.count_if(F.col("block_type").isin(*NOTES))}
     # The summary's notes: a pair counts once there, and twice in the recount.
     own = {**actual, "total_notes": logical_notes()}
@@ -70,26 +113,24 @@ def run_checks(base: DataFrame, documents: DataFrame | None = None, candidates:
         found = documents.select("document_id").distinct().join(found, "document_id", "left")
     if summary is not None:
         found = found.join(summary.select("document_id", *[F.col(n).alias(f"stated_{n}") for n in actual]), "document_id", "left")
+    lost = _strings()
     if candidates is not None:
-        lost = candidates.join(base.select("document_id", "block_id"), ["document_id", "block_id"], "left_anti").groupBy("document_id")
-        found = found.join(lost.agg(F.array_sort(F.collect_list("candidate_id")).alias("review_candidates_links"), F.count(F.lit(1)).alias("n_review_candidates_links")), "document_id", "left")
-    differs = F.array_compact(F.array(*[F.when(F.coalesce(F.col(n), F.lit(0)) != F.coalesce(F.col(f"stated_{n}"), F.lit(0)), F.lit(n)) for n in actual]))
-    none = F.array().cast("array<string>")
-
-    def result(name: str) -> Column:
-        if name == "non_empty_document":
-            issues, ids = F.when(F.coalesce(F.col("total_blocks"), F.lit(0)) == 0, 1).otherwise(0), none
-        elif name == "structure_summary_consistency":
-            issues, ids = F.size(differs), differs
-        elif name == "review_candidates_build":
-            issues, ids = F.lit(0), none
+        unknown = candidates.join(base.select("document_id", "block_id"), ["document_id", "block_id"], "left_anti").groupBy("document_id")
+        found = found.join(unknown.agg(F.array_sort(F.collect_list("candidate_id")).alias("unknown")), "document_id", "left")
+        lost = F.coalesce("unknown", lost)
+    differs = [F.when(F.coalesce(F.col(n), F.lit(0)) != F.coalesce(F.col(f"stated_{n}"), F.lit(0)), F.lit(n)) for n in actual]
+    found = found.withColumns({"differing": F.array_compact(F.array(*differs)), "lost": lost})
+
+    def result(check: Check) -> Column:
+        if check.document is not None:
+            issues, ids = check.document()
         else:
-            issues, ids = F.coalesce(F.col(f"n_{name}"), F.lit(0)), F.coalesce(F.col(name), none)
-        passed, failed = MESSAGES[name]
+            issues, ids = F.coalesce(F.col(f"n_{check.name}"), F.lit(0)), F.coalesce(F.col(f"ids_{check.name}"), _strings())
         fine = issues == 0
-        return F.struct(F.lit(name).alias("name"), F.when(fine, "passed").otherwise("failed").alias("status"), issues.cast("long").alias("issues"), F.when(fine, passed).otherwise(failed).alias("message"), ids.alias("offending"))
+        status, message = F.when(fine, "passed").otherwise("failed"), F.when(fine, check.passed).otherwise(check.failed)
+        return F.struct(F.lit(check.name).alias("name"), status.alias("status"), issues.cast("long").alias("issues"), message.alias("message"), ids.alias("offending"))
 
-    return found.select("document_id", F.explode(F.array(*[result(name) for name in MESSAGES])).alias("x")).select("document_id", "x.*")
+    return found.select("document_id", F.explode(F.array(*[result(c) for c in checks])).alias("x")).select("document_id", "x.*")
 
 
 def report(checks: DataFrame) -> DataFrame:

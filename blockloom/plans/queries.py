@@ -135,7 +135,7 @@ register(
 
 def _slices(s: SparkSession, d: str) -> DataFrame:
     near = B.in_order()
-    join = lambda a, b: F.array_join(F.collect_list(t.preview(F.col("text"), 20)).over(near.rowsBetween(a, b)), "|")
+    join = lambda a, b: F.array_join(F.collect_list(t.preview(F.col("text"))).over(near.rowsBetween(a, b)), "|")
     return A.chat_blocks(A.read_table(s, d, "conversations")).select("document_id", "block_order", join(-2, -1).alias("before"), join(1, 2).alias("after"))
 
 
@@ -143,7 +143,7 @@ register(
     "q_context_slices", _slices,
     f"""SELECT document_id, block_order, coalesce(string_agg(p, '|') OVER (PARTITION BY document_id ORDER BY block_order ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS before,
         coalesce(string_agg(p, '|') OVER (PARTITION BY document_id ORDER BY block_order ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS after
-        FROM (SELECT conv_id AS document_id, CAST(turn + 1 AS BIGINT) AS block_order, nullif(substr({O.strip("text")}, 1, 20), '') AS p FROM conversations)""",
+        FROM (SELECT conv_id AS document_id, CAST(turn + 1 AS BIGINT) AS block_order, nullif(substr({O.strip("text")}, 1, 120), '') AS p FROM conversations)""",
 )
 register(
     "q_related_pair_artifact", lambda s, d: _line_base(s, d).filter("array_contains(reasons, 'layout_artifact_between_related_blocks')").select("document_id", "block_id", "prev_type", "next_type"),
@@ -310,12 +310,12 @@ BAD = {  # what each check counts, over the blocks of a document
     "note_block_review_readiness": "bt IN ('note_label', 'note_text', 'note_like') AND lf IS NULL",
     "section_context_validity": """bt IN ('heading', 'appendix_heading', 'paragraph', 'list_item', 'table') AND zone IN ('main_body', 'appendix')
         AND ((bt IN ('heading', 'appendix_heading') AND sid IS NULL) OR coalesce(len(path) > 0 AND path[-1] <> sid, false))""",
-    "review_candidates_links": "len(reasons) > 0 AND bid IS NULL",
+    "review_candidates_build": "len(reasons) > 0 AND (bid IS NULL OR bt IS NULL OR zone IS NULL)",
 }
 COUNTS = {"total_tables": "table", "total_list_items": "list_item", "total_template_instructions": "template_instruction", "total_sections": "heading", "total_appendix_sections": "appendix_heading", "total_figures": "figure", "total_formulas": "formula"}
 NOTE_COUNT = "count(DISTINCT CASE WHEN bt IN ('note_label', 'note_text') THEN nullif(grp, '') END) + count(*) FILTER (bt IN ('note_label', 'note_text') AND nullif(grp, '') IS NULL) + count(*) FILTER (bt = 'note_like')"
 WRONG = "CASE WHEN notes <> note_rows THEN 1 ELSE 0 END"  # the other counters are counted the same way
-ISSUES = {"non_empty_document": "CASE WHEN total = 0 THEN 1 ELSE 0 END", "structure_summary_consistency": WRONG, "review_candidates_build": "0", **{n: f"coalesce(n_{n}, 0)" for n in BAD}}
+ISSUES = {"non_empty_document": "CASE WHEN total = 0 THEN 1 ELSE 0 END", "structure_summary_consistency": WRONG, "review_candidates_links": "0", **{n: f"coalesce(n_{n}, 0)" for n in BAD}}
 FOUND = {"structure_summary_consistency": "CASE WHEN notes <> note_rows THEN 'total_notes' END", **{n: f"f_{n}" for n in BAD}}
 CHECKS = f"""SELECT document_id, u.name AS name, CASE WHEN u.issues = 0 THEN 'passed' ELSE 'failed' END AS status, CAST(u.issues AS BIGINT) AS issues, coalesce(u.found, '') AS offending FROM (
     SELECT document_id, unnest([{", ".join(f"{{'name': '{n}', 'issues': {ISSUES[n]}, 'found': {FOUND.get(n, 'NULL')}}}" for n in NAMES)}]) AS u FROM (
@@ -353,6 +353,48 @@ register(
     O.lines(f"""SELECT name, status, CASE {" ".join(f"WHEN name = '{n}' AND status = '{st}' THEN '{m[k]}'" for n, m in validate.MESSAGES.items() for k, st in enumerate(("passed", "failed")))} END AS message, count(*) AS documents
         FROM ({CHECKS}) GROUP BY ALL"""),
 )
+
+
+def _stored(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored documents with one fault each, by the remainder of their ids, their candidates and their summaries."""
+    base = _line_base(s, d)
+    stored, fault = render.read_document_json(render.document_json(base)), F.col("document_id") % 11
+    spoil = lambda c, n, bad, test=None: F.when((fault == n) & (F.lit(True) if test is None else test), bad).otherwise(F.col(c))
+    kind, order, nothing = F.col("block_type"), F.col("block_order"), F.lit(None)
+    blocks = stored.filter(fault != 9).select(*[c for c in stored.columns if c not in ("block_type", "zone", "next_id", "table_cols", "list_follows", "section_id", "block_id")],
+        spoil("block_type", 2, F.lit("riddle"), (kind == "paragraph") & (order % 5 == 0)).alias("block_type"), spoil("zone", 3, F.lit("nowhere"), order % 7 == 0).alias("zone"), spoil("next_id", 4, F.lit("b999999"), order == 2).alias("next_id"),
+        spoil("table_cols", 5, nothing).alias("table_cols"), spoil("list_follows", 6, nothing).alias("list_follows"), spoil("section_id", 7, nothing).alias("section_id"), spoil("block_id", 10, nothing, F.size("reasons") > 0).alias("block_id"))
+    candidates = B.review_candidates(base).select("document_id", "candidate_id", spoil("block_id", 8, F.lit("b999999"), F.col("candidate_id").endswith("1")).alias("block_id"))
+    summary = B.structure_summary(base)
+    return blocks, candidates, summary.withColumn("total_tables", F.when(fault == 1, F.col("total_tables") + 1).otherwise(F.col("total_tables")))
+
+
+def _stored_checks(s: SparkSession, d: str) -> DataFrame:
+    blocks, candidates, summary = _stored(s, d)
+    loud = validate.Check("no_shouting", "No block is all capitals.", "Some blocks are all capitals.", lambda b: (F.upper("norm") == F.col("norm")) & F.col("norm").rlike("[A-Z]"))
+    found = validate.run_checks(blocks, A.read_table(s, d, "documents").select(F.col("doc_id").alias("document_id")), candidates, summary, [*validate.CHECKS, loud])
+    return found.drop("message").withColumn("offending", F.array_join("offending", ","))
+
+
+SPOILT = {
+    "spoilt": """SELECT * REPLACE (CASE WHEN document_id % 11 = 2 AND bt = 'paragraph' AND block_order % 5 = 0 THEN 'riddle' ELSE bt END AS bt, CASE WHEN document_id % 11 = 3 AND block_order % 7 = 0 THEN 'nowhere' ELSE zone END AS zone,
+        CASE WHEN document_id % 11 = 4 AND block_order = 2 THEN 'b999999' ELSE nid END AS nid, CASE WHEN document_id % 11 <> 5 THEN table_cols END AS table_cols, CASE WHEN document_id % 11 <> 6 THEN lf END AS lf,
+        CASE WHEN document_id % 11 <> 7 THEN sid END AS sid, CASE WHEN document_id % 11 = 10 AND len(reasons) > 0 THEN NULL ELSE bid END AS bid) FROM r2 WHERE document_id % 11 <> 9""",
+    "stated": f"SELECT document_id, count(*) AS total_blocks, {', '.join(f'count(*) FILTER (bt = {k!r})' + (' + CASE WHEN document_id % 11 = 1 THEN 1 ELSE 0 END' if n == 'total_tables' else '') + f' AS {n}' for n, k in COUNTS.items())}, {NOTE_COUNT} AS total_notes FROM r2 GROUP BY 1",
+    "named": """SELECT document_id, printf('rc_%04d', row_number() OVER (PARTITION BY document_id ORDER BY block_order)) AS cid, bid FROM r2 WHERE len(reasons) > 0""",
+    "pointed": "SELECT document_id, cid, CASE WHEN document_id % 11 = 8 AND ends_with(cid, '1') THEN 'b999999' ELSE bid END AS bid FROM named",
+    "lost": "SELECT document_id, count(*) AS n, string_agg(cid, ',' ORDER BY cid) AS ids FROM pointed ANTI JOIN spoilt USING (document_id, bid) GROUP BY 1",
+    "actual": f"""SELECT document_id, count(*) AS total_blocks, {', '.join(f'count(*) FILTER (bt = {k!r}) AS {n}' for n, k in COUNTS.items())}, count(*) FILTER (bt IN ('note_label', 'note_text', 'note_like')) AS total_notes,
+        {", ".join(f"count(*) FILTER ({bad}) AS n_{n}, string_agg(bid, ',' ORDER BY block_order) FILTER ({bad}) AS f_{n}" for n, bad in {**BAD, 'no_shouting': "upper(norm) = norm AND regexp_matches(norm, '[A-Z]')"}.items())}
+        FROM (SELECT *, lag(bid) OVER w AS pb, lead(bid) OVER w AS nb FROM spoilt WINDOW w AS (PARTITION BY document_id ORDER BY block_order)) GROUP BY 1""",
+    "compared": f"""SELECT d.document_id, coalesce(a.total_blocks, 0) AS total, coalesce(lost.n, 0) AS nlost, coalesce(lost.ids, '') AS lost_ids,
+        concat_ws(',', {', '.join(f"CASE WHEN coalesce(a.{n}, 0) <> coalesce(s.{n}, 0) THEN '{n}' END" for n in ['total_blocks', *COUNTS, 'total_notes'])}) AS differing, {', '.join(f'coalesce(n_{n}, 0) AS n_{n}, f_{n}' for n in [*BAD, 'no_shouting'])}
+        FROM (SELECT DISTINCT doc_id AS document_id FROM documents) d LEFT JOIN actual a USING (document_id) LEFT JOIN stated s USING (document_id) LEFT JOIN lost USING (document_id)""",
+}
+STORED = f"""SELECT document_id, u.name AS name, CASE WHEN u.issues = 0 THEN 'passed' ELSE 'failed' END AS status, CAST(u.issues AS BIGINT) AS issues, coalesce(u.found, '') AS offending FROM (SELECT document_id, unnest([
+    {{'name': 'non_empty_document', 'issues': CASE WHEN total = 0 THEN 1 ELSE 0 END, 'found': ''}}, {{'name': 'structure_summary_consistency', 'issues': CASE WHEN differing = '' THEN 0 ELSE len(string_split(differing, ',')) END, 'found': differing}},
+    {{'name': 'review_candidates_links', 'issues': nlost, 'found': lost_ids}}, {", ".join(f"{{'name': '{n}', 'issues': n_{n}, 'found': f_{n}}}" for n in [*BAD, 'no_shouting'])}]) AS u FROM compared)"""
+register("q_validation_stored", _stored_checks, O.composed({**O.analysis_sql(O.lines_sql(), S.LINE_STYLES), **SPOILT}, STORED))
 register("q_validation_damaged", lambda s, d: fixtures.damaged_checks(s), fixtures.DAMAGED)
 register("q_zone_rules", lambda s, d: fixtures.russian_zones(s), fixtures.ZONES)
 register("q_russian_blocks", lambda s, d: fixtures.russian_blocks(s), fixtures.BLOCKS)
