@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import blocks, render, tables, validate
+from .operators import blocks, render, strict, tables, validate
 from .operators import requirements as R
 from .sources import docx, rules, sinks
 
 
+def read_registry(spark: SparkSession, path: str) -> list[tuple]:
+    """Rule rows of a YAML style registry; one with unknown or missing keys or wrong types is an error that names them."""
+    check = lambda found: [f"{r.path}: {r.problem}" for r in strict.registry_problems(spark, found).orderBy("path").collect()]
+    return rules.read_style_registry(path, check)
+
+
 def parse_documents(spark: SparkSession, path: str, registry: str | None = None, lex: rules.Lexicon = rules.RUSSIAN) -> DataFrame:
     """Analysed blocks of every word file under path; registry is a YAML style registry."""
-    table = rules.style_rules(spark, rules.read_style_registry(registry) if registry else rules.LINE_STYLES)
+    table = rules.style_rules(spark, read_registry(spark, registry) if registry else rules.LINE_STYLES)
     files = docx.read_docx(spark, path)
     return blocks.analysed(with_tables(docx.block_rows(files), docx.cell_rows(files)), table, lex)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import blocks as B
-from ..operators import render, tables, validate
+from ..operators import render, strict, tables, validate
 from ..operators import requirements as R
 from ..sources import adapters as A
 from ..sources import rules as S
@@ -439,6 +439,32 @@ register(
 )
 
 
+def _strict(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stored documents, some with a fault in their JSON by the remainder of their ids, read strictly."""
+    texts, fault, json = render.document_json(_line_base(s, d)), F.col("document_id") % 7, F.col("json")
+    swap = lambda a, b: F.replace(json, F.lit(a), F.lit(b))
+    damaged = (
+        F.when(fault == 0, F.concat(F.lit('{"extra":1,'), F.substring("json", 2, 1 << 30))).when(fault == 1, swap('"block_order":1,', '"block_order":"1",'))
+        .when(fault == 2, swap('"block_type":"list_item"', '"block_type":"riddle"')).when(fault == 3, F.substring(json, F.lit(1), F.floor(F.length(json) / 2).cast("int"))).when(fault == 4, swap('"block_id":"b000002",', "")).otherwise(json)
+    )
+    return strict.read_documents(texts.select(F.col("document_id").cast("string").alias("name"), damaged.alias("json")))
+
+
+register(
+    "q_strict_problems", lambda s, d: _strict(s, d)[1],
+    O.lines("""SELECT CAST(document_id AS VARCHAR) AS name, 'extra' AS path, 'unknown key' AS problem FROM r2 WHERE document_id % 7 = 0 GROUP BY document_id
+        UNION ALL SELECT CAST(document_id AS VARCHAR), 'blocks[0].block_order', 'wrong type: STRING' FROM r2 WHERE document_id % 7 = 1 GROUP BY document_id
+        UNION ALL SELECT CAST(document_id AS VARCHAR), 'blocks[' || block_order - 1 || '].block_type', 'unknown value' FROM r2 WHERE document_id % 7 = 2 AND bt = 'list_item'
+        UNION ALL SELECT CAST(document_id AS VARCHAR), '', 'not a JSON object' FROM r2 WHERE document_id % 7 = 3 GROUP BY document_id
+        UNION ALL SELECT CAST(document_id AS VARCHAR), 'blocks[1].block_id', 'missing key' FROM r2 WHERE document_id % 7 = 4 AND block_order = 2"""),
+)
+register(
+    "q_strict_documents", lambda s, d: _strict(s, d)[0].select("document_id", "block_id", "block_order", "zone", "block_type", "norm", F.array_join("reasons", ",").alias("reasons")),
+    O.lines("""SELECT document_id, bid AS block_id, block_order, zone, bt AS block_type, norm, array_to_string(reasons, ',') AS reasons FROM r2
+        WHERE document_id % 7 > 4 OR document_id NOT IN (SELECT document_id FROM r2 WHERE document_id % 7 IN (0, 1, 3) OR (document_id % 7 = 2 AND bt = 'list_item') OR (document_id % 7 = 4 AND block_order = 2))"""),
+)
+
+
 def _flagship(s: SparkSession, d: str) -> DataFrame:
     base = _line_base(s, d)
     records = R.records(R.candidates(base, S.ENGLISH), S.ENGLISH)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,13 +106,21 @@ def style_rules(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(safe, STYLE_SCHEMA)
 
 
-def read_style_registry(path: str) -> list[tuple]:
-    """Rule rows of a YAML registry (style_registry: name -> block_type, block_subtype, default_zone, ...)."""
+def read_style_registry(path: str, check: Callable[[dict], list[str]] | None = None) -> list[tuple]:
+    """Rule rows of a YAML registry (style_registry: name -> block_type, block_subtype, default_zone, ...).
+
+    check tells what is wrong with the registry, if anything: that is an error.
+    """
     import yaml
 
     with open(path, encoding="utf-8") as file:
-        found = yaml.safe_load(file)["style_registry"]
+        found = yaml.safe_load(file)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path}: a registry is a mapping of keys")
+    if check is not None and (wrong := check(found)):
+        raise ValueError(f"{path}: " + "; ".join(wrong))
+    found = found["style_registry"]
     return [
-        (name, r["block_type"], r.get("block_subtype"), r["default_zone"], r.get("heading_level"), r.get("list_type"), r.get("list_level"), list(r.get("flags") or []))
+        (name, r["block_type"], r.get("block_subtype"), r.get("default_zone") or "unknown_zone", r.get("heading_level"), r.get("list_type"), r.get("list_level"), list(r.get("flags") or []))
         for name, r in found.items()
     ]
