@@ -42,12 +42,14 @@ NULL, NO_TIME, END_OF_TIME = -(1 << 63), 1 - (1 << 63), (1 << 63) - 1
 CELLS, KEY_ROWS, LEAST_KEYS = 192, 4096, 16
 #: Rows in one Arrow table of a key's state.
 CHUNK = 8192
-#: Settings while the query runs: the state store that these stages need, without files of reserved size, and closed after
-#: each batch, as the next start opens its own.
+#: Settings while the query runs: the state store that these stages need, without files of reserved size, closed after each
+#: batch, as the next start opens its own, and kept as the changes of each batch for the last batches alone.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
 SALE = ["row_id", "sale_id", "client_id", "at", "ways"]
@@ -260,9 +262,13 @@ def enrich(sales: DataFrame, changes: DataFrame) -> DataFrame:
             hand_over(spark, root, batch)
             last = batch == BATCHES
             feed(spark, root, batch, END_OF_TIME if last else h[batch], NO_TIME if last else changed[batch], h[batch - 1] if batch else NO_TIME, gates, keys)
+            for name in ("sales", "changes"):
+                common.remove(spark, f"{root}/in/{name}/b{batch}")
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    for name in ("staged", "in", "checkpoint"):
+        common.remove(spark, f"{root}/{name}")
     return result(spark.read.schema(ANSWER).parquet(f"{root}/out"))
 
 
