@@ -6,7 +6,8 @@ on one checkpoint. It has two chained stages with state:
 1. The gate, keyed by a hash of the sale, holds sales until the watermark H of their batch has passed their time.
 2. The version stage, keyed by the client, adds the batch's changes, answers the released sales, and then prunes: of the
    versions up to H only the last of a client stays. A key is pruned when it is next called, with the H of the batch
-   before: nothing looks at its state in between.
+   before: nothing looks at its state in between. The last batch's start releases what still waits, too; it is answered
+   after that batch's own sales and another pruning, as if by a batch of its own.
 
 Sales and clients are dealt to keys by hash, many to a key, so that a key's state is a few Arrow tables instead of many
 rows. A client that holds more than one in CELLS of all rows is split over ways x ways cells: its sales lie in one of `ways`
@@ -37,7 +38,7 @@ from . import common
 BATCHES, FIRST_DAY, DAYS = 8, 19723, 152
 LAG = 12 * 3600 * 1_000_000
 #: Stands for null in columns of longs, and is smaller than every time; NO_TIME is a watermark that nothing has set.
-NULL, NO_TIME, END_OF_TIME = -(1 << 63), 1 - (1 << 63), (1 << 63) - 1
+NULL, NO_TIME = -(1 << 63), 1 - (1 << 63)
 #: Clients with more than one in CELLS of all rows are split; rows of a batch for each key of a stage; least number of keys.
 CELLS, KEY_ROWS, LEAST_KEYS = 192, 4096, 16
 #: Rows in one Arrow table of a key's state.
@@ -81,11 +82,24 @@ def unpack(state) -> Iterator:
         yield pa.ipc.open_stream(chunk).read_pandas()
 
 
+def in_order(*parts):
+    import pandas as pd
+
+    rows = pd.concat([x for x in parts if len(x)] or [parts[0]], ignore_index=True)
+    return rows.sort_values(ORDER, na_position="first", kind="stable", ignore_index=True)
+
+
+def pruned(versions, to: int):
+    """Of ordered versions: the last of each client up to a time, and all later ones."""
+    passed = versions["at"] <= to
+    return versions[passed].drop_duplicates("client_id", keep="last"), versions[~passed]
+
+
 class Gate(StatefulProcessor):
-    """Releases sales whose time lies before h; the others wait."""
+    """Releases sales whose time lies before h; the others wait, or, in the last batch, are released as due after it."""
 
-    def __init__(self, h: int):
-        self.h = h
+    def __init__(self, h: int, last: bool):
+        self.h, self.last = h, last
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getListState("waiting", "sales binary")
@@ -95,11 +109,14 @@ class Gate(StatefulProcessor):
 
         come = [r.loc[r["row_id"] >= 0, SALE] for r in rows]
         stay = []
-        for sales in [*unpack(self.waiting), *come]:
+        for sales in [x for x in (*unpack(self.waiting), *come) if len(x)]:
             free = sales["at"] < self.h
+            if self.last:
+                yield sales.assign(due=(~free).astype("int32"))
+                continue
             stay.append(sales[~free])
             if free.any():
-                yield sales[free]
+                yield sales[free].assign(due=0)
         held = pd.concat(stay, ignore_index=True) if stay else []
         self.waiting.put(pack(held)) if len(held) else self.waiting.clear()
 
@@ -110,8 +127,8 @@ class Gate(StatefulProcessor):
 class Versions(StatefulProcessor):
     """Answers sales from the versions of their clients; see the module's text."""
 
-    def __init__(self, batch: int, late_before: int, pruned_to: int):
-        self.batch, self.late_before, self.pruned_to = batch, late_before, pruned_to
+    def __init__(self, batch: int, late_before: int, pruned_to: int, h: int):
+        self.batch, self.late_before, self.pruned_to, self.h = batch, late_before, pruned_to, h
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getListState("versions", "versions binary")
@@ -132,23 +149,25 @@ class Versions(StatefulProcessor):
 
         stored = list(unpack(self.state))
         old = pd.concat([s[VERSION] for s in stored], ignore_index=True) if stored else come.iloc[:0][VERSION]
-        old = old.sort_values(ORDER, na_position="first", kind="stable")
-        passed = old["at"] <= self.pruned_to
-        kept = old[passed].drop_duplicates("client_id", keep="last")
+        old = in_order(old)
+        kept, opened = pruned(old, self.pruned_to)
         new = come.loc[(come["at"] >= self.late_before) & (come["client_id"] != NULL), VERSION]
-        opened = pd.concat([x for x in (old[~passed], new) if len(x)] or [new], ignore_index=True)
-        opened = opened.sort_values(ORDER, na_position="first", kind="stable")
-        if len(sales):
-            yield self.answers(sales, opened, kept)[columns]
-        all_of_them = pd.concat([x for x in (kept, opened) if len(x)] or [opened], ignore_index=True)
-        self.state.put(pack(all_of_them)) if len(all_of_them) else self.state.clear()
+        opened = in_order(opened, new)
+        now, after = sales[sales["due"] == 0], sales[sales["due"] == 1]
+        if len(now):
+            yield self.answers(now, opened, kept)[columns].assign(batch=self.batch)
+        versions = in_order(kept, opened)
+        if len(after):
+            kept, opened = pruned(versions, self.h)
+            yield self.answers(after, opened, kept)[columns].assign(batch=self.batch + 1)
+        self.state.put(pack(versions)) if len(versions) else self.state.clear()
 
     def answers(self, sales, opened, kept):
         import pandas as pd
 
         named = lambda versions, kind: versions.rename(columns={c: f"{kind}_{c}" for c in ORDER})
         out = sales[["rec", "row_id", "sale_id", "client_id", "at", "ways"]].rename(columns={"sale_id": "id"}).sort_values("at", kind="stable")
-        out["batch"] = self.batch
+        out["batch"] = 0
         out["n_open"] = out["client_id"].map(opened["client_id"].value_counts()).fillna(0).astype("int64")
         out["n_kept"] = out["client_id"].isin(kept["client_id"]).astype("int64")
         whole = {f"{k}_{c}": "Int64" for k in ("open", "kept") for c in ORDER if c != "op"}
@@ -185,7 +204,7 @@ def split_clients(sales: DataFrame, changes: DataFrame, total: int) -> DataFrame
 
 
 def stage_batches(sales: DataFrame, changes: DataFrame, root: str, gates: int, total: int) -> None:
-    """Write both tables by batch below root/staged; ticks wake each key of the gate in each batch and after the last."""
+    """Write both tables by batch below root/staged; ticks wake each key of the gate in each batch."""
     split = split_clients(sales, changes, total)
     wide = lambda rows: rows.join(F.broadcast(split), "client_id", "left").withColumn("ways", F.coalesce("ways", F.lit(1).cast("long")))
     day = F.unix_date(F.col("arrived_at").cast("timestamp_ntz").cast("date"))
@@ -194,7 +213,7 @@ def stage_batches(sales: DataFrame, changes: DataFrame, root: str, gates: int, t
     rows = rows.select("batch", gate, "row_id", filled("sale_id"), filled("client_id"), "at", "ways")
     spark = sales.sparkSession
     nothing = [F.lit(-1 if c == "row_id" else NULL).cast("long").alias(c) for c in SALE]
-    ticks = spark.range(gates * (BATCHES + 1), numPartitions=1).select(F.floor(F.col("id") / gates).cast("int").alias("batch"), (F.col("id") % gates).cast("int").alias("gate"), *nothing)
+    ticks = spark.range(gates * BATCHES, numPartitions=1).select(F.floor(F.col("id") / gates).cast("int").alias("batch"), (F.col("id") % gates).cast("int").alias("gate"), *nothing)
     rows.unionByName(ticks).write.partitionBy("batch").parquet(f"{root}/staged/sales")
 
     own = changes.filter("valid_at IS NOT NULL").distinct()
@@ -229,15 +248,15 @@ def hand_over(spark: SparkSession, root: str, batch: int) -> None:
 def feed(spark: SparkSession, root: str, batch: int, h: int, late_before: int, pruned_to: int, gates: int, keys: int) -> None:
     """One start of the query: takes the files that have come since the last."""
     read = lambda name, schema: spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/in/{name}")
-    released = read("sales", SALES).groupBy("gate").transformWithStateInPandas(Gate(h), ", ".join(f"{c} long" for c in SALE), "Append", "None")
+    released = read("sales", SALES).groupBy("gate").transformWithStateInPandas(Gate(h, batch == BATCHES - 1), ", ".join(f"{c} long" for c in SALE) + ", due int", "Append", "None")
 
     own, ways = F.pmod(F.xxhash64("row_id"), F.col("ways")), F.col("ways")
     every = F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("copy")
     key = F.pmod(F.when(F.col("client_id") == NULL, F.xxhash64("row_id")).otherwise(F.xxhash64("client_id")), F.lit(keys)).cast("int").alias("key")
-    shape = lambda rows, rec, cell: rows.select("*", every).select(key, cell.cast("int").alias("cell"), F.lit(rec).alias("rec"), *[c if isinstance(c, Column) else F.col(c) for c in ("row_id", "client_id", "at", "ways", "copy")], *[F.col(c) if c in rows.columns else F.lit(None if c == "op" else NULL).cast("string" if c == "op" else "long").alias(c) for c in ("sale_id", "seq", "change_id", "op", "cents")])
+    shape = lambda rows, rec, cell: rows.select("*", every).select(key, cell.cast("int").alias("cell"), F.lit(rec).alias("rec"), *[c if isinstance(c, Column) else F.col(c) for c in ("row_id", "client_id", "at", "ways", "copy")], (F.col("due") if "due" in rows.columns else F.lit(0)).alias("due"), *[F.col(c) if c in rows.columns else F.lit(None if c == "op" else NULL).cast("string" if c == "op" else "long").alias(c) for c in ("sale_id", "seq", "change_id", "op", "cents")])
     sales = shape(released, "sale", own * ways + F.col("copy"))
     changes = shape(read("changes", CHANGES), "change", F.col("copy") * ways + own)
-    answers = sales.unionByName(changes).groupBy("key", "cell").transformWithStateInPandas(Versions(batch, late_before, pruned_to), ANSWER, "Append", "None")
+    answers = sales.unionByName(changes).groupBy("key", "cell").transformWithStateInPandas(Versions(batch, late_before, pruned_to, h), ANSWER, "Append", "None")
     query = answers.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -258,10 +277,9 @@ def enrich(sales: DataFrame, changes: DataFrame) -> DataFrame:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     try:
-        for batch in range(BATCHES + 1):
+        for batch in range(BATCHES):
             hand_over(spark, root, batch)
-            last = batch == BATCHES
-            feed(spark, root, batch, END_OF_TIME if last else h[batch], NO_TIME if last else changed[batch], h[batch - 1] if batch else NO_TIME, gates, keys)
+            feed(spark, root, batch, h[batch], changed[batch], h[batch - 1] if batch else NO_TIME, gates, keys)
             for name in ("sales", "changes"):
                 common.remove(spark, f"{root}/in/{name}/b{batch}")
     finally:
