@@ -20,7 +20,14 @@ def parse_documents(spark: SparkSession, path: str, registry: str | None = None,
     """Analysed blocks of every word file under path; registry is a YAML style registry."""
     table = rules.style_rules(spark, read_registry(spark, registry) if registry else rules.LINE_STYLES)
     files = docx.read_docx(spark, path)
-    return blocks.analysed(with_tables(docx.block_rows(files), docx.cell_rows(files)), table, lex)
+    base = blocks.analysed(with_tables(docx.block_rows(files), docx.cell_rows(files)), table, lex)
+    return with_list_formatting(base)
+
+
+def with_list_formatting(base: DataFrame) -> DataFrame:
+    """Blocks with list_formatting: id, level, marker and numbering style of list items, null for others."""
+    level = F.coalesce(F.col("rule_list_level"), F.lit(0))
+    return base.withColumn("list_formatting", docx.list_formatting(F.col("block_type"), F.col("list_type"), F.col("list_mark"), F.col("text"), F.col("block_id"), level))
 
 
 def with_tables(rows: DataFrame, cells: DataFrame) -> DataFrame:
@@ -50,8 +57,7 @@ def requirement_records(base: DataFrame, lex: rules.Lexicon = rules.RUSSIAN) ->
 
 def apply_reviews(records: DataFrame, lex: rules.Lexicon = rules.RUSSIAN, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Applied records and log; without decisions the deterministic reviewer makes them."""
-    made = R.decisions(R.review_cases(records), records) if decisions is None else decisions
-    return R.apply_decisions(records, made, lex)
+    return R.apply_baseline(records, lex) if decisions is None else R.apply_decisions(records, decisions, lex)
 
 
 def audit_questions(applied: DataFrame, lex: rules.Lexicon = rules.RUSSIAN) -> DataFrame:
@@ -69,6 +75,18 @@ def validate_folder(spark: SparkSession, path: str, registry: str | None = None,
     return validate_documents(parse_documents(spark, path, registry, lex), files)
 
 
+def validate_inputs(spark: SparkSession, inputs: list[str], registry: str | None = None, lex: rules.Lexicon = rules.RUSSIAN) -> tuple[DataFrame, DataFrame]:
+    """Checks of the word files among files and folders, and the batch counters, which count missing and other inputs, too."""
+    good, issues = validate.discover(validate.list_inputs(spark, inputs))
+    there = [full for full, exists, _ in validate.resolve(spark, inputs) if exists]
+    files = docx.read_docx(spark, there) if there else spark.createDataFrame([], docx.SCHEMA)
+    files = files.join(good.withColumnRenamed("path", "input"), validate.one_name(F.col("path")) == F.col("input"), "left_semi")
+    table = rules.style_rules(spark, read_registry(spark, registry) if registry else rules.LINE_STYLES)
+    base = blocks.analysed(with_tables(docx.block_rows(files), docx.cell_rows(files)), table, lex)
+    checks = validate.run_checks(base, files.select(F.col("path").alias("document_id")))
+    return checks, validate.batch(checks, issues)
+
+
 def export_review(base: DataFrame, path: str) -> None:
     """Review documents as rows of document_id and word-file bytes."""
     sinks.review_files(base).write.parquet(path)

@@ -34,6 +34,21 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{S}+", " "))
 
 
+#: Characters whose full case folding is not their lower case, to one character and to several.
+_FOLDED = {c: c.casefold() for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c.casefold() != c.lower()}
+_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1 and len(c.lower()) == 1}
+_SEVERAL = {c: f for c, f in _FOLDED.items() if c not in _ONE}
+
+
+def folded(c: Column) -> Column:
+    """Full case folding: lower case, but for the characters that fold otherwise, such as the sharp s to ss."""
+    low = F.lower(c)
+    one = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _SEVERAL.items()])
+    several = F.aggregate(pairs, one, lambda s, p: F.replace(s, p["a"], p["b"]))
+    return F.when(low.rlike(f"[{''.join(_SEVERAL)}]"), several).when(low.rlike(f"[{''.join(_ONE)}]"), one).otherwise(low)
+
+
 def whole_word(words: list[str]) -> str:
     """Pattern for any of the words as a whole, any case; matches what stands before, too."""
     return rf"(?iu)(?:^|{N})(?:{'|'.join(words)})(?:{N}|$)"

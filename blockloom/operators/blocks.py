@@ -42,14 +42,14 @@ class Shapes:
         self.sub = rf"^\s*{LETTER}(?:\.[0-9]+){{1,5}}\s+.+$"
 
     def has(self, style: Column, parts: list[str]) -> Column:
-        low = F.lower(style)
+        low = t.folded(style)
         out = F.lit(False)
         for part in parts:
             out = out | low.contains(part)
         return out
 
     def has_all(self, style: Column, parts: list[str]) -> Column:
-        low = F.lower(style)
+        low = t.folded(style)
         out = F.lit(bool(parts))
         for part in parts:
             out = out & low.contains(part)

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+from .blocks import COUNTED, logical_notes
+
+#: Counters of a document's summary.
+COUNTERS = ["total_blocks", *COUNTED, "total_notes"]
+
 
 def body_text(base: DataFrame) -> Column:
     """A block's text with its list prefix, a diagnostic label, or a table's size and cells."""
@@ -55,11 +61,39 @@ MORE = {
 }
 
 
+def _block_list(base: DataFrame) -> Column:
+    listed = F.array_sort(F.collect_list(F.struct("block_order", F.struct(*FIELDS, *[c for c in MORE if c in base.columns]).alias("b"))))
+    return F.transform(listed, lambda x: x["b"])
+
+
+def _as_json(rows: DataFrame, fields: list[str], nulls: bool) -> DataFrame:
+    return rows.select("document_id", F.to_json(F.struct("document_id", *fields), {"ignoreNullFields": str(not nulls).lower()}).alias("json"))
+
+
 def document_json(base: DataFrame, nulls: bool = False) -> DataFrame:
     """One JSON text per document; nulls are left out unless asked for."""
-    blocks = F.array_sort(F.collect_list(F.struct("block_order", F.struct(*FIELDS, *[c for c in MORE if c in base.columns]).alias("b"))))
-    out = base.groupBy("document_id").agg(F.transform(blocks, lambda x: x["b"]).alias("blocks"))
-    return out.select("document_id", F.to_json(F.struct("document_id", "blocks"), {"ignoreNullFields": str(not nulls).lower()}).alias("json"))
+    return _as_json(base.groupBy("document_id").agg(_block_list(base).alias("blocks")), ["blocks"], nulls)
+
+
+def whole_document_json(base: DataFrame, template: str | None = None, nulls: bool = False) -> DataFrame:
+    """One JSON text per document with its source, summary, used styles and blocks.
+
+    Blocks lie together by document after their analysis, so the parts are made in one aggregation without an exchange.
+    """
+    counts = {"total_blocks": F.count(F.lit(1)), **{n: F.count_if(F.col("block_type") == kind) for n, kind in COUNTED.items()}, "total_notes": logical_notes()}
+    styles = F.array_sort(F.collect_set(t.null_if_empty(t.strip(F.coalesce("style", F.lit(""))))))
+    out = base.groupBy("document_id").agg(*[c.alias(n) for n, c in counts.items()], styles.alias("styles"), _block_list(base).alias("blocks"))
+    source = F.struct(F.col("document_id").cast("string").alias("path"), F.lit(template).cast("string").alias("template_id"))
+    return _as_json(out.withColumns({"source": source, "summary": F.struct(*COUNTERS)}), ["source", "summary", "styles", "blocks"], nulls)
+
+
+def read_document_parts(frame: DataFrame, id_type: str = "long") -> DataFrame:
+    """document_id, path, template_id, the summary's counters and styles of whole_document_json()'s texts."""
+    counters = ",".join(f"{c}:long" for c in COUNTERS)
+    schema = f"document_id {id_type}, source struct<path:string,template_id:string>, summary struct<{counters}>, styles array<string>"
+    parsed = frame.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("d"))
+    counted = [F.coalesce(F.col(f"d.summary.{c}"), F.lit(0).cast("long")).alias(c) for c in COUNTERS]
+    return parsed.select("d.document_id", "d.source.*", *counted, F.coalesce("d.styles", F.array().cast("array<string>")).alias("styles"))
 
 
 def read_document_json(frame: DataFrame, id_type: str = "long") -> DataFrame:

@@ -40,7 +40,10 @@ BLOCK = {
     "block_id": Key("string", True), "block_order": Key("int", True), "zone": Key("string", True, tuple(ZONES)), "block_type": Key("string", True, tuple(BLOCK_TYPES)),
     "section_path": Key("strings"), "reasons": Key("strings"), "flags": Key("strings", domain=tuple(FLAGS)),
 }
-DOCUMENT = {"document_id": Key("any", True), "blocks": Key("rows", True, each=BLOCK), **{name: Key("object") for name in ("summary", "source")}, "styles": Key("rows")}
+DOCUMENT = {
+    "document_id": Key("any", True), "blocks": Key("rows", True, each=BLOCK), "styles": Key("strings"), "summary": Key("object", own={c: Key("int", True) for c in render.COUNTERS}),
+    "source": Key("object", own={"path": Key("string", True), "template_id": Key("string")}),
+}
 RULE = {
     "block_type": Key("string", True), "block_subtype": Key("string"), "default_zone": Key("string"), "heading_level": Key("int"), "list_type": Key("string"), "list_level": Key("int"),
     "semantic_hints": Key("strings"), "flags": Key("strings"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.rules import BLOCK_TYPES, ZONES
@@ -142,13 +142,18 @@ def report(checks: DataFrame) -> DataFrame:
 
 
 def batch(checks: DataFrame, issues: DataFrame | None = None) -> DataFrame:
-    """Counters over documents. issues: input_path, status of inputs that gave no document."""
-    documents = report(checks).select(F.when(F.col("downstream_ready"), "passed").otherwise("failed").alias("state"), F.col("warning_checks").alias("warnings"))
+    """Counters over documents, and the failures of each check (name, failures) by name.
+
+    issues: input_path, status of inputs that gave no document.
+    """
+    rows = report(checks).select(F.when(F.col("downstream_ready"), "passed").otherwise("failed").alias("state"), F.col("warning_checks").alias("warnings"))
     if issues is not None:
-        documents = documents.unionByName(issues.select(F.col("status").alias("state"), F.when(F.col("status") == "warning", 1).otherwise(0).cast("long").alias("warnings")))
-    return documents.agg(
-        F.count(F.lit(1)).alias("total_documents"), F.count_if(F.col("state") == "passed").alias("passed_documents"),
-        F.count_if(F.col("state") == "failed").alias("failed_documents"), F.coalesce(F.sum("warnings"), F.lit(0)).cast("long").alias("warnings"),
+        rows = rows.unionByName(issues.select(F.col("status").alias("state"), F.when(F.col("status") == "warning", 1).otherwise(0).cast("long").alias("warnings")))
+    # One row per check, not per document, joins the documents' rows in the last aggregation.
+    rows = rows.unionByName(failures_by_check(checks).select(F.struct("name", "failures").alias("failing")), allowMissingColumns=True)
+    return rows.agg(
+        F.count("state").alias("total_documents"), F.count_if(F.col("state") == "passed").alias("passed_documents"), F.count_if(F.col("state") == "failed").alias("failed_documents"),
+        F.coalesce(F.sum("warnings"), F.lit(0)).cast("long").alias("warnings"), F.array_sort(F.collect_list("failing")).alias("failed_checks"),
     )
 
 
@@ -156,6 +161,34 @@ def failures_by_check(checks: DataFrame) -> DataFrame:
     return checks.filter("status = 'failed'").groupBy("name").agg(F.count(F.lit(1)).alias("failures"))
 
 
+def resolve(spark: SparkSession, inputs: list[str]) -> list[tuple[str, bool, bool]]:
+    """Full name, existence and whether it is a folder of each input, in any store that Spark reads."""
+    out = []
+    for name in inputs:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        there = files.exists(path)
+        out.append((files.makeQualified(path).toString(), there, there and files.getFileStatus(path).isDirectory()))
+    return out
+
+
+def one_name(path: Column) -> Column:
+    """file:/x and file:///x name one file."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def list_inputs(spark: SparkSession, inputs: list[str]) -> DataFrame:
+    """path, exists of the inputs: files as they are, folders as the files in them.
+
+    Paths are full names, so one file is one path however it was named. Spark lists the folders; files are not read.
+    """
+    found = resolve(spark, inputs)
+    rows = spark.createDataFrame([(full, there) for full, there, folder in found if not folder], "path string, exists boolean")
+    if folders := [full for full, _, folder in found if folder]:
+        rows = rows.unionByName(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path", F.lit(True).alias("exists")))
+    return rows.withColumn("path", one_name(F.col("path"))).distinct()
+
+
 def discover(paths: DataFrame, suffix: str = ".docx") -> tuple[DataFrame, DataFrame]:
     """Distinct inputs of the right kind, and issues (input_path, status, message) for the rest, from path, exists."""
     right = F.lower("path").endswith(suffix)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import text as t
 from ..operators import blocks as B
 from ..operators import render, strict, tables, validate
@@ -42,8 +43,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 def _applied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     records = _records(spark, d)
-    made = R.decisions(R.review_cases(records), records)
-    return (records, *R.apply_decisions(records, made, S.ENGLISH))
+    return (records, *R.apply_baseline(records, S.ENGLISH))
 
 
 def _path(name: str = "section_path") -> Column:
@@ -409,9 +409,15 @@ register(
     f"""SELECT path AS input_path, CASE WHEN NOT found THEN 'failed' ELSE 'warning' END AS status, CASE WHEN NOT found THEN 'Input path does not exist.' ELSE 'Skipped non-DOCX input path.' END AS message
         FROM ({INPUTS}) WHERE NOT found OR NOT ends_with(lower(path), '.docx')""",
 )
+def _batch(s: SparkSession, d: str) -> DataFrame:
+    found = validate.batch(_checks(s, d), validate.discover(_inputs(s, d))[1])
+    return found.withColumn("failed_checks", F.array_join(F.transform("failed_checks", lambda x: F.concat_ws(":", x["name"], x["failures"].cast("string"))), ","))
+
+
 register(
-    "q_validation_batch", lambda s, d: validate.batch(_checks(s, d), validate.discover(_inputs(s, d))[1]),
-    O.lines(f"""SELECT count(*) AS total_documents, count(*) FILTER (state = 'passed') AS passed_documents, count(*) FILTER (state = 'failed') AS failed_documents, count(*) FILTER (state = 'warning') AS warnings FROM (
+    "q_validation_batch", _batch,
+    O.lines(f"""SELECT count(*) AS total_documents, count(*) FILTER (state = 'passed') AS passed_documents, count(*) FILTER (state = 'failed') AS failed_documents, count(*) FILTER (state = 'warning') AS warnings,
+        (SELECT string_agg(name || ':' || n, ',' ORDER BY name) FROM (SELECT name, count(*) AS n FROM ({CHECKS}) WHERE status = 'failed' GROUP BY name)) AS failed_checks FROM (
         SELECT CASE WHEN bool_and(status <> 'failed') THEN 'passed' ELSE 'failed' END AS state FROM ({CHECKS}) GROUP BY document_id
         UNION ALL SELECT CASE WHEN NOT found THEN 'failed' ELSE 'warning' END FROM ({INPUTS}) WHERE NOT found OR NOT ends_with(lower(path), '.docx'))"""),
 )
@@ -439,6 +445,24 @@ register(
 )
 
 
+register(
+    "q_list_formatting", lambda s, d: api.with_list_formatting(_line_base(s, d)).filter("list_formatting IS NOT NULL").select("document_id", "list_formatting.*").withColumn("level", F.col("level").cast("long")),
+    O.lines(r"""SELECT document_id, bid AS list_id, CAST(coalesce(rlevel, 0) AS BIGINT) AS level, 'bulleted' AS marker_type, coalesce(nullif(regexp_extract(norm, '^\s*([-•–])\s+', 1), ''), nullif(regexp_extract(text, '^\s*([-•–]|[0-9]+[.)]|[A-Za-zА-Яа-я]\))', 1), ''), '-') AS marker_text,
+        'bullet' AS numbering_style FROM r2 WHERE bt = 'list_item'"""),
+)
+register(
+    "q_whole_document",
+    lambda s, d: render.read_document_parts(render.whole_document_json(_line_base(s, d), "lines")).withColumn("styles", F.array_join("styles", ",")),
+    O.lines(f"""SELECT document_id, CAST(document_id AS VARCHAR) AS path, 'lines' AS template_id, {", ".join(render.COUNTERS)}, styles FROM ({SUMMARY}) JOIN (
+        SELECT document_id, coalesce(string_agg(DISTINCT style, ',' ORDER BY style) FILTER (style <> ''), '') AS styles FROM r2 GROUP BY 1) USING (document_id)"""),
+)
+register(
+    "q_casefold",
+    lambda s, d: A.read_table(s, d, "documents").select(F.explode(F.split(t.folded(F.coalesce("text", F.lit(""))), r"[\s]+")).alias("word")).filter("contains(word, 'ss')").groupBy("word").agg(F.count(F.lit(1)).alias("times")),
+    r"SELECT word, count(*) AS times FROM (SELECT unnest(string_split_regex(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[ \t\n\x0B\f\r]+')) AS word FROM documents) WHERE contains(word, 'ss') GROUP BY 1",
+)
+
+
 def _strict(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Stored documents, some with a fault in their JSON by the remainder of their ids, read strictly."""
     texts, fault, json = render.document_json(_line_base(s, d)), F.col("document_id") % 7, F.col("json")
@@ -468,7 +492,7 @@ register(
 def _flagship(s: SparkSession, d: str) -> DataFrame:
     base = _line_base(s, d)
     records = R.records(R.candidates(base, S.ENGLISH), S.ENGLISH)
-    applied, _ = R.apply_decisions(records, R.decisions(R.review_cases(records), records), S.ENGLISH)
+    applied, _ = R.apply_baseline(records, S.ENGLISH)
     return B.structure_summary(base).join(R.question_summary(R.question_rows(applied, S.ENGLISH)), "document_id", "left")
 
 

@@ -155,11 +155,11 @@ def table_cells(table, index: int, styles: Styles) -> Iterator[dict]:
             }
 
 
-def read_docx(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """One row per file: path, error, blocks, cells, styles."""
+def read_docx(spark: SparkSession, path: str | list[str], stream: bool = False) -> DataFrame:
+    """One row per file: path, error, blocks, cells, styles; files in folders below a folder are read, too."""
     import pandas as pd
 
-    reader = (spark.readStream if stream else spark.read).format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]")
+    reader = (spark.readStream if stream else spark.read).format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]").option("recursiveFileLookup", "true")
     if stream:
         reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
     files = reader.load(path).select("path", "content")

@@ -22,6 +22,19 @@ def write_documents(base: DataFrame, path: str) -> None:
     render.document_json(base).select("json").write.text(path)
 
 
+def write_whole_documents(base: DataFrame, path: str, template: str | None = None) -> None:
+    """One JSON text per document and line, with source, summary, styles and blocks."""
+    render.whole_document_json(base, template).select("json").write.text(path)
+
+
+def payload(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Derived rows of each document as one JSON text: its id, their number, and the rows in order under their name."""
+    fields = [c for c in rows.columns if c != "document_id"]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("row")))), lambda x: x["row"])
+    out = rows.groupBy("document_id").agg(F.count(F.lit(1)).alias(f"total_{name}"), listed.alias(name))
+    return out.select("document_id", F.to_json(F.struct("document_id", f"total_{name}", name)).alias("json"))
+
+
 def write_rows(rows: DataFrame, path: str, nulls: bool = True) -> None:
     """Derived rows (candidates, records, decisions, questions) as JSON lines; nulls are kept unless told otherwise."""
     rows.write.option("ignoreNullFields", str(not nulls).lower()).json(path)
