@@ -48,11 +48,11 @@ WORDS, PERCENT = 4, 85
 LEVEL = 1.3
 #: Fragments in which overlaps are counted; n-grams of a block of sets and of one of pivots, and of a chunk that is counted
 #: at once.
-FRAGMENTS, BLOCK_GRAMS, PIVOT_GRAMS, CHUNK_GRAMS = 8, 1 << 20, 1 << 18, 1 << 18
+FRAGMENTS, BLOCK_GRAMS, PIVOT_GRAMS, CHUNK_GRAMS = 8, 1 << 19, 1 << 18, 1 << 18
 #: Places where an n-gram of a set meets one of a pivot that are counted at once, and pairs whose counts are held.
 MEETINGS, PAIRS = 1 << 18, 1 << 17
 #: Pivots of a cluster in the first round, growth, and most in a round (there are as many rounds as needed).
-PIVOTS, GROWTH, MOST_PIVOTS = 16, 16, 2048
+PIVOTS, GROWTH, MOST_PIVOTS = 4, 16, 2048
 #: Parts of a cluster that name their first pivots on their own, before the cluster's are taken from these.
 SALTS = 64
 #: Longest run whose pairs are tied as they are found, and longest one that is compared in one piece.
