@@ -244,7 +244,7 @@ def test_checks(spark, rules):
     found = {r.name: (r.issues, r.offending) for r in validate.run_checks(base, candidates=lost).collect()}
     assert found["review_candidates_links"] == (1, ["rc_1"])
     summary = validate.batch(validate.run_checks(base), spark.createDataFrame([("a", "failed", ""), ("b", "warning", "")], "input_path string, status string, message string"))
-    assert summary.first().asDict() == {"total_documents": 3, "passed_documents": 1, "failed_documents": 1, "warnings": 1} and sinks.exit_code(summary) == 1
+    assert summary.first().asDict() == {"total_documents": 3, "passed_documents": 1, "failed_documents": 1, "warnings": 1, "failed_checks": []} and sinks.exit_code(summary) == 1
 
 
 def test_tables(spark):
