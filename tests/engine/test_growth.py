@@ -1,10 +1,11 @@
 """What a query costs as its tables grow, read from its plan."""
 
 import json
+import random
 
 from blockloom.functions import text as t
 from blockloom.operators import blocks as B
-from blockloom.operators import strict
+from blockloom.operators import strict, tables
 from blockloom.sources import rules as S
 from pyspark.sql import functions as F
 
@@ -42,3 +43,18 @@ def test_strict_reading_is_one_pass(spark, tmp_path):
         ("b", "source.template_id", "wrong type: BIGINT"), ("b", "source.path", "missing key"),
         ("c", "", "not a JSON object"), ("d", "", "not a JSON object"), ("e", "blocks", "wrong type: VOID"),
     }
+
+
+def test_tables_in_arrays_equal_positions_and_sort_no_positions(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for doc in range(20):
+        for r in range(rng.randint(1, 6)):
+            row = [(place, rng.choice([1, 1, 2, 3, None]), rng.choice([None, "restart", "continue", "continue"]), rng.choice([f" {r}-{place}", "", None])) for place in range(rng.randint(1, 5))]
+            rows.append((doc, r, row))
+    spark.createDataFrame(rows, "document_id long, row long, cells array<struct<place:long,span:long,merge:string,text:string>>").write.parquet(str(tmp_path / "r"))
+    written = spark.read.parquet(str(tmp_path / "r"))
+    held = tables.laid_out(written)
+    laid = tables.layout(written.select("document_id", "row", F.explode("cells").alias("c")).select("document_id", "row", "c.*"))
+    for made in (tables.spans, tables.grid, tables.grid_cells):
+        assert sorted(map(str, made(held).collect())) == sorted(map(str, made(laid).collect()))
+        assert "Window" not in plan_of(made(held)) and plan_of(made(held)).count("Aggregate [") == 1
