@@ -48,7 +48,7 @@ WORDS, PERCENT = 4, 85
 LEVEL = 1.3
 #: Fragments in which overlaps are counted; n-grams of a block of sets and of one of pivots, and of a chunk that is counted
 #: at once.
-FRAGMENTS, BLOCK_GRAMS, PIVOT_GRAMS, CHUNK_GRAMS = 8, 1 << 19, 1 << 18, 1 << 18
+FRAGMENTS, BLOCK_GRAMS, PIVOT_GRAMS, CHUNK_GRAMS = 4, 1 << 18, 1 << 18, 1 << 18
 #: Places where an n-gram of a set meets one of a pivot that are counted at once, and pairs whose counts are held.
 MEETINGS, PAIRS = 1 << 18, 1 << 17
 #: Pivots of a cluster in the first round, growth, and most in a round (there are as many rounds as needed).
@@ -59,21 +59,22 @@ SALTS = 64
 SHORT, RUN_ROWS = 4, 4096
 #: An n-gram is hot if HOT texts of a bucket (BUCKET n-grams in a row of one task) have it; the hottest MOST_HOT count.
 HOT, BUCKET, MOST_HOT = 8, 1 << 21, 200_000
-#: Bits of the smallest odd sketch; larger sets have larger ones.
-SKETCH_BITS = 512
+#: Bits of the smallest odd sketch; larger sets have about one for each n-gram. Sets whose overlaps are counted have FINE:
+#: two differing n-grams then seldom share one, so few pairs just below the threshold are left to count.
+SKETCH_BITS, FINE = 512, 8
 
 
 def _texts(batch) -> list[bytes]:
     return [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(batch.schema.get_field_index("text"))]
 
 
-def sketch(tokens):
-    """Parities of the set's hashes by their last bits, as bytes; about one bit for each n-gram."""
+def sketch(tokens, times: int = 1):
+    """Parities of the set's hashes by their last bits, as bytes; about `times` bits for each n-gram."""
     import numpy as np
 
     from .shingles import mix
 
-    bits = max(SKETCH_BITS, 1 << max(0, len(tokens) - 1).bit_length())
+    bits = max(SKETCH_BITS, times << max(0, len(tokens) - 1).bit_length())
     counts = np.bincount((mix(tokens, 3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
@@ -432,7 +433,7 @@ def fragments(docs: DataFrame, words: int) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             own, n = np.repeat(batch.column(0).to_numpy(), FRAGMENTS), np.repeat([len(s) for s in sets], FRAGMENTS)
             tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat.view(np.int64)))
-            sketches = pa.array([x for s in sets for x in [sketch(s)] * FRAGMENTS], pa.binary())
+            sketches = pa.array([x for s in sets for x in [sketch(s, FINE)] * FRAGMENTS], pa.binary())
             columns = [pa.array(own, pa.int64()), pa.array(n, pa.int64()), sketches, pa.array(np.tile(np.arange(FRAGMENTS), len(sets)), pa.int32()), tokens]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sketch", "fragment", "tokens"])
 

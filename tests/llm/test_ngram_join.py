@@ -148,3 +148,28 @@ def test_ids_of_several_rows(spark, prose_text):
     rows = [(1, a), (1, a), (2, a + " x"), (2, a + " x"), (3, b), (4, b + " y"), (4, b + " y")]
     got = {(r.doc_id, r.component_id) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, 1), (2, 1), (3, 3), (4, 3)}
+
+
+def test_pairs_below_the_threshold_are_seldom_counted(spark, monkeypatch):
+    """Sets that differ in a few n-grams more than linked ones are ruled out before their overlaps are counted."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(260)]
+    rows = []
+    for i in range(60):  # three edits of four n-grams each: most pairs are just below 84 %
+        w = list(base)
+        for at in rng.sample(range(4, 256), 3):
+            w[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(w)))
+    counted, plain_counts = [], ngram_join.partial_overlaps
+
+    def counts(*args):
+        out = ngram_join.common.saved(plain_counts(*args), "counts")
+        counted.append(out.groupBy("u", "v", "n_u", "n_v").sum("c").selectExpr("`sum(c)` * 100 >= (n_u + n_v - `sum(c)`) * 84 AS linked").groupBy("linked").count().collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "partial_overlaps", counts)
+    ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 84).collect()
+    found = Counter()
+    for rounds in counted:
+        found.update({r["linked"]: r["count"] for r in rounds})
+    assert found[False] < 300
