@@ -5,6 +5,7 @@ import random
 
 from blockloom.functions import text as t
 from blockloom.operators import blocks as B
+from blockloom.operators import requirements as R
 from blockloom.operators import strict, tables
 from blockloom.sources import rules as S
 from pyspark.sql import functions as F
@@ -58,3 +59,36 @@ def test_tables_in_arrays_equal_positions_and_sort_no_positions(spark, tmp_path)
     for made in (tables.spans, tables.grid, tables.grid_cells):
         assert sorted(map(str, made(held).collect())) == sorted(map(str, made(laid).collect()))
         assert "Window" not in plan_of(made(held)) and plan_of(made(held)).count("Aggregate [") == 1
+
+
+def _base(spark, path):
+    rows = [(1, 1, "paragraph", "Heading 1", "1 Scope"), (1, 2, "paragraph", "Normal", "The clerk agrees with the form, if asked; the owner starts from it:"), (1, 3, "paragraph", "List dash", "- forms of all kinds;"), (1, 4, "paragraph", "Normal", "The owner works by hand with care.")]
+    spark.createDataFrame(rows, BLOCKS).write.parquet(path)
+    return B.analysed(spark.read.parquet(path), S.style_rules(spark, S.LINE_STYLES), S.ENGLISH)
+
+
+def test_questions_lead_back_to_blocks_without_a_join(spark, tmp_path):
+    base = _base(spark, str(tmp_path / "b"))
+    found = R.records(R.candidates(base, S.ENGLISH), S.ENGLISH)
+    applied, _ = R.apply_baseline(found, S.ENGLISH)
+    asked = R.questions(R.question_rows(applied, S.ENGLISH))
+    carried = R.carried_lineage(asked)
+    assert plan_of(carried).count("Relation [") == 1
+    ids = carried.columns
+    want = {tuple(r) for r in R.lineage(asked, applied, found, base).select(ids).collect()}
+    assert want and {tuple(r) for r in carried.collect()} == want
+
+
+def test_baseline_decisions_without_a_join(spark, tmp_path):
+    found = R.records(R.candidates(_base(spark, str(tmp_path / "b")), S.ENGLISH), S.ENGLISH)
+    made = R.baseline_decisions(found)
+    assert plan_of(made).count("Relation [") == 1
+    want = {str(tuple(r)) for r in R.decisions(R.review_cases(found), found).select(made.columns).collect()}
+    assert want and {str(tuple(r)) for r in made.collect()} == want
+
+
+def test_hints_match_each_pattern_twice(spark, tmp_path):
+    spark.createDataFrame([("The clerk with care, if asked", "obligation")], "x string, kind string").write.parquet(str(tmp_path / "h"))
+    out = spark.read.parquet(str(tmp_path / "h")).select(R.hints(F.col("x"), F.col("kind") == "contextual_obligation", S.ENGLISH).alias("h"))
+    assert plan_of(out).count(t.cut_at_word(S.ENGLISH.conditions)) == 2
+    assert tuple(out.first().h) == ("The clerk", "care", None, "if asked")
