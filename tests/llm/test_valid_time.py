@@ -92,3 +92,16 @@ def test_no_changes(spark, monkeypatch):
     monkeypatch.setattr(valid_time, "LEAST_KEYS", 1)
     sales = [(1, 2, None, START, START), (2, 2, None, None, START + timedelta(days=200))]
     assert run(spark, sales, []) == plain(sales, []) == [("sale", 1, 8, 0, None, None, None), ("sale", 2, 7, 0, None, None, None)]
+
+
+def test_one_stage_with_state_in_the_heap(spark, monkeypatch):
+    """Each start opens one state store a partition, and none has memory beside the heap."""
+    monkeypatch.setattr(valid_time, "LEAST_KEYS", 1)
+    feed, seen = valid_time.feed, []
+    monkeypatch.setattr(valid_time, "feed", lambda *a: seen.append(feed(*a).lastProgress))
+    changes = [(1, 2, 0, "U", START, 1.5)]
+    sales = [(1, 2, None, START + timedelta(hours=1), START), (2, 2, None, START - timedelta(hours=1), START + timedelta(days=200))]
+    assert run(spark, sales, changes) == plain(sales, changes)
+    operators = [p["stateOperators"] for p in seen]
+    assert len(seen) == 8 and all(len(x) == 1 for x in operators)
+    assert not any(k.startswith("rocksdb") for x in operators for k in x[0]["customMetrics"])
