@@ -35,7 +35,7 @@ import functools
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,8 @@ PIVOTS, GROWTH, MOST_PIVOTS = 4, 16, 2048
 SALTS = 64
 #: Longest run whose pairs are tied as they are found, and longest one that is compared in one piece.
 SHORT, RUN_ROWS = 4, 4096
+#: Bits for a set's size beside a token: 12 of its own and 5 for how many more there were.
+SIZE_BITS = 17
 #: An n-gram is hot if HOT texts of a bucket (BUCKET n-grams in a row of one task) have it; the hottest MOST_HOT count.
 HOT, BUCKET, MOST_HOT = 8, 1 << 21, 200_000
 #: Bits of the smallest odd sketch; larger sets have about one for each n-gram. Sets whose overlaps are counted have FINE:
@@ -212,6 +214,17 @@ def key_rows(docs: DataFrame, words: int, percent: int, hot) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "token long, mark int, n int, id long")
 
 
+def size_code(n: Column) -> Column:
+    """A set's size as SIZE_BITS bits: as it is below 2^12, then its 12 leading bits and how many follow; never 0."""
+    more = F.greatest(F.lit(0), F.length(F.bin(n.cast("long"))) - 12)
+    return F.call_function("shiftright", n.cast("long"), more) + more.cast("long") * 4096
+
+
+def code_size(code: Column) -> Column:
+    """The smallest size that has the code; the largest is less than a 2,048th above it."""
+    return F.call_function("shiftleft", code.bitwiseAND(F.lit(4095)), F.shiftright(code, 12).cast("int"))
+
+
 def runs(keys: DataFrame, percent: int) -> DataFrame:
     """What rows of one token say about ids, by kind.
 
@@ -222,12 +235,16 @@ def runs(keys: DataFrame, percent: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
+        def apart(n, following):
+            """Whether the next size is too large, for all sizes that have n's code."""
+            return (n + (n >> 11)) * 100 < percent * following
+
         def rows(kind: int, token, a, b) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(token), pa.array(a), pa.array(b)], ["kind", "token", "a", "b"])
 
         def closed(token, n, own) -> Iterator:
             """Whole runs."""
-            begins = np.append(True, (token[1:] != token[:-1]) | (n[:-1] * 100 < percent * n[1:]))
+            begins = np.append(True, (token[1:] != token[:-1]) | (apart(n[:-1], n[1:])))
             start = np.flatnonzero(begins)
             length, group = np.diff(np.append(start, len(token))), np.cumsum(begins) - 1
             first, size = own[start][group], length[group]
@@ -246,14 +263,13 @@ def runs(keys: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             token, mark, n, own = (batch.column(i).to_numpy() for i in range(4))
-            n = n.astype(np.int64)
             if mark.any():
                 yield rows(4, token[mark > 0], token[mark > 0], own[mark > 0])
                 token, n, own = token[mark == 0], n[mark == 0], own[mark == 0]
                 if not len(token):
                     continue
             if head is not None:
-                stop = np.flatnonzero((token != held[0][-1]) | (np.append(held[1][-1], n[:-1]) * 100 < percent * n))
+                stop = np.flatnonzero((token != held[0][-1]) | apart(np.append(held[1][-1], n[:-1]), n))
                 end = int(stop[0]) if len(stop) else len(token)
                 yield rows(1, token[:end], np.full(end, head), own[:end])
                 if end == len(token):
@@ -262,7 +278,7 @@ def runs(keys: DataFrame, percent: int) -> DataFrame:
                 held, head, token, n, own = [], None, token[end:], n[end:], own[end:]
             if held:
                 token, n, own = (np.concatenate(x) for x in zip(held, (token, n, own), strict=True))
-            cut = np.flatnonzero((token[1:] != token[:-1]) | (n[:-1] * 100 < percent * n[1:]))
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (apart(n[:-1], n[1:])))
             at = int(cut[-1]) + 1 if len(cut) else 0
             if at:
                 yield from closed(token[:at], n[:at], own[:at])
@@ -274,10 +290,14 @@ def runs(keys: DataFrame, percent: int) -> DataFrame:
         if held and head is None:
             yield from closed(*held)
 
+    # What is moved of a row is its id and one number: 47 bits of the token's hash over SIZE_BITS of n, or a mark over no n at all.
+    # Tokens that share these bits may make one run; it is split by size and compared like any other.
+    packed = F.when(F.col("mark") == 1, F.col("token") * (1 << SIZE_BITS)).otherwise(F.shiftleft(F.xxhash64("token"), SIZE_BITS).bitwiseOR(size_code(F.col("n"))))
     # Marks are not compared here, so they are dealt by id.
-    deal = F.when(F.col("mark") == 1, F.xxhash64("id")).otherwise(F.col("token"))
-    dealt = keys.withColumn("deal", deal).repartition("deal").drop("deal").sortWithinPartitions("token", "n", "id")
-    return dealt.mapInArrow(run, "kind int, token long, a long, b long")
+    token, code = F.shiftright("packed", SIZE_BITS), F.col("packed").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    moved = keys.select(packed.alias("packed"), "id").repartition(F.when(code == 0, F.xxhash64("id")).otherwise(token)).sortWithinPartitions("packed", "id")
+    rows = moved.select(token.alias("token"), (code == 0).cast("int").alias("mark"), code_size(code).alias("n"), "id")
+    return rows.mapInArrow(run, "kind int, token long, a long, b long")
 
 
 class Forest:
@@ -599,12 +619,12 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     again = common.saved(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id"), "again")
     aside = common.saved(copies.unionByName(again).distinct(), "aside")
     smallest = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    single = docs.filter("doc_id IS NOT NULL").join(aside, "doc_id", "left_anti").unionByName(smallest)
+    single = common.not_among(docs.filter("doc_id IS NOT NULL"), aside, "doc_id").unionByName(smallest)
 
     once = named.join(again, "doc_id", "left_anti").unionByName(names(smallest, words).filter("kind = 0 AND n > 0"))
     sketches = once.select(F.col("doc_id").alias("id"), "n", "sketch")
     clusters = clusters_of(key_rows(single, words, percent, hot), sketches, percent)
-    texts = single.join(clusters, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+    texts = common.among(single.withColumnRenamed("doc_id", "id"), clusters.select("id"), "id")
     sets = common.saved(fragments(texts, words), "sets")
     links = cluster_links(sets, clusters, percent)
 

@@ -43,14 +43,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null id stay as they are. Of an id's repeated rows one stays, that with the smallest text. Null and empty
     texts are linked with nothing and stay; very long ones are compared whole; an empty table stays empty.
     """
-    kept = ngram_join.link(docs, COPY_WORDS, COPY_PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept"))
-    counts = kept.groupBy("__kept").agg(F.count(F.lit(1)).alias("__rows"))
-    counts = common.saved(counts, "kept")
-    named = docs.join(counts, docs["doc_id"] == counts["__kept"])
+    # Most ids stay as they are; the others, and ids of several rows, are fewer, so their texts alone are moved.
+    found = ngram_join.link(docs, COPY_WORDS, COPY_PERCENT).filter("doc_id IS NOT NULL").groupBy("doc_id")
+    found = found.agg(F.count(F.lit(1)).alias("__rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("__stays"))
+    aside = common.saved(found.filter("NOT __stays OR __rows > 1"), "aside")
+    again = aside.filter("__stays").select("doc_id")
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(*docs.columns))
-    again = named.filter("__rows > 1").withColumn("__place", F.row_number().over(order)).filter("__place = 1")
-    once = named.filter("__rows = 1").select(docs.columns)
-    return once.unionByName(again.select(docs.columns)).unionByName(docs.filter("doc_id IS NULL"))
+    again = common.among(docs, again, "doc_id").withColumn("__place", F.row_number().over(order)).filter("__place = 1")
+    return common.not_among(docs, aside.select("doc_id"), "doc_id").unionByName(again.select(docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

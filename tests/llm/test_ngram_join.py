@@ -8,6 +8,7 @@ import pytest
 from blockloom.llm import ngram_join, shingles
 from blockloom.llm import components as components_module
 from blockloom.llm.components import components
+from pyspark.sql import functions as F
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -173,3 +174,29 @@ def test_pairs_below_the_threshold_are_seldom_counted(spark, monkeypatch):
     for rounds in counted:
         found.update({r["linked"]: r["count"] for r in rounds})
     assert found[False] < 300
+
+
+def test_rows_of_keys_are_two_numbers(spark):
+    """What the exchange of keys moves; sizes keep enough bits, and no linked sizes are parted."""
+    keys = spark.createDataFrame([(5, 0, 10, 1)], "token long, mark int, n int, id long")
+    node = ngram_join.runs(keys, 85)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "RepartitionByExpression":
+        node = node.children().head()
+    assert node.output().size() == 2
+    sizes = [1, 2047, 2048, 4095, 4096, 4097, 99_999, 1_234_567, (1 << 31) - 1]
+    found = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", ngram_join.size_code(F.col("n")).alias("c"), ngram_join.code_size(ngram_join.size_code(F.col("n"))).alias("m")).collect()
+    assert all(0 < r.c < 1 << ngram_join.SIZE_BITS and r.m <= r.n <= r.m + (r.m >> 11) for r in found)
+    small, large = 85_000 * 17 - 1, 100_000 * 17 - 1  # just linked, and codes round the larger one down less
+    rows = [(3, 0, small + 1, 1), (3, 0, large, 2), (9, 0, 100, 3), (9, 0, 118, 4)]
+    got = ngram_join.runs(spark.createDataFrame(rows, "token long, mark int, n int, id long"), 85).collect()
+    assert {(r.kind, r.a, r.b) for r in got} == {(2, 1, 2)}
+
+
+def test_sieved_joins_equal_plain_ones(spark, monkeypatch):
+    rows = spark.createDataFrame([(i if i % 9 else None, str(i)) for i in range(300)], "doc_id long, text string")
+    ids = spark.range(0, 400, 7).withColumnRenamed("id", "doc_id")
+    for words in (1, 1 << 17):
+        monkeypatch.setattr(ngram_join.common, "SIEVE_WORDS", words)
+        for ours, kind in ((ngram_join.common.among, "left_semi"), (ngram_join.common.not_among, "left_anti")):
+            assert sorted(map(str, ours(rows, ids, "doc_id").collect())) == sorted(map(str, rows.join(ids, "doc_id", kind).collect()))
+    assert ngram_join.common.sieved(rows, ids, "doc_id").filter("__maybe").count() < 60
