@@ -6,7 +6,8 @@ import random
 from blockloom.functions import text as t
 from blockloom.operators import blocks as B
 from blockloom.operators import requirements as R
-from blockloom.operators import strict, tables
+from blockloom.operators import strict, tables, validate
+from blockloom.sources import adapters as A
 from blockloom.sources import rules as S
 from pyspark.sql import functions as F
 
@@ -92,3 +93,30 @@ def test_hints_match_each_pattern_twice(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "h")).select(R.hints(F.col("x"), F.col("kind") == "contextual_obligation", S.ENGLISH).alias("h"))
     assert plan_of(out).count(t.cut_at_word(S.ENGLISH.conditions)) == 2
     assert tuple(out.first().h) == ("The clerk", "care", None, "if asked")
+
+
+def test_partitions_grow_with_the_files(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"line {i}\n" * 50) for i in range(400)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    documents = A.read_table(spark, str(tmp_path), "documents")
+    blocks = A.line_blocks(documents)
+    assert plan_of(A.by_document(blocks, documents)) == plan_of(blocks)
+    monkeypatch.setattr(A, "PART_BYTES", 500)
+    dealt = A.by_document(blocks, documents)
+    assert plan_of(dealt).startswith("RepartitionByExpression [document_id") and dealt.rdd.getNumPartitions() > 10
+    base = B.analysed(dealt, S.style_rules(spark, S.LINE_STYLES), S.ENGLISH)
+    assert base.rdd.getNumPartitions() == dealt.rdd.getNumPartitions()
+    here = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    own = A.line_blocks(here)
+    assert plan_of(A.by_document(own, here)) == plan_of(own)
+
+
+def test_batch_reads_checks_once(spark, tmp_path):
+    rows = [(1, "a", "passed"), (1, "b", "failed"), (2, "a", "passed"), (2, "b", "warning"), (3, "a", "failed"), (3, "b", "failed")]
+    spark.createDataFrame(rows, "document_id long, name string, status string").write.parquet(str(tmp_path / "c"))
+    checks = spark.read.parquet(str(tmp_path / "c"))
+    issues = spark.createDataFrame([("x", "failed"), ("y", "warning")], "input_path string, status string")
+    assert plan_of(validate.batch(checks)).count("Relation [") == 1
+    got = validate.batch(checks, issues).first()
+    assert tuple(got)[:4] == (5, 1, 3, 2) and [tuple(x) for x in got.failed_checks] == [("a", 1), ("b", 2)]
+    empty = validate.batch(checks.limit(0)).first()
+    assert tuple(empty) == (0, 0, 0, 0, [])
